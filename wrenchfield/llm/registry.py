@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from . import topk_search
 from .lm_scoring import op1_lm_scoring
+from .mixing import op6_mixing
+from .packing import op4_packing
+from .pii import op7_pii
+from .topk_search import op2_topk_search
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op4_packing, op6_mixing, op7_pii)}
+SQL: dict[str, str] = {"op2_topk_search": topk_search.SQL}
