@@ -20,6 +20,12 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 4 << 20
+#: For split(): all but letters separates; bytes of other scripts count as letters.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[0x80:] = NOT_LETTERS[ord("A") : ord("Z") + 1] = NOT_LETTERS[ord("a") : ord("z") + 1] = False
+#: For split(): a line's end separates.
+LINE_END = np.zeros(256, dtype=bool)
+LINE_END[[0x0A, 0x0D]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +93,10 @@ class Words:
         """Hashes of the words first:end."""
         return _ranges(self.hash, first, end, _WINDOWS)
 
+    def heads(self, size: int) -> np.ndarray:
+        """Hashes of the words' first `size` bytes, lower-cased."""
+        return _ranges(_BYTE[_FOLD[self.raw]], self.start, np.minimum(self.end, self.start + size), _BYTES)
+
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes and their n + 1 offsets."""
@@ -99,9 +109,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split(column: pa.Array, lower: bool) -> Words:
+def split(column: pa.Array, lower: bool, gaps: np.ndarray = SPACE) -> Words:
     raw, at = buffers(column)
-    text = ~SPACE[raw]
+    text = ~gaps[raw]
     begins, ends = text.copy(), text.copy()
     begins[1:] &= ~text[:-1]
     ends[:-1] &= ~text[1:]
@@ -118,7 +128,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(buffers(batch.column(batch.schema.get_field_index(column)))[1][1:])
+        size = buffers(batch.column(batch.schema.get_field_index(column)))[1][1:]
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
