@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from . import topk_search
 from .fingerprints import op5_fingerprints
+from .jaccard import op3_jaccard_join
 from .lm_scoring import op1_lm_scoring
 from .mixing import op6_mixing
 from .packing import op4_packing
 from .pii import op7_pii
 from .quality import op10_quality
+from .substrings import op8_substrings
 from .topk_search import op2_topk_search
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op4_packing, op5_fingerprints, op6_mixing, op7_pii, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_jaccard_join, op4_packing, op5_fingerprints, op6_mixing, op7_pii, op8_substrings, op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {"op2_topk_search": topk_search.SQL}
