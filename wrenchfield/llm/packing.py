@@ -37,7 +37,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool)
     """Whole cuts as finished pieces, remainders as rows with their ids and no sequence yet."""
 
     def run(batches):
-        encoder, seq = tokens.Encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << _ROW
+        encoder, seq = tokens.encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << _ROW
         for batch in words.slices(batches):
             flat, count = encoder.encode(batch.column(1))
             out = {n: [] for n in [*_NAMES, "ids"]}
