@@ -117,7 +117,7 @@ def line(key: np.ndarray, side: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(side * side)) >> np.uint64(32)).astype(np.int64)
 
 
-def count_grams(texts: DataFrame, side: int, flush: int = 3_000_000) -> DataFrame:
+def count_grams(texts: DataFrame, side: int, flush: int = 1_500_000) -> DataFrame:
     """Packed counts of tokens and bigrams of the column text, a row for each task's part of a bucket."""
 
     def run(batches):
@@ -200,7 +200,10 @@ class _Part:
     def __init__(self, rows: list, side: int):
         self.side = side
         got = [_read(r["n"], r["key"], r["count"]) for r in sorted(rows, key=lambda r: r["bucket"]) if r["kind"] == WORD]
-        self.word, self.count = _add([k for k, _ in got], [c for _, c in got])
+        self.word = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in got)])  # buckets are ranges of the hash: sorted end to end
+        self.count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in got)])
+        if len(self.count) and self.count.max() < 2**32:
+            self.count = self.count.astype(np.uint32)
         self.bits = {k: np.zeros(side * side, dtype=np.uint64) for k in (GRAM, FOLLOW)}
         self.base = {k: np.zeros(side * side, dtype=np.int64) for k in (GRAM, FOLLOW)}
         at, all_ = 0, []
@@ -215,7 +218,7 @@ class _Part:
         if not len(self.word):
             return np.zeros(len(key), np.int64)
         at = np.minimum(np.searchsorted(self.word, key), len(self.word) - 1)
-        return np.where(self.word[at] == key, self.count[at], 0)
+        return np.where(self.word[at] == key, self.count[at], 0).astype(np.int64)
 
     def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
         """Each key's level: probe level after level until one misses. 0 where another round has the bucket."""
@@ -236,7 +239,7 @@ class _Part:
 
 def _rounds(model: DataFrame, round_mb: int) -> list[tuple[int, int]]:
     """Cut the buckets, in order of (bucket, kind), into runs of at most round_mb: (first, last bucket) of each."""
-    sizes = model.groupBy("bucket").agg(F.sum(F.when(F.col("kind") == WORD, F.col("n") * 16).otherwise(F.length("key"))).alias("b")).orderBy("bucket").collect()  # a number for each bucket
+    sizes = model.groupBy("bucket").agg(F.sum(F.when(F.col("kind") == WORD, F.col("n") * 12).otherwise(F.length("key"))).alias("b")).orderBy("bucket").collect()  # a number for each bucket
     out, at = [], 0
     for r in sizes:
         if not out or at + r["b"] > round_mb << 20:
@@ -250,6 +253,7 @@ def _rounds(model: DataFrame, round_mb: int) -> list[tuple[int, int]]:
 def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float = 8.0, round_mb: int = 128, bucket_mb: int = 4) -> DataFrame:
     """docs (doc_id, text, and whatever else) with n_tokens, n_known, train_tokens, base_score and score, by the model of train's texts."""
     spark = docs.sparkSession
+    shared.small_batches(spark)
     side = max(2, math.ceil(math.sqrt(shared.size_of(train) / (bucket_mb << 20))))
     model = merge(count_grams(train, side), side, base, bits_each)
     n, v = (x or 0 for x in model.where(F.col("kind") == WORD).agg(F.sum("total"), F.sum("n")).first())
@@ -258,14 +262,12 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
     keep = [c for c in docs.columns if c != "text"]
     state, old = docs, None
     for i, (a, b) in enumerate(rounds):
-        payload = [r.asDict() for r in model.where(F.col("bucket").between(a, b)).toLocalIterator()]
-        part = spark.sparkContext.broadcast(payload)  # at most round_mb
-        del payload
+        part = spark.sparkContext.broadcast(_Part([r.asDict() for r in model.where(F.col("bucket").between(a, b)).toLocalIterator()], side))  # at most round_mb
         last = i == len(rounds) - 1
         ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
         def run(batches, part=part, first=not i, last=last):
-            own = _Part(part.value, side)
+            own = part.value
             for batch in words.slices(batches):
                 column = batch.column(batch.schema.get_field_index("text"))
                 token, before, size = _tokens(words.split(column, True))

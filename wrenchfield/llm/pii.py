@@ -4,7 +4,7 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Beside the
 digit or "@" are the nodes of a graph: neighbouring words are linked in a chain, and each word also with the one before
 it in the document that is the same or similar (the same letters and digits, or the same last seven digits), however
 far away. Labels are none or one of the four kinds. A node's potentials come from its shape, a softmax regression on
-what the patterns find in a bounded sample of documents; a link's potentials are smoothed log ratios of label pairs
+what the patterns find in a bounded sample of documents (about 4,000); a link's potentials are smoothed log ratios of label pairs
 counted there (piecewise training). Loopy sum-product message passing then makes labels consistent over the document,
 so that it also finds what no pattern takes by itself, as two cards side by side or a phone number without its prefix
 that stands in full elsewhere. Added spans never overlap the patterns' spans, which all stay.
@@ -223,10 +223,10 @@ def _with_digits(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit[at[1:]] > hit[at[:-1]]
 
 
-def model(docs: DataFrame, sample: int = 2000, longest: int = 20_000) -> Model:
-    """Fitted on the `sample` documents with digits whose hashed ids are least (of those with at most `longest` characters)."""
-    few = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample)
-    return fit([r["text"] for r in few.orderBy("h").collect()])
+def model(docs: DataFrame, sample: int = 4000, longest: int = 20_000) -> Model:
+    """Fitted on about `sample` documents, chosen by hashed ids, leaving out those without digits or with over `longest` characters."""
+    few = shared.sampled(docs.select("doc_id", "text"), sample, "doc_id").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
+    return fit([r["text"] for r in few.orderBy(F.xxhash64("doc_id", "text")).collect()])
 
 
 def find(docs: DataFrame, fitted: Model | None = None, sure: float = 0.9) -> DataFrame:

@@ -124,9 +124,9 @@ def fit(rows: DataFrame, trees: int = 12, depth: int = 3, l1: float = 2e-3) -> C
 
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> Column:
-    """Fitted on at most `sample` labelled rows, those with the least hashed ids. labels: doc_id, label."""
-    few = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = shared.save(stats.join(F.broadcast(few.withColumn("label", F.col("label").cast("double"))), "doc_id").select("label", *(f"stat_{c}" for c in STATS)), "quality-sample")  # at most `sample` small rows
+    """Fitted on about `sample` labelled rows, chosen by hashed ids (never over twice as many). labels: doc_id, label."""
+    few = shared.sampled(labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()), sample, "doc_id")
+    rows = shared.save(stats.join(F.broadcast(few.withColumn("label", F.col("label").cast("double"))), "doc_id").select("label", *(f"stat_{c}" for c in STATS)), "quality-sample")  # a bounded number of small rows
     return fit(rows.coalesce(4).cache())
 
 

@@ -23,6 +23,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of a text table are large: unless the session asks for fewer, Arrow batches of `rows` keep workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n rows of df (all, if it has no more), those whose hashed key lies under n / rows: the same at each run. Never over 2 n."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30)) < int(n / total * (1 << 30))).limit(2 * n)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of any executor."""
     path = f"{scratch_dir(df.sparkSession)}/wrenchfield/{name}-{uuid.uuid4().hex}"

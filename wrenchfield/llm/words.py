@@ -19,7 +19,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: For split(): all but letters separates; bytes of other scripts count as letters.
 NOT_LETTERS = np.ones(256, dtype=bool)
 NOT_LETTERS[0x80:] = NOT_LETTERS[ord("A") : ord("Z") + 1] = NOT_LETTERS[ord("a") : ord("z") + 1] = False
