@@ -17,6 +17,11 @@ def money_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(18,2)")).cast("double")
 
 
+def cents(c: Column) -> Column:
+    """Rounded to two places, halves up: by way of a decimal, so that a half is one."""
+    return F.round(c.cast("decimal(22,4)"), 2).cast("double")
+
+
 def reference_key(code: Column, name: Column) -> Column:
     return F.when(code.isNotNull(), F.concat(F.lit("code:"), code)).otherwise(F.concat(F.lit("name:"), text.normalized_name(name, code)))
 
@@ -39,7 +44,7 @@ def work_reference(lines: DataFrame, repairs: DataFrame, services: DataFrame, mi
     out = rows.groupBy("key").agg(
         F.countDistinct("repair_id").alias("sample_repairs"), F.count("*").alias("sample_lines"), once("historical", "historical_sample_repairs"), once("operational", "operational_sample_repairs"),
         F.count_if("historical").alias("historical_sample_lines"), F.countDistinct("service_name").alias("services_count"), F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("work_name"),
-        F.round(F.median("line_total"), 2).alias("median_line_total"), F.min("line_total").alias("min_line_total"), F.max("line_total").alias("max_line_total"), F.median("quantity").alias("median_quantity"),
+        cents(F.median("line_total")).alias("median_line_total"), F.min("line_total").alias("min_line_total"), F.max("line_total").alias("max_line_total"), F.median("quantity").alias("median_quantity"),
         F.bround(F.median("mileage"), 0).cast("long").alias("median_mileage"), F.min("mileage").alias("min_mileage"), F.max("mileage").alias("max_mileage"), F.median("standard_hours").alias("median_standard_hours"),
         F.max("repair_date").alias("recent_repair_date"), F.max(F.when(F.col("operational"), F.col("repair_date"))).alias("recent_operational_repair_date"),
     )
@@ -133,9 +138,9 @@ def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, st
     shop = F.coalesce(F.col("h_service") == F.col("service_id"), F.lit(False))
     medians = both.groupBy("repair_id", "key", "n", "grand_total").agg(F.count_if(shop).alias("shop_n"), F.median(F.when(shop, F.col("h_total"))).alias("shop"), F.median("h_total").alias("every"))
     medians = medians.withColumn("expected", F.when(F.col("shop_n") >= 3, F.col("shop")).otherwise(F.col("every")))
-    work = medians.groupBy("repair_id", "grand_total").agg(money_sum(F.col("expected") * F.col("n")).alias("work_expected"))
+    work = medians.groupBy("repair_id", "grand_total").agg(F.sum((F.col("expected") * F.col("n")).cast("decimal(22,4)")).alias("w")).select("repair_id", "grand_total", F.col("w").cast("double").alias("work_expected"))
     parts = lines.where("kind = 'part'").groupBy("repair_id").agg(money_sum(F.col("line_total")).alias("parts_total"))
-    out = work.join(parts, "repair_id", "left").withColumn("expected_total", F.round(F.col("work_expected") + F.coalesce("parts_total", F.lit(0.0)), 2))
+    out = work.join(parts, "repair_id", "left").withColumn("expected_total", cents(F.col("work_expected") + F.coalesce("parts_total", F.lit(0.0))))
     return out.where(F.col("grand_total") > F.round(1.1 * F.col("expected_total"), 2))
 
 

@@ -96,7 +96,7 @@ WORK_REFERENCE = f"""WITH {REFERENCE}, named AS (SELECT ref.*, coalesce(s.name,
   per AS (SELECT key, service_name, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, service_name) AS r FROM named GROUP BY key, service_name),
   top AS (SELECT key, string_agg(service_name || '=' || n, ';' ORDER BY r) AS top_services FROM per WHERE r <= 3 GROUP BY key)
   SELECT key, count(DISTINCT repair_id) AS sample_repairs, count(*) AS sample_lines, count(DISTINCT repair_id) FILTER (historical) AS historical_sample_repairs, count(DISTINCT repair_id) FILTER (operational) AS operational_sample_repairs,
-  count(*) FILTER (historical) AS historical_sample_lines, count(DISTINCT service_name) AS services_count, arg_max(name, (length(name), name)) AS work_name, round(median(line_total), 2) AS median_line_total, min(line_total) AS min_line_total, max(line_total) AS max_line_total,
+  count(*) FILTER (historical) AS historical_sample_lines, count(DISTINCT service_name) AS services_count, arg_max(name, (length(name), name)) AS work_name, CAST(round(CAST(median(line_total) AS DECIMAL(22,4)), 2) AS DOUBLE) AS median_line_total, min(line_total) AS min_line_total, max(line_total) AS max_line_total,
   median(quantity) AS median_quantity, CAST(round_even(median(mileage), 0) AS BIGINT) AS median_mileage, min(mileage) AS min_mileage, max(mileage) AS max_mileage, median(standard_hours) AS median_standard_hours, max(repair_date) AS recent_repair_date,
   max(repair_date) FILTER (operational) AS recent_operational_repair_date, any_value(top_services) AS top_services FROM named JOIN top USING (key) GROUP BY key HAVING count(*) >= 2"""
 
@@ -186,8 +186,8 @@ def J6_work_reference_missing(t):
 @query(f"""WITH w AS (SELECT repair_id, {KEY} AS key, line_total, vehicle_type, service_id, r.status, r.grand_total FROM repair_lines JOIN repairs r ON r.id = repair_id JOIN vehicles v ON v.id = r.vehicle_id WHERE kind = 'work'),
   asked AS (SELECT repair_id, vehicle_type, service_id, grand_total, key, count(*) AS n FROM w WHERE status = 'suspicious' GROUP BY ALL), m AS (SELECT a.repair_id, a.key, a.n, a.grand_total, count(*) FILTER (h.service_id = a.service_id) AS shop_n, median(h.line_total) FILTER (h.service_id = a.service_id) AS shop, median(h.line_total) AS every
   FROM asked a JOIN w h ON h.vehicle_type = a.vehicle_type AND h.key = a.key AND h.repair_id <> a.repair_id AND h.status IN ('confirmed', 'employee_confirmed', 'suspicious', 'archived') AND h.grand_total > 0 GROUP BY ALL),
-  s AS (SELECT repair_id, grand_total, CAST(sum(CAST((CASE WHEN shop_n >= 3 THEN shop ELSE every END) * n AS DECIMAL(18,2))) AS DOUBLE) AS work_expected FROM m GROUP BY ALL), p AS (SELECT repair_id, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS parts_total FROM repair_lines WHERE kind = 'part' GROUP BY 1),
-  e AS (SELECT s.repair_id, grand_total, work_expected, parts_total, round(work_expected + coalesce(parts_total, 0), 2) AS expected_total FROM s LEFT JOIN p USING (repair_id)) SELECT * FROM e WHERE grand_total > round(1.1 * expected_total, 2)""")
+  s AS (SELECT repair_id, grand_total, CAST(sum(CAST((CASE WHEN shop_n >= 3 THEN shop ELSE every END) * n AS DECIMAL(22,4))) AS DOUBLE) AS work_expected FROM m GROUP BY ALL), p AS (SELECT repair_id, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS parts_total FROM repair_lines WHERE kind = 'part' GROUP BY 1),
+  e AS (SELECT s.repair_id, grand_total, work_expected, parts_total, CAST(round(CAST(work_expected + coalesce(parts_total, 0) AS DECIMAL(22,4)), 2) AS DOUBLE) AS expected_total FROM s LEFT JOIN p USING (repair_id)) SELECT * FROM e WHERE grand_total > round(1.1 * expected_total, 2)""")
 def J5_expected_total(t):
     return history.expected_total(t("repair_lines"), t("repairs"), t("vehicles"))
 
@@ -329,11 +329,11 @@ def C13_or_equi(t):
     return resolve.or_equi(v, v, ["vin", "plate_number"], "id").where("left_id <= right_id")
 
 
-@query(f"""WITH asked AS (SELECT id, CASE WHEN id % 2 = 0 THEN vin END AS vin, CASE WHEN id % 5 = 0 THEN concat(plate_number, 'X') ELSE plate_number END AS plate FROM vehicles WHERE id % 3 = 0), a AS (SELECT id, vin, {IDENT.replace('{c}', 'plate')} AS plate FROM asked), v AS (SELECT id AS vehicle_id, vin, {IDENT.replace('{c}', 'plate_number')} AS plate FROM vehicles),
+@query(f"""WITH asked AS (SELECT id, CASE WHEN id % 2 = 0 THEN vin END AS vin, CASE WHEN id % 5 = 0 THEN concat(plate_number, 'X') ELSE plate_number END AS plate FROM vehicles), a AS (SELECT id, vin, {IDENT.replace('{c}', 'plate')} AS plate FROM asked), v AS (SELECT id AS vehicle_id, vin, {IDENT.replace('{c}', 'plate_number')} AS plate FROM vehicles),
   e AS (SELECT a.id, count(DISTINCT vehicle_id) AS hits, min(vehicle_id) AS vehicle_id FROM a JOIN v ON a.vin = v.vin OR a.plate = v.plate GROUP BY a.id), p AS (SELECT a.id, count(DISTINCT vehicle_id) AS hits, min(vehicle_id) AS vehicle_id FROM a JOIN v ON length(a.plate) >= 6 AND length(v.plate) >= 6 AND (starts_with(a.plate, v.plate) OR starts_with(v.plate, a.plate)) GROUP BY a.id)
   SELECT a.id, CASE WHEN e.hits = 1 THEN e.vehicle_id WHEN e.hits IS NULL AND p.hits = 1 THEN p.vehicle_id END AS vehicle_id, coalesce(e.hits, 0) AS exact_hits FROM a LEFT JOIN e USING (id) LEFT JOIN p USING (id)""")
 def C15_vehicle_resolution(t):
-    asked = t("vehicles").where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.col("vin")).alias("vin"), F.when(F.col("id") % 5 == 0, F.concat("plate_number", F.lit("X"))).otherwise(F.col("plate_number")).alias("plate"))
+    asked = t("vehicles").select("id", F.when(F.col("id") % 2 == 0, F.col("vin")).alias("vin"), F.when(F.col("id") % 5 == 0, F.concat("plate_number", F.lit("X"))).otherwise(F.col("plate_number")).alias("plate"))
     return resolve.vehicle_by_vin_or_plate(asked, t("vehicles"))
 
 
@@ -404,10 +404,10 @@ def C26_symmetric_links(t):
     return resolve.linked_vehicles(t("vehicle_links"), DAY)
 
 
-@query("""WITH a AS (SELECT DISTINCT left_vehicle_id, right_vehicle_id FROM vehicle_links WHERE ends_at IS NULL), w AS (SELECT DISTINCT left_vehicle_id, right_vehicle_id + CASE WHEN left_vehicle_id % 5 = 0 THEN 2 ELSE 0 END AS right_vehicle_id FROM vehicle_links WHERE left_vehicle_id % 7 <> 0)
+@query("""WITH a AS (SELECT DISTINCT left_vehicle_id, right_vehicle_id FROM vehicle_links WHERE ends_at IS NULL), w AS (SELECT DISTINCT left_vehicle_id, right_vehicle_id + CASE WHEN left_vehicle_id % 5 = 0 THEN 2 ELSE 0 END AS right_vehicle_id FROM vehicle_links)
   SELECT coalesce(a.left_vehicle_id, w.left_vehicle_id) AS left_vehicle_id, coalesce(a.right_vehicle_id, w.right_vehicle_id) AS right_vehicle_id, CASE WHEN a.left_vehicle_id IS NULL THEN 'insert' WHEN w.left_vehicle_id IS NULL THEN 'close' ELSE 'keep' END AS action FROM a FULL JOIN w ON a.left_vehicle_id = w.left_vehicle_id AND a.right_vehicle_id = w.right_vehicle_id""")
 def C27_link_reconciliation(t):
-    wanted = t("vehicle_links").where("left_vehicle_id % 7 <> 0").select("left_vehicle_id", (F.col("right_vehicle_id") + F.when(F.col("left_vehicle_id") % 5 == 0, 2).otherwise(0)).cast("long").alias("right_vehicle_id"))
+    wanted = t("vehicle_links").select("left_vehicle_id", (F.col("right_vehicle_id") + F.when(F.col("left_vehicle_id") % 5 == 0, 2).otherwise(0)).cast("long").alias("right_vehicle_id"))
     return resolve.reconciled(t("vehicle_links").where("ends_at is null"), wanted)
 
 
@@ -595,18 +595,26 @@ def K13_missing_fields(t):
 # --- mutations
 
 
-@query("""WITH o AS (SELECT id, external_id, vin, plate_number, vehicle_type FROM vehicles WHERE id % 4 <> 0), n AS (SELECT id AS row, external_id, vin, plate_number, vehicle_type FROM vehicles WHERE id % 3 = 0), h AS (SELECT n.row, o.id, CASE WHEN n.external_id = o.external_id THEN 0 WHEN n.vin = o.vin THEN 1 ELSE 2 END AS rank FROM n JOIN o ON n.vehicle_type = o.vehicle_type AND (n.external_id = o.external_id OR n.vin = o.vin OR n.plate_number = o.plate_number)),
+INCOMING = """SELECT id AS row, CASE WHEN id % 2 = 0 THEN concat('new-', CAST(id AS STRING)) ELSE external_id END AS external_id, CASE WHEN id % 4 = 0 THEN NULL ELSE vin END AS vin, CASE WHEN id % 8 = 0 THEN concat('N', CAST(id AS STRING)) ELSE plate_number END AS plate_number, vehicle_type FROM vehicles"""
+
+
+@query(f"""WITH n AS ({INCOMING}), h AS (SELECT n.row, o.id, 0 AS rank FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.external_id = o.external_id UNION ALL SELECT n.row, o.id, 1 FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.vin = o.vin UNION ALL SELECT n.row, o.id, 2 FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.plate_number = o.plate_number),
   b AS (SELECT row, arg_min(id, (rank, id)) AS id FROM h GROUP BY row) SELECT n.row, b.id, CASE WHEN b.id IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM n LEFT JOIN b USING (row)""")
 def L1_vehicle_upsert(t):
     v = t("vehicles").select("id", "external_id", "vin", "plate_number", "vehicle_type")
-    return mutations.upsert_vehicles(v.where("id % 4 <> 0"), v.where("id % 3 = 0").withColumnRenamed("id", "row"))
+    i = F.col("id")
+    new = v.select(
+        i.alias("row"), F.when(i % 2 == 0, F.concat(F.lit("new-"), i.cast("string"))).otherwise(F.col("external_id")).alias("external_id"), F.when(i % 4 != 0, F.col("vin")).alias("vin"),
+        F.when(i % 8 == 0, F.concat(F.lit("N"), i.cast("string"))).otherwise(F.col("plate_number")).alias("plate_number"), "vehicle_type",
+    )
+    return mutations.upsert_vehicles(v, new)
 
 
-@query("""WITH o AS (SELECT code, name, standard_hours, category FROM labor_norms WHERE scope = 'heavy'), n AS (SELECT code, name, CASE WHEN standard_hours > 45 THEN NULL ELSE standard_hours + 1 END AS standard_hours, category FROM labor_norms WHERE standard_hours > 40 AND code <> 'Brand#2')
+@query("""WITH o AS (SELECT code, name, standard_hours, category FROM labor_norms WHERE status <> 'archived'), n AS (SELECT code, name, CASE WHEN standard_hours > 45 THEN NULL ELSE standard_hours + 1 END AS standard_hours, category FROM labor_norms)
   SELECT code, name, coalesce(n.standard_hours, o.standard_hours) AS standard_hours, coalesce(n.category, o.category) AS category, CASE WHEN o.code IS NULL THEN 'created' WHEN n.code IS NULL OR n.standard_hours IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN n USING (code, name)""")
 def L2_norm_upsert(t):
-    n = t("labor_norms").where("scope = 'heavy'").select("code", "name", "standard_hours", "category")
-    new = t("labor_norms").where("standard_hours > 40 and code <> 'Brand#2'").select("code", "name", F.when(F.col("standard_hours") <= 45, F.col("standard_hours") + 1).alias("standard_hours"), "category", F.lit(1).alias("row"))
+    n = t("labor_norms").where("status <> 'archived'").select("code", "name", "standard_hours", "category")
+    new = t("labor_norms").select("code", "name", F.when(F.col("standard_hours") <= 45, F.col("standard_hours") + 1).alias("standard_hours"), "category", F.lit(1).alias("row"))
     return mutations.upsert(n, new, ["code", "name"], "row")
 
 
@@ -674,7 +682,7 @@ def H33_compared(t):
 
 
 def _orders(t):
-    r = t("repair_lines").where("repair_id % 40 = 0").groupBy(F.col("repair_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s %d шт %.2f %.2f", F.col("name"), F.col("quantity").cast("int"), F.col("price"), F.col("line_total")))), "\n").alias("body"))
+    r = t("repair_lines").groupBy(F.col("repair_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s %d шт %.2f %.2f", F.col("name"), F.col("quantity").cast("int"), F.col("price"), F.col("line_total")))), "\n").alias("body"))
     return r.select("id", F.concat(F.lit("Заказ-наряд № ЗН-"), F.col("id").cast("string"), F.lit(" от 15.01.2025\nПробег 120000\nЗапчасти\n"), F.col("body"), F.lit("\nИтого к оплате 3500,00")).alias("text"))
 
 
