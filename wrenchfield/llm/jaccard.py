@@ -5,11 +5,14 @@ n - ceil(t * n) + l shingles of each, in any common order, for every l. The orde
 only ones whose frequencies are counted), by document frequency, rarest first, then by hash; the rest by hash. Each
 document takes the l whose prefix costs least: the postings that it reads, and the candidates to verify, of which there
 can be no more than a share 1 / l of those. A pair is a candidate if it shares as many prefix shingles as the smaller
-of the two l, counted over the prefixes of that l, and is verified on the whole sets.
+of the two l, and is verified on the whole sets. Of the prefixes only so much counts as the two sizes leave: the first l
+shared shingles of a linked pair stand at places up to n - overlap + l - 1 of either set, with the overlap that the two
+sizes ask for.
 
 Equal sets are one node. Groups of near copies are not joined pair by pair: in a few rounds each posting links its
-documents with one pivot only, which verified links put most of a group into one component; then every pair of different
-components is joined, so that no link between them is lost.
+documents with one pivot only (first the one with the fewest rarer shingles, that is the most typical one), which verified
+links put most of a group into one component; then every pair of different components is joined, so that no link between
+them is lost. Postings that no partner of their shingle can reach by its size go before that.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts shorter than k words are one
 shingle; rows without a doc_id link with nothing and have no component; rows of one doc_id are one document, which links
@@ -87,7 +90,7 @@ def choose(df: np.ndarray, place: np.ndarray, n: int, num: int, den: int, verify
 
 
 def postings(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, id, n, l, level (the least l whose prefix holds the token) for nodes (id, n, low, n_low, more)."""
+    """token, id, n, l, place (in the document's order) for nodes (id, n, low, n_low, more)."""
     every = nodes.select("id", F.explode("low").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = every.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))  # no more than a document has
@@ -107,14 +110,28 @@ def postings(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 token = np.array([x["token"] for x in known_] + more, np.int64)
                 use = place < base + match
                 m = int(use.sum())
-                for c, v in zip(out, (token[use], np.full(m, id_), np.full(m, n), np.full(m, match, np.int32), np.maximum(1, place[use] - base + 1).astype(np.int32)), strict=True):
+                for c, v in zip(out, (token[use], np.full(m, id_), np.full(m, n), np.full(m, match, np.int32), place[use].astype(np.int64)), strict=True):
                     c.append(v)
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["token", "id", "n", "l", "level"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["token", "id", "n", "l", "place"])
 
-    made = shared.save(rows.mapInArrow(run, "token long, id long, n long, l int, level int"), "jaccard-postings")
+    made = shared.save(rows.mapInArrow(run, "token long, id long, n long, l int, place long"), "jaccard-postings")
     several = made.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-    return shared.save(made.join(several, "token"), "jaccard-shared")
+    out = shared.save(made.join(several, "token"), "jaccard-shared")
+    shared.drop(made)
+    return out
+
+
+def _overlap(a, b, num: int, den: int):
+    """What sets of the two sizes share at least, if they link."""
+    return F.floor((num * (F.col(a) + F.col(b)) + (num + den - 1)) / (num + den))
+
+
+def _reached(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that the shingle's smallest set can still reach."""
+    least = found.groupBy("token").agg(F.min("n").alias("n_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    both = found.join(least, "token").withColumn("n_least", F.greatest(F.col("n_least"), F.ceil(num * F.col("n") / den)))
+    return both.where(_overlap("n", "n_least", num, den) <= F.col("n") - F.col("place") + F.col("l") - 1).drop("n_least")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -168,34 +185,49 @@ def link(docs: DataFrame, k: int, num: int, den: int, rounds: int = 3) -> DataFr
     found = postings(nodes, num, den)
     state = found.select("id").distinct().withColumn("comp", F.col("id"))
     sets = _sets(docs, state.select("id"), k)
-    close = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
     joined = shared.save(state, "jaccard-state")
+
+    def near(match, x="nx", y="ny", px="px", py="py"):
+        """Sizes that can link, and places among the first `match` shared ones of such a pair."""
+        need = _overlap(x, y, num, den) - match + 1
+        return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.col(px) <= F.col(x) - need) & (F.col(py) <= F.col(y) - need)
+
     for i in range(rounds):
-        now = found.join(joined, "id")
-        pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(i))).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token", F.col("p.id").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"))
-        pairs = now.join(pivot, "token").where("comp <> cx").select("x", "nx", F.col("id").alias("y"), F.col("n").alias("ny"), "cx", "comp").where(close).distinct()
-        links = shared.save(_verified(pairs.drop("cx", "comp"), sets, num, den).join(joined.select(F.col("id").alias("x"), F.col("comp").alias("u")), "x").join(joined.select(F.col("id").alias("y"), F.col("comp").alias("v")), "y").select("u", "v").distinct(), "jaccard-links")
-        if links.isEmpty():
+        now = _reached(found, num, den).join(joined, "id")
+        order = F.struct(F.lit(0.0) if i else F.col("place") / F.col("n"), F.xxhash64("id", F.lit(i)))
+        pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp", "place"), order).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token", F.col("p.id").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"), F.col("p.place").alias("px"))
+        pairs = now.join(pivot, "token").where("comp <> cx").withColumnsRenamed({"id": "y", "n": "ny", "place": "py"}).where(near(F.lit(1))).select("x", "nx", "y", "ny").distinct()
+        links = _links(_verified(pairs, sets, num, den), joined)
+        old, joined = joined, _relabelled(joined, links)
+        shared.drop(links)
+        if joined is old:
             break
-        joined = _relabelled(joined, links)
-    now = shared.save(found.join(joined, "id"), "jaccard-open")
+        shared.drop(old)
+    now = shared.save(_reached(found, num, den).join(joined, "id"), "jaccard-open")
     by = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("token", "major")
     side = now.join(by, "token")
-    left = side.where("comp <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "l", "level", "comp")))
-    right = side.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "l", "level", "comp")))
-    least = F.least("l_x", "l_y")
+    left = side.where("comp <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "l", "place", "comp")))
+    right = side.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "l", "place", "comp")))
+    match = F.least("l_x", "l_y")
     once = (F.col("comp_y") == F.col("major")) | (F.col("id_x") < F.col("id_y"))
-    near = den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")
-    pairs = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & once & near & (F.col("level_x") <= least) & (F.col("level_y") <= least))
-    pairs = pairs.groupBy(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).agg(F.count("*").alias("m"), F.min(least).alias("l"), *(F.min(F.when(F.col("id_x") < F.col("id_y"), F.col(a)).otherwise(F.col(b))).alias(c) for a, b, c in (("n_x", "n_y", "nx"), ("n_y", "n_x", "ny")))).where("m >= l").select("x", "nx", "y", "ny")
-    links = _verified(pairs, sets, num, den).join(joined.select(F.col("id").alias("x"), F.col("comp").alias("u")), "x").join(joined.select(F.col("id").alias("y"), F.col("comp").alias("v")), "y").select("u", "v").distinct()
-    joined = _relabelled(joined, shared.save(links, "jaccard-links"))
+    pairs = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & once & near(match, "n_x", "n_y", "place_x", "place_y"))
+    pairs = pairs.groupBy(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).agg(F.count("*").alias("m"), F.min(match).alias("l"), *(F.min(F.when(F.col("id_x") < F.col("id_y"), F.col(a)).otherwise(F.col(b))).alias(c) for a, b, c in (("n_x", "n_y", "nx"), ("n_y", "n_x", "ny")))).where("m >= l").select("x", "nx", "y", "ny")
+    links = _links(_verified(pairs, sets, num, den), joined)
+    joined = _relabelled(joined, links)
     classes = shared.save(classes.join(joined, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id")), "jaccard-components")
+    for t in (now, links, sets, found):
+        shared.drop(t)
     return narrow.join(classes, ["s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _links(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Links between the components of the linked pairs x, y."""
+    u, v = (state.select(F.col("id").alias(a), F.col("comp").alias(b)) for a, b in (("x", "u"), ("y", "v")))
+    return shared.save(pairs.join(u, "x").join(v, "y").select("u", "v").distinct(), "jaccard-links")
+
+
 def _relabelled(state: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return state
