@@ -17,7 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (a bounded sample of them); labels never decide about a document themselves."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(shared.documents(spark, sf_dir), labels)
-    return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
+    name = shared.fresh("score", docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +39,17 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: its whole copies, and the first words (joined by single spaces) of one more where it takes a part."""
-    taken = mixing.mix(docs)
+    taken = mixing.mix(docs.select("doc_id", "source", "text"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    rows = taken.groupBy("doc_id").agg(F.max(whole).alias("whole"), F.max(part).alias("part"))
-    joined = docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"])).drop(rows["doc_id"])
     # 0 is a whole copy, n the first n words
-    copies = F.concat(F.when(F.col("whole") > 0, F.array_repeat(F.lit(0), F.col("whole"))).otherwise(F.array().cast("array<int>")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<int>")))
-    out = joined.withColumn("cut", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), 0), F.lit(1), F.col("cut")), " ")
-    return out.withColumn("text", F.when(F.col("cut") > 0, head).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda n: n > 0))
+    doc, source, size, every, cut = (shared.fresh(c, docs.columns) for c in ("mix_doc", "mix_source", "mix_size", "mix_copies", "mix_cut"))
+    rows = taken.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), copies.alias(every)).distinct()
+    out = docs.join(rows, docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)) & (mixing.size() == F.col(size))).withColumn(cut, F.explode(every))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), 0), F.lit(1), F.col(cut)), " ")
+    out = out.withColumn("text", F.when(F.col(cut) > 0, head).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

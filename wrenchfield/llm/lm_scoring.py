@@ -15,7 +15,7 @@ round goes over the texts and fills in its part of every token's numbers, which
 last; small data need one round, and the number of rounds grows with the vocabulary.
 
 Defined results: a null or empty text is one end token; a null doc_id is trained on and has held_out false; repeated
-rows count as often as they stand; an empty table gives no rows; further columns are ignored.
+rows count as often as they stand; an empty table gives no rows; further columns are kept, but for those with a result's name.
 """
 
 from __future__ import annotations
@@ -254,6 +254,8 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
     """docs (doc_id, text, and whatever else) with n_tokens, n_known, train_tokens, base_score and score, by the model of train's texts."""
     spark = docs.sparkSession
     shared.small_batches(spark)
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = shared.fresh("state", docs.columns)
     side = max(2, math.ceil(math.sqrt(shared.size_of(train) / (bucket_mb << 20))))
     model = merge(count_grams(train, side), side, base, bits_each)
     n, v = (x or 0 for x in model.where(F.col("kind") == WORD).agg(F.sum("total"), F.sum("n")).first())
@@ -275,7 +277,7 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
                 if first:
                     c, gram, follow = np.zeros(total, np.int64), np.zeros(total, np.uint8), np.zeros(total, np.uint8)
                 else:
-                    raw = [_unpack(x, 6 * m, np.uint8) for x, m in zip(batch.column(batch.schema.get_field_index("state")).to_pylist(), size, strict=True)]
+                    raw = [_unpack(x, 6 * m, np.uint8) for x, m in zip(batch.column(batch.schema.get_field_index(held)).to_pylist(), size, strict=True)]
                     c = np.concatenate([x[: 4 * m].view(np.uint32) for x, m in zip(raw, size, strict=True)]).astype(np.int64)
                     gram = np.concatenate([x[4 * m : 5 * m] for x, m in zip(raw, size, strict=True)])
                     follow = np.concatenate([x[5 * m :] for x, m in zip(raw, size, strict=True)])
@@ -292,10 +294,10 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
                     yield pa.record_batch([*cols, *_finish(c, gram, follow, size, least, n, v, docs_trained)], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 else:
                     packed = [_pack(np.concatenate([c[t - m : t].astype(np.uint32).view(np.uint8), gram[t - m : t], follow[t - m : t]])) for t, m in zip(to, size, strict=True)]
-                    yield pa.record_batch([*cols, column, pa.array(packed, pa.binary())], names=[*keep, "text", "state"])
+                    yield pa.record_batch([*cols, column, pa.array(packed, pa.binary())], names=[*keep, "text", held])
 
         docs_trained = _trained(model, side) if not i else docs_trained
-        made = state.mapInArrow(run, f"{ddl}, n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else f"{ddl}, text string, state binary")
+        made = state.mapInArrow(run, f"{ddl}, n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else f"{ddl}, text string, `{held}` binary")
         if not last:
             state = shared.save(made, "lm-round")
             part.unpersist()

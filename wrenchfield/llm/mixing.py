@@ -26,8 +26,9 @@ from . import shared
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
+def size() -> Column:
+    """Words of the column text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -74,8 +75,8 @@ def tilt(histogram: DataFrame, goal: DataFrame, most: float, rounds: int = 40, n
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs (doc_id, source, text, ...) without text, with size, source_size, target, rate and taken."""
-    docs = shared.save(sized(docs).drop("text"), "mix-sizes")
+    """doc_id, source, size, source_size, target, rate and taken of docs (doc_id, source, text). taken depends on the first three alone."""
+    docs = shared.save(docs.select("doc_id", "source", size().alias("size")), "mix-sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
     goal = targets(sizes.select("source", "source_size", "mean").drop("mean"), weights, share, most)
     goal = goal.join(sizes.select(F.col("source").alias("of"), "mean"), F.col("source").eqNullSafe(F.col("of"))).drop("of")

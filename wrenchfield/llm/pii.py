@@ -10,7 +10,7 @@ so that it also finds what no pattern takes by itself, as two cards side by side
 that stands in full elsewhere. Added spans never overlap the patterns' spans, which all stay.
 
 Offsets are code points. Defined results: a null or empty text has no spans; a null doc_id is kept; repeated rows get
-the same spans each; an empty table gives no rows; further columns are ignored.
+the same spans each; an empty table gives no rows; further columns are kept, but for those with a result's name.
 """
 
 from __future__ import annotations
@@ -231,6 +231,7 @@ def model(docs: DataFrame, sample: int = 4000, longest: int = 20_000) -> Model:
 
 def find(docs: DataFrame, fitted: Model | None = None, sure: float = 0.9) -> DataFrame:
     """docs with base and spans: arrays of (kind, start, end), sorted by kind as in KINDS, then start."""
+    docs = docs.drop("base", "spans")
     fitted = fitted or model(docs)
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 

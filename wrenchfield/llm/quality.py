@@ -7,7 +7,8 @@ Spark column expression, so scoring is a projection over the statistics.
 
 Defined results: a null or empty text has all statistics 0 and is scored by the rules that hold then; a null doc_id is
 kept, its rows never train; repeated rows score alike; repeated labels train as so many rows; without labels, or with
-one class only, every score is the share of good labels (0.5 without any); further columns are ignored.
+one class only, every score is the share of good labels (0.5 without any); further columns are kept, but for those with
+a statistic's name.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs without text, with its STATS."""
+    docs = docs.drop(*(f"stat_{c}" for c in STATS))
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):

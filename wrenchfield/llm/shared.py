@@ -13,6 +13,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores before it if columns have it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,7 +8,8 @@ group as such moves no score. Scoring broadcasts the weights (2**20 of them at m
 
 Defined results: a null or empty text has the score of the intercept; a null doc_id is kept, its rows never train;
 repeated rows score alike; repeated or contradicting labels of one document train as so many rows; without labels
-(or with one class only) every score is the share of toxic labels, 0.5 if there are none; further columns are ignored.
+(or with one class only) every score is the share of toxic labels (0.01 and 0.99 at the ends), 0.5 if there are none;
+further columns are kept, but for one with the result's name.
 """
 
 from __future__ import annotations
@@ -131,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, terms: tuple[
     return fit(flat, at, got["label"].to_numpy(), swapped([t for t in got["spoken"].to_pylist() if t], terms))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, the probability of label 1."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with score (or another name), the probability of label 1."""
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 weights at most
 
     def run(batches):
@@ -145,10 +147,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             i, j = np.nonzero(w[f])
             key = np.unique(own.text[i].astype(np.int64) << 32 | f[i, j])  # each feature once a text
             z = bias + np.bincount(key >> 32, weights=w[key & (2**32 - 1)], minlength=batch.num_rows)
-            yield batch.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, score double")
+    return docs.mapInArrow(run, f"{ddl}, `{name}` double")
 
 
 def held_out(modulus: int, remainder: int):
