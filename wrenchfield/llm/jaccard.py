@@ -7,12 +7,15 @@ document takes the l whose prefix costs least: the postings that it reads, and t
 can be no more than a share 1 / l of those. A pair is a candidate if it shares as many prefix shingles as the smaller
 of the two l, and is verified on the whole sets. Of the prefixes only so much counts as the two sizes leave: the first l
 shared shingles of a linked pair stand at places up to n - overlap + l - 1 of either set, with the overlap that the two
-sizes ask for.
+sizes ask for; the r-th of a set's shared ones can't be more than the r-th of a pair's. Postings that no partner of their
+shingle can reach by its size go first. Each set also has a parity sketch, a bit for each of SKETCH hash values, flipped
+by every shingle that has it: two sketches differ in no more bits than the sets in shingles, which rules out most pairs
+that don't link before they leave the join, and none that does.
 
-Equal sets are one node. Groups of near copies are not joined pair by pair: in a few rounds each posting links its
-documents with one pivot only (first the one with the fewest rarer shingles, that is the most typical one), which verified
-links put most of a group into one component; then every pair of different components is joined, so that no link between
-them is lost. Postings that no partner of their shingle can reach by its size go before that.
+Equal sets are one node. Groups of near copies are not joined pair by pair: first each shingle's documents are held
+against a few pivots only (the one with the fewest rarer shingles, that is the most typical one, and two by hash), which
+verified links put most of a group into one component; then every pair of different components is joined, so that no link
+between them is lost.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts shorter than k words are one
 shingle; rows without a doc_id link with nothing and have no component; rows of one doc_id are one document, which links
@@ -31,6 +34,8 @@ from .components import components
 
 MOST_MATCHES = 3
 FILTER_BITS = 1 << 23
+SKETCH = 512
+_SKETCH = [f"g{i}" for i in range(SKETCH // 64)]
 
 
 def shingles(w: words.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +56,7 @@ def _least(n, num: int, den: int):
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, s1 and s2 (the set's identity), low (its shingles of the counted share), n_low, more (those that a prefix may want besides)."""
+    """doc_id, n, s1 and s2 (the set's identity), low (its shingles of the counted share), n_low, more (those that a prefix may want besides), its sketch."""
     share = int(min(1.0, 1.6 * (1 - num / den)) * 2**32)
 
     def run(batches):
@@ -63,6 +68,11 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             total = lambda x: np.add.reduceat(x, at[some]).view(np.int64) if some.any() else np.zeros(0, np.int64)
             s1, s2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             s1[some], s2[some] = total(words.mix(key)), total(words.mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            bit = words.mix(key + np.uint64(11)) >> np.uint64(64 - (SKETCH - 1).bit_length())
+            flip = np.uint64(1) << (bit & np.uint64(63))
+            sketch = np.zeros((len(_SKETCH), len(n)), np.uint64)
+            for i in range(len(_SKETCH)):
+                sketch[i, some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == i, flip, np.uint64(0)), at[some]) if some.any() else 0
             low = (words.mix(key + np.uint64(5)) >> np.uint64(32)) < np.uint64(share)
             n_low = np.bincount(text[low], minlength=len(n))
             want = np.maximum(0, n - _least(n, num, den) + MOST_MATCHES - n_low)
@@ -73,9 +83,10 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.record_batch([
                 batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), words.lists(key[low].view(np.int64), n_low, pa.int64()), pa.array(n_low),
                 words.lists(key[more].view(np.int64), np.bincount(text[more], minlength=len(n)), pa.int64()),
-            ], names=["doc_id", "n", "s1", "s2", "low", "n_low", "more"])
+                *(pa.array(x.view(np.int64)) for x in sketch),
+            ], names=["doc_id", "n", "s1", "s2", "low", "n_low", "more", *_SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, low array<long>, n_low long, more array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, low array<long>, n_low long, more array<long>, " + ", ".join(f"{g} long" for g in _SKETCH))
 
 
 def choose(df: np.ndarray, place: np.ndarray, n: int, num: int, den: int, verify: float = 0.02) -> int:
@@ -90,7 +101,7 @@ def choose(df: np.ndarray, place: np.ndarray, n: int, num: int, den: int, verify
 
 
 def postings(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, id, n, l, place (in the document's order) for nodes (id, n, low, n_low, more)."""
+    """token, id, n, l, place (in the document's order), r (from 1: which of its shared ones it is) for nodes (id, n, low, n_low, more)."""
     every = nodes.select("id", F.explode("low").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = every.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))  # no more than a document has
@@ -98,7 +109,7 @@ def postings(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for id_, n, n_low, more, known_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known_ = known_ or []
                 df = np.array([x["df"] for x in known_] + [2] * len(more), np.int64)
@@ -110,12 +121,12 @@ def postings(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 token = np.array([x["token"] for x in known_] + more, np.int64)
                 use = place < base + match
                 m = int(use.sum())
-                for c, v in zip(out, (token[use], np.full(m, id_), np.full(m, n), np.full(m, match, np.int32), place[use].astype(np.int64)), strict=True):
+                for c, v in zip(out, (token[use], np.full(m, id_), np.full(m, n), np.full(m, match, np.int32), place[use].astype(np.int64), np.flatnonzero(use).astype(np.int32) + np.int32(1)), strict=True):
                     c.append(v)
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["token", "id", "n", "l", "place"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["token", "id", "n", "l", "place", "r"])
 
-    made = shared.save(rows.mapInArrow(run, "token long, id long, n long, l int, place long"), "jaccard-postings")
+    made = shared.save(rows.mapInArrow(run, "token long, id long, n long, l int, place long, r int"), "jaccard-postings")
     several = made.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
     out = shared.save(made.join(several, "token"), "jaccard-shared")
     shared.drop(made)
@@ -131,7 +142,7 @@ def _reached(found: DataFrame, num: int, den: int) -> DataFrame:
     """Postings that the shingle's smallest set can still reach."""
     least = found.groupBy("token").agg(F.min("n").alias("n_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     both = found.join(least, "token").withColumn("n_least", F.greatest(F.col("n_least"), F.ceil(num * F.col("n") / den)))
-    return both.where(_overlap("n", "n_least", num, den) <= F.col("n") - F.col("place") + F.col("l") - 1).drop("n_least")
+    return both.where(_overlap("n", "n_least", num, den) <= F.col("n") - F.col("place") + F.least("l", "r") - 1).drop("n_least")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -175,53 +186,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, ["x", "nx"]).join(right, ["y", "ny"]).where(den * both >= num * (F.col("nx") + F.col("ny") - both)).select("x", "y")
 
 
-def link(docs: DataFrame, k: int, num: int, den: int, rounds: int = 3) -> DataFrame:
+def _near(match, a: str, b: str, num: int, den: int):
+    """Columns of two postings, named with the endings a and b: sizes that can link, places among the first `match` shared
+    ones of such a pair, and sketches that allow for it."""
+    need = _overlap(f"n{a}", f"n{b}", num, den)
+    inside = [F.col(f"place{e}") <= F.col(f"n{e}") - need + F.least(match, F.col(f"r{e}")) - 1 for e in (a, b)]
+    differ = sum((F.bit_count(F.col(f"{g}{a}").bitwiseXOR(F.col(f"{g}{b}"))) for g in _SKETCH[1:]), F.bit_count(F.col(f"{_SKETCH[0]}{a}").bitwiseXOR(F.col(f"{_SKETCH[0]}{b}"))))
+    return (den * F.least(f"n{a}", f"n{b}") >= num * F.greatest(f"n{a}", f"n{b}")) & inside[0] & inside[1] & (differ <= F.col(f"n{a}") + F.col(f"n{b}") - 2 * need)
+
+
+def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text): texts whose sets' Jaccard index is num / den or more are linked."""
+    shared.small_batches(docs.sparkSession)
     rows = shared.save(prefixes(docs, k, num, den), "jaccard-prefixes")
     narrow = rows.select("doc_id", "n", "s1", "s2")
     classes = shared.save(narrow.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
     largest = classes.groupBy("id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.s1", "x.s2")
-    nodes = rows.join(largest, (F.col("doc_id") == F.col("id")) & (rows["s1"] == largest["s1"]) & (rows["s2"] == largest["s2"])).select("id", "n", "low", "n_low", "more").dropDuplicates(["id"])
-    found = postings(nodes, num, den)
+    nodes = rows.join(largest, (F.col("doc_id") == F.col("id")) & (rows["s1"] == largest["s1"]) & (rows["s2"] == largest["s2"])).select("id", "n", "low", "n_low", "more", *_SKETCH).dropDuplicates(["id"])
+    every = postings(nodes, num, den)
+    found = shared.save(_reached(every, num, den).join(nodes.select("id", *_SKETCH), "id"), "jaccard-reached")
+    shared.drop(every)
+    ends = ["id", "n", "l", "place", "r", *_SKETCH]
+
+    # against pivots
+    orders = [F.col("place") / F.col("n"), *(F.xxhash64("id", F.lit(i)) for i in (1, 2))]
+    pivots = found.groupBy("token").agg(*(F.min_by(F.struct(*ends), F.struct(o, F.xxhash64("id"))).alias(f"p{i}") for i, o in enumerate(orders)))
+    pivots = pivots.select("token", F.inline(F.array_distinct(F.array(*(f"p{i}" for i in range(len(orders))))))).withColumnsRenamed({c: f"{c}_x" for c in ends})
+    members = found.withColumnsRenamed({c: f"{c}_y" for c in ends})
+    pairs = members.join(pivots, "token").where((F.col("id_x") != F.col("id_y")) & _near(F.lit(1), "_x", "_y", num, den))
     state = found.select("id").distinct().withColumn("comp", F.col("id"))
-    sets = _sets(docs, state.select("id"), k)
-    joined = shared.save(state, "jaccard-state")
-
-    def near(match, x="nx", y="ny", px="px", py="py"):
-        """Sizes that can link, and places among the first `match` shared ones of such a pair."""
-        need = _overlap(x, y, num, den) - match + 1
-        return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.col(px) <= F.col(x) - need) & (F.col(py) <= F.col(y) - need)
-
-    for i in range(rounds):
-        now = _reached(found, num, den).join(joined, "id")
-        order = F.struct(F.lit(0.0) if i else F.col("place") / F.col("n"), F.xxhash64("id", F.lit(i)))
-        pivot = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp", "place"), order).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token", F.col("p.id").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"), F.col("p.place").alias("px"))
-        pairs = now.join(pivot, "token").where("comp <> cx").withColumnsRenamed({"id": "y", "n": "ny", "place": "py"}).where(near(F.lit(1))).select("x", "nx", "y", "ny").distinct()
-        links = _links(_verified(pairs, sets, num, den), joined)
-        old, joined = joined, _relabelled(joined, links)
-        shared.drop(links)
-        if joined is old:
-            break
-        shared.drop(old)
-    now = shared.save(_reached(found, num, den).join(joined, "id"), "jaccard-open")
+    joined = _joined(state, docs, pairs.select(F.col("id_x").alias("x"), F.col("n_x").alias("nx"), F.col("id_y").alias("y"), F.col("n_y").alias("ny")).distinct(), k, num, den)
+
+    # between components
+    now = found.join(joined, "id")
     by = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("token", "major")
-    side = now.join(by, "token")
-    left = side.where("comp <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "l", "place", "comp")))
-    right = side.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "l", "place", "comp")))
+    side = shared.save(now.join(by, "token"), "jaccard-open")
+    left = side.where("comp <> major").withColumnsRenamed({c: f"{c}_x" for c in [*ends, "comp"]}).drop("major")
+    right = side.withColumnsRenamed({c: f"{c}_y" for c in [*ends, "comp"]})
     match = F.least("l_x", "l_y")
     once = (F.col("comp_y") == F.col("major")) | (F.col("id_x") < F.col("id_y"))
-    pairs = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & once & near(match, "n_x", "n_y", "place_x", "place_y"))
+    pairs = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & once & _near(match, "_x", "_y", num, den))
     pairs = pairs.groupBy(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).agg(F.count("*").alias("m"), F.min(match).alias("l"), *(F.min(F.when(F.col("id_x") < F.col("id_y"), F.col(a)).otherwise(F.col(b))).alias(c) for a, b, c in (("n_x", "n_y", "nx"), ("n_y", "n_x", "ny")))).where("m >= l").select("x", "nx", "y", "ny")
-    links = _links(_verified(pairs, sets, num, den), joined)
-    joined = _relabelled(joined, links)
-    classes = shared.save(classes.join(joined, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id")), "jaccard-components")
-    for t in (now, links, sets, found):
+    joined = _joined(joined, docs, pairs, k, num, den)
+    whole = shared.save(classes.join(joined, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id")), "jaccard-components")
+    for t in (side, found, classes):
         shared.drop(t)
-    return narrow.join(classes, ["s1", "s2"], "left").select(
+    return narrow.join(whole, ["s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _joined(state: DataFrame, docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """state (id, comp) after the links among the candidates pairs (x, nx, y, ny)."""
+    state, pairs = shared.save(state, "jaccard-state"), shared.save(pairs, "jaccard-pairs")
+    sets = _sets(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), k)
+    links = _links(_verified(pairs, sets, num, den), state)
+    out = _relabelled(state, links)
+    for t in (sets, pairs, links):
+        shared.drop(t)
+    return out
+
+
 def _links(pairs: DataFrame, state: DataFrame) -> DataFrame:
     """Links between the components of the linked pairs x, y."""
     u, v = (state.select(F.col("id").alias(a), F.col("comp").alias(b)) for a, b in (("x", "u"), ("y", "v")))
