@@ -13,7 +13,7 @@ by every shingle that has it: two sketches differ in no more bits than the sets
 that don't link before they leave the join, and none that does.
 
 Equal sets are one node. Groups of near copies are not joined pair by pair: first each shingle's documents are held
-against a few pivots only (the one with the fewest rarer shingles, that is the most typical one, and two by hash), which
+against a few pivots only (the one with the fewest rarer shingles, and PIVOTS by hash, others for each shingle), which
 verified links put most of a group into one component; then every pair of different components is joined, so that no link
 between them is lost.
 
@@ -35,6 +35,7 @@ from .components import components
 MOST_MATCHES = 3
 FILTER_BITS = 1 << 23
 SKETCH = 512
+PIVOTS = 4
 _SKETCH = [f"g{i}" for i in range(SKETCH // 64)]
 
 
@@ -209,7 +210,7 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     ends = ["id", "n", "l", "place", "r", *_SKETCH]
 
     # against pivots
-    orders = [F.col("place") / F.col("n"), *(F.xxhash64("id", F.lit(i)) for i in (1, 2))]
+    orders = [F.col("place") / F.col("n"), *(F.xxhash64("id", "token", F.lit(i)) for i in range(PIVOTS))]
     pivots = found.groupBy("token").agg(*(F.min_by(F.struct(*ends), F.struct(o, F.xxhash64("id"))).alias(f"p{i}") for i, o in enumerate(orders)))
     pivots = pivots.select("token", F.inline(F.array_distinct(F.array(*(f"p{i}" for i in range(len(orders))))))).withColumnsRenamed({c: f"{c}_x" for c in ends})
     members = found.withColumnsRenamed({c: f"{c}_y" for c in ends})
