@@ -69,8 +69,13 @@ class Model:
 
 
 def _dot(flat: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(w[flat])])
-    return total[at[1:]] - total[at[:-1]]
+    """The sum of w over each text's features."""
+    total = w[flat].astype(np.float64)
+    if not len(total):
+        return np.zeros(len(at) - 1)
+    np.cumsum(total, out=total)
+    up_to = np.where(at > 0, total[np.maximum(at, 1) - 1], 0.0)
+    return up_to[1:] - up_to[:-1]
 
 
 def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: list[tuple[str, str]], bits: int = BITS, l1: float = 1e-3, fair: float = 1.0, steps: int = 100, least: int = 3) -> Model:
@@ -80,26 +85,33 @@ def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: list[tuple[str,
         return Model(np.zeros(1 << bits, np.float32), float(np.log(p / (1 - p))))
     often = np.bincount(flat, minlength=1 << bits) >= least
     keep = often[flat]
-    row = np.repeat(np.arange(len(y)), np.diff(at))[keep]
-    used, column = np.unique(flat[keep], return_inverse=True)
-    to = np.searchsorted(row, np.arange(len(y) + 1))
-    own = [features(pa.array([p[i] for p in pairs]), bits) for i in (0, 1)] if pairs else []
-    where = np.full(1 << bits, -1)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))[keep]
+    used = np.flatnonzero(often)
+    where = np.full(1 << bits, -1, np.int32)
     where[used] = np.arange(len(used))
-    swap = [(where[f][k := where[f] >= 0], np.searchsorted(np.flatnonzero(k), o)) for f, o in own]
+    column = where[flat[keep]]
+    to = np.searchsorted(row, np.arange(len(y) + 1, dtype=np.int32))
+    own = [features(pa.array([p[i] for p in pairs]), bits) for i in (0, 1)] if pairs else []
+    # what the two sides of a pair don't share: pair, feature, +1 or -1
+    key = [(np.repeat(np.arange(len(o) - 1), np.diff(o)) << 32 | where[f])[where[f] >= 0] for f, o in own]
+    key, at_key = np.unique(np.concatenate([np.zeros(0, np.int64), *key]), return_inverse=True) if key else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sides = [int((where[f] >= 0).sum()) for f, _ in own] or [0, 0]
+    sign = np.bincount(at_key, weights=np.repeat([1.0, -1.0], sides), minlength=len(key))
+    key, sign = key[sign != 0], sign[sign != 0]
+    pair, other = key >> 32, key & (2**32 - 1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes count alike
     n_pair = max(1, len(pairs))
     w, bias, z, z_bias, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
     scale = np.bincount(column, weights=(weight * np.diff(to))[row], minlength=len(used))  # bounds the loss's curvature, by feature
-    step = np.minimum(50 / (0.25 * scale.max() + 2 * fair), 1 / (0.25 * scale + 1e-3))
+    apart = np.bincount(other, weights=np.bincount(pair, minlength=n_pair)[pair] * 2 * fair / n_pair, minlength=len(used))  # the same of the pairs
+    step = np.minimum(50 / (0.25 * scale.max() + 2 * fair), 1 / (0.25 * scale + apart + 1e-3))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(_dot(column, to, z) + z_bias)))
         r = weight * (p - y)
         g = np.bincount(column, weights=r[row], minlength=len(used))
-        if pairs:
-            d = sum(s * _dot(f, o, z) for s, (f, o) in zip((1, -1), swap, strict=True)) * 2 * fair / n_pair
-            for s, (f, o) in zip((1, -1), swap, strict=True):
-                np.add.at(g, f, s * np.repeat(d, np.diff(o)))
+        if len(pair):
+            d = np.bincount(pair, weights=sign * z[other], minlength=n_pair) * 2 * fair / n_pair
+            g += np.bincount(other, weights=sign * d[pair], minlength=len(used))
         new = z - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_bias = z_bias - r.sum() * 2
