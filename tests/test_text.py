@@ -53,6 +53,15 @@ def test_lines_and_header(spark):
     assert [r[0] for r in none] == [None, None]
 
 
+def test_total_after_long_bodies(spark):
+    body = "".join(f"Деталь {i} 2 шт 250,50 501,00\n" for i in range(400))
+    assert len(body) > 10_000
+    long = "Заказ-наряд № ЗН-78 от 16.01.2025\nЗапчасти\n" + body + "Пробег: 99\nИтого к оплате: 200 400,00\n"
+    h = spark.createDataFrame([(long,)], "text string").select(extract.header(F.col("text")).alias("h")).select("h.*").first()
+    assert (h["order_number"], h["grand_total"], h["confidence"]["grand_total"]) == ("ЗН-78", 200400.0, 0.8)
+    assert h["mileage"] is None  # the window of the other fields stays
+
+
 def test_rules_of_users(spark):
     d = spark.createDataFrame([(1, ORDER), (2, None)], "id long, text string")
     got = {r["field"]: r["value"] for r in extract.rule_matches(d, [("total", r"оплате:\s*([\d,]+)", "amount", 2), ("total", r"Пробег", "amount", 1), ("bad", "([", "raw", 1), ("day", r"от\s+(\S+)", "date", 1)]).collect()}

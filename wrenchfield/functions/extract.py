@@ -98,9 +98,10 @@ def rule_matches(documents: DataFrame, rules: list[tuple[str, str, str, int]]) -
 
 
 def header(content: Column) -> Column:
-    """struct of the header's fields (the first 2,500 characters) and a map of confidences."""
+    """struct of the header's fields and a map of confidences. The total stands at an order's end and is searched in the whole
+    text, all other fields in the first 2,500 characters."""
     head = F.left(content, F.lit(2500))
-    raw = {f: F.nullif(F.regexp_extract(head, f"(?iu){p}", 1), F.lit("")) for f, p, _ in FIELDS}
+    raw = {f: F.nullif(F.regexp_extract(content if f == "grand_total" else head, f"(?iu){p}", 1), F.lit("")) for f, p, _ in FIELDS}
     value = {"repair_date": text.parse_date(raw["repair_date"]), "mileage": text.parse_mileage(raw["mileage"]), "plate_number": text.identifier(text.fold(raw["plate_number"])), "grand_total": text.parse_amount(raw["grand_total"])}
     fields = [value.get(f, raw[f]).alias(f) for f, _, _ in FIELDS]
     sure = F.map_filter(F.create_map(*[x for f, _, c in FIELDS for x in (F.lit(f), F.when(value.get(f, raw[f]).isNotNull(), F.lit(c)))]), lambda k, v: v.isNotNull())
