@@ -53,6 +53,27 @@ def test_lines_and_header(spark):
     assert [r[0] for r in none] == [None, None]
 
 
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("Запчасти\nБолт 4 штук 10,00 40,00", [("part", "Болт", 4.0, "шт", 40.0)]),
+        ("Работы\nПромывка 2 час 10,00 20,00\nСход 1,5 н/ч 10 15", [("work", "Промывка", 2.0, "ч", 20.0), ("work", "Сход", 1.5, "нч", 15.0)]),
+        ("Материалы\nМасло 4 литр 10 40\nРемни 1 к-т 5 5\nСалфетки 1 упак. 7 7\nХомут 2 3 6", [("part", "Масло", 4.0, "л", 40.0), ("part", "Ремни", 1.0, "компл", 5.0), ("part", "Салфетки", 1.0, "упак", 7.0), ("part", "Хомут", 2.0, None, 6.0)]),
+        ("Запчасти\nБолт 1 шт 1 1\nОказанные услуги\nМойка 1 усл 9 9\nСварочные работы 1 ч 8 8", [("part", "Болт", 1.0, "шт", 1.0), ("work", "Мойка", 1.0, "усл", 9.0), ("work", "Сварочные работы", 1.0, "ч", 8.0)]),
+        ("Работа: Замена 1 ч 1 000,00 1 000,00\nЗапчасть: Болт 2 шт 5 10", [("work", "Замена", 1.0, "ч", 1000.0), ("part", "Болт", 2.0, "шт", 10.0)]),
+        ("Работы\nМойка 1 ч 9 9\nИтого работ 9\nСушка 1 ч 8 8\nЗапчасти\nTotal Quartz 4 л 5 20\nTotal 3 1 3\nРаботы итого 1 000 000,00", [("work", "Мойка", 1.0, "ч", 9.0), ("work", "Сушка", 1.0, "ч", 8.0), ("part", "Total Quartz", 4.0, "л", 20.0)]),
+        ("Заказ 7 Работы: Мойка 1 ч 9,00 9,00 Замена запчасти 2 ч 1 000,00 2 000,00 Запчасти Болт\n2 шт 5 10 Гайка 1 шт 3 3 Итого к оплате 5 000 000,00", [("work", "Мойка", 1.0, "ч", 9.0), ("work", "Замена запчасти", 2.0, "ч", 2000.0), ("part", "Болт", 2.0, "шт", 10.0), ("part", "Гайка", 1.0, "шт", 3.0)]),
+        ("Работы: Мойка 1 ч 9 9\nЗапчасти: Болт 2 шт 5 10", [("work", "Мойка", 1.0, "ч", 9.0), ("part", "Болт", 2.0, "шт", 10.0)]),
+        ("Работа Мойка 1 ч 9 9 Запчасть Болт 2 шт 5 10", [("work", "Мойка", 1.0, "ч", 9.0), ("part", "Болт", 2.0, "шт", 10.0)]),
+        ("Пробег 5 км 6 7", []),
+    ],
+)
+def test_forms_of_lines(given, wanted):
+    got = extract.parse_lines(given)
+    assert [(x["kind"], x["name"], x["quantity"], x["unit"], x["line_total"]) for x in got] == wanted
+    assert [x["line"] for x in got] == list(range(1, len(got) + 1))
+
+
 def test_total_after_long_bodies(spark):
     body = "".join(f"Деталь {i} 2 шт 250,50 501,00\n" for i in range(400))
     assert len(body) > 10_000

@@ -13,12 +13,23 @@ from pyspark.sql import types as T
 
 from . import text
 
-_UNIT = r"(?P<unit>шт\.?|л|кг|нч|ч|м|компл|pcs|h)"
-_NUM = r"\d{1,3}(?:[  ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
-_LINE = re.compile(rf"^(?P<name>.+?)\s+(?P<qty>\d+(?:[.,]\d+)?)\s+(?:{_UNIT}\s+)?(?P<price>{_NUM})\s+(?P<total>{_NUM})$", re.I)
+#: Any short word between quantity and price is a unit; it is normalised afterwards.
+_UNIT = r"(?P<unit>[A-Za-zА-Яа-яЁё./-]{1,8})"
+_NUM = r"\d{1,3}(?: \d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
+_ITEM = rf"(?P<name>\S.*?)\s+(?P<qty>\d+(?:[.,]\d+)?)\s+(?:{_UNIT}\s+)?(?P<price>{_NUM})\s+(?P<total>{_NUM})"
+_LINE, _INLINE = re.compile(rf"^{_ITEM}$", re.I), re.compile(rf"\s*{_ITEM}[.,;]?(?!\S)", re.I)
 _CODE = re.compile(r"^(?P<code>(?=\S*\d)(?=\S*[A-Za-zА-Яа-я])[\w./-]{2,})\s+(?P<rest>.+)$")
-#: What begins and ends the sections of an order.
-_WORKS, _PARTS, _STOP = re.compile(r"^\W*(?:работы|выполненные работы|works|labou?r)\b", re.I), re.compile(r"^\W*(?:запчасти|запасные части|материалы|parts|materials)\b", re.I), re.compile(r"^\W*(?:итого|всего|total|к оплате)\b", re.I)
+#: What begins the sections of an order, lines with a label of their own, and totals, which are no items. The
+#: oil's name "Total" begins items too.
+_WORKS, _PARTS = r"работы|услуги|работа(?=\s*:)", r"запчасти|запасные части|материалы|запчасть(?=\s*:)"
+_HEAD = re.compile(rf"^\W*(?:(?P<work>works|labou?r)|(?P<part>parts|materials))\b|(?:(?P<works>{_WORKS})|(?P<parts>{_PARTS}))", re.I)
+_LABEL = re.compile(r"^(?:\W*\d+[.)])?\W*(?:(?P<work>работа)|(?P<part>запчасть))\s*:\s*", re.I)
+_LISTED = re.compile(r"^\W*(?:(?:выполненные )?работы|услуги|запчасти|запасные части|материалы|works|labou?r|parts|materials)\s*:", re.I)
+_STOP = re.compile(r"^\W*(?:(?:работы|услуги|запчасти|материалы)\s+)?(?:итого|всего|к оплате|(?:grand )?total(?!\s+[^\W\d])|total\s+(?:due|parts|works|labou?r|materials))\b", re.I)
+_SUMS = re.compile(r"\b(?:итого|к оплате)\b", re.I)
+_FOOTER = r"стоимость (?:работ|запчастей|материалов)|(?:работы|услуги|запчасти|материалы) итого|итого|ндс|к оплате|всего|сервис|сто|исполнитель|подрядчик"
+_MARK = re.compile(rf"\b(?:(?P<stop>{_FOOTER})|(?P<work>{_WORKS}|(?:works|labou?r)(?=\s*:))|(?P<part>{_PARTS}|(?:parts|materials)(?=\s*:)))\b\s*(?P<colon>:?)", re.I)
+_BARE = re.compile(r"\b(работа|запчасть)\b(?!\s*:)", re.I)
 PARSERS = ("raw", "date", "amount", "digits_int")
 #: Patterns of the header's fields, first match wins: (field, pattern, confidence).
 FIELDS = (
@@ -38,23 +49,62 @@ def _amount(s: str) -> float | None:
         return None
 
 
+def _unit(s: str | None) -> str | None:
+    low = (s or "").lower()
+    bare = low.strip(".,;:!?)(")
+    return text.UNITS.get(low) or text.UNITS.get(bare) or bare or None
+
+
+def _item(kind: str, m: re.Match) -> dict:
+    name = m["name"].lstrip(" :;-") or m["name"]
+    coded = _CODE.match(name)
+    return {"kind": kind, "code": coded["code"].upper() if coded else None, "name": coded["rest"] if coded else name, "quantity": _amount(m["qty"]), "unit": _unit(m["unit"]), "price": _amount(m["price"]), "line_total": _amount(m["total"])}
+
+
+def _inline(flat: str) -> list[dict]:
+    """Items that stand in one run of text, a section after the other. A marker without a colon inside an item's name begins
+    no section."""
+    bodies, kind, start = [], None, 0
+    for m in _MARK.finditer(flat):
+        to = next(k for k in ("stop", "work", "part") if m[k])
+        if kind and to != "stop" and not m["colon"] and (to == kind or not m[to][0].isupper() and flat[: m.start()].rstrip()[-1:].isalpha()):
+            continue
+        bodies.append((kind, flat[start : m.start()]))
+        kind, start = None if to == "stop" else to, m.end()
+    out = []
+    for kind, body in [*bodies, (kind, flat[start:])]:
+        at = 0
+        while kind and (m := _INLINE.match(body, at)):
+            out.append(_item(kind, m))
+            at = m.end()
+    return out
+
+
 def parse_lines(content: str | None) -> list[dict]:
-    """Lines of the works and parts sections, in order."""
+    """Lines of the works and parts sections, and lines with labels of their own, in order; if there are none, the items that
+    stand inside running text."""
     section, out = None, []
-    for raw in (content or "").splitlines():
-        line = re.sub(r"[ \t ]+", " ", raw).strip()
-        if not line:
-            continue
+    lines = [line for raw in (content or "").splitlines() if (line := re.sub(r"\s+", " ", raw).strip())]
+    for line in lines:
+        item = None if _SUMS.search(line) else _LINE.match(line)
         if _STOP.match(line):
-            section = None
-        elif _WORKS.match(line) and not _LINE.match(line):
-            section = "work"
-        elif _PARTS.match(line) and not _LINE.match(line):
-            section = "part"
-        elif section and (m := _LINE.match(line)):
-            coded = _CODE.match(m["name"])
-            out.append({"line": len(out) + 1, "kind": section, "code": coded["code"].upper() if coded else None, "name": coded["rest"] if coded else m["name"], "quantity": _amount(m["qty"]), "unit": text.UNITS.get((m["unit"] or "").lower()), "price": _amount(m["price"]), "line_total": _amount(m["total"])})
-    return out
+            continue
+        if m := _LABEL.match(line):
+            section = "work" if m["work"] else "part"
+            item = _LINE.match(line[m.end() :])
+        elif _LISTED.match(line) and (listed := _inline(line)):
+            section = listed[-1]["kind"]
+            out += listed
+            continue
+        elif not (section and item) and (m := _HEAD.search(line)):
+            section = "work" if m["work"] or m["works"] else "part"
+            continue
+        if section and item:
+            out.append(_item(section, item))
+    if not out:
+        flat = " ".join(lines)
+        out = _inline(flat) or _inline(_BARE.sub(r"\1:", flat))
+    return [{"line": n, **x} for n, x in enumerate(out, 1)]
 
 
 LINES = "id long, line int, kind string, code string, name string, quantity double, unit string, price double, line_total double"

@@ -12,7 +12,7 @@ DASHES_FROM, DASHES_TO = "ёЁ—–−‑/\\", "еЕ----  "
 #: Names of months.
 MONTHS = {"января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6, "июля": 7, "августа": 8, "сентября": 9, "октября": 10, "ноября": 11, "декабря": 12}
 #: Units of measure as written, and as kept.
-UNITS = {"шт": "шт", "шт.": "шт", "штук": "шт", "pcs": "шт", "л": "л", "литр": "л", "l": "л", "кг": "кг", "kg": "кг", "нч": "нч", "н/ч": "нч", "н.ч": "нч", "ч": "ч", "час": "ч", "м": "м", "m": "м", "компл": "компл", "к-т": "компл"}
+UNITS = {"шт": "шт", "шт.": "шт", "шг": "шт", "штук": "шт", "pcs": "шт", "л": "л", "литр": "л", "l": "л", "кг": "кг", "kg": "кг", "нч": "нч", "н/ч": "нч", "н.ч": "нч", "ч": "ч", "час": "ч", "часа": "ч", "часов": "ч", "м": "м", "m": "м", "компл": "компл", "к-т": "компл", "кт": "компл"}
 LEGAL_FORMS = ("ооо", "оао", "зао", "пао", "ао", "ип", "llc", "ltd", "inc", "gmbh")
 
 
