@@ -335,6 +335,38 @@ def test_field_finds_what_no_pattern_takes():
     assert pii.added("no numbers here", [], m, 0.5) == []
 
 
+def test_field_reaches_over_the_whole_document():
+    k, n = len(pii.KINDS) + 1, 20
+    m = pii.Model(np.zeros((pii.N_FEATURES, k)), np.zeros((k, k)), np.full((k, k), -2.0) + 5.0 * np.eye(k))
+    m.unary[23, 4] = 6  # a bracket is evidence, and only the first word has it
+    g = pii.graph("(a123 " + "x a123 " * n)
+    assert (len(g.chain), len(g.skip)) == (0, n)
+    want = np.exp(g.x[0] @ m.unary)
+    for _ in range(n):  # the skips make a chain, on which forward sums are exact
+        want = np.exp(m.skip).T @ want
+        want = want / want.sum()
+    assert np.abs(pii.marginals(g, m)[-1] - want).max() < 0.01 and want[4] > 0.5
+
+
+def test_field_finds_a_number_without_its_prefix():
+    noise = [" ".join(f"day {(i * 7 + j) % 31} for {j * 3 + i % 9} euros" for j in range(60)) for i in range(300)]
+    m = pii.fit([f"call +1555{1302000 + i * 37} or mail user{i}@mail.example.com from 10.0.{i % 250}.7 {x} again +1555{1302000 + i * 37}" for i, x in enumerate(noise)])
+    t = "call +15551302044 today. Later: 5551302044 ok, then 5551302044 again"
+    assert pii.added(t, pii.patterns(t), m, 0.5) == [(3, 32, 42), (3, 52, 62)]
+
+
+def test_long_words_differ_by_their_ends():
+    assert len(pii.graph("1" + "a" * 300 + "b then 1" + "a" * 300 + "c").skip) == 0
+    assert len(pii.graph("1" + "a" * 300 + "b then 1" + "a" * 300 + "b").skip) == 1
+
+
+def test_links_are_counted_over_all_documents(spark):
+    lines = [f"mail user{i}@mail.example.com from 10.0.{i}.7 and 10.0.{i}.7 on day {i}" for i in range(60)] + ["10.0.0.7 " * 3000]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    few, every = pii.model(d, sample=4), pii.fit(lines)
+    assert np.allclose(few.chain, every.chain) and np.allclose(few.skip, every.skip)
+
+
 # 8
 
 

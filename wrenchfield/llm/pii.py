@@ -5,7 +5,8 @@ digit or "@" are the nodes of a graph: neighbouring words are linked in a chain,
 it in the document that is the same or similar (the same letters and digits, or the same last seven digits), however
 far away. Labels are none or one of the four kinds. A node's potentials come from its shape, a softmax regression on
 what the patterns find in a bounded sample of documents (about 4,000); a link's potentials are smoothed log ratios of label pairs
-counted there (piecewise training). Loopy sum-product message passing then makes labels consistent over the document,
+counted over all documents (piecewise training). Loopy sum-product message passing, until the messages settle, then makes
+labels consistent over the document,
 so that it also finds what no pattern takes by itself, as two cards side by side or a phone number without its prefix
 that stands in full elsewhere. Added spans never overlap the patterns' spans, which all stay.
 
@@ -15,6 +16,7 @@ the same spans each; an empty table gives no rows; further columns are kept, but
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +34,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never ends before a digit, so the look-behind loses none
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NO_DIGITS = re.compile(r"[^0-9]+")
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_LONGEST_NODE = 200
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +84,7 @@ N_FEATURES = 1 + 11 + 8 + 16
 
 def _features(token: str, beside: tuple[bool, bool]) -> np.ndarray:
     x = np.zeros(N_FEATURES, np.float32)
-    digits = "".join(c for c in token if c in "0123456789")
+    digits = _NO_DIGITS.sub("", token)
     x[0] = x[1 + _bucket(len(digits), _DIGITS)] = x[12 + _bucket(len(token), _LENGTHS)] = 1
     letters = sum(c.isalpha() for c in token)
     parts = token.split(".")
@@ -114,14 +116,14 @@ def graph(text: str) -> Graph:
             b -= 1
         while a < b and text[a] in "\"'|,;:":
             a += 1
-        token = text[a : min(b, a + _LONGEST_NODE)]
+        token = text[a:b]
         beside = (i > 0 and found[i][0] - found[i - 1][1] == 1, i + 1 < len(found) and found[i + 1][0] - found[i][1] == 1)
         rows.append(_features(token, beside))
         start.append(a), end.append(b)
         if beside[0]:
             chain.append((i - 1, i))
-        digits = "".join(c for c in token if c in "0123456789")
-        for key in {"=" + "".join(c for c in token.lower() if c.isalnum()), *(["~" + digits[-7:]] if len(digits) >= 7 and token.lstrip("+(")[:1].isdigit() else [])}:
+        digits = _NO_DIGITS.sub("", token)
+        for key in {"=" + hashlib.blake2b("".join(c for c in token.lower() if c.isalnum()).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), *(["~" + digits[-7:]] if len(digits) >= 7 and token.lstrip("+(")[:1].isdigit() else [])}:
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
@@ -143,10 +145,19 @@ class Model:
     skip: np.ndarray
 
 
-def fit(texts: list[str], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Model:
+def _pairs(g: Graph, z: np.ndarray) -> np.ndarray:
+    """How often each two labels stand at a link's ends: of the chain, and of the skips."""
+    k = len(KINDS) + 1
+    return np.stack([np.bincount(z[e[:, 0]] * k + z[e[:, 1]], minlength=k * k).reshape(k, k) for e in (g.chain, g.skip)])
+
+
+def fit(texts: list[str], counts: np.ndarray | None = None, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Model:
+    """counts: label pairs of the chain and of the skips, else those of the texts."""
     k = len(KINDS) + 1
     graphs = [graph(t) for t in texts]
     labels = [_weak_labels(g, patterns(t)) for g, t in zip(graphs, texts, strict=True)]
+    if counts is None:
+        counts = sum((_pairs(g, z) for g, z in zip(graphs, labels, strict=True)), np.zeros((2, k, k)))
     x = np.concatenate([np.zeros((0, N_FEATURES)), *(g.x for g in graphs)])
     y = np.eye(k)[np.concatenate([np.zeros(0, np.int64), *labels])]
     w = np.zeros((N_FEATURES, k))
@@ -157,19 +168,17 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, ridge: float = 1e
         p /= p.sum(axis=1, keepdims=True)
         w -= rate * (x.T @ (p - y) / len(x) + ridge * w)
     pairs = []
-    for name in ("chain", "skip"):
-        seen = np.full((k, k), 0.5)
-        for g, z in zip(graphs, labels, strict=True):
-            e = getattr(g, name)
-            np.add.at(seen, (z[e[:, 0]], z[e[:, 1]]), 1)
+    for n in counts:
+        seen = n + 0.5
         seen = (seen + seen.T) / seen.sum() / 2
         one = seen.sum(axis=1)
         pairs.append(np.clip(np.log(seen / np.outer(one, one)), -3, 3))
     return Model(w, *pairs)
 
 
-def marginals(g: Graph, m: Model, rounds: int = 8, damp: float = 0.3) -> np.ndarray:
-    """Beliefs over labels by loopy sum-product in the log domain, damped."""
+def marginals(g: Graph, m: Model, tolerance: float = 1e-3, damp: float = 0.3) -> np.ndarray:
+    """Beliefs over labels by loopy sum-product in the log domain, until no message changes by the tolerance. Messages that
+    swing are damped more and more; only those that never settle end after as many rounds as reach over the whole document."""
     unary = g.x @ m.unary
     edges = np.concatenate([g.chain, g.skip])
     soft = lambda z: z - np.log(np.exp(z - z.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True)) - z.max(axis=-1, keepdims=True)
@@ -180,13 +189,17 @@ def marginals(g: Graph, m: Model, rounds: int = 8, damp: float = 0.3) -> np.ndar
         n = len(edges)
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         message = np.zeros((2 * n, unary.shape[1]))
-        for _ in range(rounds):
+        for n_round in range(1, len(unary) + 101):
             belief = unary.copy()
             np.add.at(belief, to, message)
             inner = (belief[source] - message[back])[:, :, None] + pot
             top = inner.max(axis=1)
             new = soft(np.log(np.exp(inner - top[:, None, :]).sum(axis=1)) + top)
+            if np.abs(new - message).max() < tolerance:
+                break
             message = damp * message + (1 - damp) * new
+            if n_round % 50 == 0:
+                damp = min(0.9, (1 + damp) / 2)
         unary = unary.copy()
         np.add.at(unary, to, message)
     return np.exp(soft(unary))
@@ -223,10 +236,32 @@ def _with_digits(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit[at[1:]] > hit[at[:-1]]
 
 
+def _counted(docs: DataFrame) -> np.ndarray:
+    """Label pairs of the chain and of the skips over all texts, summed by Spark."""
+    k = len(KINDS) + 1
+
+    def run(batches):
+        total = np.zeros((2, k, k), np.int64)
+        for batch in words.slices(batches):
+            for text in batch.column(0).to_pylist():
+                g = graph(text)
+                total += _pairs(g, _weak_labels(g, patterns(text)))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    out = np.zeros(2 * k * k)
+    for r in docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each cell at most
+        out[r["at"]] = r["n"]
+    return out.reshape(2, k, k)
+
+
 def model(docs: DataFrame, sample: int = 4000, longest: int = 20_000) -> Model:
-    """Fitted on about `sample` documents, chosen by hashed ids, leaving out those without digits or with over `longest` characters."""
-    few = shared.sampled(docs.select("doc_id", "text"), sample, "doc_id").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
-    return fit([r["text"] for r in few.orderBy(F.xxhash64("doc_id", "text")).collect()])
+    """Links are counted over all documents; the words' part is fitted on about `sample` of those with digits or "@" and no
+    more than `longest` characters, chosen by hashed ids."""
+    shared.small_batches(docs.sparkSession)
+    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    few = shared.sampled(some.where(F.length("text") <= longest), sample, "doc_id")
+    return fit([r["text"] for r in few.orderBy(F.xxhash64("doc_id", "text")).collect()], _counted(some))
 
 
 def find(docs: DataFrame, fitted: Model | None = None, sure: float = 0.9) -> DataFrame:
