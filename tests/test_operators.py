@@ -55,6 +55,14 @@ def test_latest_and_ties(spark):
     assert [r["profile"] for r in latest.latest_version(v).collect()] == ["r"]
 
 
+def test_report_collects_few_findings_of_a_hot_repair(spark):
+    found = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, 1).otherwise(2).cast("long").alias("repair_id"), F.when(F.col("id") == 7, "error").otherwise("warning").alias("severity"), F.format_string("t%05d", "id").alias("title"))
+    found = found.unionByName(spark.createDataFrame([(None, "info", "x")], "repair_id long, severity string, title string"))
+    got = review.report(found)
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 19_800, "t00007;t00001;t00002;t00003;t00004"), (2, 1, 200, "t00000;t00100;t00200;t00300;t00400"), (None, 0, 1, "x")}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()  # before anything is collected
+
+
 @pytest.mark.parametrize(("role", "action", "wanted"), [("employee", "confirm", ("needs_review", "employee_confirmed")), ("employee", "send", ("needs_review", "in_review")), ("employee", "archive", None), ("admin", "archive", ("archived", "archived"))])
 def test_review_actions(spark, role, action, wanted):
     got = spark.range(1).select(review.review_action(F.lit(role), F.lit(action)).alias("x")).first()["x"]

@@ -76,9 +76,12 @@ def findings(checks: DataFrame, repairs: DataFrame, documents: DataFrame, shares
 
 def report(found: DataFrame, most: int = 5) -> DataFrame:
     """Risk, number of findings and highlights (worst first, then by title) of each repair."""
-    level = ordinal(F.col("severity"), SEVERITY)
-    rows = found.withColumn("level", level).groupBy("repair_id").agg(F.max("level").alias("risk"), F.count("*").alias("findings"), F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("k"), F.col("title")))).alias("all"))
-    return rows.select("repair_id", "risk", "findings", F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["title"]), ";").alias("highlights"))
+    rows = found.withColumn("level", ordinal(F.col("severity"), SEVERITY))
+    sums = rows.groupBy("repair_id").agg(F.max("level").alias("risk"), F.count("*").alias("findings"))
+    # only the first titles of a repair are collected, however many it has
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("repair_id").orderBy(F.desc("level"), "title"))).where(F.col("rank") <= most)
+    first = first.groupBy("repair_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("all"))
+    return sums.join(first, sums["repair_id"].eqNullSafe(first["repair_id"])).select(sums["repair_id"], "risk", "findings", F.array_join(F.transform("all", lambda x: x["title"]), ";").alias("highlights"))
 
 
 def status_after_processing(fields: Column, blocking: Column) -> Column:
