@@ -313,8 +313,8 @@ def test_pii(spark, folder, docs):
         assert len(spans) >= r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
         parsed = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in spans)]
         assert parsed == sorted(parsed)
-        kept = [s for s in parsed if hashlib.sha256(b"").hexdigest() != r["base_sha256"]] or parsed
-        assert len(kept) == len(parsed)
+        mine = [sorted(base(t or "")) for i, t, _ in docs if i == r["doc_id"]]
+        assert any(set(b) <= set(parsed) for b in mine)  # the patterns' spans all stay
 
 
 def test_patterns_equal_the_plain_expressions():
@@ -327,11 +327,11 @@ def test_patterns_equal_the_plain_expressions():
 
 
 def test_field_finds_what_no_pattern_takes():
-    lines = [f"call +1 555 {100 + i} {2000 + i} or mail user{i}@mail.example.com from 10.0.{i % 250}.7 on day {i} for {i * 3} euros" for i in range(400)]
-    m = pii.fit(lines)
+    numbers = [f"{100 + i} {2000 + i}" for i in range(400)]
+    lines = [f"call +1 555 {n} or mail user{i}@mail.example.com from 10.0.{i % 250}.7 on day {i} for {i * 3} euros, again +1 555 {n}" for i, n in enumerate(numbers)]
+    m = pii.fit(pii.counted(lines))
     t = "call +1 555 130 2044 today. Later: 555 130 2044"
-    found = pii.added(t, pii.patterns(t), m, 0.5)
-    assert all(a >= t.index("Later") for _, a, _ in found)
+    assert pii.added(t, pii.patterns(t), m, 0.5) == [(3, t.index("555 130 2044", 20), len(t))]
     assert pii.added("no numbers here", [], m, 0.5) == []
 
 
@@ -350,7 +350,7 @@ def test_field_reaches_over_the_whole_document():
 
 def test_field_finds_a_number_without_its_prefix():
     noise = [" ".join(f"day {(i * 7 + j) % 31} for {j * 3 + i % 9} euros" for j in range(60)) for i in range(300)]
-    m = pii.fit([f"call +1555{1302000 + i * 37} or mail user{i}@mail.example.com from 10.0.{i % 250}.7 {x} again +1555{1302000 + i * 37}" for i, x in enumerate(noise)])
+    m = pii.fit(pii.counted([f"call +1555{1302000 + i * 37} or mail user{i}@mail.example.com from 10.0.{i % 250}.7 {x} again +1555{1302000 + i * 37}" for i, x in enumerate(noise)]))
     t = "call +15551302044 today. Later: 5551302044 ok, then 5551302044 again"
     assert pii.added(t, pii.patterns(t), m, 0.5) == [(3, 32, 42), (3, 52, 62)]
 
@@ -360,11 +360,25 @@ def test_long_words_differ_by_their_ends():
     assert len(pii.graph("1" + "a" * 300 + "b then 1" + "a" * 300 + "b").skip) == 1
 
 
-def test_links_are_counted_over_all_documents(spark):
-    lines = [f"mail user{i}@mail.example.com from 10.0.{i}.7 and 10.0.{i}.7 on day {i}" for i in range(60)] + ["10.0.0.7 " * 3000]
+def test_the_model_is_fitted_on_all_documents(spark):
+    lines = [f"mail user{i}@mail.example.com from 10.0.{i}.7 and 10.0.{i}.7 on day {i}" for i in range(60)] + ["10.0.0.7 " * 3000, None, ""]
     d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    few, every = pii.model(d, sample=4), pii.fit(lines)
-    assert np.allclose(few.chain, every.chain) and np.allclose(few.skip, every.skip)
+    few, every = pii.model(d), pii.fit(pii.counted(x for x in lines if x))
+    assert np.allclose(few.chain, every.chain) and np.allclose(few.skip, every.skip) and np.allclose(few.unary, every.unary)
+
+
+def test_marginals_are_exact_where_links_make_a_tree():
+    rng, k = np.random.default_rng(4), pii.K
+    m = pii.Model(rng.normal(size=(pii.N_FEATURES, k)), rng.normal(size=(k, k)), rng.normal(size=(k, k)))
+    g = pii.graph("a1 b2 c3 and later c3 d4")
+    edges = [(e, m.chain) for e in g.chain] + [(e, m.skip) for e in g.skip]
+    assert len(edges) == len(g.start) - 1 == 4
+    want, unary = np.zeros((len(g.start), k)), g.x @ m.unary
+    for z in np.ndindex(*[k] * len(g.start)):
+        p = math.exp(sum(unary[i, a] for i, a in enumerate(z)) + sum(pot[z[i], z[j]] for (i, j), pot in edges))
+        for i, a in enumerate(z):
+            want[i, a] += p
+    assert np.abs(pii.marginals(g, m) - want / want.sum(axis=1, keepdims=True)).max() < 0.01
 
 
 # 8

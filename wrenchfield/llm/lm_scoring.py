@@ -256,7 +256,7 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
     shared.small_batches(spark)
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     held = shared.fresh("state", docs.columns)
-    side = max(2, math.ceil(math.sqrt(shared.size_of(train) / (bucket_mb << 20))))
+    side = max(2, math.ceil(math.sqrt(shared.text_bytes(train) / (bucket_mb << 20))))
     model = merge(count_grams(train, side), side, base, bits_each)
     n, v = (x or 0 for x in model.where(F.col("kind") == WORD).agg(F.sum("total"), F.sum("n")).first())
     rounds = _rounds(model, round_mb) or [(0, 0)]

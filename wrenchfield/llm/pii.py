@@ -4,10 +4,9 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Beside the
 digit or "@" are the nodes of a graph: neighbouring words are linked in a chain, and each word also with the one before
 it in the document that is the same or similar (the same letters and digits, or the same last seven digits), however
 far away. Labels are none or one of the four kinds. A node's potentials come from its shape, a softmax regression on
-what the patterns find in a bounded sample of documents (about 4,000); a link's potentials are smoothed log ratios of label pairs
-counted over all documents (piecewise training). Loopy sum-product message passing, until the messages settle, then makes
-labels consistent over the document,
-so that it also finds what no pattern takes by itself, as two cards side by side or a phone number without its prefix
+what the patterns find; a link's potentials are smoothed log ratios of label pairs (piecewise training). Both need counts
+only, which are taken over all documents. Loopy sum-product message passing, until the messages settle, then makes labels
+consistent over the document, so that it also finds what no pattern takes by itself, as two cards side by side or a phone number without its prefix
 that stands in full elsewhere. Added spans never overlap the patterns' spans, which all stay.
 
 Offsets are code points. Defined results: a null or empty text has no spans; a null doc_id is kept; repeated rows get
@@ -18,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 KINDS = ("email", "ip", "card", "phone")
+K = len(KINDS) + 1  # labels: none, and the kinds
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never ends before a digit, so the look-behind loses none
@@ -147,29 +148,52 @@ class Model:
 
 def _pairs(g: Graph, z: np.ndarray) -> np.ndarray:
     """How often each two labels stand at a link's ends: of the chain, and of the skips."""
-    k = len(KINDS) + 1
-    return np.stack([np.bincount(z[e[:, 0]] * k + z[e[:, 1]], minlength=k * k).reshape(k, k) for e in (g.chain, g.skip)])
-
-
-def fit(texts: list[str], counts: np.ndarray | None = None, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Model:
-    """counts: label pairs of the chain and of the skips, else those of the texts."""
-    k = len(KINDS) + 1
-    graphs = [graph(t) for t in texts]
-    labels = [_weak_labels(g, patterns(t)) for g, t in zip(graphs, texts, strict=True)]
-    if counts is None:
-        counts = sum((_pairs(g, z) for g, z in zip(graphs, labels, strict=True)), np.zeros((2, k, k)))
-    x = np.concatenate([np.zeros((0, N_FEATURES)), *(g.x for g in graphs)])
-    y = np.eye(k)[np.concatenate([np.zeros(0, np.int64), *labels])]
-    w = np.zeros((N_FEATURES, k))
+    return np.stack([np.bincount(z[e[:, 0]] * K + z[e[:, 1]], minlength=K * K).reshape(K, K) for e in (g.chain, g.skip)])
+
+
+@dataclass
+class Counts:
+    pairs: np.ndarray  # how often each two labels stand at a link's ends: of the chain, and of the skips
+    shapes: np.ndarray  # bits of the features that occur together
+    labels: np.ndarray  # shapes x labels: how often
+
+
+_BIT = np.int64(1) << np.arange(N_FEATURES, dtype=np.int64)
+
+
+def counted(texts: Iterable[str]) -> Counts:
+    """What the patterns find in the texts, counted: enough to fit the model."""
+    pairs, shapes = np.zeros((2, K, K), np.int64), Counter()
+    for text in texts:
+        g = graph(text)
+        z = _weak_labels(g, patterns(text))
+        pairs += _pairs(g, z)
+        shapes.update(zip((g.x.astype(np.int64) @ _BIT).tolist(), z.tolist(), strict=True))
+    return _counts(pairs, [(s, z, n) for (s, z), n in shapes.items()])
+
+
+def _counts(pairs: np.ndarray, rows: list[tuple[int, int, int]]) -> Counts:
+    shape, label, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    shapes, at = np.unique(shape, return_inverse=True)
+    labels = np.zeros((len(shapes), K))
+    np.add.at(labels, (at, label), n)
+    return Counts(pairs, shapes, labels)
+
+
+def fit(counts: Counts, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Model:
+    """Softmax regression of labels on shapes, and smoothed log ratios of label pairs."""
+    x = (counts.shapes[:, None] & _BIT > 0).astype(np.float64)
+    n = counts.labels.sum(axis=1, keepdims=True)
+    w = np.zeros((N_FEATURES, K))
     w[0, 0] = 4.0  # without anything to learn from, nothing is found
     for _ in range(steps if len(x) else 0):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= rate * (x.T @ (p - y) / len(x) + ridge * w)
+        w -= rate * (x.T @ (n * p - counts.labels) / n.sum() + ridge * w)
     pairs = []
-    for n in counts:
-        seen = n + 0.5
+    for c in counts.pairs:
+        seen = c + 0.5
         seen = (seen + seen.T) / seen.sum() / 2
         one = seen.sum(axis=1)
         pairs.append(np.clip(np.log(seen / np.outer(one, one)), -3, 3))
@@ -236,32 +260,28 @@ def _with_digits(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit[at[1:]] > hit[at[:-1]]
 
 
-def _counted(docs: DataFrame) -> np.ndarray:
-    """Label pairs of the chain and of the skips over all texts, summed by Spark."""
-    k = len(KINDS) + 1
+def model(docs: DataFrame) -> Model:
+    """Fitted on all documents: tasks count label pairs and shapes, Spark adds them up. There are no more shapes than
+    features' values allow (some hundreds of them occur), whatever the input's size."""
+    shared.small_batches(docs.sparkSession)
 
     def run(batches):
-        total = np.zeros((2, k, k), np.int64)
+        pairs, shapes = np.zeros((2, K, K), np.int64), Counter()
         for batch in words.slices(batches):
-            for text in batch.column(0).to_pylist():
-                g = graph(text)
-                total += _pairs(g, _weak_labels(g, patterns(text)))
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "n"])
-
-    out = np.zeros(2 * k * k)
-    for r in docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each cell at most
-        out[r["at"]] = r["n"]
-    return out.reshape(2, k, k)
-
-
-def model(docs: DataFrame, sample: int = 4000, longest: int = 20_000) -> Model:
-    """Links are counted over all documents; the words' part is fitted on about `sample` of those with digits or "@" and no
-    more than `longest` characters, chosen by hashed ids."""
-    shared.small_batches(docs.sparkSession)
-    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    few = shared.sampled(some.where(F.length("text") <= longest), sample, "doc_id")
-    return fit([r["text"] for r in few.orderBy(F.xxhash64("doc_id", "text")).collect()], _counted(some))
+            c = counted(batch.column(0).to_pylist())
+            pairs += c.pairs
+            for i, z in zip(*np.nonzero(c.labels), strict=True):
+                shapes[int(c.shapes[i]), int(z)] += int(c.labels[i, z])
+        rows = [(0, int(i), 0, int(n)) for i, n in enumerate(pairs.ravel()) if n] + [(1, s, z, n) for (s, z), n in shapes.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["kind", "at", "label", "n"])
+
+    some = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    got = some.mapInArrow(run, "kind int, at long, label int, n long").groupBy("kind", "at", "label").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros(2 * K * K)
+    for r in got:
+        if not r["kind"]:
+            pairs[r["at"]] = r["n"]
+    return fit(_counts(pairs.reshape(2, K, K), [(r["at"], r["label"], r["n"]) for r in got if r["kind"]]))
 
 
 def find(docs: DataFrame, fitted: Model | None = None, sure: float = 0.9) -> DataFrame:
@@ -320,7 +340,11 @@ def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(i: int):
+    return lambda span: span["kind"] == F.lit(i)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(shared.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    n = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    n = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *n, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

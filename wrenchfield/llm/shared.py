@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,12 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir of the session. Only a session without a cluster may leave it unset: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/wrenchfield-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="wrenchfield-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -43,7 +45,9 @@ def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
     total = df.count()
     if total <= n:
         return df
-    return df.where(F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30)) < int(n / total * (1 << 30))).limit(2 * n)
+    hashed = F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30))
+    some = df.where(hashed < int(n / total * (1 << 30)))
+    return some.orderBy(hashed, *key).limit(2 * n)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -62,9 +66,9 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes that Spark reckons df's plan to read: the files' sizes, as its own file index has them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the column text, counted: a plan's own estimate holds for bare scans only."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

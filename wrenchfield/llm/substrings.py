@@ -298,7 +298,7 @@ def spans_of(pos: np.ndarray, size: np.ndarray, source: np.ndarray, source_pos:
 def dedup(docs: DataFrame, k: int = 13, m: int = 5, hot: int = 5000, filter_mb: int = 48, batch_mb: int = 4, bucket_mb: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by single spaces), spans (what went, and where it was first)."""
     shared.small_batches(docs.sparkSession)
-    size = shared.size_of(docs)
+    size = shared.text_bytes(docs)
     buckets, batches = max(4, math.ceil(size / (bucket_mb << 20))), max(1, math.ceil(size / (batch_mb << 20)))
     docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     known = docs.where(F.col("doc_id").isNotNull())
