@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -78,7 +81,7 @@ def test_a_group_named_neutrally_moves_no_score():
     flat, at = toxicity.features(pa.array(texts))
     shift = {}
     for fair in (0.0, 20.0):
-        m = toxicity.fit(flat, at, np.array(y, float), toxicity.swapped(texts[:100]), fair=fair)
+        m = toxicity.fit(flat, at, np.array(y, float), toxicity.alone() + toxicity.swapped(pa.array(texts[:100])), fair=fair)
         f, a = toxicity.features(pa.array(["we met the muslims today", "we met the jews today", "those are vile people"]))
         z = toxicity._dot(f, a, m.weight) + m.bias
         shift[fair] = abs(z[0] - z[1])
@@ -86,6 +89,46 @@ def test_a_group_named_neutrally_moves_no_score():
     assert shift[20.0] < 0.5 * shift[0.0]
 
 
+def test_pairs_are_what_whole_sentences_differ_by():
+    text = ["Women and men met. The MUSLIMS, the women! women women\nno group", "no group here", None, "frauen men"]
+    terms, want = ("women", "men", "muslims", "frauen", "womenfolk"), Counter()
+    for t in text:
+        for sentence in re.split(r"(?<=[.!?\n])", t or ""):
+            for m in re.finditer("[a-z]+", sentence, re.I):
+                for x in terms:
+                    if m[0].lower() in terms and x != m[0].lower():
+                        a, b = (set(toxicity.features(pa.array([s]))[0].tolist()) for s in (sentence, sentence[: m.start()] + x + sentence[m.end() :]))
+                        want[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+    assert toxicity.swapped(pa.array(text), terms) == want and want.total() == 4 * 8
+
+
+def test_fit_is_the_minimum():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["awful", "kind", "women", "men", "day", "house", "stupid"], 5)) for _ in range(200)]
+    y = np.array([float("awful" in t or "stupid" in t) for t in texts])
+    flat, at = toxicity.features(pa.array(texts))
+    pairs = toxicity.alone() + toxicity.swapped(pa.array(texts))
+    used = np.flatnonzero(np.bincount(flat, minlength=1 << toxicity.BITS) >= 3)
+    x = np.zeros((len(texts), len(used)))
+    for i in range(len(texts)):
+        x[i, np.searchsorted(used, flat[at[i] : at[i + 1]])] = 1
+    d = np.array([np.isin(used, a).astype(float) - np.isin(used, b) for a, b in pairs])
+    n = np.array(list(pairs.values())) / pairs.total()
+    side = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def objective(w, bias):
+        z = x @ w + bias
+        return (side * (np.logaddexp(0, z) - y * z)).sum() + (n * (d @ w) ** 2).sum() + 1e-3 * np.abs(w).sum()
+
+    m = toxicity.fit(flat, at, y, pairs, steps=3000)
+    w = m.weight[used].astype(float)
+    least = objective(w, m.bias)
+    for i in range(len(used)):
+        for step in (1e-2, -1e-2):
+            assert objective(w + step * (np.arange(len(used)) == i), m.bias) >= least - 1e-6
+    assert objective(w, m.bias + 0.01) >= least - 1e-6 <= objective(w, m.bias - 0.01)
+
+
 def test_rules_are_paths():
     text = "x\n  Tree 0 (weight 1.0):\n    If (feature 1 <= 2.5)\n     If (feature 0 <= 1.0)\n      Predict: 0.0\n     Else (feature 0 > 1.0)\n      Predict: 1.0\n    Else (feature 1 > 2.5)\n     Predict: 1.0\n"
     assert quality.rules(text) == [((1, "<=", 2.5),), ((0, "<=", 1.0), (1, "<=", 2.5)), ((0, ">", 1.0), (1, "<=", 2.5)), ((1, ">", 2.5),)]

@@ -10,7 +10,8 @@ Counting: each task reduces its texts to sorted arrays of distinct keys and coun
 number follows the input, so a bucket's size doesn't. A bigram's key is (32-bit hash of its context, 32-bit hash of
 the word in it); a bucket is a cell of a grid over both, so that a frequent context is spread over a row of buckets.
 Each bucket becomes a filter of its own, as long as what it holds needs.
-Scoring: exact word counts and the filters are dealt into rounds of at most `round_mb`, the only thing broadcast. Each
+Scoring: exact word counts and the filters are dealt into rounds of at most `round_mb` (by default what an executor's
+memory allows; a round's places for its buckets count, too), the only thing broadcast. Each
 round goes over the texts and fills in its part of every token's numbers, which are kept beside the text until the
 last; small data need one round, and the number of rounds grows with the vocabulary.
 
@@ -21,6 +22,7 @@ rows count as often as they stand; an empty table gives no rows; further columns
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +87,8 @@ def _add(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-PACKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("bits", pa.int64()), ("key", pa.binary()), ("count", pa.binary())])
-PACKED_DDL = "kind int, bucket int, n long, total long, bits long, key binary, count binary"
+PACKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("bits", pa.int64()), ("key", pa.binary()), ("count", pa.binary())])
+PACKED_DDL = "kind int, bucket long, n long, total long, bits long, key binary, count binary"
 WORD, GRAM, FOLLOW, FOLLOW_PART = 1, 2, 3, 4
 
 
@@ -195,21 +197,22 @@ def merge(packed: DataFrame, side: int, base: float, bits_each: float) -> DataFr
 
 
 class _Part:
-    """What one round holds: its buckets' words, and their filters end to end."""
+    """What one round holds: its buckets' words, and their filters end to end, with places for its own buckets only."""
 
-    def __init__(self, rows: list, side: int):
-        self.side = side
+    def __init__(self, rows: list, side: int, first: int = 0, last: int | None = None):
+        self.side, self.first = side, first
+        self.n = (side * side - 1 if last is None else last) - first + 1
         got = [_read(r["n"], r["key"], r["count"]) for r in sorted(rows, key=lambda r: r["bucket"]) if r["kind"] == WORD]
         self.word = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in got)])  # buckets are ranges of the hash: sorted end to end
         self.count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in got)])
         if len(self.count) and self.count.max() < 2**32:
             self.count = self.count.astype(np.uint32)
-        self.bits = {k: np.zeros(side * side, dtype=np.uint64) for k in (GRAM, FOLLOW)}
-        self.base = {k: np.zeros(side * side, dtype=np.int64) for k in (GRAM, FOLLOW)}
+        self.bits = {k: np.zeros(self.n, dtype=np.uint64) for k in (GRAM, FOLLOW)}
+        self.base = {k: np.zeros(self.n, dtype=np.int64) for k in (GRAM, FOLLOW)}
         at, all_ = 0, []
         for r in rows:
             if r["kind"] != WORD:
-                self.bits[r["kind"]][r["bucket"]], self.base[r["kind"]][r["bucket"]] = r["bits"], at * 8
+                self.bits[r["kind"]][r["bucket"] - first], self.base[r["kind"]][r["bucket"] - first] = r["bits"], at * 8
                 all_.append(np.frombuffer(r["key"], dtype=np.uint8))
                 at += len(all_[-1])
         self.filter = np.concatenate([np.zeros(0, np.uint8), *all_])
@@ -222,8 +225,10 @@ class _Part:
 
     def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
         """Each key's level: probe level after level until one misses. 0 where another round has the bucket."""
-        bucket = grid(key, self.side) if kind == GRAM else line(key, self.side)
-        bits, base = self.bits[kind][bucket], self.base[kind][bucket]
+        bucket = (grid(key, self.side) if kind == GRAM else line(key, self.side)) - self.first
+        own = (bucket >= 0) & (bucket < self.n)
+        bucket = np.where(own, bucket, 0)
+        bits, base = np.where(own, self.bits[kind][bucket], np.uint64(0)), self.base[kind][bucket]
         found, left = np.zeros(len(key), dtype=np.uint8), np.flatnonzero(bits)
         for i in range(1, MAX_LEVEL + 1):
             h, step = _start(key[left], i)
@@ -237,20 +242,36 @@ class _Part:
         return found
 
 
-def _rounds(model: DataFrame, round_mb: int) -> list[tuple[int, int]]:
-    """Cut the buckets, in order of (bucket, kind), into runs of at most round_mb: (first, last bucket) of each."""
-    sizes = model.groupBy("bucket").agg(F.sum(F.when(F.col("kind") == WORD, F.col("n") * 12).otherwise(F.length("key"))).alias("b")).orderBy("bucket").collect()  # a number for each bucket
+_BUCKET_BYTES = 32  # a bucket's places in a round, beside what it holds
+
+
+def _rounds(model: DataFrame, round_mb: int, buckets: int) -> list[tuple[int, int]]:
+    """Cut the buckets into runs of at most round_mb (or one bucket): (first, last bucket) of each. Sizes come in by ranges
+    of buckets, about 16 for each round, so that the driver sees few numbers whatever the buckets' count."""
+    size = F.when(F.col("kind") == WORD, F.col("n") * 12).otherwise(F.length("key"))
+    most = max(round_mb << 20, 1)
+    total = (model.agg(F.sum(size)).first()[0] or 0) + buckets * _BUCKET_BYTES
+    step = max(1, int(buckets * most / total / 16))
     out, at = [], 0
-    for r in sizes:
-        if not out or at + r["b"] > round_mb << 20:
-            out.append([r["bucket"], r["bucket"]])
+    for r in model.groupBy(F.floor(F.col("bucket") / step).alias("range")).agg(F.sum(size).alias("b")).orderBy("range").collect():
+        own = r["b"] + step * _BUCKET_BYTES
+        if not out or at + own > most:
+            out.append([r["range"] * step, 0])
             at = 0
-        out[-1][1] = r["bucket"]
-        at += r["b"]
+        out[-1][1] = min(buckets, (r["range"] + 1) * step) - 1
+        at += own
     return [tuple(x) for x in out]
 
 
-def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float = 8.0, round_mb: int = 128, bucket_mb: int = 4) -> DataFrame:
+def _round_mb(spark: SparkSession) -> int:
+    """What a round may hold: 128 MB, or a sixteenth of an executor's memory for each of its cores where that is more."""
+    conf = spark.sparkContext.getConf()
+    m = re.fullmatch(r"(\d+)([kmgt])b?", conf.get("spark.executor.memory", "1g").lower())
+    mb = int(m[1]) * {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1 << 20}[m[2]] if m else 1024
+    return max(128, int(mb / 16 / int(conf.get("spark.executor.cores", "1"))))
+
+
+def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float = 8.0, round_mb: int | None = None, bucket_mb: int = 8) -> DataFrame:
     """docs (doc_id, text, and whatever else) with n_tokens, n_known, train_tokens, base_score and score, by the model of train's texts."""
     spark = docs.sparkSession
     shared.small_batches(spark)
@@ -259,12 +280,12 @@ def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float
     side = max(2, math.ceil(math.sqrt(shared.text_bytes(train) / (bucket_mb << 20))))
     model = merge(count_grams(train, side), side, base, bits_each)
     n, v = (x or 0 for x in model.where(F.col("kind") == WORD).agg(F.sum("total"), F.sum("n")).first())
-    rounds = _rounds(model, round_mb) or [(0, 0)]
+    rounds = _rounds(model, _round_mb(spark) if round_mb is None else round_mb, side * side) or [(0, 0)]
     least = np.concatenate([[0], thresholds(base)]).astype(np.float64)
     keep = [c for c in docs.columns if c != "text"]
     state, old = docs, None
     for i, (a, b) in enumerate(rounds):
-        part = spark.sparkContext.broadcast(_Part([r.asDict() for r in model.where(F.col("bucket").between(a, b)).toLocalIterator()], side))  # at most round_mb
+        part = spark.sparkContext.broadcast(_Part([r.asDict() for r in model.where(F.col("bucket").between(a, b)).toLocalIterator()], side, a, b))  # at most round_mb
         last = i == len(rounds) - 1
         ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 

@@ -14,7 +14,7 @@ further columns are kept, but for one with the result's name.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,7 @@ from . import shared, words
 
 BITS = 20
 HEADS = (4, 5, 6)
+_STOP = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 #: Neutral names of groups, by language.
 TERMS = (
     "women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "foreigners", "gays", "lesbians", "blacks", "whites", "asians", "elderly", "disabled",
@@ -48,17 +49,35 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return (key & (2**32 - 1)).astype(np.int32), np.searchsorted(key, np.arange(len(column) + 1, dtype=np.int64) << 32)
 
 
-def swapped(texts: list[str], terms: tuple[str, ...] = TERMS) -> list[tuple[str, str]]:
-    """Each sentence that names a group, beside the same with another term, for every other term."""
-    known = set(terms)
-    out = [(terms[0], t) for t in terms[1:]]
-    for text in texts:
-        if not known & set(re.findall(r"[^\W\d_]+", text.lower())):
-            continue
-        for sentence in re.split(r"(?<=[.!?\n])", text):
-            for m in re.finditer(r"[^\W\d_]+", sentence):
-                if m[0].lower() in known:
-                    out += [(sentence, sentence[: m.start()] + t + sentence[m.end() :]) for t in terms if t != m[0].lower()]
+Pairs = Counter  # (features that only the sentence has, those that only its counterpart has): how many such pairs
+
+
+def alone(terms: tuple[str, ...] = TERMS, bits: int = BITS) -> Pairs:
+    """The terms held against the first one, on their own."""
+    own = [set(f.tolist()) for f in _hashed(words.split(pa.array(terms), True, words.NOT_LETTERS), bits)]
+    return Pairs((tuple(sorted(own[0] - f)), tuple(sorted(f - own[0]))) for f in own[1:])
+
+
+def swapped(column: pa.Array, terms: tuple[str, ...] = TERMS, bits: int = BITS) -> Pairs:
+    """Each sentence that names a group, against the same with another term in that place, for every other term: only the
+    features in which the two differ, so that a pair is small however long its sentence."""
+    of_terms = words.split(pa.array(terms), True, words.NOT_LETTERS)
+    own = [set(f.tolist()) for f in _hashed(of_terms, bits)]
+    w = words.split(column, True, words.NOT_LETTERS)
+    named = np.flatnonzero(np.isin(w.hash, of_terms.hash))
+    out = Pairs()
+    if not len(named):
+        return out
+    ends = np.cumsum(_STOP[w.raw])[w.start] + w.text  # the same for the words of one sentence only
+    f = _hashed(w, bits)
+    for sentence in np.unique(ends[named]).tolist():
+        a, b = np.searchsorted(ends, [sentence, sentence + 1])
+        holders = Counter(x for word in f[a:b].tolist() for x in set(word))  # words that have the feature
+        for i in named[(named >= a) & (named < b)].tolist():
+            mine = set(f[i].tolist())
+            for h, theirs in zip(of_terms.hash, own, strict=True):
+                if h != w.hash[i]:
+                    out[tuple(sorted(x for x in mine - theirs if holders[x] == 1)), tuple(sorted(x for x in theirs if not holders[x]))] += 1
     return out
 
 
@@ -78,7 +97,7 @@ def _dot(flat: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
     return up_to[1:] - up_to[:-1]
 
 
-def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: list[tuple[str, str]], bits: int = BITS, l1: float = 1e-3, fair: float = 1.0, steps: int = 100, least: int = 3) -> Model:
+def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: Pairs, bits: int = BITS, l1: float = 1e-3, fair: float = 1.0, steps: int = 100, least: int = 3) -> Model:
     """Weights for texts with features flat[at[i]:at[i + 1]] and labels y. Features of fewer than `least` texts are left out."""
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
@@ -91,26 +110,22 @@ def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: list[tuple[str,
     where[used] = np.arange(len(used))
     column = where[flat[keep]]
     to = np.searchsorted(row, np.arange(len(y) + 1, dtype=np.int32))
-    own = [features(pa.array([p[i] for p in pairs]), bits) for i in (0, 1)] if pairs else []
-    # what the two sides of a pair don't share: pair, feature, +1 or -1
-    key = [(np.repeat(np.arange(len(o) - 1), np.diff(o)) << 32 | where[f])[where[f] >= 0] for f, o in own]
-    key, at_key = np.unique(np.concatenate([np.zeros(0, np.int64), *key]), return_inverse=True) if key else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    sides = [int((where[f] >= 0).sum()) for f, _ in own] or [0, 0]
-    sign = np.bincount(at_key, weights=np.repeat([1.0, -1.0], sides), minlength=len(key))
-    key, sign = key[sign != 0], sign[sign != 0]
-    pair, other = key >> 32, key & (2**32 - 1)
+    each = [(i, where[x], sign) for i, sides in enumerate(pairs) for sign, side in zip((1.0, -1.0), sides, strict=True) for x in side if where[x] >= 0]
+    pair, other = (np.array([e[j] for e in each], np.int64) for j in range(2))
+    sign = np.array([e[2] for e in each])
+    share = np.array(list(pairs.values()), np.float64) / max(1, pairs.total())
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes count alike
-    n_pair = max(1, len(pairs))
+    n_pair = len(pairs)
     w, bias, z, z_bias, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
     scale = np.bincount(column, weights=(weight * np.diff(to))[row], minlength=len(used))  # bounds the loss's curvature, by feature
-    apart = np.bincount(other, weights=np.bincount(pair, minlength=n_pair)[pair] * 2 * fair / n_pair, minlength=len(used))  # the same of the pairs
+    apart = np.bincount(other, weights=(np.bincount(pair, minlength=n_pair) * 2 * fair * share)[pair], minlength=len(used))  # the same of the pairs
     step = np.minimum(50 / (0.25 * scale.max() + 2 * fair), 1 / (0.25 * scale + apart + 1e-3))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(_dot(column, to, z) + z_bias)))
         r = weight * (p - y)
         g = np.bincount(column, weights=r[row], minlength=len(used))
         if len(pair):
-            d = np.bincount(pair, weights=sign * z[other], minlength=n_pair) * 2 * fair / n_pair
+            d = np.bincount(pair, weights=sign * z[other], minlength=n_pair) * 2 * fair * share
             g += np.bincount(other, weights=sign * d[pair], minlength=len(used))
         new = z - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
@@ -125,23 +140,43 @@ def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: list[tuple[str,
     return Model(out, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, terms: tuple[str, ...] = TERMS) -> Model:
-    """Fitted on about `sample` labelled rows, chosen by hashed ids (never over twice as many). labels: doc_id, label."""
-    few = shared.sampled(labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()), sample, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # a bounded number of small rows
-    spoken = "(?iu)\\b(" + "|".join(terms) + ")\\b"
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, most: int = 20_000_000, terms: tuple[str, ...] = TERMS) -> Model:
+    """Fitted on about `sample` labelled rows, chosen by hashed ids (never over twice as many), fewer if these have more than
+    about `most` features together; of the texts of one doc_id the one with the least hash. labels: doc_id, label. Sentences
+    that name a group are taken apart in the tasks, and pairs alike are counted there: the driver sees how often which few
+    features differ."""
+    few = shared.sampled(labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()), sample, "doc_id").withColumn("label", F.col("label").cast("double"))
+    ids = few.select("doc_id").distinct()
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # a bounded number of small rows
 
     def run(batches):
         for batch in words.slices(batches):
-            flat, at = features(batch.column(0))
-            yield pa.record_batch([batch.column(1), words.lists(flat, np.diff(at), pa.int32()), batch.column(2)], names=["label", "feature", "spoken"])
+            flat, at = features(batch.column(1))
+            yield pa.record_batch([batch.column(0), words.lists(flat, np.diff(at), pa.int32()), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "feature", "n"])
 
-    got = rows.select("text", F.col("label").cast("double").alias("label"), F.when(F.col("text").rlike(spoken), F.col("text")).alias("spoken")).mapInArrow(run, "label double, feature array<int>, spoken string").toArrow()
+    def apart(batches):
+        found = Pairs()
+        for batch in words.slices(batches):
+            found += swapped(batch.column(0), terms)
+        kind = pa.list_(pa.int32())
+        yield pa.record_batch([pa.array([k[0] for k in found], kind), pa.array([k[1] for k in found], kind), pa.array(list(found.values()), pa.int64())], names=["mine", "theirs", "n"])
+
+    texts = shared.save(one, "toxicity-sample")
+    rows = shared.save(texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, feature array<int>, n long"), "toxicity-features")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if total > most:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+    got = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "label").select("label", "feature").toArrow()
+    pairs = alone(terms)
+    for r in texts.select("text").mapInArrow(apart, "mine array<int>, theirs array<int>, n long").groupBy("mine", "theirs").agg(F.sum("n").alias("n")).collect():
+        pairs[tuple(r["mine"]), tuple(r["theirs"])] += r["n"]
+    shared.drop(texts)
+    shared.drop(rows)
     feature = got["feature"].combine_chunks()
     feature = pa.concat_arrays(feature.chunks) if isinstance(feature, pa.ChunkedArray) else feature
     at = np.concatenate([[0], np.cumsum(np.diff(feature.offsets.to_numpy()))]) if len(feature) else np.zeros(1, np.int64)
     flat = feature.flatten().to_numpy() if len(feature) else np.zeros(0, np.int32)
-    return fit(flat, at, got["label"].to_numpy(), swapped([t for t in got["spoken"].to_pylist() if t], terms))
+    return fit(flat, at, got["label"].to_numpy(), Pairs(dict(sorted(pairs.items()))))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
