@@ -84,25 +84,49 @@ def test_lm_scoring_in_rounds(spark):
 
 def test_topk_search(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    fine = {(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    fine = [(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, q in sorted(fine):
+    for i in sorted({i for i, _ in fine}):
         if i % 50 == 0:
+            q = min(v for j, v in fine if j == i)
             scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in fine if j != i)[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     assert sorted(map(tuple, op2_topk_search(spark, folder).collect())) == want
 
 
-def test_topk_search_in_many_cells(spark):
+@pytest.mark.parametrize(("top", "flat"), [(40, False), (3, False), (40, True), (2**27, False)])
+def test_topk_search_in_rounds_and_batches(spark, top, flat):
     from wrenchfield.llm import topk_search
 
     rng = np.random.default_rng(3)
-    x = rng.integers(-40, 40, (300, 40))
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, q array<long>")
-    got = sorted(map(tuple, topk_search.search(v, v.selectExpr("vec_id AS query_id", "q"), 7, shard_rows=60, block_rows=90).collect()))
+    x = rng.integers(-top, top, (300, 40))
+    if flat:  # a few dimensions tell vectors apart, the others are non-essential terms
+        x[:, 4:] = rng.integers(-1, 2, (300, 36))
+        x[:, :4] *= 50
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(299, x[299].tolist())], "vec_id long, q array<long>")
+    asked = v.dropDuplicates(["vec_id"]).selectExpr("vec_id AS query_id", "q")
     s = x @ x.T
-    want = [(i, r + 1, j, int(s[i, j])) for i in range(300) for r, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:7])]
-    assert got == want
+    want = [(i, r + 1, j, int(s[i, j])) for i in range(300) for r, j in enumerate(sorted((j for j in [*range(300), 299] if j != i), key=lambda j: (-s[i, j], j))[:7])]
+    for more in ({"round_mb": 0, "sample_from": 100}, {"batch_rows": 20, "block_rows": 90}, {"sample_from": 100}):
+        asked_ = asked.where("query_id < 3") if "round_mb" in more else asked
+        got = sorted(map(tuple, topk_search.search(v, asked_, 7, **more).collect()))
+        assert got == [w for w in want if "round_mb" not in more or w[0] < 3]
+
+
+def test_non_essential_terms_are_only_probed():
+    from wrenchfield.llm import topk_search
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(-99, 99, (500, 2)), rng.integers(-1, 2, (500, 30))], axis=1).astype(float)
+    best = topk_search.Best(np.full(4, -np.inf), 3)
+    topk_search.maxscore(np.arange(500), x, np.arange(4), x[:4], best, 0)
+    first = best.bar.copy()
+    held = topk_search.Best(first + 1, 3)
+    topk_search.maxscore(np.arange(500), x, np.arange(4), x[:4], held, 0)  # a bar above the third best leaves at most two
+    assert np.bincount(held.query, minlength=4).max() <= 2
+    s = x[:4] @ x.T
+    s[np.arange(4), np.arange(4)] = -np.inf
+    assert np.array_equal(np.sort(s, axis=1)[:, -3], first)
 
 
 # 3
@@ -420,3 +444,41 @@ def test_substrings_of_common_passages(spark, hot):
         for s in r["spans"]:
             n = s["end"] - s["start"]
             assert words[r["doc_id"]][s["start"] : s["end"]] == words[s["source"]][s["source_start"] : s["source_start"] + n]
+
+
+def test_paths_are_compacted_up_to_branches(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    lines = [" ".join(f"l{j}w{rng.integers(4)}" for _ in range(int(rng.integers(3, 30)))) for j in range(12)]
+    docs = [(int(i), " ".join(rng.choice(lines, int(rng.integers(1, 6))))) for i in rng.permutation(60)] + [(60, "z " * 40), (61, "y " + "z " * 30)]
+    docs += [(62 + i, f"q{i} " + " ".join(f"p{j}" for j in range(80)) + f" r{i}") for i in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.xxhash64("doc_id", "text"))
+    k, stands, of = 13, defaultdict(list), {}
+    for i, t in docs:
+        w = t.split()
+        for a in range(len(w) - k + 1):
+            stands[tuple(w[a : a + k])].append((i, a))
+            of[i, a] = tuple(w[a : a + k])
+    edges = {e for e, p in stands.items() if len({i for i, _ in p}) > 1}
+    into, out = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    joined = {}
+    for e in edges:
+        f = {of.get((i, a + 1)) for i, a in stands[e]}
+        if len(f) == 1 and (g := f.pop()) in edges and into[g[:-1]] == out[g[:-1]] == 1 and {(i, a - 1) for i, a in stands[g]} == set(stands[e]):
+            joined[e] = g
+    want = Counter()
+    for e in edges - set(joined.values()):
+        n, f = 1, e
+        while f in joined:
+            n, f = n + 1, joined[f]
+        want[(*min(stands[e]), n)] += 1
+    assert max(n for _, _, n in want) > 20
+    held = spark.sparkContext.broadcast(substrings.build_filter(substrings.shared_anchors(d, k, 5, 7), 7, 48, 5000))
+    got = substrings.compacted(substrings.paths(d, held, k, 5, 7)).select("source", "source_pos", "size").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_a_place_whose_words_differ_from_its_source_stays():
+    text = [b"a", b"b", b"c"]
+    assert substrings._hashed(text, 0, 2) == substrings._hashed([b"x", *text], 1, 3) != substrings._hashed([b"ab", b"c"], 0, 2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,6 +73,30 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
+def bitmap(ids: DataFrame, key: str, most: int = 1 << 30, slices: int = 64) -> np.ndarray:
+    """Bits of the hashes of ids' key, 8 for each of them as far as `most` bits go: what it rules out isn't among the ids."""
+    bits = min(most, max(1 << 20, 1 << (8 * ids.count()).bit_length()))
+    width = bits // slices
+
+    def one(t: pa.Table) -> pa.Table:
+        own = np.zeros(width // 8, np.uint8)
+        p = np.unique(t["at"].to_numpy()) % width
+        np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        return pa.table({"slice": t["slice"][:1], "bits": pa.array([own.tobytes()], pa.binary())})
+
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in ids.select(at.alias("at")).distinct().withColumn("slice", F.floor(F.col("at") / width)).groupBy("slice").applyInArrow(one, "slice long, bits binary").toLocalIterator():
+        whole[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    return whole
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the keys with these xxhash64 values may be among bitmap()'s ids."""
+    p = hashes.view(np.uint64) % np.uint64(len(bits) * 8)
+    return ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

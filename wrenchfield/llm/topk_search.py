@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by MaxScore.
 
-A component of a vector is a posting: term (dimension, sign) lists the vectors whose component there has that sign,
-with the component as its impact. A query's term is the side of each dimension that agrees with its own sign; that
-side's best impact bounds what the dimension can add, and the other side only takes away. Terms are split by bounds:
-the trailing ones, which together can't reach the k-th best score so far, are non-essential. Essential postings are
-traversed for the candidates at hand, a few terms at once; the others are probed only for candidates that are still
-competitive. Ties stay in, so the k results are exact, smaller vec_id first.
-
-Candidates are dealt into shards of about `shard_rows`, queries into blocks of about `block_rows`, and every cell of
-that grid is one task's group with a bounded size; cells send at most k rows for a query, which are merged.
-
-Defined results: vectors that are null, or hold null or non-finite components, and rows without vec_id take no part;
-repeated rows of the same vec_id and vector count once; an id with several vectors is a candidate with each and a query
-with the smallest (in order of components); vectors of another length count as filled up with zeros.
+Each dimension of a query is a term. Vectors are dense, so a term's postings have an impact for every vector and lie in one
+column of a batch's matrix. A term's impact lies between bounds that come from the query's component and the batch's least
+and greatest values there. Terms are split by these bounds: those that can't lift a vector from the batch's low end to the
+k-th best score so far, all together, are non-essential. The postings of the essential ones are traversed, for a block of
+queries at once; the other terms are probed, in order of their bounds, only for vectors that are still competitive. Ties
+stay in, so the k results are exact, smaller vec_id first.
+
+Vectors stay where they are: queries are broadcast, in rounds of at most `round_mb` (the number of rounds follows theirs),
+each task carries the k-th best scores over its batches, and sends k rows a query at most, which are merged. From
+`sample_from` vectors on, a hundredth of them is searched first; the k-th best of those is every task's bar from the start,
+so that few rows are sent, however many tasks there are.
+
+Defined results: vectors that are null, or hold null or non-finite components, and rows without vec_id take no part; every
+row with another vec_id than the query's is a candidate, repeated rows as often as they stand; an id with several vectors
+is a query with the smallest (in order of components); vectors of another length count as filled up with zeros.
 """
 
 from __future__ import annotations
@@ -25,78 +27,126 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STEP = 16  # terms traversed at once
+from . import shared
+
+STEP = 8  # terms probed at once
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
     """vec_id long, q array<long>: floor(256 * component), of the vectors that take part."""
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    return embeddings.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("q")).distinct()
+    return embeddings.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("q"))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
     at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     n = np.diff(at)
-    out = np.zeros((len(n), width), dtype=np.int64)
+    out = np.zeros((len(n), width), dtype=kind)
     out[np.repeat(np.arange(len(n)), n), np.arange(at[0], at[-1]) - np.repeat(at[:-1], n)] = values[at[0] : at[-1]]
     return out
 
 
-def maxscore(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of rows x for one query. low and high: x's least and greatest impact in each dimension."""
-    bound = np.maximum(np.where(q > 0, q * high, q * low), 0)
-    terms = np.argsort(-bound, kind="stable")
-    rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])  # what terms i, i + 1, ... can add at most
-    alive = np.flatnonzero(ids != query_id)
-    dims = terms[:STEP]
-    score = (x[:, dims] @ q[dims])[alive]
-    least = -np.inf
-    if len(alive) > 4 * k:  # the most promising so far, scored whole, set the bar
-        best = alive[np.argpartition(-score, 4 * k)[: 4 * k]]
-        least = np.partition(x[best] @ q, len(best) - k)[len(best) - k]
-    essential = int((rest[:-1] >= least).sum())  # the terms after these can't reach the bar together
-    at = min(STEP, len(terms))
-    while at < len(terms) and len(alive):
-        keep = score + rest[at] >= least
-        if not keep.all():
-            alive, score = alive[keep], score[keep]
-        to = min(at + STEP, essential if at < essential else len(terms))
-        dims = terms[at:to]
-        if at < essential and len(alive) > len(x) // 2:  # traverse the postings
-            score = score + (x[:, dims] @ q[dims])[alive]
-        else:  # probe those that are still competitive
-            score = score + x[np.ix_(alive, dims)] @ q[dims]
-        at = to
-    order = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive[order]], score[order]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+def _none(kind):
+    """Below any score."""
+    return -np.inf if kind is np.float64 else np.iinfo(np.int64).min // 2
+
+
+class Best:
+    """The k best (id, score) of each query so far, and the least score that still counts."""
+
+    def __init__(self, bar: np.ndarray, k: int):
+        self.k, self.bar = k, bar.copy()
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bar.dtype)
+
+    def add(self, query: np.ndarray, id_: np.ndarray, score: np.ndarray) -> None:
+        query, id_, score = (np.concatenate(x) for x in ((self.query, query), (self.id, id_), (self.score, score)))
+        order = np.lexsort((id_, -score, query))
+        query, id_, score = query[order], id_[order], score[order]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.bar[query[last]] = np.maximum(self.bar[query[last]], score[last])
+        self.query, self.id, self.score = query[keep], id_[keep], score[keep]
+
+
+def maxscore(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, best: Best, at: int) -> None:
+    """Hold rows x against the queries q, which are best's from `at` on."""
+    bar, k = best.bar[at : at + len(q)], best.k
+    ends = q * x.min(axis=0), q * x.max(axis=0)
+    low, high = np.minimum(*ends), np.maximum(*ends)
+    order = np.argsort(low - high, axis=1, kind="stable")  # widest terms first
+    reach = np.cumsum(np.take_along_axis(high - low, order, axis=1)[:, ::-1], axis=1)[:, ::-1]  # what terms i, i + 1, ... lift together
+    essential = (low.sum(axis=1)[:, None] + reach >= bar[:, None]).sum(axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    rest = place >= essential[:, None]
+    score = np.where(rest, 0, q) @ x.T  # the essential terms' postings
+    score[query_ids[:, None] == ids[None, :]] = _none(x.dtype.type)
+    if len(ids) >= k:
+        sure = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] + np.where(rest, low, 0).sum(axis=1)
+        bar = np.maximum(bar, sure)
+    left = np.where(rest, high, 0)
+    i, j = np.nonzero(score + left.sum(axis=1)[:, None] >= bar[:, None])
+    now, most = score[i, j], left.sum(axis=1)[i]
+    for a in range(int(essential.min(initial=0)), order.shape[1], STEP):  # probe what isn't traversed
+        for t in range(a, min(a + STEP, order.shape[1])):
+            d = order[i, t]
+            probed = rest[i, d]
+            now = now + np.where(probed, q[i, d] * x[j, d], 0)
+            most = most - np.where(probed, left[i, d], 0)
+        keep = now + most >= bar[i]
+        i, j, now, most = i[keep], j[keep], now[keep], most[keep]
+    own = query_ids[i] != ids[j]
+    best.add(i[own] + at, ids[j[own]], now[own])
+
+
+def _scan(vectors: DataFrame, asked: pa.Table, k: int, width: int, kind, batch_rows: int, block_rows: int) -> DataFrame:
+    """query_id, vec_id, score: each task's k best for every query of asked (query_id, q, bar)."""
+    column = asked["q"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    bar = np.array([_none(kind) if b is None else b for b in asked["bar"].to_pylist()], kind)
+    held = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), _matrix(column, width, column.values.type.to_pandas_dtype()), bar))
+
+    def run(batches):
+        query_ids, q, bar = held.value
+        best = Best(bar, k)
+        for batch in batches:
+            for a in range(0, batch.num_rows, batch_rows):
+                some = batch.slice(a, batch_rows)
+                ids, x = some.column(0).to_numpy(), _matrix(some.column(1), width, kind)
+                for b in range(0, len(query_ids), block_rows):
+                    maxscore(ids, x, query_ids[b : b + block_rows], q[b : b + block_rows].astype(kind), best, b)
+        yield pa.record_batch([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(best.score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    return vectors.select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, round_mb: int = 64, sample_from: int = 1 << 18, batch_rows: int = 4096, block_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of `vectors` (vec_id, q) for each row of `queries` (query_id, q)."""
-    n_vectors, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n_vectors / shard_rows)), max(1, math.ceil(n_queries / block_rows))
-    left = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def cell(c: pa.Table, q: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if c.num_rows and q.num_rows:
-            width = max(max((len(v) for v in t["q"]), default=0) for t in (c, q))
-            ids, qid = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
-            x, y = _matrix(c["q"], width), _matrix(q["q"], width)
-            if width * float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) < 2**52:  # exact in doubles
-                x, y = x.astype(np.float64), y.astype(np.float64)
-            low, high = x.min(axis=0), x.max(axis=0)
-            for i, v in zip(qid, y, strict=True):
-                best, score = maxscore(ids, x, i, v, k, low, high)
-                out[0].append(np.full(len(best), i)), out[1].append(best), out[2].append(score.astype(np.int64))
-        return pa.table({n: np.concatenate([np.zeros(0, np.int64), *v]) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, width, most = vectors.agg(F.count("*"), F.max(F.size("q")), F.max(F.array_max(F.transform("q", lambda x: F.abs(x))))).first()
+    n_queries = queries.count()
+    width, most = width or 0, most or 0
+    narrow = next((t for t, top in (("smallint", 2**15), ("int", 2**31)) if most < top), "bigint")
+    kind = np.float64 if width * float(most) ** 2 < 2**52 else np.int64  # exact in doubles
+    vectors = shared.save(vectors.select("vec_id", F.col("q").cast(f"array<{narrow}>").alias("q")), "topk-vectors")
+    queries = shared.save(queries.select("query_id", F.col("q").cast(f"array<{narrow}>").alias("q"), F.lit(None).cast("long").alias("bar")), "topk-queries")
+    rounds = max(1, min(n_queries, math.ceil(n_queries * (width * {"smallint": 2, "int": 4, "bigint": 8}[narrow] + 8 * (2 + 3 * k)) / max(1, round_mb << 20))))
+    in_round = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
+
+    def passed(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        found = None
+        for i in range(rounds):
+            part = _scan(rows, asked.where(in_round == i).toArrow(), k, max(width, 1), kind, batch_rows, block_rows)  # about round_mb
+            found = part if found is None else found.unionByName(part)
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    if n >= sample_from:
+        few = passed(vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(100)) == 0), queries)
+        bars = few.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        queries = shared.save(queries.drop("bar").join(bars, "query_id", "left"), "topk-bars")
+    return passed(vectors, queries).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +157,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY ALL),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  FROM a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
