@@ -162,8 +162,9 @@ def test_jaccard_join(spark, folder, docs):
     assert all(r[2] is None for r in got if r[0] is None)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_jaccard_join_of_chains_and_groups(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(0, 512), (1, 3)])
+def test_jaccard_join_of_chains_and_groups(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(seed)
     docs, base = [], []
     for g in range(12):

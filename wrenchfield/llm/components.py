@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         then = shared.save(_small(_large(now)), "cc")
         new = tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        settled = new == state and then.join(now, ["u", "v"], "left_anti").isEmpty()  # as many edges, and none of them new
         shared.drop(now)
-        now = then
-        if new == state:
+        now, state = then, new
+        if settled:
             break
-        state = new
     star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())

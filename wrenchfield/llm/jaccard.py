@@ -33,7 +33,7 @@ from . import shared, words
 from .components import components
 
 MOST_MATCHES = 3
-FILTER_BITS = 1 << 23
+BLOCK = 512  # members of an open shingle that one block holds
 SKETCH = 512
 PIVOTS = 4
 _SKETCH = [f"g{i}" for i in range(SKETCH // 64)]
@@ -147,27 +147,12 @@ def _reached(found: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, set for the ids. A bitmap of FILTER_BITS spares most other texts' sets the shuffle; the join decides."""
-    slices = 64
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    width = FILTER_BITS // slices
-
-    def bits(t: pa.Table) -> pa.Table:
-        own = np.zeros(width // 8, np.uint8)
-        p = np.unique(t["at"].to_numpy()) % width
-        np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        return pa.table({"slice": t["slice"][:1], "bits": pa.array([own.tobytes()], pa.binary())})
-
-    got = ids.select(at.alias("at")).distinct().withColumn("slice", F.floor(F.col("at") / width)).groupBy("slice").applyInArrow(bits, "slice long, bits binary").collect()
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in got:
-        whole[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(whole)
+    """id, set for the ids. A bitmap spares most other texts' sets the shuffle; the join decides."""
+    held = docs.sparkSession.sparkContext.broadcast(shared.bitmap(ids, "id"))
 
     def run(batches):
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            keep = ((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+            keep = shared.among(held.value, batch.column(2).to_numpy())
             if not keep.any():
                 continue
             for some in words.slices(iter([batch.filter(pa.array(keep))])):
@@ -175,7 +160,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch([some.column(0), pa.array(n), words.lists(key.view(np.int64), n, pa.int64())], names=["id", "n", "set"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = known.withColumn("at", at).mapInArrow(run, "id long, n long, set array<long>")
+    sets = known.withColumn("hashed", F.xxhash64("id")).mapInArrow(run, "id long, n long, set array<long>")
     return shared.save(sets.join(ids, "id", "left_semi"), "jaccard-sets")
 
 
@@ -220,13 +205,16 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     # between components
     now = found.join(joined, "id")
-    by = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("token", "major")
-    side = shared.save(now.join(by, "token"), "jaccard-open")
-    left = side.where("comp <> major").withColumnsRenamed({c: f"{c}_x" for c in [*ends, "comp"]}).drop("major")
-    right = side.withColumnsRenamed({c: f"{c}_y" for c in [*ends, "comp"]})
+    by = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("minor")).where("comps > 1")
+    # a shingle's pairs are dealt over a grid of blocks of its members: one cell has BLOCK of each side, however many there are
+    side = shared.save(now.join(by.select("token", "major", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(b) for c, b in (("minor", "rows"), ("all", "columns")))), "token"), "jaccard-open")
+    dealt = lambda n, i: F.pmod(F.xxhash64("id", F.lit(i)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = side.where("comp <> major").withColumn("block", dealt("rows", 1)).withColumn("other", every("columns")).drop("major", "rows", "columns").withColumnsRenamed({c: f"{c}_x" for c in [*ends, "comp"]})
+    right = side.withColumn("other", dealt("columns", 2)).withColumn("block", every("rows")).drop("rows", "columns").withColumnsRenamed({c: f"{c}_y" for c in [*ends, "comp"]})
     match = F.least("l_x", "l_y")
     once = (F.col("comp_y") == F.col("major")) | (F.col("id_x") < F.col("id_y"))
-    pairs = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & once & _near(match, "_x", "_y", num, den))
+    pairs = left.join(right, ["token", "block", "other"]).where((F.col("comp_x") != F.col("comp_y")) & once & _near(match, "_x", "_y", num, den))
     pairs = pairs.groupBy(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).agg(F.count("*").alias("m"), F.min(match).alias("l"), *(F.min(F.when(F.col("id_x") < F.col("id_y"), F.col(a)).otherwise(F.col(b))).alias(c) for a, b, c in (("n_x", "n_y", "nx"), ("n_y", "n_x", "ny")))).where("m >= l").select("x", "nx", "y", "ny")
     joined = _joined(joined, docs, pairs, k, num, den)
     whole = shared.save(classes.join(joined, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id")), "jaccard-components")

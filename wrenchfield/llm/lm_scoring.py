@@ -271,7 +271,7 @@ def _round_mb(spark: SparkSession) -> int:
     return max(128, int(mb / 16 / int(conf.get("spark.executor.cores", "1"))))
 
 
-def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float = 8.0, round_mb: int | None = None, bucket_mb: int = 8) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, base: float = 1.5, bits_each: float = 8.0, round_mb: int | None = None, bucket_mb: int = 6) -> DataFrame:
     """docs (doc_id, text, and whatever else) with n_tokens, n_known, train_tokens, base_score and score, by the model of train's texts."""
     spark = docs.sparkSession
     shared.small_batches(spark)

@@ -61,6 +61,7 @@ def tilt(histogram: DataFrame, goal: DataFrame, most: float, rounds: int = 40, n
             F.sum(F.col("n") * F.col("size") * rate).alias("words"), F.sum(F.col("n") * F.col("size") * z * rate * (1 - rate / most)).alias("slope")
         )
         step = (F.col("target") - F.col("words")) / F.greatest(F.col("slope"), F.lit(1e-12) * F.col("target") + 1e-300)
+        was = state
         state = shared.save(
             state.join(sums, state["source"].eqNullSafe(sums["of"]), "left")
             .withColumn("off", F.coalesce(F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0)))
@@ -68,6 +69,8 @@ def tilt(histogram: DataFrame, goal: DataFrame, most: float, rounds: int = 40, n
             .drop("of", "words", "slope"),
             "mix-newton",
         )
+        if i:
+            shared.drop(was)
         if not (state.agg(F.max("off")).first()[0] or 0) > near:
             break
         state = state.drop("off")
@@ -87,6 +90,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     hashed = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rated = rated.withColumn("floor", F.least(F.floor("rate"), F.lit(int(most)))).withColumn("key", F.when(F.col("floor") >= most, F.lit(-1.0)).otherwise(F.col("rate") - F.col("floor") - hashed))
     rated = shared.save(rated.drop("lambda", "mean", "whole"), "mix-rates")
+    for t in (docs, histogram):
+        shared.drop(t)
     edge = _edges(rated, most).withColumnRenamed("source", "of")
     out = rated.join(edge, rated["source"].eqNullSafe(edge["of"]), "left").drop("of")
     extra = F.when(F.col("floor") >= most, 0).when(F.col("bin") > F.col("cut"), 1.0).when(F.col("bin") == F.col("cut"), F.col("part")).otherwise(0.0)

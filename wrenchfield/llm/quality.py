@@ -130,7 +130,11 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> Column:
     """Fitted on about `sample` labelled rows, chosen by hashed ids (never over twice as many). labels: doc_id, label."""
     few = shared.sampled(labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()), sample, "doc_id")
     rows = shared.save(stats.join(F.broadcast(few.withColumn("label", F.col("label").cast("double"))), "doc_id").select("label", *(f"stat_{c}" for c in STATS)), "quality-sample")  # a bounded number of small rows
-    return fit(rows.coalesce(4).cache())
+    few = rows.coalesce(4).cache()
+    made = fit(few)
+    few.unpersist()
+    shared.drop(rows)
+    return made
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
