@@ -14,7 +14,9 @@ from wrenchfield.llm import jaccard, mixing, packing, pii, shared, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. The classifier learns from all labelled documents of the tables
-    (a bounded sample of them); labels never decide about a document themselves."""
+    (a bounded sample of them); labels never decide about a document themselves. Null and empty texts have the score of the
+    intercept; rows without a doc_id are scored like all others; repeated rows stay or go together; an empty table stays
+    empty; further columns are kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(shared.documents(spark, sf_dir), labels)
     name = shared.fresh("score", docs.columns)
@@ -23,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id (five-word shingles, Jaccard index
-    0.8 or more). Rows without a doc_id, and empty texts, are in no group."""
+    0.8 or more), once. Rows without a doc_id, and null and empty texts, are in no group and stay; an empty table stays empty;
+    further columns are kept, those of the row that stays."""
     groups = jaccard.link(docs, 5, 80, 100)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
@@ -33,12 +36,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kinds, as <email>; n_chars follows."""
+    """Personal data give way to their kinds, as <email>; n_chars follows. Null and empty texts stay as they are; every row
+    is kept, also without a doc_id or repeated; an empty table stays empty; further columns are kept."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its whole copies, and the first words (joined by single spaces) of one more where it takes a part."""
+    """Each document as often as the mix takes it: its whole copies, and the first words (joined by single spaces) of one more
+    where it takes a part; n_chars follows. Texts without words (null ones, too) are taken once, as they take nothing of a
+    target; a null source is a source; rows without a doc_id are taken like all others, repeated rows alike; an empty table
+    stays empty; further columns are kept."""
     taken = mixing.mix(docs.select("doc_id", "source", "text"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
@@ -53,7 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids. A null or empty text is one end id; a null doc_id is kept; repeated rows are
+    packed each; an empty table gives no rows; further columns are left out."""
     return packing.pack(docs, with_ids=True)
 
 
@@ -70,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
+    docs, before = shared.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = shared.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            shared.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
