@@ -81,29 +81,112 @@ def hourly_rate(standard: Column, actual: Column, total: Column) -> Column:
     return F.when(hours.isNotNull() & (total > 0), total / hours)
 
 
-def segmented_reference(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """For each work line of a repair, its reference in the history of its vehicle type and key, its own repair left out: of its
-    vehicle from 2 samples on, else of its service from 3 on, else of the type. Lines that repeat a key are one question."""
+# --- medians of a group without one repair's own lines, in rows that grow with the lines
+
+
+def _bin(c: Column) -> Column:
+    """A coarse bin in the order of the values."""
+    at = F.floor(F.ln(F.abs(c)) * 100) + 100_000
+    return F.when(c > 0, at).when(c < 0, -at).otherwise(0)
+
+
+def middles(rows: DataFrame, by: list[str], width: DataFrame) -> DataFrame:
+    """by, size, middle of rows (by, value, n: how often): of each group's values in order, those that a median can be when up
+    to `wide` of them are left out (width: by, wide), as (value, before, n). Values are found by bins, so that no group is
+    put in order as a whole, and only the middle ones are collected."""
+    counted = rows.groupBy(*by, "value").agg(F.sum("n").alias("n")).withColumn("bin", _bin(F.col("value")))
+    bins = counted.groupBy(*by, "bin").agg(F.sum("n").alias("bn"))
+    at = bins.withColumn("bin_before", F.sum("bn").over(Window.partitionBy(*by).orderBy("bin")) - F.col("bn"))
+    sizes = bins.groupBy(*by).agg(F.sum("bn").alias("size")).join(width, by).withColumn("low", F.floor((F.col("size") - F.col("wide") - 1) / 2)).withColumn("high", F.ceil((F.col("size") + F.col("wide")) / 2))
+    inside = lambda before, n: (F.col(before) + F.col(n) > F.col("low")) & (F.col(before) <= F.col("high"))
+    near = at.join(sizes, by).where(inside("bin_before", "bn")).drop("bn")
+    found = counted.join(near, [*by, "bin"]).withColumn("before", F.col("bin_before") + F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("value")) - F.col("n"))
+    return found.where(inside("before", "n")).groupBy(*by).agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("value", "before", "n"))).alias("middle"))
+
+
+def median_without(size: Column, middle: Column, own: Column) -> Column:
+    """The median of a group's values but for those in own (an array of some of them)."""
+    left = size - F.size(own)
+
+    def at(k: Column) -> Column:
+        passed = lambda x: x["before"] + x["n"] - F.size(F.filter(own, lambda o: o <= x["value"])) > k
+        return F.element_at(F.filter(middle, passed), 1)["value"]
+
+    return F.when(left > 0, (at(F.floor((left - 1) / 2)) + at(F.floor(left / 2))) / 2)
+
+
+def _typed(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Work lines with what their repair and vehicle say, and their normalised name."""
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
-    history = reference_lines(lines, repairs).join(v, "vehicle_id").select(
-        "key", "vehicle_type", F.col("repair_id").alias("h_repair"), F.col("vehicle_id").alias("h_vehicle"), F.col("service_id").alias("h_service"), F.col("price").alias("h_price"), F.col("mileage").alias("h_mileage")
-    )
-    asked = lines.where("kind = 'work'").withColumn("key", reference_key(F.col("code"), F.col("name"))).join(repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "mileage", "status"), "repair_id").where("status = 'suspicious'").join(v, "vehicle_id")
-    asked = asked.groupBy("repair_id", "key", "vehicle_id", "service_id", "vehicle_type", "mileage").agg(F.max("price").alias("price"))
-    both = asked.join(history, ["vehicle_type", "key"]).where("h_repair <> repair_id")
-    own, shop = F.col("h_vehicle") == F.col("vehicle_id"), F.coalesce(F.col("h_service") == F.col("service_id"), F.lit(False))
-    stats = lambda test, p: [F.count_if(test).alias(f"{p}_n"), F.median(F.when(test, F.col("h_price"))).alias(f"{p}_price"), F.count_if(test & (F.col("h_mileage") > 0)).alias(f"{p}_miles"), F.min(F.when(test & (F.col("h_mileage") > 0), F.col("h_mileage"))).alias(f"{p}_low"), F.max(F.when(test & (F.col("h_mileage") > 0), F.col("h_mileage"))).alias(f"{p}_high")]
-    every = both.groupBy("repair_id", "key", "vehicle_id", "service_id", "vehicle_type", "mileage", "price").agg(*stats(own, "v"), *stats(shop, "s"), *stats(F.lit(True), "t"))
-    pick = lambda c: F.when(F.col("v_n") >= 2, F.col(f"v_{c}")).when(F.col("s_n") >= 3, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}"))
-    segment = F.when(F.col("v_n") >= 2, "same_vehicle").when(F.col("s_n") >= 3, "same_service").otherwise("same_type")
-    return every.select("repair_id", "key", "mileage", "price", segment.alias("segment"), pick("n").alias("samples"), pick("price").alias("median_price"), pick("miles").alias("mileage_samples"), pick("low").alias("min_mileage"), pick("high").alias("max_mileage"))
-
-
-def price_deviation(reference: DataFrame) -> DataFrame:
-    """From 3 samples on: a ratio of 1.35 or more, or 0.65 or less, is suspicious; of 1.2 or 0.8, a warning."""
+    r = repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "mileage", "status", "grand_total", is_historical(F.col("reason")).alias("historical")).join(v, "vehicle_id")
+    works = lines.where((F.col("kind") == "work") & (F.trim("name") != ""))
+    return works.withColumn("norm", text.normalized_name(F.col("name"))).join(r, "repair_id")
+
+
+def _levels() -> Column:
+    """Whom a line is compared with: its vehicle, its service, its vehicle type."""
+    of = lambda name, c: F.struct(F.lit(name).alias("level"), c.cast("long").alias("of"))
+    return F.filter(F.array(of("same_vehicle", F.col("vehicle_id")), of("same_service", F.col("service_id")), of("vehicle_type", F.lit(0))), lambda x: x["of"].isNotNull())
+
+
+def segmented_reference(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """For each work of the asked repairs (repair_id; all, if none are given), its reference in the history of its vehicle
+    type, its own repair left out: lines with its code and name, or else, if there are none, with its name; of its vehicle
+    from 2 samples on, else of its service from 3 on, else of the type. Works of a repair alike in code and name are one
+    question. A history line counts under its code and name, and under its name, and there for its vehicle, its service
+    and its type: six rows, whatever else shares the name."""
+    every = _typed(lines, repairs, vehicles)
+    by_key, by_name = F.concat_ws("|", F.lit("code"), "code", "norm"), F.concat(F.lit("name|"), F.col("norm"))
+    keys = F.array_compact(F.array(F.when(F.col("code").isNotNull(), by_key), by_name))
+    history = every.where(F.col("historical") | F.col("status").isin(*OPERATIONAL)).withColumn("key", F.explode(keys)).select("*", F.inline(_levels()))
+    group = ["vehicle_type", "key", "level", "of"]
+    mine = history.groupBy(*group, "repair_id").agg(
+        F.count("*").alias("own_n"), F.collect_list("price").alias("own_price"), F.collect_list("line_total").alias("own_total"), F.max(F.when(F.col("mileage") > 0, F.col("mileage"))).alias("own_mileage"), F.count_if("historical").alias("own_historical")
+    )  # a repair's own lines
+    width = mine.groupBy(*group).agg(F.max("own_n").alias("wide"))
+    stats = history.groupBy(*group).agg(F.count("*").alias("all_n"), F.count_if("historical").alias("all_historical"), F.count_if(F.col("mileage") > 0).alias("all_miles"))
+    measures = {"price": F.col("price"), "line_total": F.col("line_total"), "mileage": F.when(F.col("mileage") > 0, F.col("mileage").cast("double"))}
+    for name, c in measures.items():
+        got = middles(history.select(*group, c.alias("value"), F.lit(1).alias("n")).where("value is not null"), group, width)
+        stats = stats.join(got.select(*group, F.col("size").alias(f"{name}_size"), F.col("middle").alias(f"{name}_middle")), group, "left")
+    # the two repairs with the least mileage, and with the most: one of them isn't the asked one
+    miles = mine.where("own_mileage is not null")
+    for name, order in (("low", F.asc("own_mileage")), ("high", F.desc("own_mileage"))):
+        two = miles.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(order, "repair_id"))).where("r <= 2")
+        stats = stats.join(two.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("r", "own_mileage", "repair_id"))).alias(name)), group, "left")
+    works = every if asked is None else every.join(asked.select("repair_id").distinct(), "repair_id", "left_semi")
+    works = works.groupBy("repair_id", "code", "norm", "vehicle_id", "service_id", "vehicle_type", "mileage").agg(F.max("price").alias("price"))
+    looked = works.select("*", F.posexplode(keys).alias("turn", "key")).select("*", F.inline(_levels()))
+    both = looked.join(stats, group).join(mine, [*group, "repair_id"], "left")
+    own = lambda c: F.coalesce(f"own_{c}", F.array().cast("array<double>"))
+    miles_own = F.when(F.col("own_mileage") > 0, F.array_repeat(F.col("own_mileage").cast("double"), F.col("own_n").cast("int"))).otherwise(F.array().cast("array<double>"))
+    edge = lambda c: F.element_at(F.filter(c, lambda x: x["repair_id"] != F.col("repair_id")), 1)["own_mileage"]
+    n = F.col("all_n") - F.coalesce("own_n", F.lit(0))
+    historical = F.col("all_historical") - F.coalesce("own_historical", F.lit(0))
+    found = both.select(
+        "repair_id", "code", "norm", "mileage", "price", "turn", "level", n.alias("samples"), historical.alias("historical_samples"),
+        median_without(F.col("price_size"), F.col("price_middle"), own("price")).alias("median_price"), median_without(F.col("line_total_size"), F.col("line_total_middle"), own("total")).alias("median_line_total"),
+        (F.col("all_miles") - F.size(miles_own)).alias("mileage_samples"), F.bround(median_without(F.col("mileage_size"), F.col("mileage_middle"), miles_own), 0).cast("long").alias("median_mileage"),
+        edge(F.col("low")).alias("min_mileage"), edge(F.col("high")).alias("max_mileage"),
+    ).where("samples > 0")
+    enough = F.when(F.col("level") == "same_vehicle", F.col("samples") >= 2).when(F.col("level") == "same_service", F.col("samples") >= 3).otherwise(True)
+    rank = F.when(F.col("level") == "same_vehicle", 0).when(F.col("level") == "same_service", 1).otherwise(2)
+    kept = ["mileage", "price", "samples", "median_price", "median_line_total", "mileage_samples", "median_mileage", "min_mileage", "max_mileage"]
+    best = found.groupBy("repair_id", "code", "norm", "turn").agg(
+        F.min_by(F.struct(F.col("level").alias("segment"), *kept), F.when(enough, rank)).alias("x"), F.max("samples").alias("all_samples"), F.max_by("historical_samples", "samples").alias("historical_samples")
+    )  # the type has all
+    first = best.groupBy("repair_id", "code", "norm").agg(F.min_by(F.struct("x", "all_samples", "historical_samples"), "turn").alias("y"))
+    return first.select("repair_id", "code", "norm", "y.x.*", "y.all_samples", "y.historical_samples")
+
+
+def price_deviation(reference: DataFrame, lines: DataFrame) -> DataFrame:
+    """Work lines against their reference, from 3 samples on: a price of 1.35 times the median or more, or 0.65 or less, is
+    suspicious; of 1.2 or 0.8, a warning."""
+    works = lines.where((F.col("kind") == "work") & (F.trim("name") != "")).select("repair_id", F.col("code").alias("l_code"), text.normalized_name(F.col("name")).alias("norm"), "line_no", "part_id", F.col("price").alias("l_price"))
+    both = reference.where((F.col("samples") >= 3) & (F.col("median_price") > 0)).drop("price").join(works, ["repair_id", "norm"]).where(F.col("code").eqNullSafe(F.col("l_code"))).withColumnRenamed("l_price", "price")
     ratio = F.round(F.col("price") / F.col("median_price"), 4)
     severity = F.when((ratio >= 1.35) | (ratio <= 0.65), "suspicious").when((ratio >= 1.2) | (ratio <= 0.8), "warning")
-    return reference.where((F.col("samples") >= 3) & (F.col("median_price") > 0)).withColumn("ratio", ratio).withColumn("severity", severity).where("severity is not null")
+    return both.withColumn("ratio", ratio).withColumn("severity", severity).where("severity is not null").select("repair_id", "code", "norm", "line_no", "part_id", "price", "median_price", "ratio", "severity", "segment", "samples")
 
 
 def mileage_outlier(reference: DataFrame) -> DataFrame:
@@ -126,31 +209,74 @@ def total_mismatch(repairs: DataFrame, sums: DataFrame) -> DataFrame:
     return both.where("lines_total <> grand_total")
 
 
-def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, statuses: tuple[str, ...] = ("confirmed", "employee_confirmed", "suspicious", "archived")) -> DataFrame:
-    """Expected cost of a repair: for each work the median total of its key over the history of its vehicle type (its service's
-    from 3 samples on), the repair itself left out, plus its parts; exceeded if the total is above 1.1 times that."""
+def reference_hours(norm: Column | None = None) -> Column:
+    """A line's hours: those of the document, of the catalogue, or the actual ones; a quantity in hours is one."""
+    positive = lambda c: F.when(c > 0, c)
+    in_hours = F.when(F.col("unit").isin("нч", "ч"), F.col("quantity"))
+    return F.coalesce(positive(F.col("standard_hours")), *([] if norm is None else [positive(norm)]), positive(F.col("actual_hours")), positive(in_hours))
+
+
+def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, asked: DataFrame | None = None, statuses: tuple[str, ...] = ("confirmed", "employee_confirmed", "suspicious", "archived"), times: float = 1.1) -> DataFrame:
+    """Expected cost of the asked repairs (repair_id; all, if none are given): for each work the median total of the lines with
+    its code or its name over other repairs of its vehicle type (its service's from 3 samples on), or else its hours at the
+    median hourly rate (its service's from 5 samples on); plus parts and VAT. exceeded if the total is above `times` that.
+    Values are counted by code and by name; a code's counts are joined with the names that it has, not with lines."""
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
-    r = repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "status", "grand_total").join(v, "vehicle_id")
-    works = lines.where("kind = 'work'").withColumn("key", reference_key(F.col("code"), F.col("name"))).select("repair_id", "key", "line_total").join(r, "repair_id")
-    history = works.where(F.col("status").isin(*statuses) & (F.col("grand_total") > 0)).select("vehicle_type", "key", F.col("repair_id").alias("h_repair"), F.col("service_id").alias("h_service"), F.col("line_total").alias("h_total"))
-    asked = works.where("status = 'suspicious'").groupBy("repair_id", "vehicle_type", "service_id", "grand_total", "key").agg(F.count("*").alias("n"))
-    both = asked.join(history, ["vehicle_type", "key"]).where("h_repair <> repair_id")
-    shop = F.coalesce(F.col("h_service") == F.col("service_id"), F.lit(False))
-    medians = both.groupBy("repair_id", "key", "n", "grand_total").agg(F.count_if(shop).alias("shop_n"), F.median(F.when(shop, F.col("h_total"))).alias("shop"), F.median("h_total").alias("every"))
-    medians = medians.withColumn("expected", F.when(F.col("shop_n") >= 3, F.col("shop")).otherwise(F.col("every")))
-    work = medians.groupBy("repair_id", "grand_total").agg(F.sum((F.col("expected") * F.col("n")).cast("decimal(22,4)")).alias("w")).select("repair_id", "grand_total", F.col("w").cast("double").alias("work_expected"))
+    r = repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "status", "grand_total", "vat_total").join(v, "vehicle_id").drop("vehicle_id")
+    works = lines.where((F.col("kind") == "work") & (F.trim("name") != "")).withColumn("norm", text.normalized_name(F.col("name")))
+    every = works.withColumn("hours", reference_hours()).select("repair_id", "code", "norm", "line_total", "standard_hours", "actual_hours", "hours").join(r, "repair_id")
+    known = every.where(F.col("status").isin(*statuses) & (F.col("grand_total") > 0))
+    levels = F.filter(F.array(F.struct(F.lit("service").alias("level"), F.col("service_id").alias("of")), F.struct(F.lit("all").alias("level"), F.lit(0).cast("long").alias("of"))), lambda x: x["of"].isNotNull())
+    works = every if asked is None else every.join(asked.select("repair_id").distinct(), "repair_id", "left_semi")
+    counted = known.select("vehicle_type", "code", "norm", F.col("line_total").alias("value"), F.inline(levels)).groupBy("vehicle_type", "level", "of", "code", "norm", "value").agg(F.count("*").alias("n"))
+    group = ["vehicle_type", "level", "of", "code", "norm"]
+    pairs = works.select("vehicle_type", "code", "norm", F.inline(levels)).distinct()
+    at = ["vehicle_type", "level", "of"]
+    of_code = counted.where("code is not null").groupBy(*at, "code", "value").agg(F.sum("n").alias("n"))
+    of_others = counted.withColumnRenamed("code", "other")
+    by_code = pairs.join(of_code, [*at, "code"]).select(*group, "value", "n")
+    by_name = pairs.join(of_others, [*at, "norm"]).where(F.col("code").isNull() | F.col("other").isNull() | (F.col("code") != F.col("other"))).select(*group, "value", "n")
+    # a repair's own lines among those that a work is compared with
+    lines_of = known.select("repair_id", F.col("code").alias("o_code"), F.col("norm").alias("o_norm"), F.col("line_total").alias("o_total"))
+    asked_works = works.groupBy("repair_id", "vehicle_type", "service_id", "code", "norm").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("hours"))).alias("hours"))
+    own = asked_works.select("repair_id", "code", "norm").join(lines_of, "repair_id").where((F.col("code") == F.col("o_code")) | (F.col("norm") == F.col("o_norm"))).groupBy("repair_id", "code", "norm").agg(F.collect_list("o_total").alias("own"))
+    none = F.lit("")  # no code, so that keys join
+    keyed = lambda df: df.withColumn("code", F.coalesce("code", none))
+    asked_works = keyed(asked_works).join(keyed(own), ["repair_id", "code", "norm"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<double>")))
+    long = asked_works.select("*", F.inline(levels))
+    width = long.groupBy(*group).agg(F.max(F.size("own")).alias("wide"))
+    found = long.join(middles(keyed(by_code.unionByName(by_name)), group, width), group)
+    found = found.withColumn("samples", F.col("size") - F.size("own")).withColumn("median", median_without(F.col("size"), F.col("middle"), F.col("own")))
+    pick = lambda df, key, least: df.where("samples > 0").groupBy(*key).agg(F.max(F.when((F.col("level") == "service") & (F.col("samples") >= least), F.col("median"))).alias("at_service"), F.max(F.when(F.col("level") == "all", F.col("median"))).alias("at_all")).select(*key, F.coalesce("at_service", "at_all").alias("median"))
+    key = ["repair_id", "code", "norm"]
+    # hourly rates of the whole type, or service
+    hours = F.coalesce(F.when(F.col("standard_hours") > 0, F.col("standard_hours")), F.col("actual_hours"))
+    rated = known.where(hours > 0).withColumn("rate", F.col("line_total") / hours).where("rate > 0").select("repair_id", "vehicle_type", "rate", F.inline(levels))
+    own_rates = rated.groupBy(*at, "repair_id").agg(F.collect_list("rate").alias("own"))
+    wide = works.select("repair_id", "vehicle_type", F.inline(levels)).distinct().join(own_rates, [*at, "repair_id"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<double>")))
+    rates = wide.join(middles(rated.select(*at, F.col("rate").alias("value"), F.lit(1).alias("n")), at, wide.groupBy(*at).agg(F.max(F.size("own")).alias("wide"))), at)
+    rates = rates.withColumn("samples", F.col("size") - F.size("own")).withColumn("median", median_without(F.col("size"), F.col("middle"), F.col("own")))
+    rates = pick(rates, ["repair_id"], 5).withColumnRenamed("median", "rate")
+    priced = asked_works.join(pick(found, key, 3), key, "left").join(rates, "repair_id", "left")
+    by_hours = F.aggregate(F.transform("hours", lambda h: F.coalesce(cents(h["hours"] * F.col("rate")), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    some = F.exists("hours", lambda h: h["hours"].isNotNull()) & F.col("rate").isNotNull()
+    line = F.when(F.col("median").isNotNull(), cents(F.col("median")) * F.col("n")).when(some, by_hours)
+    total = priced.groupBy("repair_id").agg(F.sum(line.cast("decimal(22,2)")).cast("double").alias("work_expected"), F.sum(F.when(F.col("median").isNotNull(), F.col("n")).otherwise(0)).alias("lines_by_history")).where("work_expected is not null")
     parts = lines.where("kind = 'part'").groupBy("repair_id").agg(money_sum(F.col("line_total")).alias("parts_total"))
-    out = work.join(parts, "repair_id", "left").withColumn("expected_total", cents(F.col("work_expected") + F.coalesce("parts_total", F.lit(0.0))))
-    return out.where(F.col("grand_total") > F.round(1.1 * F.col("expected_total"), 2))
+    out = total.join(r.select("repair_id", "grand_total", "vat_total"), "repair_id").join(parts, "repair_id", "left")
+    return out.withColumn("expected_total", cents(F.col("work_expected") + F.coalesce("parts_total", F.lit(0.0)) + F.coalesce("vat_total", F.lit(0.0)))).withColumn("exceeded", (F.col("expected_total") > 0) & (F.col("grand_total") > F.round(times * F.col("expected_total"), 2)))
 
 
 def reference_missing(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Works without any history of their key in another repair of the vehicle type."""
-    v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
-    history = reference_lines(lines, repairs).join(v, "vehicle_id").groupBy("vehicle_type", "key").agg(F.min("repair_id").alias("first"), F.max("repair_id").alias("last"))
-    works = lines.where("kind = 'work'").withColumn("key", reference_key(F.col("code"), F.col("name"))).select("repair_id", "key").distinct().join(repairs.select(F.col("id").alias("repair_id"), "vehicle_id"), "repair_id").join(v, "vehicle_id")
-    known = works.join(history, ["vehicle_type", "key"], "left")
-    return known.where(F.col("first").isNull() | ((F.col("first") == F.col("repair_id")) & (F.col("last") == F.col("repair_id")))).select("repair_id", "key", "vehicle_type")
+    """Works (code and name) whose name has no history in another repair of the vehicle type, where the type has any."""
+    every = _typed(lines, repairs, vehicles)
+    known = every.where(F.col("historical") | F.col("status").isin(*OPERATIONAL))
+    ends = [F.min("repair_id").alias("first"), F.max("repair_id").alias("last")]
+    by_name, by_type = known.groupBy("vehicle_type", "norm").agg(*ends), known.groupBy("vehicle_type").agg(*(e.alias(f"type_{n}") for e, n in zip(ends, ("first", "last"), strict=True)))
+    alone = lambda a, b: F.col(a).isNull() | ((F.col(a) == F.col("repair_id")) & (F.col(b) == F.col("repair_id")))
+    works = every.select("repair_id", "code", "norm", "vehicle_type").distinct()
+    found = works.join(by_name, ["vehicle_type", "norm"], "left").join(by_type, "vehicle_type", "left")
+    return found.where(alone("first", "last") & ~alone("type_first", "type_last")).select("repair_id", "code", "norm", "vehicle_type")
 
 
 def top_parts(lines: DataFrame, repairs: DataFrame, share: float = 0.25) -> DataFrame:

@@ -147,14 +147,14 @@ def D15_hourly_rate_median(t):
     return rows.groupBy("key").agg(F.count("rate").alias("samples"), F.median("rate").alias("median_rate"), n.alias("shop_samples"), F.when(n >= 5, F.median(F.when(shop, F.col("rate")))).otherwise(F.median("rate")).alias("used_rate"))
 
 
-SEGMENTED = f"""{REFERENCE}, hist AS (SELECT key, vehicle_type, repair_id AS h_repair, vehicle_id AS h_vehicle, service_id AS h_service, price AS h_price, mileage AS h_mileage FROM ref JOIN vehicles v ON v.id = vehicle_id),
-  asked AS (SELECT repair_id, {KEY} AS key, vehicle_id, service_id, vehicle_type, mileage, max(price) AS price FROM repair_lines JOIN repairs r ON r.id = repair_id JOIN vehicles v ON v.id = vehicle_id WHERE kind = 'work' AND r.status = 'suspicious' GROUP BY ALL),
-  st AS (SELECT a.repair_id, a.key, a.mileage, a.price, count(*) FILTER (h_vehicle = a.vehicle_id) AS v_n, median(h_price) FILTER (h_vehicle = a.vehicle_id) AS v_price, count(*) FILTER (h_vehicle = a.vehicle_id AND h_mileage > 0) AS v_miles, min(h_mileage) FILTER (h_vehicle = a.vehicle_id AND h_mileage > 0) AS v_low, max(h_mileage) FILTER (h_vehicle = a.vehicle_id AND h_mileage > 0) AS v_high,
-    count(*) FILTER (h_service = a.service_id) AS s_n, median(h_price) FILTER (h_service = a.service_id) AS s_price, count(*) FILTER (h_service = a.service_id AND h_mileage > 0) AS s_miles, min(h_mileage) FILTER (h_service = a.service_id AND h_mileage > 0) AS s_low, max(h_mileage) FILTER (h_service = a.service_id AND h_mileage > 0) AS s_high,
-    count(*) AS t_n, median(h_price) AS t_price, count(*) FILTER (h_mileage > 0) AS t_miles, min(h_mileage) FILTER (h_mileage > 0) AS t_low, max(h_mileage) FILTER (h_mileage > 0) AS t_high
-    FROM asked a JOIN hist h ON h.key = a.key AND h.vehicle_type = a.vehicle_type AND h_repair <> a.repair_id GROUP BY ALL),
-  seg AS (SELECT repair_id, key, mileage, price, CASE WHEN v_n >= 2 THEN 'same_vehicle' WHEN s_n >= 3 THEN 'same_service' ELSE 'same_type' END AS segment, CASE WHEN v_n >= 2 THEN v_n WHEN s_n >= 3 THEN s_n ELSE t_n END AS samples, CASE WHEN v_n >= 2 THEN v_price WHEN s_n >= 3 THEN s_price ELSE t_price END AS median_price,
-    CASE WHEN v_n >= 2 THEN v_miles WHEN s_n >= 3 THEN s_miles ELSE t_miles END AS mileage_samples, CASE WHEN v_n >= 2 THEN v_low WHEN s_n >= 3 THEN s_low ELSE t_low END AS min_mileage, CASE WHEN v_n >= 2 THEN v_high WHEN s_n >= 3 THEN s_high ELSE t_high END AS max_mileage FROM st)"""
+TYPED = f"""typed AS (SELECT l.*, {NAME.replace('{c}', 'l.name')} AS norm, r.vehicle_id, r.service_id, r.mileage, r.status, r.grand_total, r.vat_total, v.vehicle_type, {HIST} AS historical FROM repair_lines l JOIN repairs r ON r.id = l.repair_id JOIN vehicles v ON v.id = r.vehicle_id WHERE l.kind = 'work' AND trim(l.name) <> ''),
+  hist AS (SELECT * FROM typed WHERE historical OR status IN ('confirmed', 'employee_confirmed'))"""
+_PICKED = ", ".join(f"CASE WHEN v_n >= 2 THEN v_{c} WHEN s_n >= 3 THEN s_{c} ELSE t_{c} END AS {name}" for c, name in (("n", "samples"), ("price", "median_price"), ("total", "median_line_total"), ("miles", "mileage_samples"), ("mid", "median_mileage"), ("low", "min_mileage"), ("high", "max_mileage")))
+_STATS = ", ".join(f"count(*) {f} AS {p}_n, median(h_price) {f} AS {p}_price, median(h_total) {f} AS {p}_total, count(h_mileage) {f} AS {p}_miles, CAST(round_even(median(h_mileage) {f}, 0) AS BIGINT) AS {p}_mid, min(h_mileage) {f} AS {p}_low, max(h_mileage) {f} AS {p}_high" for p, f in (("v", "FILTER (h_vehicle = vehicle_id)"), ("s", "FILTER (h_service = service_id)"), ("t", "")))
+SEGMENTED = f"""{TYPED}, asked AS (SELECT repair_id, code, norm, vehicle_id, service_id, vehicle_type, mileage, max(price) AS price FROM typed GROUP BY ALL),
+  j AS (SELECT a.*, h.vehicle_id AS h_vehicle, h.service_id AS h_service, h.price AS h_price, h.line_total AS h_total, CASE WHEN h.mileage > 0 THEN h.mileage END AS h_mileage, h.historical AS h_old, CASE WHEN a.code IS NULL OR h.code = a.code THEN 0 ELSE 1 END AS turn FROM asked a JOIN hist h ON h.vehicle_type = a.vehicle_type AND h.norm = a.norm AND h.repair_id <> a.repair_id),
+  k AS (SELECT *, min(turn) OVER (PARTITION BY repair_id, code, norm) AS best FROM j), st AS (SELECT repair_id, code, norm, mileage, price, count(*) FILTER (h_old) AS historical_samples, {_STATS} FROM k WHERE turn = best OR best = 1 GROUP BY repair_id, code, norm, mileage, price, vehicle_id, service_id),
+  seg AS (SELECT repair_id, code, norm, CASE WHEN v_n >= 2 THEN 'same_vehicle' WHEN s_n >= 3 THEN 'same_service' ELSE 'vehicle_type' END AS segment, mileage, price, {_PICKED}, t_n AS all_samples, historical_samples FROM st)"""
 
 
 def _segmented(t):
@@ -166,10 +166,10 @@ def D16_segmented_reference(t):
     return _segmented(t)
 
 
-@query(f"""WITH {SEGMENTED}, r AS (SELECT *, round(price / median_price, 4) AS ratio FROM seg WHERE samples >= 3 AND median_price > 0)
+@query(f"""WITH {SEGMENTED}, r AS (SELECT seg.repair_id, seg.code, seg.norm, l.line_no, l.part_id, l.price, median_price, round(l.price / median_price, 4) AS ratio, segment, samples FROM seg JOIN typed l ON l.repair_id = seg.repair_id AND l.norm = seg.norm AND l.code IS NOT DISTINCT FROM seg.code WHERE samples >= 3 AND median_price > 0)
   SELECT *, CASE WHEN ratio >= 1.35 OR ratio <= 0.65 THEN 'suspicious' ELSE 'warning' END AS severity FROM r WHERE ratio >= 1.2 OR ratio <= 0.8""")
 def J7_price_deviation(t):
-    return history.price_deviation(_segmented(t))
+    return history.price_deviation(_segmented(t), t("repair_lines"))
 
 
 @query(f"""WITH {SEGMENTED}, m AS (SELECT *, greatest(10000, CAST(round_even(0.2 * (max_mileage - min_mileage), 0) AS BIGINT)) AS margin FROM seg WHERE samples >= 3 AND mileage_samples >= 3 AND mileage > 0) SELECT * FROM m WHERE mileage < min_mileage - margin OR mileage > max_mileage + margin""")
@@ -177,17 +177,19 @@ def J8_mileage_outlier(t):
     return history.mileage_outlier(_segmented(t))
 
 
-@query(f"""WITH {REFERENCE}, hist AS (SELECT DISTINCT vehicle_type, key, repair_id FROM ref JOIN vehicles v ON v.id = vehicle_id), asked AS (SELECT DISTINCT repair_id, {KEY} AS key, vehicle_type FROM repair_lines JOIN repairs r ON r.id = repair_id JOIN vehicles v ON v.id = vehicle_id WHERE kind = 'work')
-  SELECT a.* FROM asked a WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.vehicle_type = a.vehicle_type AND h.key = a.key AND h.repair_id <> a.repair_id)""")
+@query(f"""WITH {TYPED}, asked AS (SELECT DISTINCT repair_id, code, norm, vehicle_type FROM typed), n AS (SELECT DISTINCT vehicle_type, norm, repair_id FROM hist)
+  SELECT a.* FROM asked a WHERE NOT EXISTS (SELECT 1 FROM n h WHERE h.vehicle_type = a.vehicle_type AND h.norm = a.norm AND h.repair_id <> a.repair_id) AND EXISTS (SELECT 1 FROM n h WHERE h.vehicle_type = a.vehicle_type AND h.repair_id <> a.repair_id)""")
 def J6_work_reference_missing(t):
     return history.reference_missing(t("repair_lines"), t("repairs"), t("vehicles"))
 
 
-@query(f"""WITH w AS (SELECT repair_id, {KEY} AS key, line_total, vehicle_type, service_id, r.status, r.grand_total FROM repair_lines JOIN repairs r ON r.id = repair_id JOIN vehicles v ON v.id = r.vehicle_id WHERE kind = 'work'),
-  asked AS (SELECT repair_id, vehicle_type, service_id, grand_total, key, count(*) AS n FROM w WHERE status = 'suspicious' GROUP BY ALL), m AS (SELECT a.repair_id, a.key, a.n, a.grand_total, count(*) FILTER (h.service_id = a.service_id) AS shop_n, median(h.line_total) FILTER (h.service_id = a.service_id) AS shop, median(h.line_total) AS every
-  FROM asked a JOIN w h ON h.vehicle_type = a.vehicle_type AND h.key = a.key AND h.repair_id <> a.repair_id AND h.status IN ('confirmed', 'employee_confirmed', 'suspicious', 'archived') AND h.grand_total > 0 GROUP BY ALL),
-  s AS (SELECT repair_id, grand_total, CAST(sum(CAST((CASE WHEN shop_n >= 3 THEN shop ELSE every END) * n AS DECIMAL(22,4))) AS DOUBLE) AS work_expected FROM m GROUP BY ALL), p AS (SELECT repair_id, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS parts_total FROM repair_lines WHERE kind = 'part' GROUP BY 1),
-  e AS (SELECT s.repair_id, grand_total, work_expected, parts_total, CAST(round(CAST(work_expected + coalesce(parts_total, 0) AS DECIMAL(22,4)), 2) AS DOUBLE) AS expected_total FROM s LEFT JOIN p USING (repair_id)) SELECT * FROM e WHERE grand_total > round(1.1 * expected_total, 2)""")
+@query(f"""WITH {TYPED}, w AS (SELECT *, coalesce(CASE WHEN standard_hours > 0 THEN standard_hours END, CASE WHEN actual_hours > 0 THEN actual_hours END, CASE WHEN unit IN ('нч', 'ч') AND quantity > 0 THEN quantity END) AS hours FROM typed), known AS (SELECT * FROM w WHERE status IN ('confirmed', 'employee_confirmed', 'suspicious', 'archived') AND grand_total > 0),
+  q AS (SELECT DISTINCT repair_id, vehicle_type, service_id, code, norm FROM w), m AS (SELECT q.repair_id, q.code, q.norm, count(*) FILTER (h.service_id = q.service_id) AS sn, median(h.line_total) FILTER (h.service_id = q.service_id) AS sm, median(h.line_total) AS am FROM q JOIN known h ON h.vehicle_type = q.vehicle_type AND (h.code = q.code OR h.norm = q.norm) AND h.repair_id <> q.repair_id GROUP BY ALL),
+  rated AS (SELECT repair_id, vehicle_type, service_id, line_total / CASE WHEN standard_hours > 0 THEN standard_hours ELSE actual_hours END AS rate FROM known WHERE CASE WHEN standard_hours > 0 THEN standard_hours ELSE actual_hours END > 0 AND line_total > 0), lone AS (SELECT DISTINCT w.repair_id, vehicle_type, service_id FROM w LEFT JOIN m ON m.repair_id = w.repair_id AND m.norm = w.norm AND m.code IS NOT DISTINCT FROM w.code WHERE am IS NULL),
+  rates AS (SELECT q.repair_id, CASE WHEN count(*) FILTER (h.service_id = q.service_id) >= 5 THEN median(rate) FILTER (h.service_id = q.service_id) ELSE median(rate) END AS rate FROM lone q JOIN rated h ON h.vehicle_type = q.vehicle_type AND h.repair_id <> q.repair_id GROUP BY q.repair_id, q.service_id),
+  e AS (SELECT w.repair_id, am IS NOT NULL AS seen, CASE WHEN am IS NOT NULL THEN round(CAST(CASE WHEN sn >= 3 THEN sm ELSE am END AS DECIMAL(22,4)), 2) WHEN hours IS NOT NULL THEN round(CAST(hours * rate AS DECIMAL(22,4)), 2) END AS x FROM w LEFT JOIN m ON m.repair_id = w.repair_id AND m.norm = w.norm AND m.code IS NOT DISTINCT FROM w.code LEFT JOIN rates ON rates.repair_id = w.repair_id),
+  s AS (SELECT repair_id, CAST(sum(x) AS DOUBLE) AS work_expected, count(*) FILTER (seen) AS lines_by_history FROM e WHERE x IS NOT NULL GROUP BY 1), p AS (SELECT repair_id, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS parts_total FROM repair_lines WHERE kind = 'part' GROUP BY 1),
+  t AS (SELECT s.repair_id, work_expected, lines_by_history, r.grand_total, r.vat_total, parts_total, CAST(round(CAST(work_expected + coalesce(parts_total, 0) + coalesce(r.vat_total, 0) AS DECIMAL(22,4)), 2) AS DOUBLE) AS expected_total FROM s JOIN repairs r ON r.id = s.repair_id LEFT JOIN p USING (repair_id)) SELECT *, expected_total > 0 AND grand_total > round(1.1 * expected_total, 2) AS exceeded FROM t""")
 def J5_expected_total(t):
     return history.expected_total(t("repair_lines"), t("repairs"), t("vehicles"))
 

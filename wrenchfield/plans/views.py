@@ -22,11 +22,13 @@ VIEWS: dict[str, str] = {
     "repairs": """SELECT CAST(o_orderkey AS BIGINT) AS id, concat('ZN-', CAST(o_orderkey AS STRING)) AS order_number, CAST(o_orderdate AS DATE) AS repair_date, CAST(o_custkey AS BIGINT) AS vehicle_id,
       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS BIGINT) END AS service_id, CAST(o_orderkey % 150 AS BIGINT) AS created_by_user_id, CAST((o_orderkey * 37) % 300000 AS BIGINT) AS mileage,
       CASE WHEN o_orderkey % 5 = 0 THEN concat('historical_import:', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 9 = 0 THEN 'diagnostics' ELSE 'engine noise' END AS reason,
-      CAST(o_totalprice AS DOUBLE) AS grand_total, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'in_review' ELSE 'suspicious' END AS status,
+      CAST(o_totalprice AS DOUBLE) AS grand_total, CASE WHEN o_orderkey % 4 = 0 THEN CAST(CAST(o_totalprice * 0.1 AS DECIMAL(18,2)) AS DOUBLE) ELSE 0.0 END AS vat_total, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'in_review' ELSE 'suspicious' END AS status,
       o_orderkey % 6 = 0 AS is_partially_recognized, o_orderpriority AS priority FROM orders""",
-    "repair_lines": """SELECT CAST(l_orderkey AS BIGINT) AS repair_id, CASE WHEN l_linenumber % 2 = 1 THEN 'work' ELSE 'part' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS code, p_name AS name,
-      CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, CAST(l_extendedprice AS DOUBLE) AS line_total, CAST(p_size AS DOUBLE) AS standard_hours,
-      CAST(l_quantity AS DOUBLE) / 2 AS actual_hours, CAST(l_partkey AS BIGINT) AS part_id, CAST(l_linenumber AS INT) AS line_no FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "repair_lines": """SELECT CAST(l_orderkey AS BIGINT) AS repair_id, CASE WHEN l_linenumber % 2 = 1 THEN 'work' ELSE 'part' END AS kind, CASE WHEN p_partkey % 4 = 0 OR l_orderkey % 97 = 0 THEN NULL ELSE p_brand END AS code,
+      CASE WHEN l_orderkey % 97 = 0 THEN concat(p_name, ' of ', CAST(l_orderkey AS STRING), 'x', CAST(l_linenumber AS STRING)) ELSE p_name END AS name, CAST(l_quantity AS DOUBLE) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN 'нч' ELSE 'шт' END AS unit,
+      CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, CAST(l_extendedprice AS DOUBLE) AS line_total, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS standard_hours,
+      CASE WHEN l_partkey % 3 = 0 THEN CAST(l_quantity AS DOUBLE) / 2 ELSE NULL END AS actual_hours, CAST(l_partkey AS BIGINT) AS part_id, CAST(l_linenumber + 100 * again AS INT) AS line_no
+      FROM lineitem JOIN part ON l_partkey = p_partkey CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) x WHERE again = 0 OR (l_orderkey * 7 + l_linenumber) % 101 = 0""",
     "documents_d": """SELECT CAST(doc_id AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS repair_id, concat(source, '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '.png' ELSE '.pdf' END) AS original_filename, source,
       CASE doc_id % 6 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'recognized' WHEN 2 THEN 'partially_recognized' WHEN 3 THEN 'needs_review' WHEN 4 THEN 'ocr_error' ELSE 'confirmed' END AS status,
       CASE doc_id % 4 WHEN 0 THEN 'order' WHEN 1 THEN 'repeat_scan' WHEN 2 THEN 'attachment' ELSE 'order' END AS kind, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE CAST(n_chars % 100 AS DOUBLE) / 100 END AS ocr_confidence,
