@@ -56,19 +56,60 @@ def test_latest_and_ties(spark):
 
 
 def test_report_collects_few_findings_of_a_hot_repair(spark):
-    found = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, 1).otherwise(2).cast("long").alias("repair_id"), F.when(F.col("id") == 7, "error").otherwise("warning").alias("severity"), F.format_string("t%05d", "id").alias("title"))
-    found = found.unionByName(spark.createDataFrame([(None, "info", "x")], "repair_id long, severity string, title string"))
-    got = review.report(found)
-    assert {tuple(r) for r in got.collect()} == {(1, 3, 19_800, "t00007;t00001;t00002;t00003;t00004"), (2, 1, 200, "t00000;t00100;t00200;t00300;t00400"), (None, 0, 1, "x")}
-    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()  # before anything is collected
-
-
-@pytest.mark.parametrize(("role", "action", "wanted"), [("employee", "confirm", ("needs_review", "employee_confirmed")), ("employee", "send", ("needs_review", "in_review")), ("employee", "archive", None), ("admin", "archive", ("archived", "archived"))])
+    found = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, 1).otherwise(2).cast("long").alias("repair_id"), F.when(F.col("id") == 7, "high").otherwise("medium").alias("level"), F.format_string("t%05d", "id").alias("title"), F.format_string("r%d", F.col("id") % 9).alias("recommendation"))
+    repairs = spark.createDataFrame([(1, 1234.5), (2, 0.0), (3, 10.0)], "id long, grand_total double")
+    lines = spark.createDataFrame([(1, "work"), (1, "work"), (1, "part")], "repair_id long, kind string")
+    checks = spark.createDataFrame([(2, False), (2, True)], "repair_id long, is_resolved boolean")
+    got = {r["repair_id"]: r for r in review.report(repairs, lines, checks, found).collect()}
+    assert (got[1]["risk"], got[1]["findings"], got[1]["highlights"], got[1]["recommendations"]) == ("high", 19_800, "Сумма заказ-наряда: 1 234,50 ₽;Работ: 2 · запчастей: 1;Открытых проверок: 0;t00007;t00001", "r7;r1;r2;r3;r4;r5")
+    assert (got[2]["risk"], got[2]["findings"]) == ("medium", 200) and "Открытых проверок: 1;t00000;t00100" in got[2]["highlights"]
+    assert (got[3]["risk"], got[3]["findings"], got[3]["recommendations"]) == ("low", 0, "")
+    assert "WindowGroupLimit" in review.report(repairs, lines, checks, found)._jdf.queryExecution().optimizedPlan().toString()  # before anything is collected
+
+
+def test_findings_name_symptoms_without_a_repair(spark):
+    repairs = spark.createDataFrame([(1, "Горит ABS, прочее", None), (2, "Скрип тормозов", None), (3, None, None)], "id long, reason string, source_document_id long")
+    lines = spark.createDataFrame([(1, "work", "Тех тул"), (1, "work", "Диагностика"), (2, "part", "Колодки тормозные"), (2, "part", "Фара"), (3, "part", "Фара")], "repair_id long, kind string, name string")
+    checks = spark.createDataFrame([(1, 1, "ocr_duplicate_work_lines", "warning", False, "a"), (2, 1, "ocr_duplicate_part_lines", "warning", False, "b"), (3, 2, "ocr_vehicle_missing", "error", False, "c"), (4, 2, "x", "normal", True, "d")], "id long, repair_id long, check_type string, severity string, is_resolved boolean, title string")
+    documents = spark.createDataFrame([(9, 3, False, 0.5, "text_not_found", None), (8, 3, True, 0.9, "mileage_missing", None)], "id long, repair_id long, is_primary boolean, ocr_confidence double, reason_1 string, reason_2 string")
+    shares = spark.createDataFrame([(2, "Колодки тормозные", 50.0, 1), (2, "Фара", 40.0, 2), (3, "Фара", 9.0, 1)], "repair_id long, name string, line_total double, rank int")
+    got = sorted((r["repair_id"], r["turn"], r["level"]) for r in review.findings(checks, repairs, lines, documents, shares).collect())
+    assert got == [(1, 1, "high"), (1, 2, "high"), (1, 3, "medium"), (1, 4, "medium"), (2, 1, "high"), (2, 5, "medium"), (3, 7, "low")]
+
+
+@pytest.mark.parametrize(
+    ("role", "action", "wanted"),
+    [
+        ("employee", "employee_confirm", ("confirmed", "employee_confirmed", 60, True)), ("admin", "employee_confirm", None), ("admin", "confirm", ("confirmed", "confirmed", 20, True)), ("employee", "confirm", None),
+        ("employee", "send_to_review", ("needs_review", "in_review", 120, False)), ("admin", "archive", None),
+    ],
+)
 def test_review_actions(spark, role, action, wanted):
     got = spark.range(1).select(review.review_action(F.lit(role), F.lit(action)).alias("x")).first()["x"]
     assert (tuple(got) if got else None) == wanted
 
 
+def test_vehicle_resolution_variants(spark):
+    v = spark.createDataFrame([(1, "t1", "XTA12345678901234", "A123BC116"), (2, "t2", None, "B777BB77"), (3, None, None, "B777BB77"), (4, "t4", None, "C001CC99"), (5, filters.PLACEHOLDER, None, "P000PP00"), (6, "t6", None, "D1"), (7, "t7", None, "D1"), (8, "t8", None, "D1")], "id long, external_id string, vin string, plate_number string")
+    asked = spark.createDataFrame([(1, "xta12345678901234", "C001CC99"), (2, None, "b777 bb77"), (3, None, "P000PP00"), (4, None, None), (5, "XTA12345678901234", "A123BC116")], "id long, vin string, plate string")
+    got = {r["id"]: (r["vehicle_id"], r["is_conflict"]) for r in resolve.vehicle_or_conflict(asked, v, filters.PLACEHOLDER).collect()}
+    assert got == {1: (None, True), 2: (None, True), 3: (None, False), 4: (None, False), 5: (1, False)}
+    files_ = spark.createDataFrame([(1, None, "zz", "C001CC99 order XTA12345678901234.pdf"), (2, None, "b777bb77", "C001CC99.pdf"), (3, None, None, "scan C001CC99.pdf"), (4, "nothing", None, None)], "id long, vin string, plate string, filename string")
+    assert {r["id"]: r["vehicle_id"] for r in resolve.vehicle_of_file(files_, v, filters.PLACEHOLDER).collect()} == {1: 1, 2: 2, 3: 4, 4: None}
+    plates = spark.createDataFrame([(1, "A123BC116"), (2, "B777BB77"), (3, "C001CC"), (4, "D1"), (5, "D1XXXX99"), (6, "C0"), (7, None)], "id long, plate string")
+    assert {r["id"]: r["vehicle_id"] for r in resolve.vehicle_of_import(plates, v).collect()} == {1: 1, 2: None, 3: 4, 4: 8, 5: None, 6: None, 7: None}
+
+
+def test_services_by_folder(spark):
+    services = spark.createDataFrame([("ООО «Альфа Трак Сервис»", None, "confirmed"), ("Бета", 7, "confirmed"), ("Гамма", 7, "archived")], "name string, created_by_user_id long, status string")
+    names = spark.createDataFrame([(1, "альфа трак-сервис"), (2, "АТС"), (3, "бета"), (4, "гамма"), (5, None)], "id long, name string")
+    assert {r["id"]: r["service"] for r in resolve.service_by_alias(names, services).collect()} == {1: "ООО «Альфа Трак Сервис»", 2: "ООО «Альфа Трак Сервис»", 3: "Бета", 4: None, 5: None}
+    repairs = spark.createDataFrame([(1, 11), (2, None), (3, None)], "id long, source_document_id long")
+    documents = spark.createDataFrame([(10, 1, True), (11, 1, False), (20, 2, False), (21, 2, True), (30, 3, True)], "id long, repair_id long, is_primary boolean")
+    versions = spark.createDataFrame([(10, 1, "/in/Бета/a.pdf"), (11, 1, "/in/x/a.pdf"), (11, 2, "/in/Заказ наряды АТС/a.pdf"), (20, 1, "/in/Заказ-наряды_АТС/b.pdf"), (21, 1, "/in/nobody/b.pdf"), (30, 1, "c.pdf")], "document_id long, version_number int, source_path string")
+    assert {r["repair_id"]: r["service"] for r in resolve.service_backfill(repairs, documents, versions, services).collect()} == {1: "ООО «Альфа Трак Сервис»", 2: "ООО «Альфа Трак Сервис»"}
+
+
 def test_enqueue_reuses_and_retries(spark):
     asked = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "document_id long, retry boolean")
     last = spark.createDataFrame([(1, 11, "queued"), (2, 12, "failed"), (3, 13, "failed")], "document_id long, id long, status string")

@@ -19,12 +19,13 @@ def one(spark, expression, *values):
     ("rule", "given", "wanted"),
     [
         (text.parse_amount, ["1 234,50", "12.5", "n/a", None, "", "1 000,00"], [1234.5, 12.5, None, None, None, 1000.0]),
-        (text.parse_date, ["15.01.2025", "1/2/70", "31-12-68", "2024-03-05", "5 марта 2024", "31.02.2024", "x", None], [dt.date(2025, 1, 15), dt.date(1970, 2, 1), dt.date(2068, 12, 31), dt.date(2024, 3, 5), dt.date(2024, 3, 5), None, None, None]),
+        (text.parse_date, ["15.01.2025", "1/2/70", "31-12-68", "2024-03-05", "5 марта 2024", "31.02.2024", "x", None, "1.2-2024", "выдан 5  Марта 2024 г."], [dt.date(2025, 1, 15), dt.date(1970, 2, 1), dt.date(2068, 12, 31), dt.date(2024, 3, 5), dt.date(2024, 3, 5), None, None, None, None, dt.date(2024, 3, 5)]),
         (text.identifier, ["a 123-bc", "№ 7/ж", None], ["A123BC", "7Ж", None]),
         (text.parse_mileage, ["120 000 км", "0", "none"], [120000, None, None]),
         (text.normalized_name, ["Oil filter, OIL", "a b", None], ["filter oil", "", ""]),
-        (text.service_key, ["ООО Альфа-Сервис", "LLC Beta #1", None], ["альфасервис", "beta1", ""]),
-        (text.unit, ["ШТ.", "pcs", "box", "", None], ["шт", "шт", "box", None, None]),
+        (text.service_key, ["ООО Альфа-Сервис", "LLC Beta #1", "Общество с ограниченной ответственностью «Ёж»", None], ["альфасервис", "llcbeta1", "еж", ""]),
+        (text.unit, ["ШТ.", "pcs", "H/ч", "к-т", "", None], ["шт", "pcs", "нч", "компл", None, None]),
+        (text.service_of_folder, ["/a/Заказ наряды Альфа_Трак/x.pdf", "/a/Бета/x.pdf", "x.pdf", "/x.pdf", None], ["Альфа Трак", "Бета", None, None, None]),
         (text.registry_cell, ["12.0", " x ", "", "1.50"], ["12", "x", None, "1.50"]),
         (text.collapse, ["  a \t b ", None], ["a b", None]),
         (text.clean_lines, ["a\r\n\r\n  b  c \rd"], ["a\nb c\nd"]),
@@ -56,9 +57,9 @@ def test_lines_and_header(spark):
 @pytest.mark.parametrize(
     ("given", "wanted"),
     [
-        ("Запчасти\nБолт 4 штук 10,00 40,00", [("part", "Болт", 4.0, "шт", 40.0)]),
+        ("Запчасти\nБолт 4 штук 10,00 40,00", [("part", "Болт", 4.0, "штук", 40.0)]),
         ("Работы\nПромывка 2 час 10,00 20,00\nСход 1,5 н/ч 10 15", [("work", "Промывка", 2.0, "ч", 20.0), ("work", "Сход", 1.5, "нч", 15.0)]),
-        ("Материалы\nМасло 4 литр 10 40\nРемни 1 к-т 5 5\nСалфетки 1 упак. 7 7\nХомут 2 3 6", [("part", "Масло", 4.0, "л", 40.0), ("part", "Ремни", 1.0, "компл", 5.0), ("part", "Салфетки", 1.0, "упак", 7.0), ("part", "Хомут", 2.0, None, 6.0)]),
+        ("Материалы\nМасло 4 литр 10 40\nРемни 1 к-т 5 5\nСалфетки 1 упак. 7 7\nХомут 2 3 6", [("part", "Масло", 4.0, "литр", 40.0), ("part", "Ремни", 1.0, "компл", 5.0), ("part", "Салфетки", 1.0, "упак", 7.0), ("part", "Хомут", 2.0, None, 6.0)]),
         ("Запчасти\nБолт 1 шт 1 1\nОказанные услуги\nМойка 1 усл 9 9\nСварочные работы 1 ч 8 8", [("part", "Болт", 1.0, "шт", 1.0), ("work", "Мойка", 1.0, "усл", 9.0), ("work", "Сварочные работы", 1.0, "ч", 8.0)]),
         ("Работа: Замена 1 ч 1 000,00 1 000,00\nЗапчасть: Болт 2 шт 5 10", [("work", "Замена", 1.0, "ч", 1000.0), ("part", "Болт", 2.0, "шт", 10.0)]),
         ("Работы\nМойка 1 ч 9 9\nИтого работ 9\nСушка 1 ч 8 8\nЗапчасти\nTotal Quartz 4 л 5 20\nTotal 3 1 3\nРаботы итого 1 000 000,00", [("work", "Мойка", 1.0, "ч", 9.0), ("work", "Сушка", 1.0, "ч", 8.0), ("part", "Total Quartz", 4.0, "л", 20.0)]),

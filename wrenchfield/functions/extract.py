@@ -30,6 +30,7 @@ _SUMS = re.compile(r"\b(?:итого|к оплате)\b", re.I)
 _FOOTER = r"стоимость (?:работ|запчастей|материалов)|(?:работы|услуги|запчасти|материалы) итого|итого|ндс|к оплате|всего|сервис|сто|исполнитель|подрядчик"
 _MARK = re.compile(rf"\b(?:(?P<stop>{_FOOTER})|(?P<work>{_WORKS}|(?:works|labou?r)(?=\s*:))|(?P<part>{_PARTS}|(?:parts|materials)(?=\s*:)))\b\s*(?P<colon>:?)", re.I)
 _BARE = re.compile(r"\b(работа|запчасть)\b(?!\s*:)", re.I)
+_OCR = str.maketrans(text.OCR_FROM, text.OCR_TO)
 PARSERS = ("raw", "date", "amount", "digits_int")
 #: Patterns of the header's fields, first match wins: (field, pattern, confidence).
 FIELDS = (
@@ -50,9 +51,8 @@ def _amount(s: str) -> float | None:
 
 
 def _unit(s: str | None) -> str | None:
-    low = (s or "").lower()
-    bare = low.strip(".,;:!?)(")
-    return text.UNITS.get(low) or text.UNITS.get(bare) or bare or None
+    bare = (s or "").lower().strip(".,;:!?)(")
+    return text.UNITS.get(bare) or text.UNITS.get(bare.translate(_OCR).lower()) or bare or None
 
 
 def _item(kind: str, m: re.Match) -> dict:

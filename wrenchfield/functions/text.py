@@ -11,9 +11,21 @@ LOOK_ALIKE_TO = "еЕOoAaBbEeKkMmHhPpCcTtYyXxIi----  "
 DASHES_FROM, DASHES_TO = "ёЁ—–−‑/\\", "еЕ----  "
 #: Names of months.
 MONTHS = {"января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6, "июля": 7, "августа": 8, "сентября": 9, "октября": 10, "ноября": 11, "декабря": 12}
+#: Letters that text recognition takes for each other, Cyrillic to Latin, and dashes.
+OCR_FROM = "ОоАаВвЕеКкМмНнРрСсТтУуХхІі—–−‑"
+OCR_TO = "OoAaBbEeKkMmHhPpCcTtYyXxIi----"
 #: Units of measure as written, and as kept.
-UNITS = {"шт": "шт", "шт.": "шт", "шг": "шт", "штук": "шт", "pcs": "шт", "л": "л", "литр": "л", "l": "л", "кг": "кг", "kg": "кг", "нч": "нч", "н/ч": "нч", "н.ч": "нч", "ч": "ч", "час": "ч", "часа": "ч", "часов": "ч", "м": "м", "m": "м", "компл": "компл", "к-т": "компл", "кт": "компл"}
-LEGAL_FORMS = ("ооо", "оао", "зао", "пао", "ао", "ип", "llc", "ltd", "inc", "gmbh")
+UNITS = {
+    "шт": "шт", "шг": "шт", "шt": "шт", "ед": "ед", "компл": "компл", "к-т": "компл", "кт": "компл", "усл": "усл", "л": "л", "кг": "кг", "м": "м", "ч": "ч", "час": "ч", "часа": "ч", "часов": "ч", "нч": "нч", "н.ч": "нч", "н/ч": "нч",
+    "hч": "нч", "h.ч": "нч", "h/ч": "нч",
+}
+#: Legal forms, and what a service's name doesn't hold.
+LONG_FORM = r"общество\s*с\s*ограниченной\s*ответственностью"
+LEGAL_FORMS = ("ооо", "ао", "пао", "зао", "ип")
+NOT_SERVICES = ("стоимость", "работ", "запчаст", "материал", "ндс", "итого", "к оплате", "пробег", "госномер", "заказ", "наряд", "дата")
+_FORMS = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{LONG_FORM}|{'|'.join(LEGAL_FORMS)})(?![\p{{L}}\p{{N}}_])"
+#: Prefixes of folders that are named after a service.
+FOLDER_PREFIXES = ("заказ наряды", "заказ-наряды", "заказ-наряд")
 
 
 def _empty_null(c: Column) -> Column:
@@ -50,17 +62,17 @@ def parse_mileage(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Numeric dates with dot, slash or dash, then 'd month yyyy'. Two-digit years from 69 on are 19xx."""
-    c = F.trim(c)
-    num = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})$"
-    iso = r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})$"
+    """Numeric dates with dots, slashes or dashes (the same twice), day or year first, then 'd month yyyy' anywhere. Two-digit
+    years from 69 on are 19xx."""
+    c = F.lower(collapse(c))
+    num, iso = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$", r"^(\d{4})([./-])(\d{1,2})\2(\d{1,2})$"
     part = lambda p, i: F.regexp_extract(c, p, i).try_cast("int")
-    year = part(num, 3)
-    full = F.when(year >= 100, year).when(year >= 69, year + 1900).otherwise(year + 2000)
+    year = part(num, 4)
+    full = F.when(F.length(F.regexp_extract(c, num, 4)) == 4, year).when(year >= 69, year + 1900).otherwise(year + 2000)
     dated = lambda y, m, d: F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")))
-    word = r"^(\d{1,2})\s+(\p{L}+)\s+(\d{4})"
-    month = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])[F.lower(F.regexp_extract(c, word, 2))]
-    return F.when(c.rlike(num), dated(full, part(num, 2), part(num, 1))).when(c.rlike(iso), dated(part(iso, 1), part(iso, 2), part(iso, 3))).when(c.rlike(word) & month.isNotNull(), dated(part(word, 3), month, part(word, 1)))
+    word = r"(\d{1,2})\s+([а-я]+)\s+(\d{4})"
+    month = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])[F.regexp_extract(c, word, 2)]
+    return F.when(c.rlike(num), dated(full, part(num, 3), part(num, 1))).when(c.rlike(iso), dated(part(iso, 1), part(iso, 3), part(iso, 4))).when(month.isNotNull(), dated(part(word, 3), month, part(word, 1)))
 
 
 def identifier(c: Column) -> Column:
@@ -115,10 +127,19 @@ def search_text(*cs: Column) -> Column:
     return _empty_null(F.concat_ws(" | ", *[_empty_null(F.trim(c)) for c in cs]))
 
 
+def ocr_folded(c: Column) -> Column:
+    """Letters that recognition mixes up, as one of them; runs of blanks as one."""
+    return F.translate(collapse(c), OCR_FROM, OCR_TO)
+
+
+def compare_token(c: Column) -> Column:
+    return _empty_null(identifier(ocr_folded(c)))
+
+
 def unit(c: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    low = F.lower(F.trim(c))
-    return F.coalesce(known[low], _empty_null(low))
+    bare = F.replace(F.btrim(F.lower(c), F.lit(".,;:!?)(")), F.lit(" "), F.lit(""))
+    return F.coalesce(known[bare], known[F.lower(ocr_folded(bare))], _empty_null(bare))
 
 
 def split_article(c: Column) -> Column:
@@ -128,9 +149,9 @@ def split_article(c: Column) -> Column:
     return F.struct(F.when(coded, F.upper(fold(head))).alias("article"), F.when(coded, rest).otherwise(F.trim(c)).alias("name"))
 
 
-def suspicious_service(c: Column, blocked: tuple[str, ...] = ("итого", "сумма", "total", "invoice")) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return (low == "") | F.coalesce(low.rlike("|".join(blocked)), F.lit(False)) | (F.length(F.regexp_replace(low, "[^0-9]", "")) >= 6) | low.rlike(r"\d[\d ]*[.,]\d{2}\b")
+def suspicious_service(c: Column) -> Column:
+    low = F.lower(collapse_line(F.coalesce(c, F.lit(""))))
+    return (low == "") | low.rlike("|".join(NOT_SERVICES)) | (F.length(F.regexp_replace(low, "[^0-9]", "")) >= 6) | low.rlike(r"\d[\d\s]*[.,]\d{2}")
 
 
 def amounts_match(a: Column, b: Column, tolerance: float = 0.0) -> Column:
@@ -139,19 +160,27 @@ def amounts_match(a: Column, b: Column, tolerance: float = 0.0) -> Column:
 
 def service_key(c: Column) -> Column:
     """Without legal forms and anything but letters and digits."""
-    bare = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<![\p{L}])(?:" + "|".join(LEGAL_FORMS) + r")(?![\p{L}])", " ")
-    return F.regexp_replace(bare, r"[^0-9\p{L}]+", "")
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), _FORMS, " ")
+    return F.regexp_replace(bare, "[^0-9a-zа-я]+", "")
+
 
+def service_aliases(c: Column, stem: Column | None = None) -> Column:
+    """The name, its card's file name, the name without its legal form, that without spaces, and its initials if there are three."""
+    short = F.coalesce(_empty_null(F.trim(F.regexp_replace(F.translate(F.regexp_replace(c, _FORMS, " "), "«»\"", "   "), r"\s+", " "))), F.trim(c))
+    initials = F.array_join(F.transform(F.split(short, " "), lambda w: F.upper(F.left(w, F.lit(1)))), "")
+    every = [F.trim(c), short, *([] if stem is None else [F.trim(stem)]), F.replace(short, F.lit(" "), F.lit("")), F.when(F.length(initials) >= 3, initials)]
+    return F.array_distinct(F.filter(F.array(*every), lambda x: x.isNotNull() & (x != "")))
 
-def service_aliases(c: Column) -> Column:
-    """The name, without its legal form, without spaces, and its initials if there are three."""
-    short = collapse(F.regexp_replace(c, r"(?iu)(?<![\p{L}])(?:" + "|".join(LEGAL_FORMS) + r")(?![\p{L}])|[\"«»]", " "))
-    initials = F.array_join(F.transform(F.split(short, r"[\s#-]+"), lambda w: F.upper(F.left(w, F.lit(1)))), "")
-    return F.array_distinct(F.filter(F.array(F.trim(c), short, F.regexp_replace(short, " ", ""), F.when(F.length(initials) >= 3, initials)), lambda x: x.isNotNull() & (x != "")))
+
+def service_of_folder(path: Column) -> Column:
+    """The name of the folder that a file lies in, without a prefix that says what is in it."""
+    name = F.trim(F.replace(F.when(F.size(F.split(path, "/")) > 1, F.trim(F.try_element_at(F.split(path, "/"), F.lit(-2)))), F.lit("_"), F.lit(" ")))
+    rest = F.btrim(F.regexp_replace(name, "(?iu)^(?:" + "|".join(FOLDER_PREFIXES) + ")", ""), F.lit(" -_"))
+    return _empty_null(F.when(F.lower(name).rlike("^(?:" + "|".join(FOLDER_PREFIXES) + ")"), rest).otherwise(name))
 
 
 def city(c: Column) -> Column:
-    return _empty_null(F.trim(F.regexp_extract(c, r"(?:^|[\s,])г\.\s*([^,]+)", 1)))
+    return _empty_null(F.trim(F.regexp_extract(c, r"(?iu)г\.\s*([^,]+)", 1)))
 
 
 def order_number_of_registrar(c: Column) -> Column:
@@ -162,16 +191,22 @@ def source_key(*cs: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(_empty_null(F.trim(c.cast("string"))), F.lit("-")) for c in cs])
 
 
-#: Patterns of the work / part decision: (what is looked at, pattern, kind), the first that matches decides.
-LINE_KINDS = (("expense", "work|labour|labor|работ", "work"), ("expense", "part|material|запчаст|материал", "part"), ("category", "service|услуг", "work"), ("category", "part|запчаст", "part"), ("name", "replace|repair|diagnos|замен|ремонт|диагност", "work"))
+#: Keywords that tell works from parts, in the order in which they are asked: (what is looked at, keywords, kind).
+LINE_KINDS = (
+    ("expense", ("запчаст", "з/ч", "зч "), "part"),
+    ("group", ("услуг", "работ", "ремонт", "обслужив", "шиномонтаж"), "work"),
+    ("name", ("ремонт", "замен", "диагност", "мойк", "шиномонтаж", "балансиров", "свар", "буксиров", "эваку", "регулиров", "установк", "демонтаж", "монтаж"), "work"),
+    ("expense", ("то и ремонт", "дополнительные расходы", "буксировка", "эвакуация", "комплектация", "предпродажная подготовка", "расходы"), "work"),
+)
 
 
-def line_kind(expense: Column, category: Column, name: Column) -> Column:
-    got = {"expense": expense, "category": category, "name": name}
-    out = F.lit(None).cast("string")
-    for field, pattern, kind in reversed(LINE_KINDS):
-        out = F.when(F.coalesce(F.lower(got[field]).rlike(pattern), F.lit(False)), F.lit(kind)).otherwise(out)
-    return F.coalesce(out, F.lit("part"))
+def line_kind(expense: Column, group: Column, name: Column) -> Column:
+    """work or part of an imported line, by its expense item, its group and its name; part if none says so."""
+    got = {n: F.lower(F.trim(F.coalesce(c, F.lit("")))) for n, c in (("expense", expense), ("group", group), ("name", name))}
+    out = F.lit("part")
+    for field, keywords, kind in reversed(LINE_KINDS):
+        out = F.when(got[field].rlike("|".join(keywords)), F.lit(kind)).otherwise(out)
+    return out
 
 
 def quantity(c: Column) -> Column:
@@ -201,10 +236,14 @@ def registry_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;\\n/]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Sections of the report, and what check types belong there, in the order in which they are asked.
+SECTIONS = (("catalogs", "vehicle|service"), ("labor_norms", "standard_hours"), ("amounts", "total|duplicate"), ("history", "repeat_repair"))
+
+
 def report_section(check_type: Column) -> Column:
-    out = F.lit("other")
-    for part, section in reversed((("work_reference", "ocr"), ("ocr_", "ocr"), ("historical", "history"), ("manual", "manual"))):
-        out = F.when(check_type.contains(part), section).otherwise(out)
+    out = F.lit("ocr")
+    for section, words in reversed(SECTIONS):
+        out = F.when(check_type.rlike(words), section).otherwise(out)
     return out
 
 

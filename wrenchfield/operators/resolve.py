@@ -46,29 +46,86 @@ def service_in_text(texts: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def service_by_alias(names: DataFrame, services: DataFrame) -> DataFrame:
-    """names (id, name): the service with an alias of the same key, the least name first."""
-    alias = services.where("status <> 'archived'").select("name", F.explode(text.service_aliases(F.col("name"))).alias("a")).select(F.col("name").alias("service"), text.service_key(F.col("a")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("service").alias("service"))
+    """names (id, name): the service with an alias of the same key: first the catalogue's (those that nobody made), then those
+    that users made and that aren't archived; the least name among equals."""
+    rows = services.where(F.col("created_by_user_id").isNull() | (F.col("status") != "archived")).withColumn("rank", F.col("created_by_user_id").isNotNull().cast("int"))
+    alias = rows.select("rank", F.col("name").alias("service"), F.explode(text.service_aliases(F.col("name"))).alias("a")).withColumn("key", text.service_key(F.col("a"))).where("key <> ''")
+    alias = alias.groupBy("key").agg(F.min(F.struct("rank", "service"))["service"].alias("service"))
     return names.withColumn("key", text.service_key(F.col("name"))).join(alias, "key", "left").select("id", "name", "service")
 
 
-def catalogue_matches(vehicles: DataFrame, catalogues: DataFrame) -> DataFrame:
-    """Vehicle x catalogue by its rules. A catalogue is a row of configuration, so the join is a broadcast loop over a few."""
-    v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type", text.vehicle_text(F.col("brand")).alias("brand_text"), text.vehicle_text(F.col("model")).alias("model_text"), "year")
-    c = catalogues.select("scope", text.vehicle_text(F.col("brand_keyword")).alias("keyword"), F.col("vehicle_type").alias("c_type"), "year_from", "year_to", "priority")
-    brand, years = F.col("keyword") != "", F.col("year_from").isNotNull() | F.col("year_to").isNotNull()
-    fits = (F.col("c_type").isNull() | (F.col("c_type") == F.col("vehicle_type"))) & (~brand | F.contains(F.concat_ws(" ", "brand_text", "model_text"), F.col("keyword")))
+def vehicle_or_conflict(asked: DataFrame, vehicles: DataFrame, placeholder: str) -> DataFrame:
+    """asked (id, vin, plate): the vehicle with that VIN or plate; is_conflict, and no vehicle, where there are several."""
+    v = vehicles.where(F.col("external_id").isNull() | (F.col("external_id") != placeholder)).select(F.col("id").alias("vehicle_id"), text.identifier(F.col("vin")).alias("v_vin"), text.identifier(F.col("plate_number")).alias("v_plate"))
+    a = asked.select("id", text.identifier(F.col("vin")).alias("a_vin"), text.identifier(F.col("plate")).alias("a_plate"))
+    hits = a.where("a_vin <> ''").join(v, F.col("a_vin") == F.col("v_vin")).select("id", "vehicle_id").union(a.where("a_plate <> ''").join(v, F.col("a_plate") == F.col("v_plate")).select("id", "vehicle_id")).distinct()
+    found = hits.groupBy("id").agg(F.count("*").alias("n"), F.min("vehicle_id").alias("v"))
+    return a.select("id").join(found, "id", "left").select("id", F.when(F.col("n") == 1, F.col("v")).alias("vehicle_id"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("is_conflict"))
+
+
+def vehicle_of_file(asked: DataFrame, vehicles: DataFrame, placeholder: str) -> DataFrame:
+    """asked (id, vin, plate, filename): the first vehicle that a VIN finds, the read one before those in the file's name, or
+    else the first that a plate finds. A VIN or plate means the vehicle with the least id."""
+    v = vehicles.where(F.col("external_id") != placeholder)
+    key = lambda c: text.identifier(F.col(c))
+    of = {c: v.select(key(c).alias("key"), F.col("id").alias("v")).where("key <> ''").groupBy("key").agg(F.min("v").alias("v")) for c in ("vin", "plate_number")}
+    every = [F.struct(F.lit(kind).alias("kind"), text.identifier(first).alias("read"), more.alias("more")) for kind, first, more in (("vin", F.col("vin"), text.vin_candidates(F.col("filename"))), ("plate_number", F.col("plate"), text.plate_candidates(F.col("filename"))))]
+    rows = asked.select("id", F.inline(F.array(*every))).select("id", "kind", F.posexplode(F.concat(F.array("read"), F.coalesce("more", F.array().cast("array<string>")))).alias("at", "key")).where("key <> ''")
+    hits = [rows.where(F.col("kind") == k).join(of[k], "key").select("id", F.struct(F.lit(i).alias("i"), "at", "v").alias("x")) for i, k in enumerate(of)]
+    return asked.select("id").join(hits[0].union(hits[1]).groupBy("id").agg(F.min("x")["v"].alias("vehicle_id")), "id", "left")
+
+
+def vehicle_of_import(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """plates (id, plate): by the map of whole plates, else the only vehicle whose plate begins the asked one or is begun by it, from 6 characters on."""
+    a = plates.select("id", text.identifier(F.col("plate")).alias("plate"))
+    whole = a.join(vehicle_of_plate_map(vehicles), "plate").where("vehicle_id is not null")
+    v = vehicles.select(F.col("id").alias("v"), text.identifier(F.col("plate_number")).alias("v_plate")).where("v_plate <> ''")
+    # plates of under 6 characters can only begin others: a row for each of their beginnings
+    n = F.least(F.length("plate"), F.lit(PREFIX))
+    heads = a.where(F.length("plate") >= PREFIX).select("id", "plate", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.left("plate", i))).alias("k"))
+    near = heads.join(v.withColumn("k", F.left("v_plate", F.lit(PREFIX))), "k").where(F.startswith("plate", "v_plate") | F.startswith("v_plate", "plate"))
+    near = near.groupBy("id").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v")).where("n = 1")
+    return a.join(whole.select("id", F.col("vehicle_id").alias("w")), "id", "left").join(near.select("id", "v"), "id", "left").select("id", F.coalesce("w", "v").alias("vehicle_id"))
+
+
+def service_backfill(repairs: DataFrame, documents: DataFrame, versions: DataFrame, services: DataFrame) -> DataFrame:
+    """repair_id, service of the repairs whose documents lie in a folder named after one: the source document first, then the
+    primary ones, then the latest; the first whose folder's name is a service decides."""
+    last = versions.where("trim(source_path) <> ''").groupBy("document_id").agg(F.max_by("source_path", "version_number").alias("path"))
+    d = documents.join(last, documents["id"] == last["document_id"]).join(repairs.select(F.col("id").alias("_r"), "source_document_id"), F.col("repair_id") == F.col("_r"))
+    hints = d.select(F.col("id"), "repair_id", (F.col("id") == F.coalesce("source_document_id", F.lit(-1))).alias("is_source"), "is_primary", text.service_of_folder(F.col("path")).alias("name")).where("name is not null")
+    named = service_by_alias(hints.select("id", "name"), services.where("created_by_user_id is null")).where("service is not null").select("id", "service")
+    return hints.join(named, "id").groupBy("repair_id").agg(F.max_by("service", F.struct("is_source", "is_primary", "id")).alias("service"))
+
+
+def catalogue_matches(vehicles: DataFrame, catalogues: DataFrame, most: int = 10_000) -> DataFrame:
+    """Vehicle x catalogue by its rules: keywords of brand and model, beginnings of the VIN, years, type (catalogues: scope,
+    brand_keywords, model_keywords, vin_prefixes: arrays, vehicle_type, year_from, year_to, priority, auto_match, status). A
+    catalogue is a row of configuration; up to `most` of them are broadcast."""
+    v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type", text.vehicle_text(F.col("brand")).alias("brand_text"), text.vehicle_text(F.col("model")).alias("model_text"), F.regexp_replace(F.upper(F.trim(F.coalesce("vin", F.lit("")))), "[^A-Z0-9]+", "").alias("vin"), "year")
+    c = catalogues.where((F.col("status") != "archived") & F.col("auto_match")).select(
+        "scope", text.keywords(F.coalesce("brand_keywords", F.array().cast("array<string>"))).alias("brands"), text.keywords(F.coalesce("model_keywords", F.array().cast("array<string>"))).alias("models"),
+        text.vin_prefixes(F.coalesce("vin_prefixes", F.array().cast("array<string>"))).alias("prefixes"), F.col("vehicle_type").alias("c_type"), "year_from", "year_to", "priority",
+    )
+    c = F.broadcast(c) if c.count() <= most else c
+    has = lambda c: F.size(c) > 0
+    brand, model, vin, years = has("brands"), has("models"), has("prefixes"), F.col("year_from").isNotNull() | F.col("year_to").isNotNull()
+    of_brand = F.exists("brands", lambda k: F.contains(F.concat_ws(" ", "brand_text", "model_text"), k))
+    fits = (F.col("c_type").isNull() | (F.col("c_type") == F.col("vehicle_type"))) & (~brand | of_brand) & (~model | F.exists("models", lambda k: F.contains("model_text", k))) & (~vin | F.exists("prefixes", lambda k: F.startswith("vin", k)))
     fits = fits & (~years | (F.col("year").isNotNull() & (F.col("year") >= F.coalesce("year_from", "year")) & (F.col("year") <= F.coalesce("year_to", "year"))))
     n = lambda t, w: F.when(t, w).otherwise(0)
-    return v.join(F.broadcast(c), fits).select("vehicle_id", "scope", "priority", (n(brand, 1) + n(years, 1)).alias("matched_rules"), (n(brand, 4) + n(years, 2) + n(F.col("c_type").isNotNull(), 1)).alias("score"))
+    return v.join(c, fits).select("vehicle_id", "scope", "priority", (n(brand, 1) + n(model, 1) + n(vin, 1) + n(years, 1)).alias("matched_rules"), (n(brand, 4) + n(model, 3) + n(vin, 5) + n(years, 2) + n(F.col("c_type").isNotNull(), 1)).alias("score"))
 
 
-def catalogue_choice(vehicles: DataFrame, matches: DataFrame) -> DataFrame:
-    """The best catalogue of each vehicle, or the reason why there is none."""
+def catalogue_choice(vehicles: DataFrame, matches: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """The best catalogue of each vehicle, or the reason why there is none. configured: the catalogues, to tell none at all
+    from none that fits; a row of vehicles without an id is a repair without a vehicle."""
     w = Window.partitionBy("vehicle_id").orderBy(F.desc("matched_rules"), F.desc("score"), "priority", F.desc("scope"))
     key = F.struct("matched_rules", "score", "priority")
     best = matches.withColumn("n", F.row_number().over(w)).withColumn("tie", F.coalesce(F.lead(key).over(w) == key, F.lit(False))).where("n = 1")
     out = vehicles.select(F.col("id").alias("vehicle_id")).join(best, "vehicle_id", "left")
-    reason = F.when(F.col("scope").isNull(), "catalog_not_found").when(F.col("tie"), "catalog_ambiguous").otherwise("supported")
+    some = F.lit(True) if configured is None else F.lit(not configured.where((F.col("status") != "archived") & F.col("auto_match")).isEmpty())
+    reason = F.when(F.col("vehicle_id").isNull(), "vehicle_missing").when(~some, "catalogs_not_configured").when(F.col("scope").isNull(), "catalog_not_found").when(F.col("tie"), "catalog_ambiguous").otherwise("supported")
     return out.select("vehicle_id", F.when(reason == "supported", F.col("scope")).alias("scope"), reason.alias("reason_code"))
 
 

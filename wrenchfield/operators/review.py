@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 CATEGORIES = ("all", "suspicious", "ocr_error", "partial_recognition", "employee_confirmation", "manual_review")
-SEVERITY = ("info", "warning", "suspicious", "error")
 BUCKETS = ("review", "critical", "suspicious")
 
 
 def ordinal(c: Column, of: tuple[str, ...]) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in of]), c), F.lit(0)) - 1, F.lit(0)).cast("int")
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in of]), c), F.lit(0)) - 1, F.lit(0)).cast("int")  # unknown ones are the first
 
 
 def open_checks(checks: DataFrame) -> DataFrame:
@@ -57,51 +58,156 @@ def queue(scored: DataFrame, category: str = "all", offset: int = 0, limit: int
     return rows.orderBy(F.desc("score"), F.desc(F.coalesce("open_suspicious", F.lit(0))), F.desc("id")).offset(offset).limit(limit)
 
 
-def risk_matrix(checks: DataFrame) -> DataFrame:
-    """The worst severity of each zone (check type)."""
-    worst = checks.groupBy(F.col("check_type").alias("zone")).agg(F.max(ordinal(F.col("severity"), SEVERITY)).alias("level"), F.count("*").alias("findings"))
-    return worst.withColumn("severity", F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.col("level") + 1))
-
-
-def findings(checks: DataFrame, repairs: DataFrame, documents: DataFrame, shares: DataFrame) -> DataFrame:
-    """Findings of several generators, each title once a repair (the first generator wins)."""
-    f = lambda df, n, severity, title: df.select(F.col("repair_id"), F.lit(n).alias("ord"), severity.alias("severity"), title.alias("title"))
-    every = f(checks.where(~F.col("is_resolved")), 1, F.col("severity"), F.concat(F.lit("check: "), F.col("title")))
-    every = every.unionByName(f(repairs.where("reason = 'diagnostics'").select(F.col("id").alias("repair_id")), 2, F.lit("warning"), F.lit("vague reason")))
-    every = every.unionByName(f(shares, 3, F.lit("suspicious"), F.concat(F.lit("expensive part: "), F.col("name"))))
-    every = every.unionByName(f(documents.where("ocr_confidence < 0.75"), 4, F.lit("warning"), F.lit("poor document")))
-    w = Window.partitionBy("repair_id", "title").orderBy("ord", F.desc(ordinal(F.col("severity"), SEVERITY)))
+# --- the executive report
+
+LEVELS = ("low", "medium", "high")
+#: Names of the report's zones, by section.
+ZONES = {"catalogs": "Справочники и идентификация", "labor_norms": "Нормо-часы", "amounts": "Суммы и структура", "history": "История и аномалии", "ocr": "Документ и OCR"}
+#: Findings of known check types: title, level (None: the check's), zone, recommendation.
+TEMPLATES = {
+    "ocr_expected_total_exceeded": ("Стоимость ремонта выше ожидаемой по истории", "high", "Сопоставление с историей", "Запросить расшифровку, за счет каких строк стоимость вышла выше исторического ориентира."),
+    "ocr_work_reference_price_deviation": ("Цена работы отклоняется от накопленной практики", None, "Сопоставление с историей", "Проверить, чем сервис обосновывает отклонение цены по этой работе относительно накопленной практики."),
+    "ocr_repeat_repair_detected": ("Выявлен повторный ремонт по той же работе", "high", "Повторяемость ремонтов", "Поднять предыдущий заказ-наряд и проверить, была ли устранена причина первого ремонта или проблема повторяется."),
+    "ocr_duplicate_work_lines": ("Есть признаки задвоения строк в заказ-наряде", "high", "Суммы и структура", "Проверить, не включены ли в счет одни и те же позиции повторно."),
+    "ocr_duplicate_part_lines": ("Есть признаки задвоения строк в заказ-наряде", "high", "Суммы и структура", "Проверить, не включены ли в счет одни и те же позиции повторно."),
+    "ocr_work_reference_mileage_outlier": ("Работа нетипична для текущего пробега", "medium", "Сопоставление с историей", "Уточнить, почему работа выполнена на этом пробеге и есть ли подтверждающая дефектовка."),
+    "ocr_work_reference_missing": ("Работа не подтверждается накопленной практикой", "medium", "Сопоставление с историей", "Проверить работу вручную и по возможности пополнить справочник подтвержденных операций после закрытия ремонта."),
+}
+#: What is recommended for any other check, by a part of its type, in the order in which they are asked.
+ADVICE = (
+    ("vehicle", "Проверить привязку техники и убедиться, что документ относится к нужной карточке ТС."),
+    ("service", "Подтвердить сервис по справочнику и снять предупреждение только после ручной проверки."),
+    ("standard_hours", "Сверить работу с каталогом нормо-часов и подтвердить допустимость отклонения."),
+    ("duplicate", "Проверить, не задвоены ли работы или материалы в заказ-наряде."),
+    ("total", "Пересчитать стоимость работ и материалов по строкам до закрытия заказ-наряда."),
+    ("^ocr_", "Проверить спорные поля вручную и зафиксировать корректные значения перед подтверждением."),
+)
+#: Symptoms in a repair's reason, and what its lines name if they are dealt with: (zone, symptoms, terms).
+SIGNALS = (
+    ("ABS", ("abs", "абс"), ("abs", "абс", "датчик", "модулятор", "проводк", "блок abs")),
+    ("пневматика", ("утечк", "воздух", "пневм", "компрессор"), ("утечк", "воздух", "пневм", "компрессор", "трубк", "шланг", "клапан")),
+    ("тормозная система", ("тормоз", "колод", "суппорт", "диск"), ("тормоз", "колод", "суппорт", "диск")),
+)
+DIAGNOSTICS = ("диагност", "tech tool", "тех тул", "скан", "компьютер")
+_FINDING = ("repair_id", "turn", "place", "title", "level", "zone", "recommendation")
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё\n\t", "е  "))
+
+
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    return c.rlike("|".join(words))
+
+
+def _found(df: DataFrame, turn: int, place: Column, title: Column | str, level: Column | str, zone: Column | str, advice: Column | str) -> DataFrame:
+    of = lambda x: F.lit(x) if isinstance(x, str) else x
+    return df.select("repair_id", F.lit(turn).alias("turn"), place.cast("long").alias("place"), of(title).alias("title"), of(level).alias("level"), of(zone).alias("zone"), of(advice).alias("recommendation"))
+
+
+def check_findings(checks: DataFrame) -> DataFrame:
+    """A finding for each open check: of its type's template, or else by its severity, section and title."""
+    t = F.col("check_type")
+    own = F.when(F.col("severity").isin("error", "suspicious"), "high").when(F.col("severity") == "normal", "low").otherwise("medium")
+    section = text.report_section(t)
+    title, level, zone, advice = F.col("title"), own, F.lit(ZONES["ocr"]), F.lit(None).cast("string")
+    for s, name in ZONES.items():
+        zone = F.when(section == s, name).otherwise(zone)
+    for part, words in reversed(ADVICE):
+        advice = F.when(t.rlike(part), words).otherwise(advice)
+    for kind, (title_, level_, zone_, advice_) in TEMPLATES.items():
+        title, level, zone, advice = F.when(t == kind, title_).otherwise(title), F.when(t == kind, F.lit(level_) if level_ else own).otherwise(level), F.when(t == kind, zone_).otherwise(zone), F.when(t == kind, advice_).otherwise(advice)
+    return _found(checks.where(~F.col("is_resolved")), 1, F.col("id"), title, level, zone, advice)
+
+
+def findings(checks: DataFrame, repairs: DataFrame, lines: DataFrame, documents: DataFrame, shares: DataFrame) -> DataFrame:
+    """Findings of all generators (_FINDING), each title once a repair: the first generator's, and there the first one. shares:
+    top_parts() of the lines."""
+    r = repairs.select(F.col("id").alias("repair_id"), _plain(F.col("reason")).alias("why"), "source_document_id")
+    parts = [check_findings(checks)]
+    # what a repair's lines name, reduced to flags before they are joined
+    name = _plain(F.col("name"))
+    flags = lines.groupBy("repair_id").agg(*(F.max(_any(name, terms)).alias(f"t{i}") for i, (_, _, terms) in enumerate(SIGNALS)), F.count_if((F.col("kind") == "work") & _any(name, DIAGNOSTICS)).alias("diagnostics"))
+    both = r.where("why <> ''").join(flags, "repair_id", "left")
+    for i, (zone, symptoms, _) in enumerate(SIGNALS):
+        parts.append(_found(both.where(_any(F.col("why"), symptoms) & ~F.coalesce(F.col(f"t{i}"), F.lit(False))), 2, F.lit(i), f"Нет прозрачного ремонта по зоне «{zone}»", "high" if zone == "ABS" else "medium", "Соответствие дефекта и ремонта", f"Запросить у сервиса расшифровку, какие действия по зоне «{zone}» были выполнены и чем подтверждено устранение неисправности."))
+    parts.append(_found(r.where(F.contains("why", F.lit("проч"))), 3, F.lit(0), "Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта."))
+    parts.append(_found(flags.where("diagnostics >= 2"), 4, F.lit(0), "В заказ-наряде несколько диагностических работ", "medium", "Суммы и структура", "Запросить у сервиса, чем отличаются диагностические позиции и почему они тарифицировались отдельно."))
+    part = _plain(F.col("name"))
+    related = F.lit(False)
+    for _, symptoms, terms in SIGNALS:
+        related = related | (_any(F.col("why"), symptoms) & _any(part, terms))
+    parts.append(_found(shares.where("line_total > 0").join(r, "repair_id").where((F.col("why") != "") & ~related), 5, F.col("rank"), "Дорогая запчасть слабо связана с причиной обращения", "medium", "Состав ремонта", "Запросить дефектовку или пояснение, почему эта запчасть была заменена именно в рамках данного обращения."))
+    d = documents.join(r.select("repair_id", "source_document_id"), "repair_id")
+    main = d.groupBy("repair_id").agg(F.max_by(F.struct("ocr_confidence", F.array_compact(F.array("reason_1", "reason_2")).alias("reasons")), F.struct((F.col("id") == F.coalesce("source_document_id", F.lit(-1))).alias("s"), F.col("is_primary"), -F.col("id"))).alias("d")).select("repair_id", "d.*")
+    parts.append(_found(main.where("ocr_confidence < 0.75"), 6, F.lit(0), "Низкая уверенность OCR по основному документу", "medium", ZONES["ocr"], "Проверить ключевые поля вручную и запросить у сервиса более качественную копию документа при необходимости."))
+    level = F.when(F.exists("reasons", lambda x: x.isin("text_not_found", "repair_date_invalid")), "medium").otherwise("low")
+    parts.append(_found(main.where(F.size("reasons") > 0), 7, F.lit(0), "Документ содержит признаки неполного или спорного распознавания", level, ZONES["ocr"], "До подтверждения ремонта проверить вручную все поля, отмеченные системой как спорные или отсутствующие."))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    w = Window.partitionBy("repair_id", "title").orderBy("turn", "place", F.desc(ordinal(F.col("level"), LEVELS)))
     return every.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def report(found: DataFrame, most: int = 5) -> DataFrame:
-    """Risk, number of findings and highlights (worst first, then by title) of each repair."""
-    rows = found.withColumn("level", ordinal(F.col("severity"), SEVERITY))
-    sums = rows.groupBy("repair_id").agg(F.max("level").alias("risk"), F.count("*").alias("findings"))
-    # only the first titles of a repair are collected, however many it has
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("repair_id").orderBy(F.desc("level"), "title"))).where(F.col("rank") <= most)
-    first = first.groupBy("repair_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("all"))
-    return sums.join(first, sums["repair_id"].eqNullSafe(first["repair_id"])).select(sums["repair_id"], "risk", "findings", F.array_join(F.transform("all", lambda x: x["title"]), ";").alias("highlights"))
+def risk_matrix(found: DataFrame) -> DataFrame:
+    """repair_id, zone, level: the worst level of each zone that a repair's findings name."""
+    worst = found.groupBy("repair_id", "zone").agg(F.max(ordinal(F.col("level"), LEVELS)).alias("_n"), F.count("*").alias("findings"))
+    return worst.select("repair_id", "zone", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("_n") + 1).alias("level"), "findings")
+
+
+def report(repairs: DataFrame, lines: DataFrame, checks: DataFrame, found: DataFrame) -> DataFrame:
+    """For each repair its risk, the number of findings, up to five highlights (its total, its lines, its open checks, then
+    the worst findings by title) and up to six recommendations in the findings' order. Of a repair's findings only those
+    that are shown are collected."""
+    rows = found.withColumn("_n", ordinal(F.col("level"), LEVELS))
+    sums = rows.groupBy("repair_id").agg(F.max("_n").alias("_risk"), F.count("*").alias("findings"))
+    by = Window.partitionBy("repair_id").orderBy(F.desc("_n"), "title")
+    titles = rows.withColumn("rank", F.row_number().over(by)).where("rank <= 2").groupBy("repair_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("titles"))
+    advice = rows.where("recommendation is not null").groupBy("repair_id", "recommendation").agg(F.max(F.struct("_n", F.lit(0))).alias("_x"), F.min_by(F.struct((-F.col("_n")).alias("worst"), "title"), F.struct(-F.col("_n"), "title")).alias("first"))
+    advice = advice.withColumn("rank", F.row_number().over(Window.partitionBy("repair_id").orderBy("first"))).where("rank <= 6").groupBy("repair_id").agg(F.sort_array(F.collect_list(F.struct("rank", "recommendation"))).alias("advice"))
+    counts = lines.groupBy("repair_id").agg(F.count_if(F.col("kind") == "work").alias("works"), F.count_if(F.col("kind") == "part").alias("parts"))
+    open_ = checks.where(~F.col("is_resolved")).groupBy("repair_id").agg(F.count("*").alias("open"))
+    out = repairs.select(F.col("id").alias("repair_id"), "grand_total")
+    for t in (sums, titles, advice, counts, open_):
+        out = out.join(t, "repair_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    head = F.array(F.concat(F.lit("Сумма заказ-наряда: "), text.money(F.col("grand_total"))), F.concat(F.lit("Работ: "), n("works"), F.lit(" · запчастей: "), n("parts")), F.concat(F.lit("Открытых проверок: "), n("open")))
+    listed = lambda c, f: F.coalesce(F.transform(c, lambda x: x[f]), F.array().cast("array<string>"))
+    return out.select("repair_id", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce("_risk", F.lit(0)) + 1).alias("risk"), F.coalesce("findings", F.lit(0)).alias("findings"), F.array_join(F.concat(head, listed("titles", "title")), ";").alias("highlights"), F.array_join(listed("advice", "recommendation"), ";").alias("recommendations"))
 
 
 def status_after_processing(fields: Column, blocking: Column) -> Column:
     return F.when(fields == 0, "ocr_error").when(blocking, "suspicious").otherwise("in_review")
 
 
-def report_status(queued: Column, bucket: Column) -> Column:
-    return F.when(queued & (bucket == "suspicious"), "critical").when(queued & (bucket == "critical"), "needs_review").when(queued, "queue").otherwise("ready")
+def report_status(repairs: DataFrame, documents: DataFrame, checks: DataFrame) -> DataFrame:
+    """repair_id, status: a document in the queue, blocking checks, open checks, or nothing left to do."""
+    waiting = documents.where("status = 'uploaded'").select("repair_id").distinct().withColumn("_waiting", F.lit(True))
+    left = checks.where(~F.col("is_resolved")).groupBy("repair_id").agg(F.max(F.col("severity").isin("suspicious", "error")).alias("_blocking"))
+    both = repairs.select(F.col("id").alias("repair_id")).join(waiting, "repair_id", "left").join(left, "repair_id", "left")
+    return both.select("repair_id", F.when(F.col("_waiting"), "ocr_queue").when(F.col("_blocking"), "critical_mismatch").when(~F.col("_blocking"), "needs_review").otherwise("ready").alias("status"))
+
+
+def status_after_check_edit(repairs: DataFrame, checks: DataFrame, admin: bool) -> DataFrame:
+    """repair_id, status: by the checks that are still open, and by who closed the last one."""
+    left = checks.where(~F.col("is_resolved")).groupBy("repair_id").agg(F.max(F.col("severity").isin("suspicious", "error")).alias("_blocking"))
+    both = repairs.select(F.col("id").alias("repair_id")).join(left, "repair_id", "left")
+    return both.select("repair_id", F.when(F.col("_blocking"), "suspicious").when(F.col("_blocking").isNotNull() | F.lit(admin), "in_review").otherwise("employee_confirmed").alias("status"))
 
 
 def missing_fields(**fields: Column) -> Column:
     return F.filter(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in fields.items()]), lambda x: x.isNotNull())
 
 
-TRANSITIONS = {("employee", "confirm"): ("needs_review", "employee_confirmed"), ("employee", "send"): ("needs_review", "in_review"), ("admin", "confirm"): ("confirmed", "confirmed"), ("admin", "reject"): ("needs_review", "in_review"), ("admin", "archive"): ("archived", "archived")}
+#: What a review action makes of a document, its repair, its place in the queue and its open checks, and who may take it.
+ACTIONS = {"employee_confirm": ("confirmed", "employee_confirmed", 60, True, "employee"), "confirm": ("confirmed", "confirmed", 20, True, "admin"), "send_to_review": ("needs_review", "in_review", 120, False, None)}
 
 
 def review_action(role: Column, action: Column) -> Column:
-    """struct<document_status, repair_status>; NULL where the role may not act so."""
-    out = F.lit(None).cast("struct<document_status:string,repair_status:string>")
-    for (r, a), (d, s) in TRANSITIONS.items():
-        out = F.when((role == r) & (action == a), F.struct(F.lit(d).alias("document_status"), F.lit(s).alias("repair_status"))).otherwise(out)
+    """struct<document_status, repair_status, priority, resolves>; NULL for an unknown action, or where the role may not act so."""
+    out = F.lit(None)
+    for name, (d, r, p, c, who) in ACTIONS.items():
+        made = F.struct(F.lit(d).alias("document_status"), F.lit(r).alias("repair_status"), F.lit(p).alias("priority"), F.lit(c).alias("resolves"))
+        out = F.when((action == name) & ((role == who) if who else F.lit(True)), made).otherwise(out)
     return out

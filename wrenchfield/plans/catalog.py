@@ -354,19 +354,31 @@ def C19_alias_containment(t):
     return resolve.service_in_text(texts, t("services"))
 
 
-CATALOGUE = """m AS (SELECT v.id AS vehicle_id, c.scope, c.priority, CAST((c.brand_keyword IS NOT NULL)::INT + (c.year_from IS NOT NULL OR c.year_to IS NOT NULL)::INT AS INTEGER) AS matched_rules, CAST(4 * (c.brand_keyword IS NOT NULL)::INT + 2 * (c.year_from IS NOT NULL OR c.year_to IS NOT NULL)::INT + (c.vehicle_type IS NOT NULL)::INT AS INTEGER) AS score FROM vehicles v JOIN catalogs c ON (c.vehicle_type IS NULL OR c.vehicle_type = v.vehicle_type)
-  AND (c.brand_keyword IS NULL OR contains(lower(v.brand || ' ' || v.model), lower(c.brand_keyword))) AND (c.year_from IS NULL OR v.year >= c.year_from) AND (c.year_to IS NULL OR v.year <= c.year_to))"""
+KEYWORDS = "list_filter(list_transform(string_split({c}, '|'), lambda k: lower(trim(k))), lambda k: k <> '')"
+CATALOGUE = f"""c AS (SELECT *, {KEYWORDS.replace('{c}', 'brand_keywords')} AS bk, {KEYWORDS.replace('{c}', 'model_keywords')} AS mk, list_transform(string_split(vin_prefixes, '|'), lambda k: regexp_replace(upper(k), '[^A-Z0-9]', '', 'g')) AS vp FROM catalogs WHERE status <> 'archived' AND auto_match),
+  m AS (SELECT v.id AS vehicle_id, c.scope, c.priority, CAST((bk IS NOT NULL)::INT + (mk IS NOT NULL)::INT + (vp IS NOT NULL)::INT + (year_from IS NOT NULL OR year_to IS NOT NULL)::INT AS INTEGER) AS matched_rules, CAST(4 * (bk IS NOT NULL)::INT + 3 * (mk IS NOT NULL)::INT + 5 * (vp IS NOT NULL)::INT + 2 * (year_from IS NOT NULL OR year_to IS NOT NULL)::INT + (c.vehicle_type IS NOT NULL)::INT AS INTEGER) AS score
+  FROM vehicles v JOIN c ON (c.vehicle_type IS NULL OR c.vehicle_type = v.vehicle_type) AND (bk IS NULL OR len(list_filter(bk, lambda k: contains(lower(v.brand || ' ' || v.model), k))) > 0) AND (mk IS NULL OR len(list_filter(mk, lambda k: contains(lower(v.model), k))) > 0) AND (vp IS NULL OR len(list_filter(vp, lambda k: starts_with(coalesce(v.vin, ''), k))) > 0)
+  AND (c.year_from IS NULL OR v.year >= c.year_from) AND (c.year_to IS NULL OR v.year <= c.year_to))"""
+
+
+def _catalogues(t):
+    listed = {c: F.split(c, "[|]") for c in ("brand_keywords", "model_keywords", "vin_prefixes")}
+    return t("catalogs").withColumns(listed)
 
 
 @query(f"WITH {CATALOGUE} SELECT * FROM m")
 def C21_catalog_rule_match(t):
-    return resolve.catalogue_matches(t("vehicles"), t("catalogs"))
+    return resolve.catalogue_matches(t("vehicles"), _catalogues(t))
+
 
+CHOICE = f"""{CATALOGUE}, r AS (SELECT *, row_number() OVER w AS n, lead((matched_rules, score, priority)) OVER w = (matched_rules, score, priority) AS tie FROM m WINDOW w AS (PARTITION BY vehicle_id ORDER BY matched_rules DESC, score DESC, priority, scope DESC)), b AS (SELECT * FROM r WHERE n = 1),
+  choice AS (SELECT v.id AS vehicle_id, CASE WHEN b.scope IS NOT NULL AND NOT coalesce(tie, false) THEN b.scope END AS scope, CASE WHEN v.id IS NULL THEN 'vehicle_missing' WHEN b.scope IS NULL THEN 'catalog_not_found' WHEN coalesce(tie, false) THEN 'catalog_ambiguous' ELSE 'supported' END AS reason_code FROM (SELECT id FROM vehicles UNION ALL SELECT NULL) v LEFT JOIN b ON b.vehicle_id = v.id)"""
 
-@query(f"""WITH {CATALOGUE}, r AS (SELECT *, row_number() OVER w AS n, lead((matched_rules, score, priority)) OVER w = (matched_rules, score, priority) AS tie FROM m WINDOW w AS (PARTITION BY vehicle_id ORDER BY matched_rules DESC, score DESC, priority, scope DESC)), b AS (SELECT * FROM r WHERE n = 1)
-  SELECT v.id AS vehicle_id, CASE WHEN b.scope IS NOT NULL AND NOT coalesce(tie, false) THEN b.scope END AS scope, CASE WHEN b.scope IS NULL THEN 'catalog_not_found' WHEN coalesce(tie, false) THEN 'catalog_ambiguous' ELSE 'supported' END AS reason_code FROM vehicles v LEFT JOIN b ON b.vehicle_id = v.id""")
+
+@query(f"WITH {CHOICE} SELECT * FROM choice")
 def C22_catalog_choice(t):
-    return resolve.catalogue_choice(t("vehicles"), resolve.catalogue_matches(t("vehicles"), t("catalogs")))
+    none = t.spark.createDataFrame([(None,)], "id long")
+    return resolve.catalogue_choice(t("vehicles").select("id").unionByName(none), resolve.catalogue_matches(t("vehicles"), _catalogues(t)), _catalogues(t))
 
 
 def _works(t):
@@ -570,22 +582,97 @@ def K4_review_queue(t):
     return review.queue(_scored(t), "suspicious", 10, 50).select("id", "score", "bucket", "category")
 
 
-@query("SELECT check_type AS zone, max(CASE severity WHEN 'warning' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'error' THEN 3 ELSE 0 END) AS level, count(*) AS findings, CASE max(CASE severity WHEN 'warning' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'error' THEN 3 ELSE 0 END) WHEN 1 THEN 'warning' WHEN 2 THEN 'suspicious' WHEN 3 THEN 'error' ELSE 'info' END AS severity FROM repair_checks GROUP BY 1")
-def K9_risk_matrix(t):
-    return review.risk_matrix(t("repair_checks"))
+def _cases(c: str, rows, test: str = "=", last: str = "NULL") -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"CASE {' '.join(f'WHEN {c} {test} {quoted(k)} THEN {v if v == own_level else quoted(v)}' if test == '=' else f'WHEN regexp_matches({c}, {quoted(k)}) THEN {quoted(v)}' for k, v in rows)} ELSE {last} END"
+
+
+own_level = "CASE WHEN severity IN ('error', 'suspicious') THEN 'high' WHEN severity = 'normal' THEN 'low' ELSE 'medium' END"
+_SECTION = "CASE WHEN regexp_matches(check_type, 'vehicle|service') THEN 'catalogs' WHEN regexp_matches(check_type, 'standard_hours') THEN 'labor_norms' WHEN regexp_matches(check_type, 'total|duplicate') THEN 'amounts' WHEN regexp_matches(check_type, 'repeat_repair') THEN 'history' ELSE 'ocr' END"
+_T = review.TEMPLATES
+_WHY = "replace(lower(coalesce(reason, '')), 'ё', 'е')"
+_HAS = lambda c, words: f"regexp_matches({c}, '{'|'.join(words)}')"
+_RELATED = " OR ".join(f"({_HAS('why', s)} AND {_HAS('lower(name)', t)})" for _, s, t in review.SIGNALS)
+_OWN = {n: (lv, z, adv) for n, lv, z, adv in (
+    ("Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта."),
+    ("В заказ-наряде несколько диагностических работ", "medium", "Суммы и структура", "Запросить у сервиса, чем отличаются диагностические позиции и почему они тарифицировались отдельно."),
+    ("Дорогая запчасть слабо связана с причиной обращения", "medium", "Состав ремонта", "Запросить дефектовку или пояснение, почему эта запчасть была заменена именно в рамках данного обращения."),
+    ("Низкая уверенность OCR по основному документу", "medium", "Документ и OCR", "Проверить ключевые поля вручную и запросить у сервиса более качественную копию документа при необходимости."),
+    ("Документ содержит признаки неполного или спорного распознавания", None, "Документ и OCR", "До подтверждения ремонта проверить вручную все поля, отмеченные системой как спорные или отсутствующие."),
+)}
+
+
+def _own(i: int, level: str | None = None) -> str:
+    title, (lv, zone, advice) = list(_OWN.items())[i]
+    return f"'{title}', {level or repr(lv)}, '{zone}', '{advice}'"
 
 
-FINDINGS = f"""e AS (SELECT repair_id, 1 AS ord, severity, 'check: ' || title AS title FROM repair_checks WHERE NOT is_resolved UNION ALL SELECT id, 2, 'warning', 'vague reason' FROM repairs WHERE reason = 'diagnostics' UNION ALL SELECT repair_id, 3, 'suspicious', 'expensive part: ' || name FROM ({TOP_PARTS}) UNION ALL SELECT repair_id, 4, 'warning', 'poor document' FROM documents_d WHERE ocr_confidence < 0.75),
-  lv AS (SELECT *, CASE severity WHEN 'warning' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'error' THEN 3 ELSE 0 END AS level FROM e), f AS (SELECT *, row_number() OVER (PARTITION BY repair_id, title ORDER BY ord, level DESC) AS n FROM lv)"""
+_GAPS = " UNION ALL ".join(
+    f"SELECT w.repair_id, 2, {i}, 'Нет прозрачного ремонта по зоне «{zone}»', '{'high' if zone == 'ABS' else 'medium'}', 'Соответствие дефекта и ремонта', 'Запросить у сервиса расшифровку, какие действия по зоне «{zone}» были выполнены и чем подтверждено устранение неисправности.' FROM w WHERE {_HAS('why', symptoms)} AND NOT EXISTS (SELECT 1 FROM repair_lines l WHERE l.repair_id = w.repair_id AND {_HAS('lower(l.name)', terms)})"
+    for i, (zone, symptoms, terms) in enumerate(review.SIGNALS)
+)
+FINDINGS = f"""w AS (SELECT id AS repair_id, {_WHY} AS why FROM repairs), tp AS ({TOP_PARTS}), main AS (SELECT repair_id, ocr_confidence, reason_1, reason_2 FROM documents_d JOIN w USING (repair_id)),
+  e AS (SELECT repair_id, 1 AS turn, id AS place, {_cases('check_type', [(k, v[0]) for k, v in _T.items()], last='title')} AS title, {_cases('check_type', [(k, v[1] or own_level) for k, v in _T.items()], last=own_level)} AS level, {_cases('check_type', [(k, v[2]) for k, v in _T.items()], last=_cases(_SECTION, list(review.ZONES.items())))} AS zone,
+    {_cases('check_type', [(k, v[3]) for k, v in _T.items()], last=_cases('check_type', list(review.ADVICE), test='~'))} AS recommendation FROM repair_checks WHERE NOT is_resolved UNION ALL {_GAPS}
+  UNION ALL SELECT repair_id, 3, 0, {_own(0)} FROM w WHERE contains(why, 'проч') UNION ALL SELECT repair_id, 4, 0, {_own(1)} FROM repair_lines WHERE kind = 'work' AND {_HAS('lower(name)', review.DIAGNOSTICS)} GROUP BY repair_id HAVING count(*) >= 2
+  UNION ALL SELECT repair_id, 5, rank, {_own(2)} FROM tp JOIN w USING (repair_id) WHERE line_total > 0 AND why <> '' AND NOT ({_RELATED}) UNION ALL SELECT repair_id, 6, 0, {_own(3)} FROM main WHERE ocr_confidence < 0.75
+  UNION ALL SELECT repair_id, 7, 0, {_own(4, "CASE WHEN reason_1 IN ('text_not_found', 'repair_date_invalid') OR reason_2 IN ('text_not_found', 'repair_date_invalid') THEN 'medium' ELSE 'low' END")} FROM main WHERE reason_1 IS NOT NULL OR reason_2 IS NOT NULL),
+  lv AS (SELECT *, CASE level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS n FROM e), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repair_id, title ORDER BY turn, place, n DESC) AS k FROM lv) WHERE k = 1)"""
 
 
 def _findings(t):
-    return review.findings(t("repair_checks"), t("repairs"), t("documents_d"), history.top_parts(t("repair_lines"), t("repairs")))
+    return review.findings(t("repair_checks"), t("repairs"), t("repair_lines"), t("documents_d"), history.top_parts(t("repair_lines"), t("repairs")))
+
+
+@query(f"WITH {FINDINGS} SELECT repair_id, title, level, zone, recommendation FROM f WHERE turn = 1")
+def K6_check_findings(t):
+    return _findings(t).where("turn = 1").select("repair_id", "title", "level", "zone", "recommendation")
+
+
+@query(f"WITH {FINDINGS} SELECT repair_id, title, level, zone, recommendation FROM f WHERE turn = 2")
+def K7_symptom_findings(t):
+    return _findings(t).where("turn = 2").select("repair_id", "title", "level", "zone", "recommendation")
+
+
+@query(f"WITH {FINDINGS} SELECT repair_id, turn, title, level, zone, recommendation FROM f WHERE turn > 2")
+def K8_quality_findings(t):
+    return _findings(t).where("turn > 2").select("repair_id", "turn", "title", "level", "zone", "recommendation")
+
+
+@query(f"WITH {FINDINGS} SELECT repair_id, zone, CASE max(n) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, count(*) AS findings FROM f GROUP BY repair_id, zone")
+def K9_risk_matrix(t):
+    return review.risk_matrix(_findings(t))
 
 
-@query(f"WITH {FINDINGS} SELECT repair_id, max(level) AS risk, count(*) AS findings, array_to_string(list(title ORDER BY level DESC, title)[:5], ';') AS highlights FROM f WHERE n = 1 GROUP BY repair_id")
+@query(f"""WITH {FINDINGS}, s AS (SELECT repair_id, max(n) AS risk, count(*) AS findings, list(title ORDER BY n DESC, title)[:2] AS titles FROM f GROUP BY repair_id), a1 AS (SELECT repair_id, recommendation, min((-n, title)) AS first FROM f WHERE recommendation IS NOT NULL GROUP BY ALL), a AS (SELECT repair_id, array_to_string(list(recommendation ORDER BY first)[:6], ';') AS recommendations FROM a1 GROUP BY 1),
+  c AS (SELECT repair_id, count(*) FILTER (kind = 'work') AS works, count(*) FILTER (kind = 'part') AS parts FROM repair_lines GROUP BY 1), o AS (SELECT repair_id, count(*) AS n FROM repair_checks WHERE NOT is_resolved GROUP BY 1)
+  SELECT r.id AS repair_id, CASE coalesce(risk, 0) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, coalesce(findings, 0) AS findings, array_to_string(list_concat(['Сумма заказ-наряда: ' || replace(replace(replace(format('{{:,.2f}}', r.grand_total), ',', ' '), '.', ','), '~', '') || ' ₽', 'Работ: ' || coalesce(works, 0) || ' · запчастей: ' || coalesce(parts, 0), 'Открытых проверок: ' || coalesce(o.n, 0)], coalesce(titles, [])), ';') AS highlights, coalesce(recommendations, '') AS recommendations
+  FROM repairs r LEFT JOIN s ON s.repair_id = r.id LEFT JOIN a ON a.repair_id = r.id LEFT JOIN c ON c.repair_id = r.id LEFT JOIN o ON o.repair_id = r.id""")
 def K5_executive_report(t):
-    return review.report(_findings(t))
+    return review.report(t("repairs"), t("repair_lines"), t("repair_checks"), _findings(t))
+
+
+@query("""WITH w AS (SELECT DISTINCT repair_id FROM documents_d WHERE status = 'uploaded'), c AS (SELECT repair_id, bool_or(severity IN ('suspicious', 'error')) AS b FROM repair_checks WHERE NOT is_resolved GROUP BY 1)
+  SELECT r.id AS repair_id, CASE WHEN w.repair_id IS NOT NULL THEN 'ocr_queue' WHEN b THEN 'critical_mismatch' WHEN b IS NOT NULL THEN 'needs_review' ELSE 'ready' END AS status FROM repairs r LEFT JOIN w ON w.repair_id = r.id LEFT JOIN c ON c.repair_id = r.id""")
+def K12_report_status(t):
+    return review.report_status(t("repairs"), t("documents_d"), t("repair_checks"))
+
+
+@query("""WITH c AS (SELECT repair_id, bool_or(severity IN ('suspicious', 'error')) AS b FROM repair_checks WHERE NOT is_resolved GROUP BY 1), x AS (SELECT r.id, b, a.admin FROM repairs r CROSS JOIN (VALUES (true), (false)) a (admin) LEFT JOIN c ON c.repair_id = r.id)
+  SELECT id AS repair_id, admin, CASE WHEN b THEN 'suspicious' WHEN b IS NOT NULL OR admin THEN 'in_review' ELSE 'employee_confirmed' END AS status FROM x""")
+def K11_status_after_check_edit(t):
+    of = lambda admin: review.status_after_check_edit(t("repairs"), t("repair_checks"), admin).withColumn("admin", F.lit(admin))
+    return of(True).unionByName(of(False))
+
+
+@query("""WITH x AS (SELECT id, CASE id % 3 WHEN 0 THEN 'admin' ELSE 'employee' END AS role, CASE id % 5 WHEN 0 THEN 'confirm' WHEN 1 THEN 'employee_confirm' WHEN 2 THEN 'send_to_review' WHEN 3 THEN 'archive' ELSE 'confirm' END AS action FROM documents_d),
+  y AS (SELECT *, CASE WHEN action = 'employee_confirm' AND role = 'employee' THEN 1 WHEN action = 'confirm' AND role = 'admin' THEN 2 WHEN action = 'send_to_review' THEN 3 END AS k FROM x)
+  SELECT id, CASE k WHEN 1 THEN 'confirmed' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'needs_review' END AS document_status, CASE k WHEN 1 THEN 'employee_confirmed' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'in_review' END AS repair_status, CAST(CASE k WHEN 1 THEN 60 WHEN 2 THEN 20 WHEN 3 THEN 120 END AS INTEGER) AS priority, CASE k WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false END AS resolves FROM y""")
+def L8_review_action(t):
+    i = F.col("id")
+    role = F.when(i % 3 == 0, "admin").otherwise("employee")
+    action = F.when(i % 5 == 0, "confirm").when(i % 5 == 1, "employee_confirm").when(i % 5 == 2, "send_to_review").when(i % 5 == 3, "archive").otherwise("confirm")
+    return t("documents_d").select("id", review.review_action(role, action).alias("x")).select("id", "x.*")
 
 
 @query("SELECT id, array_to_string(list_filter([CASE WHEN service_id IS NULL THEN 'service' END, CASE WHEN mileage = 0 THEN 'mileage' END, CASE WHEN reason IS NULL THEN 'reason' END], lambda x: x IS NOT NULL), ',') AS missing FROM repairs WHERE service_id IS NULL OR mileage = 0")
@@ -649,9 +736,17 @@ def H4_parse_amount(t):
     return t("documents_d").select("id", text.parse_amount(amount).alias("amount"))
 
 
-@query("SELECT id, repair_date AS parsed FROM repairs")
+@query("SELECT id, CASE WHEN id % 12 IN (9, 10) THEN NULL ELSE repair_date END AS parsed FROM repairs")
 def H5_parse_date(t):
-    return t("repairs").select("id", text.parse_date(F.date_format("repair_date", "dd.MM.yyyy")).alias("parsed"))
+    """All ten formats, one with two kinds of separators, and no date."""
+    d = lambda f: F.date_format("repair_date", f)
+    months = F.element_at(F.array(*[F.lit(m) for m in text.MONTHS]), F.month("repair_date"))
+    word = F.concat(F.lit("от "), F.dayofmonth("repair_date").cast("string"), F.lit(" "), F.initcap(months), F.lit("  "), F.year("repair_date").cast("string"), F.lit(" г."))
+    kinds = [*(d(f) for f in ("dd.MM.yyyy", "dd-MM-yyyy", "d/M/yyyy", "dd.MM.yy", "dd-MM-yy", "dd/MM/yy", "yyyy.MM.dd", "yyyy-MM-dd", "yyyy/M/d", "dd.MM-yyyy")), F.lit("no date"), word]
+    out = kinds[-1]
+    for n, k in enumerate(kinds[:-1]):
+        out = F.when(F.col("id") % 12 == n, k).otherwise(out)
+    return t("repairs").select("id", text.parse_date(out).alias("parsed"))
 
 
 @query(f"SELECT id, {IDENT.replace('{c}', 'original_filename')} AS ident FROM documents_d")
@@ -664,14 +759,49 @@ def H18_normalized_name(t):
     return t("part").select(F.col("p_name").alias("name"), text.normalized_name(F.col("p_name")).alias("norm")).distinct()
 
 
-@query("SELECT id, regexp_replace(lower(name), '[^0-9a-z]+', '', 'g') AS key FROM services")
+_FORMS = "(^|[^0-9a-zа-я])(общество\\s*с\\s*ограниченной\\s*ответственностью|ооо|ао|пао|зао|ип)([^0-9a-zа-я]|$)"
+
+
+@query(f"""WITH n AS (SELECT id, CASE id % 5 WHEN 0 THEN concat('ООО «', name, '»') WHEN 1 THEN concat('Общество с ограниченной  ответственностью ', name) WHEN 2 THEN concat('АО "Ёлка" ', name) WHEN 3 THEN concat('СтройЗАО ', name, ', ИП') ELSE name END AS name FROM services)
+  SELECT id, regexp_replace(regexp_replace(replace(lower(name), 'ё', 'е'), '{_FORMS}', '\\1 \\3', 'g'), '[^0-9a-zа-я]+', '', 'g') AS key FROM n""")
 def H21_service_key(t):
-    return t("services").select("id", text.service_key(F.col("name")).alias("key"))
+    i, name = F.col("id"), F.col("name")
+    of = F.when(i % 5 == 0, F.concat(F.lit("ООО «"), name, F.lit("»"))).when(i % 5 == 1, F.concat(F.lit("Общество с ограниченной  ответственностью "), name)).when(i % 5 == 2, F.concat(F.lit('АО "Ёлка" '), name)).when(i % 5 == 3, F.concat(F.lit("СтройЗАО "), name, F.lit(", ИП"))).otherwise(name)
+    return t("services").select("id", text.service_key(of).alias("key"))
 
 
-@query("SELECT DISTINCT p_type AS category, p_name AS name, CASE WHEN contains(lower(p_type), 'service') THEN 'work' WHEN contains(lower(p_type), 'part') THEN 'part' WHEN regexp_matches(lower(p_name), 'replace|repair|diagnos') THEN 'work' ELSE 'part' END AS kind FROM part")
+IMPORTED = """i AS (SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'Запчасти' WHEN 1 THEN 'З/ч и ремонт' WHEN 2 THEN 'ТО и ремонт' WHEN 3 THEN 'Буксировка' WHEN 4 THEN NULL ELSE 'Прочее' END AS expense, CASE p_partkey % 5 WHEN 0 THEN 'Услуги' WHEN 1 THEN 'Шиномонтаж' WHEN 2 THEN NULL ELSE 'Фильтры' END AS grp,
+  concat(CASE p_partkey % 11 WHEN 0 THEN 'Замена ' WHEN 1 THEN 'Мойка ' WHEN 2 THEN 'Монтаж ' ELSE '' END, p_name) AS name FROM part)"""
+
+
+@query(f"""WITH {IMPORTED} SELECT id, CASE WHEN regexp_matches(lower(coalesce(expense, '')), 'запчаст|з/ч|зч ') THEN 'part' WHEN regexp_matches(lower(coalesce(grp, '')), 'услуг|работ|ремонт|обслужив|шиномонтаж') THEN 'work' WHEN regexp_matches(lower(name), 'ремонт|замен|диагност|мойк|шиномонтаж|балансиров|свар|буксиров|эваку|регулиров|установк|демонтаж|монтаж') THEN 'work'
+  WHEN regexp_matches(lower(coalesce(expense, '')), 'то и ремонт|дополнительные расходы|буксировка|эвакуация|комплектация|предпродажная подготовка|расходы') THEN 'work' ELSE 'part' END AS kind FROM i""")
 def H26_line_kind(t):
-    return t("part").select(F.col("p_type").alias("category"), F.col("p_name").alias("name"), text.line_kind(F.lit(None).cast("string"), F.col("p_type"), F.col("p_name")).alias("kind")).distinct()
+    i = F.col("p_partkey")
+    of = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (i % n + 1).cast("int"))
+    expense = of(7, "Запчасти", "З/ч и ремонт", "ТО и ремонт", "Буксировка", None, "Прочее", "Прочее")
+    group = of(5, "Услуги", "Шиномонтаж", None, "Фильтры", "Фильтры")
+    name = F.concat(of(11, "Замена ", "Мойка ", "Монтаж ", *[""] * 8), F.col("p_name"))
+    return t("part").select(i.alias("id"), text.line_kind(expense, group, name).alias("kind"))
+
+
+@query(f"SELECT id, {_SECTION} AS section FROM repair_checks")
+def H32_report_section(t):
+    return t("repair_checks").select("id", text.report_section(F.col("check_type")).alias("section"))
+
+
+@query("""WITH u AS (SELECT id, CASE id % 9 WHEN 0 THEN 'ШТ.' WHEN 1 THEN 'Шг' WHEN 2 THEN 'к-т' WHEN 3 THEN 'H/ч' WHEN 4 THEN 'н.ч.' WHEN 5 THEN 'часов' WHEN 6 THEN 'упак.' WHEN 7 THEN '' ELSE NULL END AS u FROM documents_d)
+  SELECT id, CASE id % 9 WHEN 0 THEN 'шт' WHEN 1 THEN 'шт' WHEN 2 THEN 'компл' WHEN 3 THEN 'нч' WHEN 4 THEN 'нч' WHEN 5 THEN 'ч' WHEN 6 THEN 'упак' END AS unit FROM u""")
+def H12_unit(t):
+    of = F.element_at(F.array(*[F.lit(v).cast("string") for v in ("ШТ.", "Шг", "к-т", "H/ч", "н.ч.", "часов", "упак.", "", None)]), (F.col("id") % 9 + 1).cast("int"))
+    return t("documents_d").select("id", text.unit(of).alias("unit"))
+
+
+@query("SELECT id, id % 6 < 5 AS suspicious FROM services")
+def H14_suspicious_service(t):
+    i, name = F.col("id") % 6, F.regexp_replace("name", "[0-9]", "")
+    of = F.when(i == 0, F.lit(" ")).when(i == 1, F.concat(name, F.lit(" Стоимость"))).when(i == 2, F.concat(name, F.lit(" 12-34-56"))).when(i == 3, F.concat(name, F.lit(" 1 200,50"))).when(i == 4, F.lit(None).cast("string")).otherwise(F.concat(name, F.lit(" 12")))
+    return t("services").select("id", text.suspicious_service(of).alias("suspicious"))
 
 
 @query("SELECT id, CASE WHEN l IS NULL AND r IS NULL THEN 'empty' WHEN l IS NULL THEN 'missing' WHEN r IS NULL THEN 'ocr_missing' WHEN l = r THEN 'match' ELSE 'mismatch' END AS status FROM (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 5 END AS l, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 10 END AS r FROM documents_d) x")

@@ -21,11 +21,11 @@ VIEWS: dict[str, str] = {
       FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "repairs": """SELECT CAST(o_orderkey AS BIGINT) AS id, concat('ZN-', CAST(o_orderkey AS STRING)) AS order_number, CAST(o_orderdate AS DATE) AS repair_date, CAST(o_custkey AS BIGINT) AS vehicle_id,
       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS BIGINT) END AS service_id, CAST(o_orderkey % 150 AS BIGINT) AS created_by_user_id, CAST((o_orderkey * 37) % 300000 AS BIGINT) AS mileage,
-      CASE WHEN o_orderkey % 5 = 0 THEN concat('historical_import:', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 9 = 0 THEN 'diagnostics' ELSE 'engine noise' END AS reason,
+      CASE WHEN o_orderkey % 5 = 0 THEN concat('historical_import:', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 9 = 0 THEN 'diagnostics' WHEN o_orderkey % 7 = 0 THEN 'Утечка воздуха' WHEN o_orderkey % 11 = 0 THEN 'Не работает ABS' WHEN o_orderkey % 13 = 1 THEN 'Прочее' ELSE 'engine noise' END AS reason, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) END AS source_document_id,
       CAST(o_totalprice AS DOUBLE) AS grand_total, CASE WHEN o_orderkey % 4 = 0 THEN CAST(CAST(o_totalprice * 0.1 AS DECIMAL(18,2)) AS DOUBLE) ELSE 0.0 END AS vat_total, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'in_review' ELSE 'suspicious' END AS status,
       o_orderkey % 6 = 0 AS is_partially_recognized, o_orderpriority AS priority FROM orders""",
     "repair_lines": """SELECT CAST(l_orderkey AS BIGINT) AS repair_id, CASE WHEN l_linenumber % 2 = 1 THEN 'work' ELSE 'part' END AS kind, CASE WHEN p_partkey % 4 = 0 OR l_orderkey % 97 = 0 THEN NULL ELSE p_brand END AS code,
-      CASE WHEN l_orderkey % 97 = 0 THEN concat(p_name, ' of ', CAST(l_orderkey AS STRING), 'x', CAST(l_linenumber AS STRING)) ELSE p_name END AS name, CAST(l_quantity AS DOUBLE) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN 'нч' ELSE 'шт' END AS unit,
+      CASE WHEN l_orderkey % 97 = 0 THEN concat(p_name, ' of ', CAST(l_orderkey AS STRING), 'x', CAST(l_linenumber AS STRING)) WHEN l_partkey % 37 = 0 THEN concat(p_name, ' abs sensor') WHEN l_partkey % 41 = 0 THEN concat(p_name, ' tech tool scan') ELSE p_name END AS name, CAST(l_quantity AS DOUBLE) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN 'нч' ELSE 'шт' END AS unit,
       CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, CAST(l_extendedprice AS DOUBLE) AS line_total, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS standard_hours,
       CASE WHEN l_partkey % 3 = 0 THEN CAST(l_quantity AS DOUBLE) / 2 ELSE NULL END AS actual_hours, CAST(l_partkey AS BIGINT) AS part_id, CAST(l_linenumber + 100 * again AS INT) AS line_no
       FROM lineitem JOIN part ON l_partkey = p_partkey CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) x WHERE again = 0 OR (l_orderkey * 7 + l_linenumber) % 101 = 0""",
@@ -41,8 +41,9 @@ VIEWS: dict[str, str] = {
       FROM documents CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) x WHERE v <= 1 + doc_id % 2""",
     "import_conflicts": """SELECT CAST(id * 3 AS BIGINT) AS id, id AS import_job_id, CASE WHEN id % 2 = 0 THEN 'vehicle' ELSE 'repair' END AS entity_type, concat('k', CAST(id % 40 AS STRING)) AS conflict_key, CASE WHEN id % 3 = 0 THEN 'resolved' ELSE 'pending' END AS status
       FROM import_jobs WHERE status IN ('failed', 'retry')""",
-    "repair_checks": """SELECT CAST(doc_id * 2 + k AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS repair_id, CASE WHEN k = 0 THEN CASE WHEN toxic = 1 THEN 'ocr_total_mismatch' ELSE 'ocr_work_reference_missing' END ELSE CASE WHEN quality = 0 THEN 'ocr_repeat_repair_detected' ELSE 'ocr_vehicle_missing' END END AS check_type,
-      CASE WHEN k = 0 AND toxic = 1 THEN 'suspicious' WHEN k = 1 AND quality = 0 THEN 'error' ELSE 'warning' END AS severity, (doc_id + k) % 4 = 0 AS is_resolved, concat('check ', CAST((doc_id + k) % 6 AS STRING)) AS title
+    "repair_checks": """SELECT CAST(doc_id * 2 + k AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS repair_id, CASE (doc_id + 5 * k) % 10 WHEN 0 THEN 'ocr_total_mismatch' WHEN 1 THEN 'ocr_work_reference_missing' WHEN 2 THEN 'ocr_repeat_repair_detected' WHEN 3 THEN 'ocr_vehicle_missing' WHEN 4 THEN 'ocr_expected_total_exceeded'
+        WHEN 5 THEN 'ocr_work_reference_price_deviation' WHEN 6 THEN 'ocr_duplicate_work_lines' WHEN 7 THEN 'ocr_service_not_found' WHEN 8 THEN 'ocr_standard_hours_exceeded' ELSE 'ocr_text_not_found' END AS check_type,
+      CASE WHEN k = 0 AND toxic = 1 THEN 'suspicious' WHEN k = 1 AND quality = 0 THEN 'error' ELSE 'warning' END AS severity, (doc_id + k) % 4 = 0 AS is_resolved, concat('check ', CAST((doc_id + k) % 6 AS STRING)) AS title, CAST('2024-01-01' AS DATE) + CAST(doc_id * 3 % 7 + k AS INT) AS created_at
       FROM labels CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) x""",
     "audit_log": """SELECT CAST(event_id AS BIGINT) AS id, ts AS created_at, CAST(user_id AS BIGINT) AS user_id, event_type AS action_type, CASE event_id % 3 WHEN 0 THEN 'repair' WHEN 1 THEN 'document' ELSE 'vehicle' END AS entity_type,
       CAST(user_id AS STRING) AS entity_id, props AS new_value, CAST(value AS DOUBLE) AS value FROM events""",
@@ -54,9 +55,11 @@ VIEWS: dict[str, str] = {
     "vehicle_links": """SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey AS BIGINT) AS left_vehicle_id, CAST(c_custkey + 1 AS BIGINT) AS right_vehicle_id, CAST('1996-01-01' AS DATE) + CAST(c_custkey % 500 AS INT) AS starts_at, CASE WHEN c_custkey % 4 = 1 THEN CAST('1998-01-01' AS DATE) ELSE NULL END AS ends_at FROM customer WHERE c_custkey % 2 = 1""",
     "labor_norms": """SELECT p_brand AS code, p_name AS name, CAST(CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'heavy' ELSE 'light' END AS STRING) AS scope, CAST(max(p_size) AS DOUBLE) AS standard_hours, CASE WHEN p_brand = 'Brand#13' THEN 'archived' ELSE 'active' END AS status, min(p_type) AS category
       FROM part GROUP BY p_brand, p_name""",
-    "catalogs": """SELECT * FROM (VALUES ('building', 'BUILDING', 'truck', 1995, 2015, 10), ('building_all', 'BUILDING', NULL, NULL, NULL, 20), ('machinery', 'MACHINERY', NULL, NULL, NULL, 10), ('machinery_2', 'MACHINERY', NULL, NULL, NULL, 10),
-      ('trailers', NULL, 'trailer', NULL, NULL, 30), ('young', 'AUTOMOBILE', NULL, 2005, NULL, 10)) t (scope, brand_keyword, vehicle_type, year_from, year_to, priority)""",
-    "review_rules": """SELECT * FROM (VALUES ('manual_review_reason', 'order_number_missing', 8, NULL), ('manual_review_reason', 'repair_date_missing', 8, NULL), ('manual_review_reason', 'repair_date_invalid', 8, NULL), ('manual_review_reason', 'mileage_missing', 8, NULL),
+    "catalogs": """SELECT * FROM (VALUES ('building', 'BUILDING|building site', NULL, NULL, 'truck', 1995, 2015, 10, 'confirmed', TRUE), ('building_all', 'BUILDING', NULL, NULL, NULL, NULL, NULL, 20, 'confirmed', TRUE), ('machinery', 'MACHINERY', NULL, NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE),
+      ('machinery_2', 'machinery', NULL, NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE), ('machinery_m1', 'MACHINERY', 'm1|m2', NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE), ('vins', NULL, NULL, 'VIN1000|vin-1001', NULL, NULL, NULL, 40, 'confirmed', TRUE), ('trailers', NULL, NULL, NULL, 'trailer', NULL, NULL, 30, 'confirmed', TRUE),
+      ('young', 'AUTOMOBILE', NULL, NULL, NULL, 2005, NULL, 10, 'confirmed', TRUE), ('gone', 'FURNITURE', NULL, NULL, NULL, NULL, NULL, 1, 'archived', TRUE), ('by_hand', 'FURNITURE', NULL, NULL, NULL, NULL, NULL, 1, 'confirmed', FALSE))
+      t (scope, brand_keywords, model_keywords, vin_prefixes, vehicle_type, year_from, year_to, priority, status, auto_match)""",
+    "review_rules": """SELECT t.*, concat(replace(code, '_', ' '), ' (', rule_type, ')') AS title FROM (VALUES ('manual_review_reason', 'order_number_missing', 8, NULL), ('manual_review_reason', 'repair_date_missing', 8, NULL), ('manual_review_reason', 'repair_date_invalid', 8, NULL), ('manual_review_reason', 'mileage_missing', 8, NULL),
       ('manual_review_reason', 'service_name_suspicious', 8, NULL), ('manual_review_reason', 'text_not_found', 12, 'critical'), ('manual_review_reason', 'image_text_not_found', 12, 'critical'), ('manual_review_reason', 'pdf_text_not_found', 12, 'critical'),
       ('manual_review_reason', 'pdf_ocr_unavailable', 16, 'critical'), ('manual_review_reason', 'image_ocr_unavailable', 16, 'critical'), ('document_status', 'uploaded', 50, NULL), ('document_status', 'partially_recognized', 80, NULL),
       ('document_status', 'needs_review', 70, NULL), ('document_status', 'ocr_error', 130, 'critical'), ('repair_status', 'in_review', 40, NULL), ('repair_status', 'employee_confirmed', 60, NULL), ('repair_status', 'suspicious', 200, 'suspicious'),
