@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from wrenchfield.functions import extract, text
+from wrenchfield.functions import document, extract, text
 
 
 def one(spark, expression, *values):
@@ -47,11 +47,48 @@ def test_lines_and_header(spark):
     d = spark.createDataFrame([(1, ORDER), (2, ""), (3, None)], "id long, text string")
     rows = extract.line_items(d).orderBy("line").collect()
     assert [(r["kind"], r["code"], r["quantity"], r["price"], r["line_total"]) for r in rows] == [("work", "F12", 1.0, 1000.0, 1000.0), ("part", None, 2.0, 250.5, 501.0)]
-    h = d.where("id = 1").select(extract.header(F.col("text")).alias("h")).select("h.*").first()
-    assert (h["order_number"], h["repair_date"], h["mileage"], h["grand_total"]) == ("ЗН-77", dt.date(2025, 1, 15), 120000, 1501.0)
-    assert h["confidence"]["mileage"] == 0.82
-    none = d.where("id > 1").select(extract.header(F.col("text")).alias("h")).select("h.order_number").collect()
-    assert [r[0] for r in none] == [None, None]
+    got = {r["id"]: r for r in document.parsed(d).collect()}
+    h = got[1]
+    assert (h["order_number"], h["repair_date"], h["mileage"], h["grand_total"], h["plate_number"]) == ("ЗН-77", dt.date(2025, 1, 15), 120000, 1501.0, None)
+    assert (h["confidence"], h["reasons"]) == ({"order_number": 0.74, "repair_date": 0.7, "mileage": 0.9, "grand_total": 0.8, "service_name": 0.58}, []) or h["service_name"] is None
+    assert all((got[i]["order_number"], got[i]["reasons"]) == (None, ["order_number_missing", "repair_date_missing", "mileage_missing"]) for i in (2, 3))
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("Зaкa3-нaряд N ЗН-7 oт 01.02.2024", {"order_number": "ЗН-7", "repair_date": dt.date(2024, 2, 1)}),
+        ("Акт выполненных работ № 55-А\nДата закрытия: 5 марта 2024\nдата 01.01.2020", {"order_number": "55-А", "repair_date": dt.date(2024, 3, 5)}),
+        ("Наряд-заказ ZN/1\nДата 45.01.2024 и 01.01.2020", {"order_number": "ZN/1", "repair_date": None}),
+        ("Документ AB-123", {"order_number": "AB-123"}),
+        ("Пробег, км: 123 456", {"mileage": 123456}),
+        ("Одометр (км) 77 000\nАвтомобиль КАМАЗ\nпробег\n123 456 закрыт\nЗаказчик", {"mileage": 123456}),
+        ("Автомобиль Х\nг/н: В 777 ВВ 77 VIN XTA12345678901234\nВладелец\nгосномер А 111 АА 11", {"plate_number": "В777ВВ77", "vin": "XTA12345678901234"}),
+        ("прицеп АВ 1234 77 рядом", {"plate_number": "АВ123477"}),
+        ("Стоимость работ: 1 000,50\nСтоимость запчастей 2 000\nНДС 20% 500,10\nВсего 3 500,60", {"work_total": 1000.5, "parts_total": 2000.0, "vat_total": None, "grand_total": 3500.6}),
+        ("Исполнитель: ООО Альфа Сервис ИНН 77", {"service_name": "ООО Альфа Сервис"}),
+        ("Исполнитель: 123456 итого", {"service_name": None}),
+    ],
+)
+def test_forms_of_headers(spark, given, wanted):
+    r = document.parsed(spark.createDataFrame([(1, given)], "id long, text string")).first()
+    assert {k: r[k] for k in wanted} == wanted
+
+
+def test_rules_go_before_patterns(spark):
+    d = spark.createDataFrame([(1, ORDER + "Номер клиента: Q-1\nпробег неизвестен")], "id long, text string")
+    r = document.parsed(d, [("order_number", r"клиента:\s*(\S+)", "raw", 1, 0.99), ("mileage", r"пробег\s+(неизвестен)", "digits_int", 1, 0.5), ("grand_total", "(нет такого)", "amount", 1)]).first()
+    assert (r["order_number"], r["confidence"]["order_number"], r["mileage"], r["grand_total"]) == ("Q-1", 0.99, 120000, 1501.0)
+
+
+def test_totals_are_reconciled_with_lines(spark):
+    conf, none = {"grand_total": 0.8}, []
+    rows = [(1, None, None, None, 30.0, conf, none, none), (2, 11.0, 21.0, None, 30.0, conf, none, none), (3, 11.0, 21.0, None, 32.0, conf, none, none), (4, 11.0, None, None, None, conf, none, none)]
+    p = spark.createDataFrame(rows, "id long, work_total double, parts_total double, vat_total double, grand_total double, confidence map<string,double>, reasons array<string>, notes array<string>")
+    sums = spark.createDataFrame([(1, 10.0, None), (2, 10.0, 20.0), (3, 10.0, 20.0), (4, None, 5.0)], "id long, works double, parts double")
+    got = {r["id"]: r for r in document.reconciled(p, sums).collect()}
+    assert {i: (r["work_total"], r["parts_total"]) for i, r in got.items()} == {1: (10.0, None), 2: (10.0, 20.0), 3: (11.0, 21.0), 4: (11.0, 5.0)}
+    assert got[2]["notes"] == ["work_total_aligned_with_lines", "parts_total_aligned_with_lines"] and got[1]["confidence"]["work_total"] == 0.68
 
 
 @pytest.mark.parametrize(
@@ -79,7 +116,7 @@ def test_total_after_long_bodies(spark):
     body = "".join(f"Деталь {i} 2 шт 250,50 501,00\n" for i in range(400))
     assert len(body) > 10_000
     long = "Заказ-наряд № ЗН-78 от 16.01.2025\nЗапчасти\n" + body + "Пробег: 99\nИтого к оплате: 200 400,00\n"
-    h = spark.createDataFrame([(long,)], "text string").select(extract.header(F.col("text")).alias("h")).select("h.*").first()
+    h = document.parsed(spark.createDataFrame([(1, long)], "id long, text string")).first()
     assert (h["order_number"], h["grand_total"], h["confidence"]["grand_total"]) == ("ЗН-78", 200400.0, 0.8)
     assert h["mileage"] is None  # the window of the other fields stays
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,17 +32,6 @@ _MARK = re.compile(rf"\b(?:(?P<stop>{_FOOTER})|(?P<work>{_WORKS}|(?:works|labou?
 _BARE = re.compile(r"\b(работа|запчасть)\b(?!\s*:)", re.I)
 _OCR = str.maketrans(text.OCR_FROM, text.OCR_TO)
 PARSERS = ("raw", "date", "amount", "digits_int")
-#: Patterns of the header's fields, first match wins: (field, pattern, confidence).
-FIELDS = (
-    ("order_number", r"(?:заказ-наряд|order)\s*(?:№|N|no\.?)?\s*([0-9A-Za-zА-Яа-я/-]*\d[0-9A-Za-zА-Яа-я/-]*)", 0.74),
-    ("repair_date", r"(?:от|дата|date)\s*:?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})", 0.70),
-    ("mileage", r"(?:пробег|mileage)\s*:?\s*(\d[\d  ]*)", 0.82),
-    ("plate_number", r"(?:госномер|гос\.?\s*номер|plate)\s*:?\s*([A-Za-zА-Яа-я]\s?\d{3}\s?[A-Za-zА-Яа-я]{2}\s?\d{2,3}|[A-Za-zА-Яа-я]{2}\s?\d{4}\s?\d{2,3})", 0.77),
-    ("vin", r"(?<![A-Z0-9])([A-HJ-NPR-Z0-9]{17})(?![A-Z0-9])", 0.88),
-    ("grand_total", r"(?:итого к оплате|всего к оплате|grand total)\s*:?\s*(\d[\d  ]*(?:[.,]\d{2})?)", 0.80),
-)
-
-
 def _amount(s: str) -> float | None:
     try:
         return round(float(re.sub(r"[\s ]", "", s).replace(",", ".")), 2)
@@ -121,41 +110,32 @@ def line_items(documents: DataFrame) -> DataFrame:
     return documents.select("id", "text").mapInPandas(run, LINES)
 
 
-def rule_matches(documents: DataFrame, rules: list[tuple[str, str, str, int]]) -> DataFrame:
-    """id, field, value: user rules (field, pattern, parser, priority), lowest priority number first; the first that matches
-    decides, and a match that its parser can't read is invalid (NULL), without any other rule being tried."""
+def rule_matches(documents: DataFrame, rules: list[tuple]) -> DataFrame:
+    """id, field, value, confidence: user rules (field, pattern, parser, priority, and, if given, confidence and whether it is
+    active), lowest priority number first; the first that matches decides, and a match that its parser can't read is invalid
+    (NULL), without any other rule being tried. A rule that doesn't compile is skipped."""
     ready = []
-    for field, pattern, parser, _ in sorted(rules, key=lambda r: (r[3], r[1])):
-        try:
-            ready.append((field, re.compile(pattern, re.I | re.M), parser))
-        except re.error:
-            continue
+    for field, pattern, parser, _, sure, active in sorted(((*r, 0.9, True)[:6] if len(r) == 4 else (*r, True)[:6] for r in rules), key=lambda r: (r[3], r[1])):
+        if active:
+            try:
+                ready.append((field, re.compile(pattern, re.I | re.M), parser, float(sure)))
+            except re.error:
+                continue
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, t in zip(b["id"], b["text"], strict=True):
                 done: set[str] = set()
-                for field, pattern, parser in ready:
+                for field, pattern, parser, sure in ready:
                     if field not in done and (m := pattern.search(t or "")):
                         done.add(field)
-                        rows.append((i, field, m[1] if m.groups() else m[0], parser))
-            yield pd.DataFrame(rows, columns=["id", "field", "value", "parser"])
+                        rows.append((i, field, m[1] if m.groups() else m[0], parser, sure))
+            yield pd.DataFrame(rows, columns=["id", "field", "value", "parser", "confidence"])
 
-    got = documents.select("id", "text").mapInPandas(run, "id long, field string, value string, parser string")
+    got = documents.select("id", "text").mapInPandas(run, "id long, field string, value string, parser string, confidence double")
     v = F.col("value")
-    return got.select("id", "field", F.when(F.col("parser") == "amount", text.parse_amount(v).cast("string")).when(F.col("parser") == "date", text.parse_date(v).cast("string")).when(F.col("parser") == "digits_int", text.parse_digits(v).cast("string")).otherwise(F.nullif(F.trim(v), F.lit(""))).alias("value"))
-
-
-def header(content: Column) -> Column:
-    """struct of the header's fields and a map of confidences. The total stands at an order's end and is searched in the whole
-    text, all other fields in the first 2,500 characters."""
-    head = F.left(content, F.lit(2500))
-    raw = {f: F.nullif(F.regexp_extract(content if f == "grand_total" else head, f"(?iu){p}", 1), F.lit("")) for f, p, _ in FIELDS}
-    value = {"repair_date": text.parse_date(raw["repair_date"]), "mileage": text.parse_mileage(raw["mileage"]), "plate_number": text.identifier(text.fold(raw["plate_number"])), "grand_total": text.parse_amount(raw["grand_total"])}
-    fields = [value.get(f, raw[f]).alias(f) for f, _, _ in FIELDS]
-    sure = F.map_filter(F.create_map(*[x for f, _, c in FIELDS for x in (F.lit(f), F.when(value.get(f, raw[f]).isNotNull(), F.lit(c)))]), lambda k, v: v.isNotNull())
-    return F.struct(*fields, sure.alias("confidence"))
+    return got.select("id", "field", F.when(F.col("parser") == "amount", text.parse_amount(v).cast("string")).when(F.col("parser") == "date", text.parse_date(v).cast("string")).when(F.col("parser") == "digits_int", text.parse_digits(v).cast("string")).otherwise(F.nullif(F.trim(v), F.lit(""))).alias("value"), "confidence")
 
 
 def _mojibake(s: str | None) -> str | None:

@@ -90,13 +90,54 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-def compared_versions(versions: DataFrame) -> DataFrame:
-    """Consecutive versions of a document, field by field, as shown."""
-    a, b = versions.alias("a"), versions.alias("b")
-    both = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("b.version_number") == F.col("a.version_number") + 1))
-    shown = {"order_number": lambda s: F.col(f"{s}.order_number"), "grand_total": lambda s: F.format_string("%.2f", F.col(f"{s}.grand_total")), "source_path": lambda s: F.col(f"{s}.source_path")}
-    rows = both.select(F.col("a.document_id"), F.col("a.version_number").alias("version"), F.inline(F.array(*[F.struct(F.lit(n).alias("field"), f("a").alias("old"), f("b").alias("new")) for n, f in shown.items()])))
-    return rows.withColumn("is_different", ~F.col("old").eqNullSafe(F.col("new")))
+def compared_documents(pairs: DataFrame, extracted: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Fields of two documents (pairs: left_id, right_id; extracted: document_id and the fields), as shown, and whether they differ."""
+    shown = lambda c: F.format_string("%.2f", F.col(c)) if dict(extracted.dtypes)[c] == "double" else F.col(c).cast("string")
+    side = lambda name: extracted.select(F.col("document_id").alias(f"{name}_id"), F.array(*[F.when(F.col(f).isNotNull(), shown(f)) for f in fields]).alias(name))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    rows = both.select("left_id", "right_id", F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in fields]).alias("field"), F.col("left"), F.col("right"))))
+    return rows.withColumn("is_different", ~F.col("left").eqNullSafe(F.col("right")))
+
+
+def sections(**frames: DataFrame) -> DataFrame:
+    """A page of several lists as rows: section, place, id, label, n. Each frame has id, label and n in its order, and is a page itself."""
+    from pyspark.sql.window import Window
+
+    out = None
+    for name, df in frames.items():
+        place = F.row_number().over(Window.orderBy("_at"))  # a page's rows, no more
+        rows = df.withColumn("_at", F.monotonically_increasing_id()).select(F.lit(name).alias("section"), place.alias("place"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("n").cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def data_quality_lists(documents: DataFrame, repairs: DataFrame, checks: DataFrame, services: DataFrame, conflicts: DataFrame, limit: int = 8) -> DataFrame:
+    """The five lists behind the data-quality numbers: documents to look at, partial and suspicious repairs, provisional
+    services in use, pending conflicts."""
+    limit = filters.clamp(limit, 1, 25)
+    d = documents.where(filters.needs_attention(F.col("status"), F.col("ocr_confidence"), ["uploaded", "needs_review", "partially_recognized", "ocr_error"]))
+    open_ = checks.where(~F.col("is_resolved")).groupBy(F.col("repair_id").alias("_r")).agg(F.count("*").alias("n"))
+    r = repairs.join(open_, repairs["id"] == open_["_r"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    take = lambda df, order, label, n: page(df, order, 0, limit).select("id", F.col(label).alias("label"), n.alias("n"))
+    by_date = [F.desc("repair_date"), F.desc("id")]
+    return sections(
+        documents=take(d, [F.desc("review_queue_priority"), F.desc("id")], "status", F.col("review_queue_priority")),
+        partial=take(r.where("is_partially_recognized"), by_date, "order_number", F.col("n")),
+        suspicious=take(r.where("status = 'suspicious'"), [F.desc("n"), *by_date], "order_number", F.col("n")),
+        services=services_in_use(services, repairs, "preliminary", limit).select("id", F.col("name").alias("label"), F.col("repairs_total").alias("n")),
+        conflicts=take(conflicts.where("status = 'pending'"), [F.desc("id")], "conflict_key", F.col("import_job_id")),
+    )
+
+
+def global_search(repairs: DataFrame, documents: DataFrame, vehicles: DataFrame, services: DataFrame, lines: DataFrame, q: str, limit: int = 10) -> DataFrame:
+    """Repairs, documents and vehicles that hold the query: a page of each, with what they were found by, and all totals."""
+    r = search_repairs(repairs, vehicles, services, lines, q)
+    d = documents.where(filters.ilike_any(q, F.col("original_filename"), F.col("source"))).withColumn("matched_by", F.array_join(filters.matched_by(q, original_filename=F.col("original_filename"), source=F.col("source")), ","))
+    names = ("external_id", "plate_number", "vin", "brand", "model")
+    v = vehicles.where(filters.ilike_any(q, *[F.col(c) for c in names])).withColumn("matched_by", F.array_join(filters.matched_by(q, **{c: F.col(c) for c in names}), ","))
+    top = lambda df, *order: page(df, [*order], 0, limit).select("id", F.col("matched_by").alias("label"), F.lit(1).alias("n"))
+    total = lambda df: df.agg(F.count("*").alias("n")).select(F.lit("all").alias("id"), F.lit("total").alias("label"), "n")
+    return sections(repairs=top(r, F.desc("repair_date"), F.desc("id")), documents=top(d, F.desc("id")), vehicles=top(v, F.asc("id")), repairs_total=total(r), documents_total=total(d), vehicles_total=total(v))
 
 
 def nested(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:

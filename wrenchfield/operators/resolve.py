@@ -145,9 +145,9 @@ def norm_scores(works: DataFrame, norms: DataFrame, least: float = 0.55) -> Data
     return coded.unionByName(near).where(F.col("score") >= least)
 
 
-def best_norm(scores: DataFrame) -> DataFrame:
-    """The best norm of each work, unless its runner-up makes it doubtful."""
-    w = Window.partitionBy("code", "name").orderBy(F.desc("score"), F.desc("standard_hours"), F.desc("n_code"), F.desc("n_scope"), F.desc("n_name"))
+def best_norm(scores: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """The best norm of each work (within further columns, if asked for), unless its runner-up makes it doubtful."""
+    w = Window.partitionBy("code", "name", *(within or [])).orderBy(F.desc("score"), F.desc("standard_hours"), F.desc("n_code"), F.desc("n_scope"), F.desc("n_name"))
     nxt = lambda c: F.lead(c).over(w)
     rows = scores.select("*", F.row_number().over(w).alias("n"), nxt("score").alias("r_score"), nxt("matched_by").alias("r_by"), nxt("n_code").alias("r_code"), nxt("n_scope").alias("r_scope"), nxt("n_name").alias("r_name")).where("n = 1")
     code = F.col("matched_by") == "code"

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, text
-from ..operators import dashboard, filters, history, latest, mutations, resolve, review
+from ..functions import document, extract, text
+from ..operators import checks, dashboard, filters, history, latest, mutations, resolve, review
 from .views import Tables, with_views
 
 DAY = dt.date(1997, 6, 15)
@@ -42,6 +42,19 @@ REFERENCE = f"""ref AS (SELECT l.*, r.repair_date, r.vehicle_id, r.service_id, r
   FROM repair_lines l JOIN repairs r ON l.repair_id = r.id WHERE l.kind = 'work' AND ({HIST} OR r.status IN ('confirmed', 'employee_confirmed')))"""
 
 
+def _cases(c: str, rows, test: str = "=", last: str = "NULL") -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"CASE {' '.join(f'WHEN {c} {test} {quoted(k)} THEN {v if v == own_level else quoted(v)}' if test == '=' else f'WHEN regexp_matches({c}, {quoted(k)}) THEN {quoted(v)}' for k, v in rows)} ELSE {last} END"
+
+
+own_level = "CASE WHEN severity IN ('error', 'suspicious') THEN 'high' WHEN severity = 'normal' THEN 'low' ELSE 'medium' END"
+
+
+_SHOWN = {"order_number": "order_number", "repair_date": "CAST(repair_date AS VARCHAR)", "mileage": "CAST(mileage AS VARCHAR)", "service_name": "service_name", **{f: f"printf('%.2f', {f})" for f in document.TOTALS}}
+_LONG = " UNION ALL ".join(f"SELECT document_id, repair_id, '{f}' AS field, {c} AS v FROM extracted" for f, c in _SHOWN.items())
+_SECTION = "CASE WHEN regexp_matches(check_type, 'vehicle|service') THEN 'catalogs' WHEN regexp_matches(check_type, 'standard_hours') THEN 'labor_norms' WHEN regexp_matches(check_type, 'total|duplicate') THEN 'amounts' WHEN regexp_matches(check_type, 'repeat_repair') THEN 'history' ELSE 'ocr' END"
+
+
 # --- summaries and aggregates
 
 
@@ -194,21 +207,82 @@ def J5_expected_total(t):
     return history.expected_total(t("repair_lines"), t("repairs"), t("vehicles"))
 
 
-@query("""WITH n AS (SELECT code, name, max(standard_hours) AS n_hours FROM labor_norms GROUP BY ALL), x AS (SELECT l.repair_id, l.part_id, l.line_no, l.actual_hours, CASE WHEN l.standard_hours > 0 THEN l.standard_hours ELSE n_hours END AS norm FROM repair_lines l LEFT JOIN n ON n.code = l.code AND n.name = l.name WHERE kind = 'work')
-  SELECT repair_id, part_id, line_no, actual_hours, norm, round(1.1 * norm, 2) AS "limit" FROM x WHERE actual_hours > round(1.1 * norm, 2)""")
-def J1_hours_exceeded(t):
-    return history.hours_exceeded(t("repair_lines"), t("labor_norms")).select("repair_id", "part_id", "line_no", "actual_hours", "norm", "limit")
+def _j10(t):
+    sums, i = history.line_sums(t("repair_lines")), F.col("id")
+    r = t("repairs").select("id", "vat_total", "grand_total").join(sums.withColumnRenamed("repair_id", "id"), "id")
+    return r.select(i.alias("repair_id"), F.when(i % 3 == 1, F.col("work_total")).when(i % 3 == 2, F.col("work_total") + 1).alias("work_total"), F.when(i % 4 == 1, F.col("parts_total")).when(i % 4 > 1, F.col("parts_total") + 2).alias("parts_total"), "vat_total", F.col("grand_total").cast("decimal(18,2)").cast("double").alias("grand_total")), sums
 
 
-@query("""SELECT l.repair_id, l.part_id, l.line_no, l.standard_hours, n.standard_hours AS catalogue_hours FROM repair_lines l JOIN (SELECT code, name, min(standard_hours) / 2 AS standard_hours FROM labor_norms GROUP BY ALL) n ON n.code = l.code AND n.name = l.name WHERE kind = 'work' AND l.standard_hours - n.standard_hours > 0.01""")
-def J2_document_norm_exceeded(t):
-    n = t("labor_norms").groupBy("code", "name").agg((F.min("standard_hours") / 2).alias("catalogue_hours"))
-    return t("repair_lines").where("kind = 'work'").join(n, ["code", "name"]).where(F.col("standard_hours") - F.col("catalogue_hours") > 0.01).select("repair_id", "part_id", "line_no", "standard_hours", "catalogue_hours")
+@query(f"""WITH s AS ({SUMS}), h AS (SELECT r.id AS repair_id, CASE r.id % 3 WHEN 1 THEN s.work_total WHEN 2 THEN s.work_total + 1 END AS w, CASE r.id % 4 WHEN 1 THEN s.parts_total WHEN 0 THEN NULL ELSE s.parts_total + 2 END AS p, r.vat_total AS v, CAST(CAST(r.grand_total AS DECIMAL(18,2)) AS DOUBLE) AS g, s.work_total, s.parts_total FROM repairs r JOIN s ON s.repair_id = r.id),
+  u AS (SELECT repair_id, 'ocr_work_lines_total_mismatch' AS check_type, work_total AS lines_total, w AS header_total FROM h UNION ALL SELECT repair_id, 'ocr_part_lines_total_mismatch', parts_total, p FROM h UNION ALL SELECT repair_id, 'ocr_total_mismatch', round(coalesce(w, 0) + coalesce(p, 0) + coalesce(v, 0), 2), g FROM h) SELECT *, 'suspicious' AS severity FROM u WHERE lines_total <> header_total""")
+def J10_total_mismatch(t):
+    headers, sums = _j10(t)
+    return checks.total_checks(headers, sums)
 
 
-@query(f"WITH s AS ({SUMS}), x AS (SELECT s.*, CAST(CAST(grand_total AS DECIMAL(18,2)) AS DOUBLE) AS grand_total, round(coalesce(work_total, 0) + coalesce(parts_total, 0), 2) AS lines_total FROM s JOIN repairs r ON r.id = s.repair_id) SELECT * FROM x WHERE lines_total <> grand_total")
-def J10_total_mismatch(t):
-    return history.total_mismatch(t("repairs"), history.line_sums(t("repair_lines")))
+@query("SELECT e.document_id, e.repair_id, e.plate_number, v.plate_number AS vehicle_plate, 'ocr_vehicle_plate_mismatch' AS check_type, 'warning' AS severity FROM extracted e JOIN repairs r ON r.id = e.repair_id JOIN vehicles v ON v.id = r.vehicle_id WHERE e.document_id % 4 = 1")
+def J9_plate_mismatch(t):
+    return checks.plate_mismatch(t("extracted"), t("repairs"), t("vehicles"))
+
+
+REASONS = "reasons AS (SELECT repair_id, reason_1 AS reason FROM documents_d WHERE reason_1 IS NOT NULL UNION ALL SELECT repair_id, reason_2 FROM documents_d WHERE reason_2 IS NOT NULL)"
+_REASON_CHECK = f"{_cases('reason', list(checks.REASON_TYPES.items()), last=chr(39) + 'ocr_' + chr(39) + ' || reason')} AS check_type, 'warning' AS severity, {_cases('reason', list(checks.REASON_TITLES.items()), last=chr(39) + checks.OTHER_REASON + chr(39))} AS title"
+
+
+def _reasons(t):
+    return t("documents_d").select("repair_id", F.explode(F.array_compact(F.array("reason_1", "reason_2"))).alias("reason"))
+
+
+@query(f"WITH {REASONS} SELECT repair_id, reason, {_REASON_CHECK} FROM reasons")
+def J11_reason_checks(t):
+    return checks.reason_checks(_reasons(t))
+
+
+@query(f"SELECT id AS repair_id, 'historical_mileage_missing' AS check_type, 'warning' AS severity FROM repairs WHERE {HIST} AND mileage <= 0")
+def J12_mileage_missing(t):
+    return checks.mileage_missing(t("repairs"))
+
+
+@query("SELECT d.repair_id, d.id AS document_id, 'ocr_processing_failed' AS check_type, 'error' AS severity FROM documents_d d JOIN (SELECT document_id, arg_max(status, id) AS status FROM import_jobs GROUP BY 1) j ON j.document_id = d.id WHERE j.status = 'failed'")
+def J13_processing_failed(t):
+    return checks.processing_failed(t("documents_d"), latest.latest_job(t("import_jobs")))
+
+
+@query(f"""WITH {REASONS}, seen AS (SELECT repair_id, substr(check_type, 5) AS reason FROM repair_checks WHERE check_type LIKE 'ocr\\_%' ESCAPE '\\'), rest AS (SELECT repair_id, reason, {_REASON_CHECK} FROM (SELECT DISTINCT * FROM reasons) r WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.repair_id = r.repair_id AND seen.reason = r.reason))
+  SELECT repair_id, {_SECTION} AS section, severity, title, 'check' AS source, is_resolved FROM repair_checks UNION ALL SELECT repair_id, {_SECTION}, severity, title, 'manual_review_reason', false FROM rest""")
+def K15_export_warnings(t):
+    return checks.export_warnings(t("repair_checks"), _reasons(t))
+
+
+_NOW = {"order_number": "r.order_number", "repair_date": "CAST(r.repair_date AS VARCHAR)", "mileage": "CAST(r.mileage AS VARCHAR)", "service_name": "s.name", "vat_total": "printf('%.2f', r.vat_total)", "grand_total": "printf('%.2f', r.grand_total)"}
+_CORRECTED = " UNION ALL ".join(f"SELECT r.id AS repair_id, '{f}' AS field, {c} AS v FROM repairs r LEFT JOIN services s ON s.id = r.service_id" for f, c in _NOW.items())
+SIGNALS = f"""u AS ({_LONG}), c AS ({_CORRECTED}), sg AS (SELECT c.repair_id, c.field, CASE WHEN u.v IS NULL THEN 'missing' ELSE 'mismatch' END AS signal_type, u.v AS extracted, c.v AS corrected FROM c JOIN u ON u.repair_id = c.repair_id AND u.field = c.field WHERE c.v IS NOT NULL AND u.v IS DISTINCT FROM c.v AND NOT (c.field = 'mileage' AND c.repair_id % 2 = 0))"""
+
+
+def _signals(t):
+    s = t("services").select(F.col("id").alias("service_id"), F.col("name").alias("service_name"))
+    now = t("repairs").join(s, "service_id", "left").select(F.col("id").alias("repair_id"), "order_number", "repair_date", "mileage", "service_name", F.lit(None).cast("double").alias("work_total"), F.lit(None).cast("double").alias("parts_total"), "vat_total", "grand_total")
+    known = t("extracted").where("repair_id % 2 = 0").join(now.select("repair_id", F.col("mileage").alias("_m")), "repair_id").select("repair_id", F.lit("mileage").alias("field"), F.col("mileage").cast("string").alias("extracted"), F.col("_m").cast("string").alias("corrected"))
+    return checks.learning_signals(now, t("extracted"), known)
+
+
+@query(f"WITH {SIGNALS} SELECT * FROM sg")
+def K14_learning_signals(t):
+    return _signals(t)
+
+
+@query(f"""WITH {SIGNALS} SELECT repair_id, field, {_cases('field', [('order_number', '(?:(?:заказ[' + chr(92) + 's-]*наряд|наряд[' + chr(92) + 's-]*заказ|№|N|#))[^' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'dA-Za-zА-Яа-я]{0,20}('), ('mileage', '(?:(?:пробег|одометр))[^' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'dA-Za-zА-Яа-я]{0,20}(')])} || replace(corrected, '-', chr(92) || '-') || ')' AS pattern, CASE field WHEN 'mileage' THEN 'digits_int' ELSE 'raw' END AS parser FROM sg WHERE field IN ('order_number', 'mileage')""")
+def H29_draft_rules(t):
+    return checks.draft_rules(_signals(t).where("field in ('order_number', 'mileage')")).select("repair_id", "field", "pattern", "parser")
+
+
+@query("""WITH o AS (SELECT * FROM repair_checks WHERE NOT is_resolved), n AS (SELECT repair_id, count(*) AS unresolved, count(*) FILTER (severity IN ('suspicious', 'error')) AS blocking FROM o GROUP BY 1), ti AS (SELECT repair_id, title, max((created_at, id)) AS seen_at FROM o GROUP BY ALL), w AS (SELECT rule_type || ':' || code AS k, title FROM review_rules),
+  p AS (SELECT d.id, 0 AS g, 0 AS i, w.title FROM documents_d d JOIN repairs r ON r.id = d.repair_id JOIN w ON w.k = 'document_status:' || d.status UNION ALL SELECT d.id, 1, 0, w.title FROM documents_d d JOIN repairs r ON r.id = d.repair_id JOIN w ON w.k = 'repair_status:' || r.status
+    UNION ALL SELECT d.id, 2, 0, coalesce(w.title, replace(reason_1, '_', ' ')) FROM documents_d d JOIN repairs r ON r.id = d.repair_id LEFT JOIN w ON w.k = 'manual_review_reason:' || reason_1 WHERE reason_1 IS NOT NULL UNION ALL SELECT d.id, 3, 0, coalesce(w.title, replace(reason_2, '_', ' ')) FROM documents_d d JOIN repairs r ON r.id = d.repair_id LEFT JOIN w ON w.k = 'manual_review_reason:' || reason_2 WHERE reason_2 IS NOT NULL
+    UNION ALL SELECT d.id, 4, row_number() OVER (PARTITION BY d.id ORDER BY seen_at DESC, ti.title DESC), ti.title FROM documents_d d JOIN repairs r ON r.id = d.repair_id JOIN ti ON ti.repair_id = r.id), q AS (SELECT id, title, min((g, i)) AS z FROM p GROUP BY ALL), l AS (SELECT id, array_to_string(list(title ORDER BY z), ';') AS issues, CAST(count(*) AS INTEGER) AS issue_count FROM q GROUP BY id)
+  SELECT d.id, coalesce(issues, '') AS issues, coalesce(issue_count, 0) AS issue_count, coalesce(unresolved, 0) AS unresolved, coalesce(blocking, 0) AS blocking FROM documents_d d JOIN repairs r ON r.id = d.repair_id LEFT JOIN l ON l.id = d.id LEFT JOIN n ON n.repair_id = r.id""")
+def K3_queue_items(t):
+    return checks.queue_items(t("documents_d"), t("repairs"), t("repair_checks"), t("review_rules"))
 
 
 REPEATS = f"""WITH w AS (SELECT DISTINCT repair_id, code, {NAME.replace('{c}', 'name')} AS norm, repair_date, vehicle_id FROM repair_lines JOIN repairs r ON r.id = repair_id WHERE kind = 'work'),
@@ -405,6 +479,38 @@ def C24_best_norm(t):
     return resolve.best_norm(resolve.norm_scores(_works(t), t("labor_norms")))
 
 
+NORMED = f"""{CHOICE}, scoped AS (SELECT vehicle_id, CASE scope WHEN 'building' THEN 'heavy' WHEN 'building_all' THEN 'light' WHEN 'trailers' THEN 'heavy' WHEN 'vins' THEN 'light' WHEN 'young' THEN 'light' END AS n_scope FROM choice WHERE vehicle_id IS NOT NULL), {NORMS.replace(" || ' fitting' AS name", '')},
+  rr AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS r_score, lead(matched_by) OVER w AS r_by, lead(n_code) OVER w AS r_code, lead(n_name) OVER w AS r_name FROM scored WINDOW w AS (PARTITION BY code, name, n_scope ORDER BY score DESC, standard_hours DESC, n_code DESC, n_name DESC)),
+  bb AS (SELECT * FROM rr WHERE n = 1 AND NOT coalesce(matched_by <> 'code' AND abs(score - r_score) < 0.0001 AND n_name = r_name, false) AND (matched_by = 'code' OR score >= 0.9 OR (NOT coalesce(score - r_score < 0.12, false) AND score >= 0.68))),
+  normed AS (SELECT l.*, b.n_code AS norm_code, b.n_name AS norm_name, b.standard_hours AS norm_hours, b.score AS norm_score, b.matched_by AS norm_by FROM repair_lines l JOIN repairs rp ON rp.id = l.repair_id LEFT JOIN scoped s ON s.vehicle_id = rp.vehicle_id LEFT JOIN bb b ON b.code IS NOT DISTINCT FROM l.code AND b.name = l.name AND b.n_scope = s.n_scope WHERE l.kind = 'work')"""
+
+
+def _normed(t):
+    choice = resolve.catalogue_choice(t("vehicles"), resolve.catalogue_matches(t("vehicles"), _catalogues(t)))
+    named = {"building": "heavy", "building_all": "light", "trailers": "heavy", "vins": "light", "young": "light"}
+    scope = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    works = t("repair_lines").where("kind = 'work'").join(t("repairs").select(F.col("id").alias("repair_id"), "vehicle_id"), "repair_id")
+    return checks.with_norms(works, choice.withColumn("scope", scope[F.col("scope")]), t("labor_norms"))
+
+
+@query(f"WITH {NORMED} SELECT repair_id, part_id, line_no, coalesce(code, norm_code) AS code, norm_code, norm_name, norm_hours, norm_score, norm_by FROM normed")
+def I13_labour_norms(t):
+    return _normed(t).select("repair_id", "part_id", "line_no", "code", "norm_code", "norm_name", "norm_hours", "norm_score", "norm_by")
+
+
+HOURS = f"""{NORMED}, hc AS (SELECT repair_id, part_id, line_no, coalesce(actual_hours, CASE WHEN unit IN ('нч', 'ч') THEN quantity END) AS a, standard_hours AS d, norm_hours AS c FROM normed)"""
+
+
+@query(f"WITH {HOURS} SELECT repair_id, part_id, line_no, a AS hours, coalesce(d, c) AS norm FROM hc WHERE coalesce(d, c) > 0 AND a > round(coalesce(d, c) * 1.1, 2)")
+def J1_hours_exceeded(t):
+    return checks.hours_checks(_normed(t)).where("check_type = 'ocr_standard_hours_exceeded'").select("repair_id", "part_id", "line_no", "hours", "norm")
+
+
+@query(f"WITH {HOURS} SELECT repair_id, part_id, line_no, d AS hours, c AS norm FROM hc WHERE d - c > 0.01")
+def J2_document_norm_exceeded(t):
+    return checks.hours_checks(_normed(t)).where("check_type = 'ocr_document_standard_hours_exceeded'").select("repair_id", "part_id", "line_no", "hours", "norm")
+
+
 @query("SELECT a.id AS first_id, b.id AS second_id FROM assignments a JOIN assignments b ON a.user_id = b.user_id AND a.vehicle_id = b.vehicle_id AND a.id < b.id AND a.starts_at <= coalesce(b.ends_at, DATE '9999-12-31') AND b.starts_at <= coalesce(a.ends_at, DATE '9999-12-31')")
 def C25_interval_overlap(t):
     return resolve.overlapping(t("assignments"))
@@ -431,10 +537,33 @@ def C28_import_antijoin(t):
     return new.withColumn("outcome", F.lit("new")).unionByName(known.withColumn("outcome", F.lit("conflict")))
 
 
-@query("""WITH p AS (SELECT a.document_id, a.version_number AS version, a.order_number AS o1, b.order_number AS o2, printf('%.2f', a.grand_total) AS g1, printf('%.2f', b.grand_total) AS g2, a.source_path AS s1, b.source_path AS s2 FROM document_versions a JOIN document_versions b ON a.document_id = b.document_id AND b.version_number = a.version_number + 1),
-  u AS (SELECT document_id, version, 'order_number' AS field, o1 AS old, o2 AS "new" FROM p UNION ALL SELECT document_id, version, 'grand_total', g1, g2 FROM p UNION ALL SELECT document_id, version, 'source_path', s1, s2 FROM p) SELECT *, old IS DISTINCT FROM "new" AS is_different FROM u""")
+@query(f"WITH u AS ({_LONG}) SELECT a.document_id AS left_id, b.document_id AS right_id, a.field, a.v AS \"left\", b.v AS \"right\", a.v IS DISTINCT FROM b.v AS is_different FROM u a JOIN u b ON b.document_id = a.document_id + 1 AND a.field = b.field")
 def C29_document_compare(t):
-    return dashboard.compared_versions(t("document_versions"))
+    pairs = t("documents_d").select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"))
+    return dashboard.compared_documents(pairs, t("extracted"), checks.LEARNED)
+
+
+@query("SELECT a.entity_id::BIGINT AS \"of\", a.id, a.created_at, a.action_type, u.full_name AS user_name FROM audit_log a JOIN documents_d d ON a.entity_id = CAST(d.id AS VARCHAR) LEFT JOIN users u ON u.id = a.user_id WHERE a.entity_type = 'document'")
+def C30_document_history(t):
+    return checks.history(t("audit_log"), "document", t("documents_d").select("id"), t("users"))
+
+
+@query(f"SELECT count(*) AS pending FROM import_conflicts c JOIN import_jobs j ON j.id = c.import_job_id JOIN documents_d d ON d.id = j.document_id JOIN repairs r ON r.id = d.repair_id WHERE c.status = 'pending' AND r.vehicle_id IN ({MINE})")
+def C8_pending_conflicts_scoped(t):
+    mine = filters.visible_repairs(t("repairs"), t("assignments"), t("vehicles"), USER, DAY, own=False).select(F.col("id").alias("repair_id"))
+    d = t("documents_d").select(F.col("id").alias("document_id"), "repair_id").join(mine, "repair_id", "left_semi")
+    j = t("import_jobs").select(F.col("id").alias("import_job_id"), "document_id").join(d, "document_id", "left_semi")
+    return t("import_conflicts").where("status = 'pending'").join(j, "import_job_id", "left_semi").agg(F.count("*").alias("pending"))
+
+
+@query("SELECT DISTINCT * FROM (SELECT repair_id, original_filename AS key FROM documents_d UNION ALL SELECT d.repair_id, v.source_path FROM document_versions v JOIN documents_d d ON d.id = v.document_id) x WHERE key IS NOT NULL")
+def G3_storage_keys(t):
+    return checks.storage_keys(t("documents_d"), t("document_versions"))
+
+
+@query("SELECT name, city FROM services ORDER BY lower(name), name LIMIT 30")
+def F9_name_order(t):
+    return t("services").orderBy(F.lower("name"), "name").limit(30).select("name", "city")
 
 
 # --- first, last and best
@@ -582,13 +711,6 @@ def K4_review_queue(t):
     return review.queue(_scored(t), "suspicious", 10, 50).select("id", "score", "bucket", "category")
 
 
-def _cases(c: str, rows, test: str = "=", last: str = "NULL") -> str:
-    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    return f"CASE {' '.join(f'WHEN {c} {test} {quoted(k)} THEN {v if v == own_level else quoted(v)}' if test == '=' else f'WHEN regexp_matches({c}, {quoted(k)}) THEN {quoted(v)}' for k, v in rows)} ELSE {last} END"
-
-
-own_level = "CASE WHEN severity IN ('error', 'suspicious') THEN 'high' WHEN severity = 'normal' THEN 'low' ELSE 'medium' END"
-_SECTION = "CASE WHEN regexp_matches(check_type, 'vehicle|service') THEN 'catalogs' WHEN regexp_matches(check_type, 'standard_hours') THEN 'labor_norms' WHEN regexp_matches(check_type, 'total|duplicate') THEN 'amounts' WHEN regexp_matches(check_type, 'repeat_repair') THEN 'history' ELSE 'ocr' END"
 _T = review.TEMPLATES
 _WHY = "replace(lower(coalesce(reason, '')), 'ё', 'е')"
 _HAS = lambda c, words: f"regexp_matches({c}, '{'|'.join(words)}')"
@@ -810,30 +932,81 @@ def H33_compared(t):
     return t("documents_d").select("id", text.compared(F.when(i % 4 != 0, i % 5), F.when(i % 3 != 0, i % 10)).alias("status"))
 
 
-# --- extraction (no SQL: tests/ checks them on fixtures)
+# --- extraction from texts that are made of the repairs' lines, so that SQL knows what is in them
+
+_FLOOR = "floor({c} * 100) / 100"
+_ITEM = f"printf('%s %d шт %.2f %.2f', name, CAST(quantity AS INTEGER), {_FLOOR.replace('{c}', 'price')}, {_FLOOR.replace('{c}', 'line_total')})"
+ITEMS = f"items AS (SELECT repair_id AS id, row_number() OVER (PARTITION BY repair_id ORDER BY {_ITEM}) AS line, name, quantity, {_FLOOR.replace('{c}', 'price')} AS price, {_FLOOR.replace('{c}', 'line_total')} AS line_total FROM repair_lines)"
 
 
 def _orders(t):
-    r = t("repair_lines").groupBy(F.col("repair_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s %d шт %.2f %.2f", F.col("name"), F.col("quantity").cast("int"), F.col("price"), F.col("line_total")))), "\n").alias("body"))
-    return r.select("id", F.concat(F.lit("Заказ-наряд № ЗН-"), F.col("id").cast("string"), F.lit(" от 15.01.2025\nПробег 120000\nЗапчасти\n"), F.col("body"), F.lit("\nИтого к оплате 3500,00")).alias("text"))
+    cents = lambda c: F.floor(F.col(c) * 100) / 100
+    r = t("repair_lines").groupBy(F.col("repair_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s %d шт %.2f %.2f", F.col("name"), F.col("quantity").cast("int"), cents("price"), cents("line_total")))), "\n").alias("body"))
+    n = F.col("id").cast("string")
+    head = F.concat(F.lit("Зaкaз-нapяд № ЗН-"), n, F.lit(" от 15.01.2025\nАвтомобиль КАМАЗ\nГосномер: А 123 ВС 116 VIN: XTA12345678901234\nПробег: 120 000 км\nЗаказчик: ООО Ромашка\nИсполнитель: ООО Трак "), n, F.lit(" ИНН 7700000000\nЗапчасти\n"))
+    total = F.when(F.col("id") % 2 == 0, F.lit("\nНДС: 20,00")).otherwise("")
+    return r.select("id", F.concat(head, F.col("body"), total, F.lit("\nИтого к оплате: 3 500,00")).alias("text"))
 
 
-@query()
+@query(f"WITH {ITEMS} SELECT id, CAST(line AS INTEGER) AS line, 'part' AS kind, NULL AS code, name, quantity, 'шт' AS unit, price, line_total FROM items")
 def I6_line_items(t):
     return extract.line_items(_orders(t))
 
 
-@query()
+_PARSED = "concat('ЗН-', CAST(id AS STRING)) AS order_number, DATE '2025-01-15' AS repair_date, CAST(120000 AS BIGINT) AS mileage, 'А123ВС116' AS plate_number, 'XTA12345678901234' AS vin"
+
+
+@query(f"""WITH {ITEMS}, s AS (SELECT id, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS parts FROM items GROUP BY id) SELECT id, {_PARSED}, concat('ООО Трак ', CAST(id AS STRING)) AS service_name, CAST(NULL AS DOUBLE) AS work_total, parts AS parts_total, CASE WHEN id % 2 = 0 THEN 20.0 END AS vat_total, 3500.0 AS grand_total,
+  concat('grand_total=0.8,mileage=0.9,order_number=0.74,parts_total=0.68,plate_number=0.9,repair_date=0.7,service_name=0.58,', CASE WHEN id % 2 = 0 THEN 'vat_total=0.72,' ELSE '' END, 'vin=0.92') AS confidence, '' AS reasons, 'parts_total_restored_from_lines' AS notes FROM s""")
 def I8_parse_document(t):
-    return _orders(t).select("id", extract.header(F.col("text")).alias("h")).select("id", "h.order_number", "h.repair_date", "h.mileage", "h.grand_total")
+    orders = _orders(t)
+    sums = extract.line_items(orders).groupBy("id").agg(history.money_sum(F.when(F.col("kind") == "work", F.col("line_total"))).alias("works"), history.money_sum(F.when(F.col("kind") == "part", F.col("line_total"))).alias("parts"))
+    p = document.reconciled(document.with_service(document.parsed(orders), resolve.service_in_text(orders, t("services"))), sums)
+    sure = F.array_join(F.transform(F.array_sort(F.map_entries("confidence")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return p.withColumns({"confidence": sure, "reasons": F.array_join("reasons", ","), "notes": F.array_join("notes", ",")})
 
 
-@query()
+@query("""WITH d AS (SELECT DISTINCT repair_id AS id FROM repair_lines) SELECT id, 'mileage' AS field, '120000' AS value, 0.95 AS confidence FROM d UNION ALL SELECT id, 'grand_total', '3500.0', 0.9 FROM d""")
 def I2_rule_cascade(t):
-    return extract.rule_matches(_orders(t), [("mileage", r"пробег\s+(\d+)", "digits_int", 10), ("grand_total", r"оплате\s+([\d ,]+)", "amount", 10), ("broken", "([", "raw", 1)])
+    return extract.rule_matches(_orders(t), [("mileage", r"пробег:\s+([\d ]+)", "digits_int", 10, 0.95), ("mileage", r"(1\d+)", "raw", 5, 0.5, False), ("grand_total", r"оплате:\s+([\d ,]+)", "amount", 10), ("broken", "([", "raw", 1)])
+
+
+@query("""WITH d AS (SELECT d.id, d.source, d.original_filename AS f, v.source_path AS p FROM documents_d d LEFT JOIN (SELECT document_id, arg_max(source_path, version_number) AS source_path FROM document_versions WHERE source_path <> '' GROUP BY 1) v ON v.document_id = d.id)
+  SELECT id, CASE WHEN id % 2 = 0 THEN 'А123ВС116' END AS plate_number, CASE WHEN id % 2 = 0 THEN DATE '2024-03-05' END AS repair_date, source AS service_name, CASE WHEN id % 2 = 0 THEN 'mileage_missing,order_number_missing' ELSE 'mileage_missing,order_number_missing,repair_date_missing' END AS reasons FROM d""")
+def I10_from_metadata(t):
+    empty = t("documents_d").select("id", F.lit("пусто").alias("text"))
+    files = t("documents_d").select("id", F.when(F.col("id") % 2 == 0, F.lit("наряд а 123 вс 116 от 05.03.2024.pdf")).otherwise("scan.pdf").alias("filename"), F.concat(F.lit("/Заказ наряды "), "source", F.lit("/x.pdf")).alias("source_path"))
+    p = document.parsed(empty).withColumn("service_name", F.lit(None).cast("string"))
+    return document.from_metadata(p, files).select("id", "plate_number", "repair_date", "service_name", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
+@query("""WITH e AS (SELECT e.document_id AS id, e.plate_number, v.plate_number AS vp, v.vin FROM extracted e JOIN repairs r ON r.id = e.repair_id JOIN vehicles v ON v.id = r.vehicle_id) SELECT id, CASE WHEN id % 4 = 2 THEN vp WHEN id % 4 = 0 THEN concat('р ', substr(vp, 2)) WHEN id % 4 = 1 THEN 'X000XX00' ELSE vp END AS plate_number, vin,
+  concat_ws(',', CASE WHEN id % 4 = 2 THEN 'plate_number_from_vehicle' END, CASE WHEN vin IS NOT NULL THEN 'vin_from_vehicle' END) AS notes FROM e""")
+def I11_from_vehicle(t):
+    none = F.array().cast("array<string>")
+    p = t("extracted").select(F.col("document_id").alias("id"), "plate_number", F.lit(None).cast("string").alias("vin"), F.create_map().cast("map<string,double>").alias("confidence"), none.alias("reasons"), none.alias("notes"))
+    v = t("extracted").select(F.col("document_id").alias("id"), "repair_id").join(t("repairs").select(F.col("id").alias("repair_id"), "vehicle_id"), "repair_id").join(t("vehicles").select(F.col("id").alias("vehicle_id"), F.col("plate_number").alias("plate"), "vin"), "vehicle_id").select("id", "plate", "vin")
+    return document.from_vehicle(p, v, 0.35, "vehicle").select("id", "plate_number", "vin", F.array_join("notes", ",").alias("notes"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN CASE WHEN id % 5 = 0 THEN 'default' ELSE 'old' END WHEN id % 3 = 0 THEN 'png' WHEN id % 2 = 0 THEN 'even' WHEN id % 5 = 0 THEN 'default' ELSE 'old' END AS profile,
+  CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN CASE WHEN id % 5 = 0 THEN 'ambiguous_fallback' ELSE 'history_fallback' END WHEN id % 3 = 0 OR id % 2 = 0 THEN 'matcher' WHEN id % 5 = 0 THEN 'default' ELSE 'history' END AS source FROM documents_d""")
+def I9_profile(t):
+    d = t("documents_d").select("id", F.when(F.col("original_filename").endswith("png"), "image").otherwise("pdf").alias("source_type"), F.col("original_filename").alias("filename"), F.lit(None).cast("string").alias("service_name"), F.when(F.col("id") % 2 == 0, "Even").otherwise("odd").alias("text"))
+    matchers = [(10, 1, "png", "image", r"\.PNG$", None, None), (10, 2, "even", None, None, "^even", None), (1, 3, "broken", None, "([", None, None), (1, 4, "nobody", None, None, None, "some service")]
+    return document.profile(d, matchers, t("documents_d").where("id % 5 <> 0").select("id", F.lit("old").alias("profile")))
+
+
+@query("""SELECT id, CASE id % 6 WHEN 0 THEN 'image_ocr' WHEN 1 THEN 'image_ocr' WHEN 2 THEN 'pdf_text' WHEN 3 THEN 'pdf_ocr' WHEN 4 THEN 'pdf_text' ELSE 'pdf_ocr' END AS extracted_from, CASE id % 6 WHEN 1 THEN 'image_text_not_found' WHEN 5 THEN 'pdf_text_not_found' END AS failure, CASE id % 6 WHEN 5 THEN 'pdf_ocr_unavailable' END AS failure_without_ocr FROM documents_d WHERE id % 6 > 1
+  UNION ALL SELECT id, 'image_ocr', CASE id % 6 WHEN 1 THEN 'image_text_not_found' END, 'image_ocr_unavailable' FROM documents_d WHERE id % 6 < 2""")
+def I1_acquired(t):
+    i = F.col("id") % 6
+    of = lambda *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (i + 1).cast("int"))
+    kind, own, seen = of("image", "image", "pdf", "pdf", "pdf", "pdf"), of(None, None, "Order, дaтa and итoгo", "abc", "abc def", ""), of("text", "", None, "Заказ-наряд", "a", "")
+    return t("documents_d").select("id", document.acquired(kind, own, seen, True, True).alias("a"), document.acquired(kind, own, seen, False, False)["failure"].alias("failure_without_ocr")).select("id", "a.extracted_from", "a.failure", "failure_without_ocr")
 
 
-@query()
+@query("SELECT id, concat('заказ-наряд ', CAST(id AS STRING)) AS text FROM services")
 def H3_mojibake(t):
     bad = F.decode(F.encode(F.concat(F.lit("заказ-наряд "), F.col("id").cast("string")), "UTF-8"), "ISO-8859-1")
     return t("services").select("id", extract.repaired(bad).alias("text"))

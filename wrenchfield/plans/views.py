@@ -34,6 +34,9 @@ VIEWS: dict[str, str] = {
       CASE doc_id % 4 WHEN 0 THEN 'order' WHEN 1 THEN 'repeat_scan' WHEN 2 THEN 'attachment' ELSE 'order' END AS kind, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE CAST(n_chars % 100 AS DOUBLE) / 100 END AS ocr_confidence,
       doc_id % 2 = 0 AS is_primary, CAST(CASE WHEN doc_id % 5 = 0 THEN 20 ELSE 100 END AS BIGINT) AS review_queue_priority, CAST(n_chars AS BIGINT) AS n_chars, CAST(doc_id % 150 AS BIGINT) AS uploaded_by_user_id,
       CASE doc_id % 5 WHEN 0 THEN 'order_number_missing' WHEN 1 THEN 'text_not_found' WHEN 2 THEN 'unknown_reason' ELSE NULL END AS reason_1, CASE WHEN doc_id % 3 = 0 THEN 'pdf_ocr_unavailable' WHEN doc_id % 3 = 1 THEN 'mileage_missing' ELSE NULL END AS reason_2 FROM documents""",
+    "extracted": """SELECT d.id AS document_id, d.repair_id, CASE d.id % 4 WHEN 0 THEN NULL WHEN 1 THEN r.order_number ELSE concat(r.order_number, 'X') END AS order_number, CASE WHEN d.id % 3 = 0 THEN NULL ELSE r.repair_date END AS repair_date, CASE WHEN d.id % 5 = 0 THEN NULL ELSE r.mileage + d.id % 2 END AS mileage,
+      CASE WHEN d.id % 7 = 0 THEN NULL ELSE s.name END AS service_name, CASE WHEN d.id % 3 = 1 THEN NULL ELSE CAST(d.id % 900 AS DOUBLE) + 0.5 END AS work_total, CASE WHEN d.id % 6 = 2 THEN NULL ELSE CAST(d.id % 700 AS DOUBLE) + 0.25 END AS parts_total, r.vat_total, CASE WHEN d.id % 2 = 0 THEN r.grand_total ELSE NULL END AS grand_total,
+      CASE d.id % 4 WHEN 0 THEN concat('р ', substr(v.plate_number, 2)) WHEN 1 THEN 'X000XX00' WHEN 2 THEN NULL ELSE v.plate_number END AS plate_number FROM documents_d d JOIN repairs r ON r.id = d.repair_id JOIN vehicles v ON v.id = r.vehicle_id LEFT JOIN services s ON s.id = r.service_id""",
     "document_versions": """SELECT CAST(doc_id * 10 + v AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS document_id, CAST(v AS INT) AS version_number, CASE WHEN (doc_id + v) % 3 = 0 THEN '' ELSE concat('/in/', source, '/', CAST(v AS STRING)) END AS source_path,
       concat('profile', CAST((doc_id * v) % 4 AS STRING)) AS profile, CAST((doc_id * 31 + v * 7) % 5000 AS DOUBLE) AS grand_total, CASE WHEN (doc_id + v) % 4 = 0 THEN NULL ELSE concat('ZN-', CAST(doc_id % 50 * v AS STRING)) END AS order_number
       FROM documents CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v UNION ALL SELECT 3 AS v) x WHERE v <= 1 + doc_id % 3""",
@@ -53,7 +56,7 @@ VIEWS: dict[str, str] = {
       CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE CAST('1996-01-01' AS DATE) + CAST(c_custkey % 900 + 200 + c_custkey % 300 AS INT) END AS ends_at FROM customer
       UNION ALL SELECT CAST(c_custkey + 10000000 AS BIGINT), CAST(c_custkey AS BIGINT), CAST(c_custkey % 150 AS BIGINT), CAST('1997-06-01' AS DATE) + CAST(c_custkey % 400 AS INT), CAST('1997-06-01' AS DATE) + CAST(c_custkey % 400 + 90 AS INT) FROM customer WHERE c_custkey % 4 = 1""",
     "vehicle_links": """SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey AS BIGINT) AS left_vehicle_id, CAST(c_custkey + 1 AS BIGINT) AS right_vehicle_id, CAST('1996-01-01' AS DATE) + CAST(c_custkey % 500 AS INT) AS starts_at, CASE WHEN c_custkey % 4 = 1 THEN CAST('1998-01-01' AS DATE) ELSE NULL END AS ends_at FROM customer WHERE c_custkey % 2 = 1""",
-    "labor_norms": """SELECT p_brand AS code, p_name AS name, CAST(CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'heavy' ELSE 'light' END AS STRING) AS scope, CAST(max(p_size) AS DOUBLE) AS standard_hours, CASE WHEN p_brand = 'Brand#13' THEN 'archived' ELSE 'active' END AS status, min(p_type) AS category
+    "labor_norms": """SELECT p_brand AS code, p_name AS name, CAST(CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'heavy' ELSE 'light' END AS STRING) AS scope, CAST(min(p_size) AS DOUBLE) AS standard_hours, CASE WHEN p_brand = 'Brand#13' THEN 'archived' ELSE 'active' END AS status, min(p_type) AS category
       FROM part GROUP BY p_brand, p_name""",
     "catalogs": """SELECT * FROM (VALUES ('building', 'BUILDING|building site', NULL, NULL, 'truck', 1995, 2015, 10, 'confirmed', TRUE), ('building_all', 'BUILDING', NULL, NULL, NULL, NULL, NULL, 20, 'confirmed', TRUE), ('machinery', 'MACHINERY', NULL, NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE),
       ('machinery_2', 'machinery', NULL, NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE), ('machinery_m1', 'MACHINERY', 'm1|m2', NULL, NULL, NULL, NULL, 10, 'confirmed', TRUE), ('vins', NULL, NULL, 'VIN1000|vin-1001', NULL, NULL, NULL, 40, 'confirmed', TRUE), ('trailers', NULL, NULL, NULL, 'trailer', NULL, NULL, 30, 'confirmed', TRUE),
