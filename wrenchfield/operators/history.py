@@ -34,22 +34,58 @@ def reference_lines(lines: DataFrame, repairs: DataFrame) -> DataFrame:
     return both.where("historical or operational").withColumn("normalized_name", text.normalized_name(F.col("name"), F.col("code"))).where((F.col("normalized_name") != "") | F.col("code").isNotNull()).withColumn("key", reference_key(F.col("code"), F.col("name")))
 
 
+def top_services(lines: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """key, the column `by`, n, rank: the most frequent values of each key (ties by value)."""
+    n = lines.where(F.col(by).isNotNull()).groupBy("key", by).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), by))).where(F.col("rank") <= most)
+
+
 def work_reference(lines: DataFrame, repairs: DataFrame, services: DataFrame, min_samples: int = 2, query: str = "") -> DataFrame:
-    """A row for each kind of work: samples, medians, extremes, latest dates and the three most frequent services (ties by name)."""
+    """A row for each kind of work: samples, medians, extremes, latest dates and the three most frequent services (ties by
+    name). Lines are reduced to a row for each key and repair, and to counted values for the medians, before a key's rows meet."""
     rows = reference_lines(lines, repairs).join(services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name")), "service_id", "left").withColumn("service_name", F.coalesce("service_name", F.lit("none")))
-    by_service = rows.groupBy("key", "service_name").agg(F.count("*").alias("n"))
-    top = by_service.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "service_name"))).where("r <= 3")
-    top = top.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "service_name", "n"))), lambda x: F.concat(x["service_name"], F.lit("="), x["n"].cast("string"))), ";").alias("top_services"))
-    once = lambda c, name: F.countDistinct(F.when(F.col(c), F.col("repair_id"))).alias(name)
-    out = rows.groupBy("key").agg(
-        F.countDistinct("repair_id").alias("sample_repairs"), F.count("*").alias("sample_lines"), once("historical", "historical_sample_repairs"), once("operational", "operational_sample_repairs"),
-        F.count_if("historical").alias("historical_sample_lines"), F.countDistinct("service_name").alias("services_count"), F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("work_name"),
-        cents(F.median("line_total")).alias("median_line_total"), F.min("line_total").alias("min_line_total"), F.max("line_total").alias("max_line_total"), F.median("quantity").alias("median_quantity"),
-        F.bround(F.median("mileage"), 0).cast("long").alias("median_mileage"), F.min("mileage").alias("min_mileage"), F.max("mileage").alias("max_mileage"), F.median("standard_hours").alias("median_standard_hours"),
-        F.max("repair_date").alias("recent_repair_date"), F.max(F.when(F.col("operational"), F.col("repair_date"))).alias("recent_operational_repair_date"),
+    top = top_services(rows, "service_name").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service_name", "n"))), lambda x: F.concat(x["service_name"], F.lit("="), x["n"].cast("string"))), ";").alias("top_services"))
+    spread = rows.groupBy("key", "service_name").agg(F.count("*")).groupBy("key").agg(F.count("*").alias("services_count"))
+    each = rows.groupBy("key", "repair_id").agg(
+        F.count("*").alias("n"), F.max("historical").alias("historical"), F.max("operational").alias("operational"), F.max(F.struct(F.length("name"), "name")).alias("longest"), F.min("line_total").alias("low"), F.max("line_total").alias("high"), F.max("mileage").alias("mileage"), F.max("repair_date").alias("date")
     )
-    out = out.where(F.col("sample_lines") >= min_samples).join(top, "key")
-    return out.where(text.contains_any(query, F.col("key"), F.col("work_name"), F.col("top_services"))) if query else out
+    out = each.groupBy("key").agg(
+        F.count("*").alias("sample_repairs"), F.sum("n").alias("sample_lines"), F.count_if("historical").alias("historical_sample_repairs"), F.count_if("operational").alias("operational_sample_repairs"), F.sum(F.when(F.col("historical"), F.col("n")).otherwise(0)).alias("historical_sample_lines"),
+        F.max("longest")["name"].alias("work_name"), F.min("low").alias("min_line_total"), F.max("high").alias("max_line_total"), F.min("mileage").alias("min_mileage"), F.max("mileage").alias("max_mileage"), F.max("date").alias("recent_repair_date"), F.max(F.when(F.col("operational"), F.col("date"))).alias("recent_operational_repair_date"),
+    )
+    out = out.where(F.col("sample_lines") >= min_samples).join(top, "key").join(spread, "key")
+    if query:
+        out = out.where(text.contains_any(query, F.col("key"), F.col("work_name"), F.col("top_services")))
+    shown = {"line_total": cents, "quantity": lambda m: m, "mileage": lambda m: F.bround(m, 0).cast("long"), "standard_hours": lambda m: m}
+    for c, as_ in shown.items():
+        values = rows.select("key", F.col(c).cast("double").alias("value"), F.lit(1).alias("n")).where("value is not null")
+        m = middles(values, ["key"])
+        out = out.join(m.select("key", as_(median_without(F.col("size"), F.col("middle"), F.array().cast("array<double>"))).alias(f"median_{c}")), "key", "left")
+    return out
+
+
+def hourly_rates(lines: DataFrame, repairs: DataFrame, service: int, least: int = 5) -> DataFrame:
+    """The median hourly rate of each kind of work, and the one to use for a service: its own from `least` samples on."""
+    rows = reference_lines(lines, repairs).withColumn("value", hourly_rate(F.col("standard_hours"), F.col("actual_hours"), F.col("line_total")))
+    of = lambda df: middles(df.where("value is not null").select("key", "value", F.lit(1).alias("n")), ["key"]).select("key", F.col("size").alias("n"), median_without(F.col("size"), F.col("middle"), F.array().cast("array<double>")).alias("m"))
+    every, own = of(rows).withColumnsRenamed({"n": "samples", "m": "median_rate"}), of(rows.where(F.col("service_id") == service)).withColumnsRenamed({"n": "shop_samples", "m": "shop_rate"})
+    both = rows.select("key").distinct().join(every, "key", "left").join(own, "key", "left")
+    return both.select("key", F.coalesce("samples", F.lit(0)).alias("samples"), "median_rate", F.coalesce("shop_samples", F.lit(0)).alias("shop_samples"), F.when(F.col("shop_samples") >= least, F.col("shop_rate")).otherwise(F.col("median_rate")).alias("used_rate"))
+
+
+def prior_within(later: DataFrame, earlier: DataFrame, days: int) -> DataFrame:
+    """Pairs of later (vehicle_id, l_date, ...) and earlier (vehicle_id, e_date, ...) with 0 to `days` between them: dates are
+    binned, so that rows meet those of their own bin and the next one, not all of a vehicle's."""
+    bin_of = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    a = later.withColumn("_bin", bin_of("l_date"))
+    b = earlier.withColumn("_bin", F.explode(F.array(bin_of("e_date"), bin_of("e_date") + 1)))
+    return a.join(b, ["vehicle_id", "_bin"]).drop("_bin").withColumn("days", F.datediff("l_date", "e_date")).where(F.col("days").between(0, days))
+
+
+def repeat_visits(repairs: DataFrame, days: int = 30) -> DataFrame:
+    a = repairs.select("vehicle_id", F.col("repair_date").alias("l_date"), "id")
+    b = repairs.select("vehicle_id", F.col("repair_date").alias("e_date"), F.col("id").alias("prior_id"))
+    return prior_within(a, b, days).where("id <> prior_id").select("id", "prior_id", "days")
 
 
 def repeats(lines: DataFrame, repairs: DataFrame, days: int = 30) -> DataFrame:
@@ -57,11 +93,11 @@ def repeats(lines: DataFrame, repairs: DataFrame, days: int = 30) -> DataFrame:
     with the same name and no code. Lines are reduced to the works of a repair before the range join."""
     r = repairs.select(F.col("id").alias("repair_id"), "repair_date", "vehicle_id")
     works = lines.where("kind = 'work'").select("repair_id", "code", text.normalized_name(F.col("name")).alias("norm")).where("norm <> ''").distinct().join(r, "repair_id")
-    a, b = works.alias("a"), works.alias("b")
-    gap = F.datediff(F.col("a.repair_date"), F.col("b.repair_date"))
-    same = (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a.norm") == F.col("b.norm")) & (F.col("a.repair_id") != F.col("b.repair_id")) & gap.between(0, days)
-    exact = F.col("a.code").eqNullSafe(F.col("b.code"))
-    found = a.join(b, same & (exact | F.col("b.code").isNull())).select("a.repair_id", "a.code", "a.norm", F.when(exact, 1).otherwise(2).alias("rank"), F.col("b.repair_id").alias("prior_repair_id"), F.col("b.repair_date").alias("prior_date"), gap.alias("days_since"))
+    a = works.withColumnRenamed("repair_date", "l_date")
+    b = works.select("vehicle_id", F.col("repair_date").alias("e_date"), F.col("repair_id").alias("prior_repair_id"), F.col("code").alias("b_code"), F.col("norm").alias("b_norm"))
+    exact = F.col("code").eqNullSafe(F.col("b_code"))
+    near = prior_within(a, b, days).where((F.col("norm") == F.col("b_norm")) & (F.col("repair_id") != F.col("prior_repair_id")) & (exact | F.col("b_code").isNull()))
+    found = near.select("repair_id", "code", "norm", F.when(exact, 1).otherwise(2).alias("rank"), "prior_repair_id", F.col("e_date").alias("prior_date"), F.col("days").alias("days_since"))
     w = Window.partitionBy("repair_id", "code", "norm").orderBy("rank", F.desc("prior_date"), F.desc("prior_repair_id"))
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank")
 
@@ -90,14 +126,15 @@ def _bin(c: Column) -> Column:
     return F.when(c > 0, at).when(c < 0, -at).otherwise(0)
 
 
-def middles(rows: DataFrame, by: list[str], width: DataFrame) -> DataFrame:
+def middles(rows: DataFrame, by: list[str], width: DataFrame | None = None) -> DataFrame:
     """by, size, middle of rows (by, value, n: how often): of each group's values in order, those that a median can be when up
     to `wide` of them are left out (width: by, wide), as (value, before, n). Values are found by bins, so that no group is
     put in order as a whole, and only the middle ones are collected."""
     counted = rows.groupBy(*by, "value").agg(F.sum("n").alias("n")).withColumn("bin", _bin(F.col("value")))
     bins = counted.groupBy(*by, "bin").agg(F.sum("n").alias("bn"))
     at = bins.withColumn("bin_before", F.sum("bn").over(Window.partitionBy(*by).orderBy("bin")) - F.col("bn"))
-    sizes = bins.groupBy(*by).agg(F.sum("bn").alias("size")).join(width, by).withColumn("low", F.floor((F.col("size") - F.col("wide") - 1) / 2)).withColumn("high", F.ceil((F.col("size") + F.col("wide")) / 2))
+    sizes = bins.groupBy(*by).agg(F.sum("bn").alias("size"))
+    sizes = (sizes.withColumn("wide", F.lit(0)) if width is None else sizes.join(width, by)).withColumn("low", F.floor((F.col("size") - F.col("wide") - 1) / 2)).withColumn("high", F.ceil((F.col("size") + F.col("wide")) / 2))
     inside = lambda before, n: (F.col(before) + F.col(n) > F.col("low")) & (F.col(before) <= F.col("high"))
     near = at.join(sizes, by).where(inside("bin_before", "bn")).drop("bn")
     found = counted.join(near, [*by, "bin"]).withColumn("before", F.col("bin_before") + F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("value")) - F.col("n"))
@@ -195,20 +232,6 @@ def mileage_outlier(reference: DataFrame) -> DataFrame:
     return reference.where((F.col("samples") >= 3) & (F.col("mileage_samples") >= 3) & (F.col("mileage") > 0)).withColumn("margin", margin).where(off)
 
 
-def hours_exceeded(lines: DataFrame, norms: DataFrame) -> DataFrame:
-    """Actual hours above 1.1 times the norm (the document's own, else the catalogue's)."""
-    n = norms.groupBy(F.col("code").alias("n_code"), F.col("name").alias("n_name")).agg(F.max("standard_hours").alias("n_hours"))
-    both = lines.where("kind = 'work'").join(n, (F.col("code") == F.col("n_code")) & (F.col("name") == F.col("n_name")), "left")
-    norm = F.coalesce(F.when(F.col("standard_hours") > 0, F.col("standard_hours")), F.col("n_hours"))
-    return both.withColumn("norm", norm).withColumn("limit", F.round(1.1 * F.col("norm"), 2)).where(F.col("actual_hours") > F.col("limit"))
-
-
-def total_mismatch(repairs: DataFrame, sums: DataFrame) -> DataFrame:
-    r = repairs.select(F.col("id").alias("repair_id"), F.col("grand_total").cast("decimal(18,2)").cast("double").alias("grand_total"))
-    both = r.join(sums, "repair_id").withColumn("lines_total", F.round(F.coalesce("work_total", F.lit(0.0)) + F.coalesce("parts_total", F.lit(0.0)), 2))
-    return both.where("lines_total <> grand_total")
-
-
 def reference_hours(norm: Column | None = None) -> Column:
     """A line's hours: those of the document, of the catalogue, or the actual ones; a quantity in hours is one."""
     positive = lambda c: F.when(c > 0, c)

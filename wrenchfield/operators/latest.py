@@ -32,9 +32,13 @@ def sibling_profile(documents: DataFrame, versions: DataFrame, group: str) -> Da
     return documents.select("id", group).join(two, group, "left").select("id", F.when(F.col("first") == F.col("id"), F.col("p2")).otherwise(F.col("p1")).alias("sibling_profile"))
 
 
-def primary_document(documents: DataFrame, group: str) -> DataFrame:
-    """Marked as primary first, then the least id."""
-    return best(documents, [group], F.desc("is_primary"), F.asc("id"))
+def primary_document(documents: DataFrame, group: str, source: DataFrame | None = None) -> DataFrame:
+    """The source document of the group (source: group, source_document_id) first, then those marked as primary, then the least id."""
+    if source is None:
+        return best(documents, [group], F.desc("is_primary"), F.asc("id"))
+    s = source.select(F.col(group).alias("_g"), F.col("source_document_id").alias("_s"))
+    ranked = documents.join(s, F.col(group) == F.col("_g"), "left").withColumn("_first", F.coalesce(F.col("id") == F.col("_s"), F.lit(False)))
+    return best(ranked, [group], F.desc("_first"), F.desc("is_primary"), F.asc("id")).drop("_g", "_s", "_first")
 
 
 def replacement_primary(documents: DataFrame, group: str) -> DataFrame:

@@ -60,8 +60,8 @@ def upsert_vehicles(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def replaced(old: DataFrame, new: DataFrame, key: str, also: str = "true") -> DataFrame:
     """Rows of the keys in `new` (those that `also` holds for) give way to new's."""
-    gone = old.where(also).join(new.select(key).distinct(), key, "left_semi")
-    return old.exceptAll(gone).unionByName(new)
+    keys = new.select(F.col(key).alias("_k")).distinct()
+    return old.join(keys, (F.col(key) == F.col("_k")) & F.expr(also), "left_anti").unionByName(new)
 
 
 def without(table: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:

@@ -127,10 +127,7 @@ def O8_work_reference_search(t):
 
 @query(f"""WITH {REFERENCE}, per AS (SELECT key, service_id, count(*) AS n FROM ref WHERE service_id IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, service_id) AS rank FROM per) SELECT key, service_id, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def D10_top3_services_per_work(t):
-    per = history.reference_lines(t("repair_lines"), t("repairs")).where("service_id is not null").groupBy("key", "service_id").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "service_id"))).where("rank <= 3")
+    return history.top_services(history.reference_lines(t("repair_lines"), t("repairs")), "service_id")
 
 
 @query(f"SELECT repair_id, code, {NAME.replace('{c}', 'name')} AS norm, quantity, price, line_total, count(*) AS lines FROM repair_lines WHERE kind = 'work' AND {NAME.replace('{c}', 'name')} <> '' GROUP BY ALL HAVING count(*) >= 2")
@@ -154,10 +151,7 @@ def D13_line_total_sums(t):
 @query(f"""WITH {REFERENCE}, h AS (SELECT key, service_id, CASE WHEN standard_hours > 0 THEN line_total / standard_hours WHEN actual_hours > 0 THEN line_total / actual_hours END AS rate FROM ref)
   SELECT key, count(rate) AS samples, median(rate) AS median_rate, count(rate) FILTER (service_id = 3) AS shop_samples, CASE WHEN count(rate) FILTER (service_id = 3) >= 5 THEN median(rate) FILTER (service_id = 3) ELSE median(rate) END AS used_rate FROM h GROUP BY key""")
 def D15_hourly_rate_median(t):
-    rows = history.reference_lines(t("repair_lines"), t("repairs")).withColumn("rate", history.hourly_rate(F.col("standard_hours"), F.col("actual_hours"), F.col("line_total")))
-    shop = F.col("service_id") == 3
-    n = F.count(F.when(shop, F.col("rate")))
-    return rows.groupBy("key").agg(F.count("rate").alias("samples"), F.median("rate").alias("median_rate"), n.alias("shop_samples"), F.when(n >= 5, F.median(F.when(shop, F.col("rate")))).otherwise(F.median("rate")).alias("used_rate"))
+    return history.hourly_rates(t("repair_lines"), t("repairs"), 3)
 
 
 TYPED = f"""typed AS (SELECT l.*, {NAME.replace('{c}', 'l.name')} AS norm, r.vehicle_id, r.service_id, r.mileage, r.status, r.grand_total, r.vat_total, v.vehicle_type, {HIST} AS historical FROM repair_lines l JOIN repairs r ON r.id = l.repair_id JOIN vehicles v ON v.id = r.vehicle_id WHERE l.kind = 'work' AND trim(l.name) <> ''),
@@ -298,9 +292,7 @@ def J3_repeat_repairs(t):
 
 @query("SELECT a.id, b.id AS prior_id, CAST(date_diff('day', b.repair_date, a.repair_date) AS INTEGER) AS days FROM repairs a JOIN repairs b ON a.vehicle_id = b.vehicle_id AND a.id <> b.id AND date_diff('day', b.repair_date, a.repair_date) BETWEEN 0 AND 30")
 def C10_repeat_repair_range_join(t):
-    a, b = t("repairs").alias("a"), t("repairs").alias("b")
-    days = F.datediff(F.col("a.repair_date"), F.col("b.repair_date"))
-    return a.join(b, (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a.id") != F.col("b.id")) & days.between(0, 30)).select("a.id", F.col("b.id").alias("prior_id"), days.alias("days"))
+    return history.repeat_visits(t("repairs"))
 
 
 @query("SELECT id, vehicle_id, CAST(date_diff('day', lag(repair_date) OVER (PARTITION BY vehicle_id ORDER BY repair_date, id), repair_date) AS INTEGER) AS days_since_previous FROM repairs")
@@ -595,9 +587,10 @@ def E7_next_version(t):
     return latest.next_version(t("documents_d"), t("document_versions"))
 
 
-@query("SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY is_primary DESC, id) AS n FROM documents_d) WHERE n = 1")
+@query("""WITH s AS (SELECT source, max(id) AS sid FROM documents_d WHERE source > 'm' GROUP BY 1) SELECT source, id FROM (SELECT d.source, id, row_number() OVER (PARTITION BY d.source ORDER BY coalesce(id = sid, false) DESC, is_primary DESC, id) AS n FROM documents_d d LEFT JOIN s ON s.source = d.source) WHERE n = 1""")
 def E8_primary_choice(t):
-    return latest.primary_document(t("documents_d"), "source").select("source", "id")
+    of = t("documents_d").where("source > 'm'").groupBy("source").agg(F.max("id").alias("source_document_id"))
+    return latest.primary_document(t("documents_d"), "source", of).select("source", "id")
 
 
 @query("""WITH p AS (SELECT source, id AS primary_id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY is_primary DESC, id) AS n FROM documents_d) WHERE n = 1)
@@ -803,6 +796,110 @@ def K13_missing_fields(t):
     return t("repairs").select("id", F.array_join(m, ",").alias("missing")).where("missing <> ''")
 
 
+# --- pages of several lists
+
+
+def _listed(**sql: str) -> str:
+    """Sections as rows: each text gives id, label, n and an order o."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS section, CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS place, CAST(id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label, CAST(n AS BIGINT) AS n FROM ({v}) x" for k, v in sql.items())
+
+
+def _by(order: str, columns: str, rest: str, limit: int = 8) -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS o FROM {rest} ORDER BY o LIMIT {limit}"
+
+
+_OPEN_N = "coalesce((SELECT count(*) FROM repair_checks c WHERE c.repair_id = r.id AND NOT c.is_resolved), 0)"
+
+
+@query(_listed(
+    documents=_by("review_queue_priority DESC, id DESC", "id, status AS label, review_queue_priority AS n", "documents_d WHERE status IN ('uploaded', 'needs_review', 'partially_recognized', 'ocr_error') OR ocr_confidence IS NULL OR ocr_confidence < 0.9"),
+    partial=_by("repair_date DESC, id DESC", f"id, order_number AS label, {_OPEN_N} AS n", "repairs r WHERE is_partially_recognized"), suspicious=_by("n DESC, repair_date DESC, id DESC", "id, order_number AS label, n", f"(SELECT *, {_OPEN_N} AS n FROM repairs r WHERE status = 'suspicious') y"),
+    services=_by("n DESC, last DESC NULLS FIRST, name", "id, name AS label, n", "(SELECT s.id, s.name, count(DISTINCT r.id) AS n, max(r.repair_date) AS last FROM services s LEFT JOIN repairs r ON r.service_id = s.id WHERE s.status = 'preliminary' GROUP BY ALL) y"),
+    conflicts=_by("id DESC", "id, conflict_key AS label, import_job_id AS n", "import_conflicts WHERE status = 'pending'"),
+))
+def O3_data_quality_details(t):
+    return dashboard.data_quality_lists(t("documents_d"), t("repairs"), t("repair_checks"), t("services"), t("import_conflicts"))
+
+
+_SEARCHED = "(SELECT r.*, concat_ws(',', CASE WHEN contains(lower(r.order_number), '1') THEN 'order_number' END, CASE WHEN contains(lower(r.reason), '1') THEN 'reason' END, CASE WHEN contains(lower(v.plate_number), '1') THEN 'plate_number' END, CASE WHEN contains(lower(v.vin), '1') THEN 'vin' END, CASE WHEN contains(lower(s.name), '1') THEN 'service_name' END) AS m FROM repairs r LEFT JOIN vehicles v ON v.id = r.vehicle_id LEFT JOIN services s ON s.id = r.service_id WHERE concat_ws('~', r.order_number, r.reason, v.plate_number, v.vin, v.brand, v.model, s.name) LIKE '%1%' OR EXISTS (SELECT 1 FROM repair_lines l WHERE l.repair_id = r.id AND (l.name LIKE '%1%' OR l.code LIKE '%1%'))) y"
+_D1 = "(SELECT *, concat_ws(',', CASE WHEN contains(original_filename, '1') THEN 'original_filename' END, CASE WHEN contains(source, '1') THEN 'source' END) AS m FROM documents_d WHERE contains(original_filename, '1') OR contains(source, '1')) y"
+_V1 = "(SELECT *, concat_ws(',', CASE WHEN contains(external_id, '1') THEN 'external_id' END, CASE WHEN contains(plate_number, '1') THEN 'plate_number' END, CASE WHEN contains(vin, '1') THEN 'vin' END, CASE WHEN contains(brand, '1') THEN 'brand' END, CASE WHEN contains(model, '1') THEN 'model' END) AS m FROM vehicles WHERE concat_ws('~', external_id, plate_number, vin, brand, model) LIKE '%1%') y"
+
+
+@query(_listed(repairs=_by("repair_date DESC, id DESC", "id, m AS label, 1 AS n", _SEARCHED, 10), documents=_by("id DESC", "id, m AS label, 1 AS n", _D1, 10), vehicles=_by("id", "id, m AS label, 1 AS n", _V1, 10), **{f"{k}_total": f"SELECT 'all' AS id, 'total' AS label, count(*) AS n, 1 AS o FROM {v}" for k, v in (("repairs", _SEARCHED), ("documents", _D1), ("vehicles", _V1))}))
+def O4_global_search(t):
+    return dashboard.global_search(t("repairs"), t("documents_d"), t("vehicles"), t("services"), t("repair_lines"), "1")
+
+
+@query(_listed(page=_by("created_at DESC, id DESC", "id, action_type AS label, user_id AS n", "audit_log WHERE action_type = 'click'", 25), actions=_by("action_type", "action_type AS id, action_type AS label, count(*) AS n", "audit_log GROUP BY action_type", 100), entities=_by("entity_type", "entity_type AS id, entity_type AS label, count(*) AS n", "audit_log GROUP BY entity_type", 100)))
+def O5_audit_page(t):
+    facet = lambda c: t("audit_log").groupBy(c).agg(F.count("*").alias("n")).orderBy(c).select(F.col(c).alias("id"), F.col(c).alias("label"), "n")
+    page = dashboard.page(filters.filtered(t("audit_log"), F.col("action_type") == "click"), [F.desc("created_at"), F.desc("id")], 0, 25)
+    return dashboard.sections(page=page.select("id", F.col("action_type").alias("label"), F.col("user_id").alias("n")), actions=facet("action_type"), entities=facet("entity_type"))
+
+
+@query(_listed(vehicles=_by("id", "id, plate_number AS label, (SELECT count(*) FROM repairs r WHERE r.vehicle_id = v.id) AS n", "vehicles v WHERE plate_number LIKE 'P1000%' AND status <> 'archived'", 20), assigned=_by("id", "a.id, u.full_name AS label, a.vehicle_id AS n", f"assignments a JOIN users u ON u.id = a.user_id WHERE a.vehicle_id = 7 AND starts_at <= DATE '{DAY}' AND (ends_at IS NULL OR ends_at >= DATE '{DAY}')".replace("ORDER BY id", "ORDER BY a.id"), 20).replace("ORDER BY id)", "ORDER BY a.id)"), linked=_by("other", "other AS id, 'linked' AS label, 7 AS n", f"(SELECT CASE WHEN left_vehicle_id = 7 THEN right_vehicle_id ELSE left_vehicle_id END AS other FROM ({LINKED}) z WHERE left_vehicle_id = 7 OR right_vehicle_id = 7) y", 20)))
+def O6_vehicle_pages(t):
+    counts = t("repairs").groupBy(F.col("vehicle_id").alias("_v")).agg(F.count("*").alias("n"))
+    v = filters.filtered(t("vehicles"), filters.ilike_any("P1000", F.col("plate_number")), filters.status_or_default(F.col("status"), None, "archived")).join(counts, F.col("id") == F.col("_v"), "left")
+    a = t("assignments").where((F.col("vehicle_id") == 7) & filters.valid_at(DAY)).join(t("users").select(F.col("id").alias("user_id"), "full_name"), "user_id")
+    linked = resolve.linked_vehicles(t("vehicle_links"), DAY).where("vehicle_id = 7")
+    return dashboard.sections(vehicles=dashboard.page(v, [F.asc("id")], 0, 20).select("id", F.col("plate_number").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), assigned=dashboard.page(a, [F.asc("id")], 0, 20).select("id", F.col("full_name").alias("label"), F.col("vehicle_id").alias("n")), linked=dashboard.page(linked, [F.asc("other_id")], 0, 20).select(F.col("other_id").alias("id"), F.lit("linked").alias("label"), F.col("vehicle_id").alias("n")))
+
+
+@query(_listed(jobs=_by("id DESC", "id, status AS label, attempts AS n", "import_jobs WHERE status IN ('failed', 'retry')", 25), conflicts=_by("id DESC", "id, entity_type AS label, import_job_id AS n", "import_conflicts WHERE status = 'pending'", 25)))
+def O9_import_lists(t):
+    return dashboard.sections(jobs=dashboard.page(t("import_jobs").where(F.col("status").isin("failed", "retry")), [F.desc("id")], 0, 25).select("id", F.col("status").alias("label"), F.col("attempts").alias("n")), conflicts=dashboard.page(t("import_conflicts").where("status = 'pending'"), [F.desc("id")], 0, 25).select("id", F.col("entity_type").alias("label"), F.col("import_job_id").alias("n")))
+
+
+@query(_listed(norms=_by("scope, code, name", "code AS id, name AS label, standard_hours AS n", "labor_norms WHERE status <> 'archived' AND name LIKE '%ring%'", 50), scopes=_by("scope", "scope AS id, scope AS label, count(*) AS n", "labor_norms WHERE status <> 'archived' GROUP BY scope", 50), categories=_by("category", "category AS id, category AS label, count(*) AS n", "labor_norms WHERE scope = 'heavy' GROUP BY category", 50), catalogues=_by("priority, scope", "scope AS id, status AS label, priority AS n", "catalogs WHERE status <> 'archived'", 50)))
+def O10_norm_list(t):
+    n, live = t("labor_norms"), filters.status_or_default(F.col("status"), None, "archived")
+    facet = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).select(F.col(c).alias("id"), F.col(c).alias("label"), "n")
+    return dashboard.sections(
+        norms=dashboard.page(filters.filtered(n, live, filters.ilike_any("ring", F.col("name"))), [F.asc(c) for c in ("scope", "code", "name")], 0, 50).select(F.col("code").alias("id"), F.col("name").alias("label"), F.col("standard_hours").alias("n")),
+        scopes=facet(n.where(live), "scope"), categories=facet(n.where("scope = 'heavy'"), "category"), catalogues=dashboard.page(t("catalogs").where(live), [F.asc("priority"), F.asc("scope")], 0, 50).select(F.col("scope").alias("id"), F.col("status").alias("label"), F.col("priority").alias("n")),
+    )
+
+
+@query(_listed(services=_by("name", "id, name AS label, (SELECT count(*) FROM repairs r WHERE r.service_id = s.id) AS n", "services s WHERE status <> 'archived' AND (created_by_user_id IS NOT NULL OR confirmed_by_user_id IS NOT NULL)", 50), cities=_by("city", "city AS id, city AS label, count(*) AS n", "services WHERE status <> 'archived' GROUP BY city", 50)))
+def O11_service_list(t):
+    seen = filters.filtered(t("services"), filters.status_or_default(F.col("status"), None, "archived"), F.col("created_by_user_id").isNotNull() | F.col("confirmed_by_user_id").isNotNull())
+    used = t("repairs").groupBy(F.col("service_id").alias("_s")).agg(F.count("*").alias("n"))
+    cities = t("services").where("status <> 'archived'").groupBy("city").agg(F.count("*").alias("n")).orderBy("city")
+    return dashboard.sections(services=dashboard.page(seen.join(used, F.col("id") == F.col("_s"), "left"), [F.asc("name")], 0, 50).select("id", F.col("name").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), cities=cities.select(F.col("city").alias("id"), F.col("city").alias("label"), "n").limit(50))
+
+
+@query(f"WITH {SIGNALS} {_listed(signals=_by('repair_id, field', 'repair_id AS id, field AS label, length(corrected) AS n', 'sg', 40), kinds=_by('field, signal_type', 'field AS id, signal_type AS label, count(*) AS n', 'sg GROUP BY field, signal_type', 40))}")
+def O12_learning_page(t):
+    s = _signals(t)
+    kinds = s.groupBy("field", "signal_type").agg(F.count("*").alias("n")).orderBy("field", "signal_type").select(F.col("field").alias("id"), F.col("signal_type").alias("label"), "n")
+    return dashboard.sections(signals=dashboard.page(s, [F.asc("repair_id"), F.asc("field")], 0, 40).select(F.col("repair_id").alias("id"), F.col("field").alias("label"), F.length("corrected").alias("n")), kinds=kinds.limit(40))
+
+
+@query(f"SELECT j.id, j.document_id, j.status FROM import_jobs j JOIN documents_d d ON d.id = j.document_id LEFT JOIN repairs r ON r.id = d.repair_id WHERE r.vehicle_id IN ({MINE}) OR d.uploaded_by_user_id = {USER}")
+def O16_visible_jobs(t):
+    mine = filters.visible_repairs(t("repairs"), t("assignments"), t("vehicles"), USER, DAY, own=False).select(F.col("id").alias("repair_id"), F.lit(True).alias("_seen"))
+    d = t("documents_d").join(mine, "repair_id", "left").where(F.coalesce("_seen", F.lit(False)) | (F.col("uploaded_by_user_id") == USER)).select(F.col("id").alias("document_id"))
+    return t("import_jobs").join(d, "document_id", "left_semi").select("id", "document_id", "status")
+
+
+@query("SELECT c.id, CASE c.id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ignored' ELSE c.status END AS status, CASE c.id % 5 WHEN 1 THEN 'note' END AS comment FROM import_conflicts c")
+def L9_resolved_conflicts(t):
+    i = F.col("id") % 5
+    asked = t("import_conflicts").where(i < 3).select("id", F.when(i == 0, " Resolved ").when(i == 1, "ignored").otherwise("deleted").alias("status"), F.when(i == 1, " note ").otherwise(" ").alias("comment"))
+    return checks.resolved_conflicts(t("import_conflicts").select("id", "status"), asked)
+
+
+@query("""SELECT id, CASE id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE status END AS status, CASE id % 3 WHEN 1 THEN 'broken' END AS error_message, CASE id % 3 WHEN 0 THEN 'rows=2,stage=completed' WHEN 1 THEN 'rows=2,stage=failed' ELSE 'rows=1,stage=started' END AS summary FROM import_jobs""")
+def M4_finished_jobs(t):
+    of = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    jobs = t("import_jobs").select("id", "status", of("rows", "1", "stage", "started").alias("summary"))
+    done = t("import_jobs").where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 1, "broken").alias("error"), of("rows", "2").alias("summary"))
+    out = checks.finished_jobs(jobs, done)
+    return out.select("id", "status", "error_message", F.array_join(F.transform(F.array_sort(F.map_entries("summary")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("summary"))
+
+
 # --- mutations
 
 
