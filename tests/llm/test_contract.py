@@ -261,9 +261,12 @@ def test_fingerprints(spark, folder, docs):
         if i is not None:
             of[text[i]].add(r["fingerprint"])
     assert all(len(f) == 1 for f in of.values())
-    anchors = lambda f: {f[a : a + 6] for a in range(0, len(f), 6)}
+    def steps(f):
+        a = [f[i : i + 6] for i in range(0, len(f), 6)]
+        return set(zip([None, *a], a, strict=False))
+
     for r in got:
-        a, b = anchors(r["fingerprint"]), anchors(r["edited_fingerprint"])
+        a, b = steps(r["fingerprint"]), steps(r["edited_fingerprint"])
         assert math.isclose(r["near_edited"], len(a & b) / len(a | b) if a | b else 1.0)
         assert 0 <= r["near_next"] <= 1
     if folder == SF:
@@ -483,3 +486,14 @@ def test_paths_are_compacted_up_to_branches(spark):
 def test_a_place_whose_words_differ_from_its_source_stays():
     text = [b"a", b"b", b"c"]
     assert substrings._hashed(text, 0, 2) == substrings._hashed([b"x", *text], 1, 3) != substrings._hashed([b"ab", b"c"], 0, 2)
+
+
+def test_fingerprints_match_by_place(spark):
+    from pyspark.sql import functions as F
+
+    from wrenchfield.llm import fingerprints
+
+    rows = [([1, 2, 3, 4], [1, 2, 3, 4], 1.0), ([1, 2, 3, 4], [4, 3, 2, 1], 0.0), ([1, 2, 3], [1, 2, 5], 0.5), ([], [], 1.0), ([7], [7], 1.0), ([7], [], 0.0), ([9, 1, 2, 3], [1, 2, 3], 0.4)]
+    d = spark.createDataFrame(rows, "a array<int>, b array<int>, want double")
+    for r in d.select("want", fingerprints.likeness(F.col("a"), F.col("b")).alias("got")).collect():
+        assert math.isclose(r["got"], r["want"]), r

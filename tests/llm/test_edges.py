@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from fixtures import CLASHES, DOC, LABELS, SF, VECTORS, WORD, texts, write
-from test_contract import linked
+from pyspark.sql import functions as F
+from test_contract import goals, linked
 
 import corpus_pipeline
-from wrenchfield.llm import lm_scoring, mixing, pii, quality, shared, toxicity
+from wrenchfield.llm import lm_scoring, mixing, pii, quality, shared, tokens, toxicity
 from wrenchfield.llm.registry import QUERIES
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -77,11 +80,74 @@ def test_toxicity_stage_drops_what_scores_toxic_and_nothing_else(spark):
     assert sum(i not in kept for i in bad) >= 0.8 * len(bad)
 
 
-def test_pipeline_runs(spark):
-    made = corpus_pipeline.run(spark, SF).collect()
-    assert made
-    assert set(CLASHES).isdisjoint({"doc_id"})
-    used = Counter()
-    for r in made:
-        used[r["sequence_id"]] += r["length"]
-    assert max(used.values()) <= 1024
+def packed(rows: list, docs: list[tuple]) -> None:
+    """Pieces hold every document's ids once, gapless in sequences of 1,024 at most."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    want = Counter((i, (*t.encode(x or "", add_special_tokens=False).ids, 0)) for i, x in docs)
+    pieces, where = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u2" if max(map(max, (k[1] for k in want))) < 2**16 and len(r["ids"]) == 2 * r["length"] else "<u4").tolist()
+        assert (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) == (r["length"], r["ids_crc32"])
+        pieces[r["doc_id"], r["doc_tokens"], r["start"]].append(tuple(ids))
+        where[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in where.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 1024
+    for (doc, ids), n in want.items():
+        alike = sum(m for (d, x), m in want.items() if d == doc and len(x) == len(ids))
+        at = 0
+        if alike == n:  # the only text of its id and length: its pieces join to it
+            while at < len(ids):
+                own = pieces[doc, len(ids), at]
+                assert own and all(p == ids[at : at + len(p)] for p in own)
+                if len({len(p) for p in own}) > 1 or len(own) != n:
+                    break  # copies that are cut in different places
+                at += len(own[0])
+    assert sum(len(x) * n for (_, x), n in want.items()) == sum(r["length"] for r in rows)
+
+
+def test_packing_stage(spark, odd):
+    docs = spark.createDataFrame(texts(), DOC)
+    packed(STAGES["packing"](spark, docs, odd).collect(), [t[:2] for t in texts()])
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what the one before kept: toxicity by the model's own scores, the others by plain Python."""
+    docs = shared.documents(spark, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "score").collect()}
+    kept = [r for r in docs.collect() if scores[r["doc_id"]] < 0.5]
+    of = linked([(r["doc_id"], r["text"]) for r in kept], 5, 80, 100)
+    kept = [r for r in kept if of[r["doc_id"]][1] == r["doc_id"]]
+    fitted = pii.fit(pii.counted(r["text"] for r in kept if r["text"]))
+    clean = {}
+    for r in kept:
+        t, done, parts = r["text"] or "", 0, []
+        own = pii.patterns(t)
+        for a, b, k in sorted((a, b, k) for k, a, b in own + pii.added(t, own, fitted, 0.9)):
+            if a >= done:
+                parts += [t[done:a], f"<{pii.KINDS[k]}>"]
+            done = max(done, b)
+        clean[r["doc_id"]] = "".join([*parts, t[done:]])
+    size, count = Counter(), Counter()
+    for r in kept:
+        size[r["source"]] += len(WORD.findall(clean[r["doc_id"]]))
+        count[r["source"]] += 1
+    target = goals(size)
+    folder, last = spark, docs
+    for name in ("toxicity", "near_copies", "personal_data", "mixing"):
+        last = STAGES[name](folder, last, SF)
+        if name == "personal_data":
+            assert {r["doc_id"]: r["text"] or "" for r in last.collect()} == clean
+    mixed = last.collect()
+    taken, copies = Counter(), defaultdict(list)
+    for r in mixed:
+        taken[r["source"]] += len(WORD.findall(r["text"] or ""))
+        copies[r["doc_id"]].append(r["text"] or "")
+    assert all(abs(taken[s] - target[s]) <= count[s] + 0.01 * target[s] for s in size)
+    for i, every in copies.items():
+        whole = WORD.findall(clean[i])
+        assert all(t == clean[i] or WORD.findall(t) == whole[: len(WORD.findall(t))] for t in every) and sum(len(WORD.findall(t)) for t in every) <= 2 * len(whole)
+    packed(corpus_pipeline.run(spark, SF).collect(), [(r["doc_id"], r["text"]) for r in mixed])

@@ -132,3 +132,32 @@ def test_fit_is_the_minimum():
 def test_rules_are_paths():
     text = "x\n  Tree 0 (weight 1.0):\n    If (feature 1 <= 2.5)\n     If (feature 0 <= 1.0)\n      Predict: 0.0\n     Else (feature 0 > 1.0)\n      Predict: 1.0\n    Else (feature 1 > 2.5)\n     Predict: 1.0\n"
     assert quality.rules(text) == [((1, "<=", 2.5),), ((0, "<=", 1.0), (1, "<=", 2.5)), ((0, ">", 1.0), (1, "<=", 2.5)), ((1, ">", 2.5),)]
+
+
+def test_scores_are_the_rules_weights_added_up(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((400, len(quality.STATS))).round(3)
+    y = ((x[:, 0] > 0.5) & (x[:, 3] <= 0.6)).astype(float)
+    rows = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "label double, " + ", ".join(f"stat_{c} double" for c in quality.STATS))
+    kept = []
+    expression = quality.fit(rows, trees=5, kept=kept)
+    margin = np.full(len(x), kept[0])
+    for rule, w in kept[1:]:
+        hold = np.ones(len(x), bool)
+        for i, op, v in rule:
+            hold &= (x[:, i] <= v) if op == "<=" else (x[:, i] > v)
+        margin += w * hold
+    got = np.array([r[0] for r in rows.select(expression.alias("s")).collect()])
+    assert np.allclose(got, 1 / (1 + np.exp(-margin))) and ((got >= 0.5) == (y > 0)).mean() > 0.97
+    assert 0 < len(kept) - 1 < 60  # the lasso keeps few
+    # no kept weight can move and lower the lasso's objective
+    z = np.array([[float(all((a[i] <= v) if op == "<=" else (a[i] > v) for i, op, v in rule)) for rule, _ in kept[1:]] for a in x])
+
+    def objective(w):
+        m = kept[0] + z @ w
+        return (np.logaddexp(0, m) - y * m).mean() + 2e-3 * np.abs(w).sum()
+
+    w = np.array([v for _, v in kept[1:]])
+    for i in range(len(w)):
+        for step in (0.05, -0.05):
+            assert objective(w + step * (np.arange(len(w)) == i)) >= objective(w) - 1e-4

@@ -5,7 +5,8 @@ inner substrings. Of each `k` consecutive units, those whose least hash stands f
 a k-mer is one depends on nothing around it, so an edit changes only the anchors that it touches. k - 1 marks that are
 never least stand before a text, so that its first units, and texts of fewer than k units, have anchors, too. The
 fingerprint is the anchors' 24-bit hashes in order of their places, six hexadecimal digits each; equal texts have equal ones.
-Likeness is the Jaccard index of two fingerprints' anchors (1 if both have none).
+Two fingerprints are matched by place: an anchor counts with the one that follows it, so that what both texts have must stand
+in the same order. Likeness is the Jaccard index of these steps (the first begins at the text's start; 1 if both have none).
 
 The next document by doc_id is found on (doc_id, length) rows alone, ranked range by range; of the next document's text
 only as much travels as is needed.
@@ -57,7 +58,14 @@ def written(anchors_: Column) -> Column:
     return F.array_join(F.transform(anchors_, lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")
 
 
+def steps(anchors_: Column) -> Column:
+    """Each anchor with the one before it (-1 at the start), as one number."""
+    return F.zip_with(F.concat(F.array(F.lit(-1)), F.slice(anchors_, 1, F.greatest(F.size(anchors_) - 1, F.lit(0)))), anchors_, lambda a, b: F.when(b.isNotNull(), a.cast("long") * (1 << BITS) + b))
+
+
 def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints' steps; NULLs are what pads an empty fingerprint."""
+    a, b = (F.array_compact(steps(x)) for x in (a, b))
     both = F.size(F.array_intersect(a, b)).cast("double")
     either = F.size(F.array_union(a, b))
     return F.when(either > 0, both / either).otherwise(1.0)

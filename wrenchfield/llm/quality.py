@@ -106,8 +106,9 @@ def holds(rule: tuple[tuple[int, str, float], ...]) -> Column:
     return test
 
 
-def fit(rows: DataFrame, trees: int = 12, depth: int = 3, l1: float = 2e-3) -> Column:
-    """The score, as an expression over the statistics, from rows of statistics with a label (0.0 or 1.0)."""
+def fit(rows: DataFrame, trees: int = 12, depth: int = 3, l1: float = 2e-3, kept: list | None = None) -> Column:
+    """The score, as an expression over the statistics, from rows of statistics with a label (0.0 or 1.0). kept, if given,
+    receives the intercept, and each rule that has a weight, with it."""
     share = rows.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if share[0] is None or share[1] == share[2]:
         return F.lit(0.5 if share[0] is None else float(share[0]))
@@ -120,8 +121,11 @@ def fit(rows: DataFrame, trees: int = 12, depth: int = 3, l1: float = 2e-3) -> C
     lasso = LogisticRegression(featuresCol="z", labelCol="label", elasticNetParam=1.0, regParam=l1, maxIter=60, standardization=False).fit(z)
     z.unpersist()
     margin = F.lit(float(lasso.intercept))
+    kept = [] if kept is None else kept
+    kept.append(float(lasso.intercept))
     for r, w in zip(found, lasso.coefficients.toArray(), strict=True):
         if w:
+            kept.append((r, float(w)))
             margin = margin + F.when(holds(r), float(w)).otherwise(0.0)
     return 1 / (1 + F.exp(-margin))
 
