@@ -184,7 +184,7 @@ def city(c: Column) -> Column:
 
 
 def order_number_of_registrar(c: Column) -> Column:
-    return _empty_null(F.regexp_extract(c, r"(?iu)(?:№|N|заказ-наряд)\s*([0-9A-Za-zА-Яа-я/-]+)", 1))
+    return _empty_null(identifier(F.regexp_extract(c, r"(?iu)(?:заказ-наряд|заказ наряд)\s*([A-Za-zА-Яа-я0-9/_-]+)", 1)))
 
 
 def source_key(*cs: Column) -> Column:
@@ -233,7 +233,28 @@ def registry_cell(c: Column) -> Column:
 
 
 def registry_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;\\n/]+"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.split(F.coalesce(registry_cell(c), F.lit("")), "[,;\\n\\r]")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def registry_time(c: Column) -> Column:
+    """Two forms of a date with a time; '#' is none."""
+    x = registry_cell(c)
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")])
+
+
+def amount_or_zero(c: Column) -> Column:
+    """A number of an imported row, two places; NULL and blank are 0."""
+    return F.coalesce(F.round(c.try_cast("double"), 2), F.lit(0.0))
+
+
+def imported_mileage(c: Column) -> Column:
+    return F.greatest(F.lit(0).cast("long"), F.coalesce(F.bround(c.try_cast("double"), 0).cast("long"), F.lit(0).cast("long")))
+
+
+def imported_day(c: Column) -> Column:
+    """A date, or a date with a time, in ISO form."""
+    return F.try_to_timestamp(F.left(F.trim(c), F.lit(10)), F.lit("yyyy-MM-dd")).cast("date")
 
 
 #: Sections of the report, and what check types belong there, in the order in which they are asked.
@@ -247,13 +268,32 @@ def report_section(check_type: Column) -> Column:
     return out
 
 
-def compared(left: Column, right: Column) -> Column:
-    """empty / missing / ocr_missing / match / mismatch of an entered and a read value."""
+def compared(left: Column, right: Column, kind: str = "text") -> Column:
+    """empty / missing / ocr_missing / match / mismatch of an entered and a read value: as text without case, as whole numbers
+    (int), or with two places (money)."""
+    if kind == "text":
+        left, right = (_empty_null(F.lower(F.trim(x.cast("string")))) for x in (left, right))
+    else:
+        left, right = (F.round(F.replace(F.regexp_replace(x.cast("string"), r"\s+", ""), F.lit(","), F.lit(".")).try_cast("double"), 0 if kind == "int" else 2) for x in (left, right))
     return F.when(left.isNull() & right.isNull(), "empty").when(left.isNull(), "missing").when(right.isNull(), "ocr_missing").when(left == right, "match").otherwise("mismatch")
 
 
+def readiness(statuses: Column) -> Column:
+    """struct<missing, attention, ready, can_confirm> of the statuses of required fields."""
+    n = lambda *of: F.size(F.filter(statuses, lambda x: x.isin(*of)))
+    return F.struct(n("missing").alias("missing"), n("missing", "mismatch").alias("attention"), (F.size(statuses) - n("missing")).alias("ready"), (n("missing") == 0).alias("can_confirm"))
+
+
 def date_in_filename(c: Column) -> Column:
-    return parse_date(F.regexp_extract(c, r"(\d{1,2}[._-]\d{1,2}[._-]\d{4})", 1))
+    """Day first, or else in ISO form."""
+    day, iso = r"(\d{2})[._-](\d{2})[._-](\d{4})", r"(\d{4})[._-](\d{2})[._-](\d{2})"
+    of = lambda p, *at: F.try_to_timestamp(F.concat_ws("-", *[F.regexp_extract(c, p, i) for i in at]), F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(c.rlike(day), of(day, 3, 2, 1)).when(c.rlike(iso), of(iso, 1, 2, 3))
+
+
+def order_number_in_filename(c: Column) -> Column:
+    marked = r"№\s*([A-Za-zА-Яа-я0-9\-/]+)"
+    return F.coalesce(_empty_null(F.regexp_extract(c, marked, 1)), _empty_null(F.regexp_extract(c, r"(?iu)(?:заказ[\s_-]*наряд|зн)[^A-Za-z0-9_]{0,3}([A-Za-zА-Яа-я0-9\-/]+)", 1)))
 
 
 def vehicle_kind_of_plate(c: Column) -> Column:

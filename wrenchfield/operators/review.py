@@ -196,8 +196,21 @@ def status_after_check_edit(repairs: DataFrame, checks: DataFrame, admin: bool)
     return both.select("repair_id", F.when(F.col("_blocking"), "suspicious").when(F.col("_blocking").isNotNull() | F.lit(admin), "in_review").otherwise("employee_confirmed").alias("status"))
 
 
-def missing_fields(**fields: Column) -> Column:
-    return F.filter(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in fields.items()]), lambda x: x.isNotNull())
+def document_after_processing(fields: Column, source_type: Column) -> Column:
+    """struct<status, priority> by the number of fields that were read."""
+    status = F.when(fields >= 4, "recognized").when(fields > 0, "partially_recognized").when(source_type == "pdf", "ocr_error").otherwise("needs_review")
+    return F.struct(status.alias("status"), F.when(status == "recognized", 20).otherwise(100).alias("priority"))
+
+
+def missing_fields(repairs: DataFrame, vehicles: DataFrame, placeholder: str) -> DataFrame:
+    """repair_id, missing: what a repair lacks for a confirmation: vehicle, order number, date, service, mileage, total."""
+    v = vehicles.select(F.col("id").alias("vehicle_id"), (F.col("external_id") != placeholder).alias("_known"))
+    none = {
+        "vehicle": ~F.coalesce("_known", F.lit(False)), "order_number": F.coalesce(F.col("order_number"), F.lit("")) == "", "repair_date": F.col("repair_date").isNull(), "service": F.col("service_id").isNull(),
+        "mileage": F.coalesce(F.col("mileage") <= 0, F.lit(True)), "grand_total": F.coalesce(F.col("grand_total") <= 0, F.lit(True)),
+    }
+    missing = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in none.items()]))
+    return repairs.join(v, "vehicle_id", "left").select(F.col("id").alias("repair_id"), missing.alias("missing")).where(F.size("missing") > 0)
 
 
 #: What a review action makes of a document, its repair, its place in the queue and its open checks, and who may take it.

@@ -410,6 +410,46 @@ def C16_plate_parity(t):
     return resolve.vehicle_of_plate_map(t("vehicles"))
 
 
+@query(f"""WITH a AS (SELECT id, CASE WHEN id % 3 = 0 THEN vin END AS vin, CASE WHEN id % 2 = 0 THEN lower(plate_number) ELSE concat('none', CAST(id AS STRING)) END AS plate FROM vehicles), h AS (SELECT DISTINCT a.id, v.id AS v FROM a JOIN vehicles v ON a.vin = v.vin OR upper(a.plate) = v.plate_number), n AS (SELECT id, count(*) AS n, min(v) AS v FROM h GROUP BY id)
+  SELECT a.id, CASE WHEN n = 1 THEN v END AS vehicle_id, coalesce(n > 1, false) AS is_conflict FROM a LEFT JOIN n USING (id)""")
+def C17_vehicle_or_conflict(t):
+    i = F.col("id")
+    asked = t("vehicles").select("id", F.when(i % 3 == 0, F.col("vin")).alias("vin"), F.when(i % 2 == 0, F.lower("plate_number")).otherwise(F.concat(F.lit("none"), i.cast("string"))).alias("plate"))
+    return resolve.vehicle_or_conflict(asked, t("vehicles"), filters.PLACEHOLDER)
+
+
+@query("""WITH a AS (SELECT id, CASE WHEN id % 3 = 0 THEN vin WHEN id % 3 = 1 THEN 'VIN000' END AS vin, CASE WHEN id % 2 = 0 THEN plate_number END AS plate, CASE WHEN id % 5 = 0 THEN 'A123BC77 and XTA12345678901234.pdf' END AS f FROM vehicles), bv AS (SELECT vin, min(id) AS v FROM vehicles WHERE vin IS NOT NULL GROUP BY 1), bp AS (SELECT plate_number, min(id) AS v FROM vehicles GROUP BY 1)
+  SELECT a.id, coalesce(bv.v, bp.v) AS vehicle_id FROM a LEFT JOIN bv ON bv.vin = a.vin LEFT JOIN bp ON bp.plate_number = a.plate""")
+def C18_vehicle_of_file(t):
+    i = F.col("id")
+    asked = t("vehicles").select("id", F.when(i % 3 == 0, F.col("vin")).when(i % 3 == 1, "VIN000").alias("vin"), F.when(i % 2 == 0, F.col("plate_number")).alias("plate"), F.when(i % 5 == 0, "A123BC77 and XTA12345678901234.pdf").alias("filename"))
+    return resolve.vehicle_of_file(asked, t("vehicles"), filters.PLACEHOLDER)
+
+
+@query("""WITH a AS (SELECT id, CASE id % 3 WHEN 0 THEN plate_number WHEN 1 THEN concat(plate_number, '77') ELSE substr(plate_number, 1, 6) END AS plate FROM vehicles), m AS (SELECT plate_number AS plate, CASE WHEN count(*) % 2 = 1 THEN max(id) END AS v FROM vehicles GROUP BY 1), p AS (SELECT a.id, count(DISTINCT v.id) AS n, min(v.id) AS v FROM a JOIN vehicles v ON length(a.plate) >= 6 AND (starts_with(a.plate, v.plate_number) OR starts_with(v.plate_number, a.plate)) GROUP BY a.id)
+  SELECT a.id, coalesce(m.v, CASE WHEN p.n = 1 THEN p.v END) AS vehicle_id FROM a LEFT JOIN m USING (plate) LEFT JOIN p ON p.id = a.id""")
+def C16_vehicle_of_import(t):
+    i, plate = F.col("id"), F.col("plate_number")
+    return resolve.vehicle_of_import(t("vehicles").select("id", F.when(i % 3 == 0, plate).when(i % 3 == 1, F.concat(plate, F.lit("77"))).otherwise(F.left(plate, F.lit(6))).alias("plate")), t("vehicles"))
+
+
+_NAMED = "lower(regexp_replace({c}, '[^0-9A-Za-z]', '', 'g'))"
+
+
+@query(f"""WITH k AS (SELECT {_NAMED.replace('{c}', 'name')} AS key, name, created_by_user_id IS NOT NULL AS made FROM services WHERE created_by_user_id IS NULL OR status <> 'archived'), b AS (SELECT key, arg_min(name, (made, name)) AS service FROM k GROUP BY key), n AS (SELECT id, CASE WHEN id % 2 = 0 THEN concat('ООО «', upper(name), '»') ELSE concat(name, 'x') END AS name, CASE WHEN id % 2 = 0 THEN {_NAMED.replace('{c}', 'name')} END AS key FROM services)
+  SELECT n.id, n.name, service FROM n LEFT JOIN b USING (key)""")
+def C20_service_by_alias(t):
+    asked = t("services").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("ООО «"), F.upper("name"), F.lit("»"))).otherwise(F.concat("name", F.lit("x"))).alias("name"))
+    return resolve.service_by_alias(asked, t("services"))
+
+
+@query("""WITH s AS (SELECT id, name FROM services WHERE created_by_user_id IS NULL), d AS (SELECT d.id, d.repair_id, d.is_primary, d.repair_id % 40 AS sid FROM documents_d d JOIN repairs r ON r.id = d.repair_id WHERE d.id % 3 > 0) SELECT d.repair_id, s.name AS service FROM d JOIN s ON s.id = d.sid""")
+def C31_service_backfill(t):
+    s = t("services").select(F.col("id").alias("_i"), F.col("name").alias("_n"))
+    v = t("documents_d").withColumn("_i", F.col("repair_id") % 40).join(s, "_i", "left").select(F.col("id").alias("document_id"), F.lit(1).alias("version_number"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("/in/Заказ-наряды "), "_n", F.lit("/scan.pdf"))).otherwise(" ").alias("source_path"))
+    return resolve.service_backfill(t("repairs"), t("documents_d"), v, t("services"))
+
+
 C19_TEXT = "SELECT id, concat('bill of ', lower(name), ' and ', name, CAST(id % 10 AS STRING)) AS text FROM services"
 
 
@@ -630,13 +670,13 @@ def D19_group_examples(t):
 
 def _imports(t):
     r = t("repairs").select(F.col("id").alias("repair_id"), "vehicle_id", "repair_date", "mileage")
-    return t("repair_lines").join(r, "repair_id").select(F.concat(F.lit("P"), F.col("vehicle_id").cast("string")).alias("plate"), F.when(F.col("part_id") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("S"), (F.col("part_id") % 5).cast("string"))).alias("supplier"), (F.col("repair_id") % 100).cast("string").alias("registrar"), F.col("repair_date").alias("day"), "mileage", F.col("code").alias("article"), (F.col("part_id") * 1000003 + F.col("quantity").cast("long") * 50 + F.col("line_no") + F.col("repair_id") * 7).alias("row"), F.col("quantity").cast("string").alias("quantity"), F.col("line_total").alias("amount"))
+    return t("repair_lines").join(r, "repair_id").select(F.concat(F.lit("P"), F.col("vehicle_id").cast("string")).alias("plate"), F.when(F.col("part_id") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("S"), (F.col("part_id") % 5).cast("string"))).alias("supplier"), (F.col("repair_id") % 100).cast("string").alias("registrar"), F.col("repair_date").alias("day"), "mileage", F.col("code").alias("article"), ((F.col("repair_id") * 1000 + F.col("line_no")) * 1000000 + F.col("part_id")).alias("row"), F.col("quantity").cast("string").alias("quantity"), F.col("line_total").alias("amount"))
 
 
-@query("""WITH i AS (SELECT concat_ws('|', concat('P', CAST(vehicle_id AS STRING)), CASE WHEN part_id % 9 = 0 THEN '-' ELSE concat('S', CAST(part_id % 5 AS STRING)) END, CAST(repair_id % 100 AS STRING), CAST(repair_date AS STRING)) AS source_key, mileage, line_total AS amount FROM repair_lines JOIN repairs r ON r.id = repair_id)
-  SELECT source_key, max(mileage) AS mileage, count(*) AS lines, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM i GROUP BY source_key""")
+@query("""WITH i AS (SELECT concat_ws('|', concat('P', CAST(vehicle_id AS STRING)), CASE WHEN part_id % 9 = 0 THEN '-' ELSE concat('S', CAST(part_id % 5 AS STRING)) END, CAST(repair_id % 100 AS STRING), CAST(repair_date AS STRING)) AS source_key, mileage, line_total AS amount, code, (repair_id * 1000 + line_no) * 1000000 + part_id AS row FROM repair_lines JOIN repairs r ON r.id = repair_id)
+  SELECT source_key, max(mileage) AS mileage, count(*) AS lines, arg_min_null(code, row) AS first_article, array_to_string(list(coalesce(code, '-') ORDER BY row), ';') AS articles, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM i GROUP BY source_key""")
 def D22_import_grouping(t):
-    return mutations.import_groups(_imports(t)).drop("first_article")
+    return mutations.import_groups(_imports(t))
 
 
 @query("SELECT lower(email) AS email, count(*) AS n FROM users GROUP BY 1 HAVING count(*) > 1")
@@ -790,10 +830,16 @@ def L8_review_action(t):
     return t("documents_d").select("id", review.review_action(role, action).alias("x")).select("id", "x.*")
 
 
-@query("SELECT id, array_to_string(list_filter([CASE WHEN service_id IS NULL THEN 'service' END, CASE WHEN mileage = 0 THEN 'mileage' END, CASE WHEN reason IS NULL THEN 'reason' END], lambda x: x IS NOT NULL), ',') AS missing FROM repairs WHERE service_id IS NULL OR mileage = 0")
+@query("SELECT id AS repair_id, array_to_string(list_filter([CASE WHEN service_id IS NULL THEN 'service' END, CASE WHEN mileage <= 0 THEN 'mileage' END, CASE WHEN grand_total <= 0 THEN 'grand_total' END], lambda x: x IS NOT NULL), ',') AS missing FROM repairs WHERE service_id IS NULL OR mileage <= 0 OR grand_total <= 0")
 def K13_missing_fields(t):
-    m = review.missing_fields(service=F.col("service_id"), mileage=F.nullif(F.col("mileage"), F.lit(0).cast("long")), reason=F.col("reason"))
-    return t("repairs").select("id", F.array_join(m, ",").alias("missing")).where("missing <> ''")
+    return review.missing_fields(t("repairs"), t("vehicles"), filters.PLACEHOLDER).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("""SELECT id, CASE WHEN id % 7 = 0 THEN 'ocr_error' WHEN id % 3 = 0 THEN 'suspicious' ELSE 'in_review' END AS repair_status, CASE WHEN id % 7 >= 4 THEN 'recognized' WHEN id % 7 > 0 THEN 'partially_recognized' WHEN original_filename LIKE '%.pdf' THEN 'ocr_error' ELSE 'needs_review' END AS status, CAST(CASE WHEN id % 7 >= 4 THEN 20 ELSE 100 END AS INTEGER) AS priority FROM documents_d""")
+def K10_status_after_processing(t):
+    n = F.col("id") % 7
+    made = review.document_after_processing(n, F.when(F.col("original_filename").endswith(".pdf"), "pdf").otherwise("image"))
+    return t("documents_d").select("id", review.status_after_processing(n, F.col("id") % 3 == 0).alias("repair_status"), made.alias("x")).select("id", "repair_status", "x.*")
 
 
 # --- pages of several lists
@@ -910,12 +956,38 @@ INCOMING = """SELECT id AS row, CASE WHEN id % 2 = 0 THEN concat('new-', CAST(id
   b AS (SELECT row, arg_min(id, (rank, id)) AS id FROM h GROUP BY row) SELECT n.row, b.id, CASE WHEN b.id IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM n LEFT JOIN b USING (row)""")
 def L1_vehicle_upsert(t):
     v = t("vehicles").select("id", "external_id", "vin", "plate_number", "vehicle_type")
+    return mutations.upsert_vehicles(v, _incoming(v))
+
+
+def _incoming(v):
     i = F.col("id")
-    new = v.select(
+    return v.select(
         i.alias("row"), F.when(i % 2 == 0, F.concat(F.lit("new-"), i.cast("string"))).otherwise(F.col("external_id")).alias("external_id"), F.when(i % 4 != 0, F.col("vin")).alias("vin"),
         F.when(i % 8 == 0, F.concat(F.lit("N"), i.cast("string"))).otherwise(F.col("plate_number")).alias("plate_number"), "vehicle_type",
     )
-    return mutations.upsert_vehicles(v, new)
+
+
+@query(f"""WITH n AS ({INCOMING}), h AS (SELECT n.row, o.id, 0 AS rank FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.external_id = o.external_id UNION ALL SELECT n.row, o.id, 1 FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.vin = o.vin UNION ALL SELECT n.row, o.id, 2 FROM n JOIN vehicles o ON n.vehicle_type = o.vehicle_type AND n.plate_number = o.plate_number),
+  b AS (SELECT row, arg_min(id, (rank, id)) AS id FROM h GROUP BY row), c AS (SELECT b.id, arg_max(external_id, row) AS e, arg_max(vin, row) AS v, arg_max(plate_number, row) AS p FROM n JOIN b USING (row) GROUP BY b.id)
+  SELECT o.id, o.vehicle_type, coalesce(e, o.external_id) AS external_id, coalesce(v, o.vin) AS vin, coalesce(p, o.plate_number) AS plate_number FROM vehicles o LEFT JOIN c ON c.id = o.id UNION ALL SELECT (SELECT max(id) FROM vehicles) + 1 + n.row, vehicle_type, external_id, vin, plate_number FROM n WHERE row NOT IN (SELECT row FROM b)""")
+def L1_vehicle_snapshot(t):
+    v = t("vehicles").select("id", "external_id", "vin", "plate_number", "vehicle_type")
+    return mutations.upserted_vehicles(v, _incoming(v))
+
+
+_ROWS = """SELECT (l.repair_id * 1000 + l.line_no) * 1000000 + l.part_id AS row, CASE WHEN r.vehicle_id % 6 = 0 THEN concat('Z', v.plate_number) WHEN r.vehicle_id % 6 = 1 THEN lower(concat(v.plate_number, ' 77')) ELSE v.plate_number END AS plate, CASE WHEN l.repair_id % 8 = 0 THEN 'New Shop' WHEN l.repair_id % 8 = 1 THEN NULL ELSE s.name END AS supplier,
+  CASE WHEN l.repair_id % 5 = 0 THEN CAST(l.repair_id AS STRING) ELSE concat('Заказ-наряд ', CAST(l.repair_id AS STRING)) END AS registrar, CASE WHEN l.line_no = 7 THEN 'unknown' ELSE concat(CAST(r.repair_date AS STRING), ' 00:00:00') END AS period, CAST(r.mileage AS STRING) AS mileage, l.code AS article,
+  CASE WHEN l.kind = 'work' THEN 'ТО и ремонт' ELSE 'Запчасти' END AS expense_item, CAST(NULL AS STRING) AS auto_group, l.name AS nomenclature, CAST(l.quantity AS STRING) AS quantity, CAST(l.line_total AS STRING) AS amount FROM repair_lines l JOIN repairs r ON r.id = l.repair_id JOIN vehicles v ON v.id = r.vehicle_id LEFT JOIN services s ON s.id = r.service_id"""
+
+
+@query(f"""WITH i AS (SELECT x.*, upper(regexp_replace(plate, '[^0-9A-Za-z]', '', 'g')) AS pk, concat_ws('|', upper(regexp_replace(plate, '[^0-9A-Za-z]', '', 'g')), coalesce(upper(regexp_replace(supplier, '[^0-9A-Za-z]', '', 'g')), '-'), upper(regexp_replace(registrar, '[^0-9A-Za-zА-Яа-я]', '', 'g')), substr(period, 1, 10)) AS source_key, CASE WHEN expense_item = 'Запчасти' THEN 'part' ELSE 'work' END AS kind FROM ({_ROWS}) x WHERE period <> 'unknown'),
+  g AS (SELECT source_key, arg_min(pk, row) AS pk, arg_min_null(supplier, row) AS supplier, arg_min(registrar, row) AS registrar, CAST(substr(arg_min(period, row), 1, 10) AS DATE) AS day, max(CAST(mileage AS BIGINT)) AS mileage, CAST(coalesce(sum(round(CAST(amount AS DOUBLE), 2)::DECIMAL(18,2)) FILTER (kind = 'work'), 0) AS DOUBLE) AS work_total, CAST(coalesce(sum(round(CAST(amount AS DOUBLE), 2)::DECIMAL(18,2)) FILTER (kind = 'part'), 0) AS DOUBLE) AS parts_total FROM i GROUP BY source_key),
+  m AS (SELECT plate_number AS pk, CASE WHEN count(*) % 2 = 1 THEN max(id) END AS v FROM vehicles GROUP BY 1), p AS (SELECT q.pk, count(DISTINCT v.id) AS n, min(v.id) AS v FROM (SELECT DISTINCT pk FROM g) q JOIN vehicles v ON length(q.pk) >= 6 AND (starts_with(q.pk, v.plate_number) OR starts_with(v.plate_number, q.pk)) GROUP BY q.pk)
+  SELECT source_key, CASE WHEN registrar LIKE 'Заказ-наряд %' THEN substr(registrar, 13) END AS order_number, day AS repair_date, coalesce(m.v, CASE WHEN p.n = 1 THEN p.v END) AS vehicle_id, supplier AS service, g.mileage, 'historical_import:' || source_key AS reason, work_total, parts_total, round(work_total + parts_total, 2) AS grand_total, 'confirmed' AS status FROM g LEFT JOIN m USING (pk) LEFT JOIN p USING (pk) WHERE coalesce(m.v, CASE WHEN p.n = 1 THEN p.v END) IS NOT NULL""")
+def L5_history_import(t):
+    rows = t.sql(_ROWS)
+    alive = t("services").withColumn("status", F.lit("confirmed"))
+    return mutations.imported(mutations.import_lines(rows), t("repairs"), t("vehicles"), alive)["repairs"]
 
 
 @query("""WITH o AS (SELECT code, name, standard_hours, category FROM labor_norms WHERE status <> 'archived'), n AS (SELECT code, name, CASE WHEN standard_hours > 45 THEN NULL ELSE standard_hours + 1 END AS standard_hours, category FROM labor_norms)
@@ -1029,6 +1101,27 @@ def H33_compared(t):
     return t("documents_d").select("id", text.compared(F.when(i % 4 != 0, i % 5), F.when(i % 3 != 0, i % 10)).alias("status"))
 
 
+@query("""WITH x AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 5 END AS l, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 10 END AS r FROM documents_d), y AS (SELECT id, CASE WHEN l IS NULL AND r IS NULL THEN 'empty' WHEN l IS NULL THEN 'missing' WHEN r IS NULL THEN 'ocr_missing' WHEN l = r THEN 'match' ELSE 'mismatch' END AS s FROM x)
+  SELECT id, s AS as_text, s AS as_int, s AS as_money, CAST(3 * (s = 'missing')::INT AS INTEGER) AS missing, CAST(3 * (s IN ('missing', 'mismatch'))::INT AS INTEGER) AS attention, CAST(3 - 3 * (s = 'missing')::INT AS INTEGER) AS ready, s <> 'missing' AS can_confirm FROM y""")
+def H40_readiness(t):
+    l, r = F.when(F.col("id") % 4 != 0, F.col("id") % 5), F.when(F.col("id") % 3 != 0, F.col("id") % 10)  # noqa: E741
+    word = lambda c, up: F.concat(F.lit(" Ab " if up else "aB "), c.cast("string"))
+    money = lambda c, comma: F.concat(F.lit("1 000"), c.cast("string"), F.lit(",501 " if comma else ".5"))
+    each = {"as_text": text.compared(word(l, True), F.concat(F.lit("AB "), r.cast("string")), "text"), "as_int": text.compared(F.concat(l.cast("string"), F.lit(",2")), r, "int"), "as_money": text.compared(money(l, True), money(r, False), "money")}
+    each["as_text"] = text.compared(F.trim(word(l, True)), F.concat(F.lit("AB "), r.cast("string")), "text")
+    return t("documents_d").select("id", *[v.alias(k) for k, v in each.items()]).withColumn("x", text.readiness(F.array(*each))).select("id", *each, "x.*")
+
+
+@query("""SELECT id, CASE WHEN id % 4 < 2 THEN TIMESTAMP '2024-03-05 06:07:08' END AS at, array_to_string(CASE WHEN id % 2 = 0 THEN ['a', 'b', 'c'] ELSE [CAST(id AS STRING)] END, '|') AS listed, CASE WHEN id % 3 < 2 THEN DATE '2024-03-05' END AS day, CASE id % 3 WHEN 0 THEN '12-А' WHEN 1 THEN '77/1' END AS number, CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS BIGINT) AS mileage, CASE WHEN id % 3 = 0 THEN 0.0 ELSE id + 0.13 END AS amount FROM documents_d""")
+def H30_registry_and_file_names(t):
+    i, n = F.col("id"), F.col("id").cast("string")
+    at = F.when(i % 4 == 0, "2024-03-05 06:07:08").when(i % 4 == 1, "05.03.2024 06:07:08").when(i % 4 == 2, "#")
+    listed = F.when(i % 2 == 0, "a; b,\nc\r").otherwise(F.concat(n, F.lit(".0")))
+    file = F.when(i % 3 == 0, "Акт № 12-А от 05.03.2024.pdf").when(i % 3 == 1, "зн 77/1 2024-03-05.pdf").otherwise("scan.pdf")
+    given = F.when(i % 3 == 0, "-5").otherwise(F.concat(n, F.lit(".125")))
+    return t("documents_d").select("id", text.registry_time(at).alias("at"), F.array_join(text.registry_list(listed), "|").alias("listed"), text.date_in_filename(file).alias("day"), text.order_number_in_filename(file).alias("number"), text.imported_mileage(given).alias("mileage"), text.amount_or_zero(F.when(i % 3 != 0, given)).alias("amount"))
+
+
 # --- extraction from texts that are made of the repairs' lines, so that SQL knows what is in them
 
 _FLOOR = "floor({c} * 100) / 100"

@@ -114,3 +114,10 @@ class Tables:
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._made[name]
+
+    def sql(self, text: str) -> DataFrame:
+        """A text over the base tables and views."""
+        uses = [n for n in (*BASE, *VIEWS) if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", text)]
+        for n in uses:
+            text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
+        return self.spark.sql(text, **{n: self(n) for n in uses})
