@@ -22,7 +22,7 @@ VIEWS: dict[str, str] = {
     "repairs": """SELECT CAST(o_orderkey AS BIGINT) AS id, concat('ZN-', CAST(o_orderkey AS STRING)) AS order_number, CAST(o_orderdate AS DATE) AS repair_date, CAST(o_custkey AS BIGINT) AS vehicle_id,
       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS BIGINT) END AS service_id, CAST(o_orderkey % 150 AS BIGINT) AS created_by_user_id, CAST((o_orderkey * 37) % 300000 AS BIGINT) AS mileage,
       CASE WHEN o_orderkey % 5 = 0 THEN concat('historical_import:', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 9 = 0 THEN 'diagnostics' WHEN o_orderkey % 7 = 0 THEN 'Утечка воздуха' WHEN o_orderkey % 11 = 0 THEN 'Не работает ABS' WHEN o_orderkey % 13 = 1 THEN 'Прочее' ELSE 'engine noise' END AS reason, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) END AS source_document_id,
-      CAST(o_totalprice AS DOUBLE) AS grand_total, CASE WHEN o_orderkey % 4 = 0 THEN CAST(CAST(o_totalprice * 0.1 AS DECIMAL(18,2)) AS DOUBLE) ELSE 0.0 END AS vat_total, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'in_review' ELSE 'suspicious' END AS status,
+      CAST(o_totalprice AS DOUBLE) AS grand_total, CASE WHEN o_orderkey % 4 = 0 THEN CAST(floor(o_totalprice * 10) AS DOUBLE) / 100 ELSE 0.0 END AS vat_total, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'in_review' ELSE 'suspicious' END AS status,
       o_orderkey % 6 = 0 AS is_partially_recognized, o_orderpriority AS priority FROM orders""",
     "repair_lines": """SELECT CAST(l_orderkey AS BIGINT) AS repair_id, CASE WHEN l_linenumber % 2 = 1 THEN 'work' ELSE 'part' END AS kind, CASE WHEN p_partkey % 4 = 0 OR l_orderkey % 97 = 0 THEN NULL ELSE p_brand END AS code,
       CASE WHEN l_orderkey % 97 = 0 THEN concat(p_name, ' of ', CAST(l_orderkey AS STRING), 'x', CAST(l_linenumber AS STRING)) WHEN l_partkey % 37 = 0 THEN concat(p_name, ' abs sensor') WHEN l_partkey % 41 = 0 THEN concat(p_name, ' tech tool scan') ELSE p_name END AS name, CAST(l_quantity AS DOUBLE) AS quantity, CASE WHEN l_partkey % 3 = 0 THEN 'нч' ELSE 'шт' END AS unit,
