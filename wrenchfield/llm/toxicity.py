@@ -105,6 +105,7 @@ def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: Pairs, bits: int
     often = np.bincount(flat, minlength=1 << bits) >= least
     keep = often[flat]
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))[keep]
+    blocks = range(0, len(y), 1024)  # of texts: what a step needs beside the features is small
     used = np.flatnonzero(often)
     where = np.full(1 << bits, -1, np.int32)
     where[used] = np.arange(len(used))
@@ -117,13 +118,16 @@ def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: Pairs, bits: int
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes count alike
     n_pair = len(pairs)
     w, bias, z, z_bias, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
-    scale = np.bincount(column, weights=(weight * np.diff(to))[row], minlength=len(used))  # bounds the loss's curvature, by feature
+    scale = sum(np.bincount(column[to[a] : to[min(a + 1024, len(y))]], weights=(weight * np.diff(to))[row[to[a] : to[min(a + 1024, len(y))]]], minlength=len(used)) for a in blocks)  # bounds the loss's curvature, by feature
     apart = np.bincount(other, weights=(np.bincount(pair, minlength=n_pair) * 2 * fair * share)[pair], minlength=len(used))  # the same of the pairs
     step = np.minimum(50 / (0.25 * scale.max() + 2 * fair), 1 / (0.25 * scale + apart + 1e-3))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(_dot(column, to, z) + z_bias)))
-        r = weight * (p - y)
-        g = np.bincount(column, weights=r[row], minlength=len(used))
+        r, g = np.empty(len(y)), np.zeros(len(used))
+        for a in blocks:
+            b = min(a + 1024, len(y))
+            own = slice(to[a], to[b])
+            r[a:b] = weight[a:b] * (1 / (1 + np.exp(-(_dot(column[own], to[a : b + 1] - to[a], z) + z_bias))) - y[a:b])
+            g += np.bincount(column[own], weights=r[row[own]], minlength=len(used))
         if len(pair):
             d = np.bincount(pair, weights=sign * z[other], minlength=n_pair) * 2 * fair * share
             g += np.bincount(other, weights=sign * d[pair], minlength=len(used))
