@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import scratch
 from .filters import is_historical
 
 OPERATIONAL = ("confirmed", "employee_confirmed")
@@ -44,6 +45,7 @@ def work_reference(lines: DataFrame, repairs: DataFrame, services: DataFrame, mi
     """A row for each kind of work: samples, medians, extremes, latest dates and the three most frequent services (ties by
     name). Lines are reduced to a row for each key and repair, and to counted values for the medians, before a key's rows meet."""
     rows = reference_lines(lines, repairs).join(services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name")), "service_id", "left").withColumn("service_name", F.coalesce("service_name", F.lit("none")))
+    rows = scratch.save(rows.select("key", "repair_id", "name", "service_name", "historical", "operational", "line_total", "mileage", "repair_date", "quantity", "standard_hours"), "reference-lines")
     top = top_services(rows, "service_name").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service_name", "n"))), lambda x: F.concat(x["service_name"], F.lit("="), x["n"].cast("string"))), ";").alias("top_services"))
     spread = rows.groupBy("key", "service_name").agg(F.count("*")).groupBy("key").agg(F.count("*").alias("services_count"))
     each = rows.groupBy("key", "repair_id").agg(
@@ -130,7 +132,7 @@ def middles(rows: DataFrame, by: list[str], width: DataFrame | None = None) -> D
     """by, size, middle of rows (by, value, n: how often): of each group's values in order, those that a median can be when up
     to `wide` of them are left out (width: by, wide), as (value, before, n). Values are found by bins, so that no group is
     put in order as a whole, and only the middle ones are collected."""
-    counted = rows.groupBy(*by, "value").agg(F.sum("n").alias("n")).withColumn("bin", _bin(F.col("value")))
+    counted = scratch.save(rows.groupBy(*by, "value").agg(F.sum("n").alias("n")).withColumn("bin", _bin(F.col("value"))), "counted-values")
     bins = counted.groupBy(*by, "bin").agg(F.sum("n").alias("bn"))
     at = bins.withColumn("bin_before", F.sum("bn").over(Window.partitionBy(*by).orderBy("bin")) - F.col("bn"))
     sizes = bins.groupBy(*by).agg(F.sum("bn").alias("size"))
@@ -172,7 +174,7 @@ def segmented_reference(lines: DataFrame, repairs: DataFrame, vehicles: DataFram
     from 2 samples on, else of its service from 3 on, else of the type. Works of a repair alike in code and name are one
     question. A history line counts under its code and name, and under its name, and there for its vehicle, its service
     and its type: six rows, whatever else shares the name."""
-    every = _typed(lines, repairs, vehicles)
+    every = scratch.save(_typed(lines, repairs, vehicles).select("repair_id", "code", "norm", "price", "line_total", "vehicle_id", "service_id", "vehicle_type", "mileage", "historical", "status"), "typed-works")
     by_key, by_name = F.concat_ws("|", F.lit("code"), "code", "norm"), F.concat(F.lit("name|"), F.col("norm"))
     keys = F.array_compact(F.array(F.when(F.col("code").isNotNull(), by_key), by_name))
     history = every.where(F.col("historical") | F.col("status").isin(*OPERATIONAL)).withColumn("key", F.explode(keys)).select("*", F.inline(_levels()))
@@ -180,11 +182,13 @@ def segmented_reference(lines: DataFrame, repairs: DataFrame, vehicles: DataFram
     mine = history.groupBy(*group, "repair_id").agg(
         F.count("*").alias("own_n"), F.collect_list("price").alias("own_price"), F.collect_list("line_total").alias("own_total"), F.max(F.when(F.col("mileage") > 0, F.col("mileage"))).alias("own_mileage"), F.count_if("historical").alias("own_historical")
     )  # a repair's own lines
+    mine = scratch.save(mine, "own-works")
     width = mine.groupBy(*group).agg(F.max("own_n").alias("wide"))
-    stats = history.groupBy(*group).agg(F.count("*").alias("all_n"), F.count_if("historical").alias("all_historical"), F.count_if(F.col("mileage") > 0).alias("all_miles"))
-    measures = {"price": F.col("price"), "line_total": F.col("line_total"), "mileage": F.when(F.col("mileage") > 0, F.col("mileage").cast("double"))}
-    for name, c in measures.items():
-        got = middles(history.select(*group, c.alias("value"), F.lit(1).alias("n")).where("value is not null"), group, width)
+    stats = mine.groupBy(*group).agg(F.sum("own_n").alias("all_n"), F.sum("own_historical").alias("all_historical"), F.coalesce(F.sum(F.when(F.col("own_mileage") > 0, F.col("own_n"))), F.lit(0)).alias("all_miles"))
+    one = F.lit(1).alias("n")
+    measures = {"price": mine.select(*group, F.explode("own_price").alias("value"), one), "line_total": mine.select(*group, F.explode("own_total").alias("value"), one), "mileage": mine.where("own_mileage > 0").select(*group, F.col("own_mileage").cast("double").alias("value"), F.col("own_n").alias("n"))}
+    for name, rows in measures.items():
+        got = middles(rows, group, width)
         stats = stats.join(got.select(*group, F.col("size").alias(f"{name}_size"), F.col("middle").alias(f"{name}_middle")), group, "left")
     # the two repairs with the least mileage, and with the most: one of them isn't the asked one
     miles = mine.where("own_mileage is not null")
@@ -247,11 +251,12 @@ def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, as
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
     r = repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "status", "grand_total", "vat_total").join(v, "vehicle_id").drop("vehicle_id")
     works = lines.where((F.col("kind") == "work") & (F.trim("name") != "")).withColumn("norm", text.normalized_name(F.col("name")))
-    every = works.withColumn("hours", reference_hours()).select("repair_id", "code", "norm", "line_total", "standard_hours", "actual_hours", "hours").join(r, "repair_id")
+    every = scratch.save(works.withColumn("hours", reference_hours()).select("repair_id", "code", "norm", "line_total", "standard_hours", "actual_hours", "hours").join(r, "repair_id"), "works-with-hours")
     known = every.where(F.col("status").isin(*statuses) & (F.col("grand_total") > 0))
     levels = F.filter(F.array(F.struct(F.lit("service").alias("level"), F.col("service_id").alias("of")), F.struct(F.lit("all").alias("level"), F.lit(0).cast("long").alias("of"))), lambda x: x["of"].isNotNull())
     works = every if asked is None else every.join(asked.select("repair_id").distinct(), "repair_id", "left_semi")
     counted = known.select("vehicle_type", "code", "norm", F.col("line_total").alias("value"), F.inline(levels)).groupBy("vehicle_type", "level", "of", "code", "norm", "value").agg(F.count("*").alias("n"))
+    counted = scratch.save(counted, "counted-totals")
     group = ["vehicle_type", "level", "of", "code", "norm"]
     pairs = works.select("vehicle_type", "code", "norm", F.inline(levels)).distinct()
     at = ["vehicle_type", "level", "of"]
