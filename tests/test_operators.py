@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from wrenchfield.operators import dashboard, filters, latest, mutations, resolve, review
+from wrenchfield.operators import checks, dashboard, filters, history, latest, mutations, resolve, review
 from wrenchfield.sources import files
 from wrenchfield.streaming import queue
 
@@ -178,3 +178,52 @@ def test_bars_and_changes(spark):
     row = spark.range(1).select(dashboard.bars(F.lit(5), F.lit(0), F.lit(2)).alias("b"), dashboard.changed_fields(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("a"), F.lit(1), F.lit("c"), F.lit(3))).alias("c")).first()
     assert [tuple(x) for x in row["b"]] == [("confirmed", 3), ("suspicious", 2)]
     assert row["c"] == ["b", "c"]
+
+
+def test_relinking_and_primary_documents(spark):
+    repairs = spark.createDataFrame([(1, 9), (2, 9), (3, 5)], "id long, vehicle_id long")
+    vehicles = spark.createDataFrame([(9, filters.PLACEHOLDER), (5, "t5"), (6, "t6")], "id long, external_id string")
+    documents = spark.createDataFrame([(10, 1, True), (11, 1, False), (12, 2, True), (13, 3, True)], "id long, repair_id long, is_primary boolean")
+    matches = spark.createDataFrame([(11, 6), (10, None), (13, 6)], "id long, vehicle_id long")
+    assert {r["id"]: r["vehicle_id"] for r in checks.relinked(repairs, documents, matches, vehicles, filters.PLACEHOLDER).collect()} == {1: 6, 2: 9, 3: 5}
+    chosen = spark.createDataFrame([(11,)], "id long")
+    assert {r["id"]: r["is_primary"] for r in checks.primary_switched(documents, chosen).collect()} == {10: False, 11: True, 12: True, 13: True}
+
+
+def test_assigning_a_service_settles_checks(spark):
+    rows = [(1, 1, "ocr_service_not_found", False), (2, 1, "ocr_service_missing", False), (3, 2, "ocr_service_not_found", False), (4, 3, "ocr_service_missing", True), (5, 4, "x", False)]
+    now = spark.createDataFrame(rows, "id long, repair_id long, check_type string, is_resolved boolean")
+    repairs = spark.createDataFrame([(1, 7), (2, None), (3, None)], "repair_id long, service_id long")
+    got = {(r["repair_id"], r["check_type"]): r["is_resolved"] for r in checks.service_assigned(now, repairs).collect()}
+    assert got == {(1, "ocr_service_not_found"): True, (1, "ocr_service_missing"): True, (2, "ocr_service_not_found"): True, (2, "ocr_service_missing"): False, (3, "ocr_service_missing"): False, (4, "x"): False}
+
+
+def test_catalogues_keep_what_is_not_set(spark):
+    old = spark.createDataFrame([("a", "A", "fam", "truck", 1990, None, 5, False, "confirmed")], "scope string, catalog_name string, brand_family string, vehicle_type string, year_from int, year_to int, priority int, auto_match boolean, status string")
+    norms = spark.createDataFrame([("a", "n1", "old", "old"), ("z", "n2", "kept", "kept")], "scope string, code string, catalog_name string, brand_family string")
+    new, synced = mutations.upserted_catalogues(old, {"a": {"year_from": None, "brand_family": None}, "b": {"priority": 7}}, norms)
+    assert {tuple(r) for r in new.collect()} == {("a", "A", None, "truck", None, None, 5, False, "confirmed"), ("b", "b", None, None, None, None, 7, True, "confirmed")}
+    assert {tuple(r) for r in synced.select("code", "catalog_name", "brand_family").collect()} == {("n1", "A", None), ("n2", "kept", "kept")}
+
+
+def test_replaced_rows(spark):
+    old = spark.createDataFrame([(1, "ocr_a"), (1, "by hand"), (2, "ocr_b")], "repair_id long, t string")
+    new = spark.createDataFrame([(1, "ocr_c")], "repair_id long, t string")
+    got = sorted(map(tuple, mutations.replaced(old, new, "repair_id", "t like 'ocr_%'").collect()))
+    assert got == [(1, "by hand"), (1, "ocr_c"), (2, "ocr_b")]
+
+
+def test_medians_without_own_values(spark):
+    import statistics
+
+    rows = [("a", float(v)) for v in (1, 1, 2, 3, 5, 8, 13, 13, 13, 21)] + [("b", -2.5), ("b", 0.0), ("b", 7.0), ("c", 4.0)]
+    d = spark.createDataFrame(rows, "key string, value double").withColumn("n", F.lit(1))
+    own = [("a", [13.0, 1.0]), ("a", []), ("a", [21.0, 13.0, 13.0]), ("b", [0.0]), ("b", [-2.5, 7.0]), ("c", [4.0]), ("c", [])]
+    width = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "key string, wide int")
+    asked = spark.createDataFrame([(i, *o) for i, o in enumerate(own)], "i int, key string, own array<double>")
+    got = {r["i"]: r["m"] for r in asked.join(history.middles(d, ["key"], width), "key").select("i", history.median_without(F.col("size"), F.col("middle"), F.col("own")).alias("m")).collect()}
+    for i, (key, gone) in enumerate(own):
+        left = [v for k, v in rows if k == key]
+        for g in gone:
+            left.remove(g)
+        assert got[i] == (statistics.median(left) if left else None)
