@@ -36,7 +36,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never ends bef
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGITS = re.compile(r"[^0-9]+")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_MARK, _BLANK, _BLANKS = re.compile("[0-9@]"), re.compile(r"[\x20\x09-\x0D]"), frozenset("\x20\x09\x0a\x0b\x0c\x0d")
+
+
+def _octet(digits: str) -> bool:
+    """At most 255, whatever zeros stand before."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
 
 
 def luhn(digits: str) -> bool:
@@ -62,7 +68,7 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), in order of kind and start."""
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_octet(p) for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() <= 2 * 19 - 1 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -92,7 +98,7 @@ def _features(token: str, beside: tuple[bool, bool]) -> np.ndarray:
     local, _, domain = token.partition("@")
     x[20:] = (
         "@" in token, bool(local) and "." in domain, token[:1] == "+", token[:1] == "(", "-" in token, letters > 0, letters == 0,
-        token.isdigit(), len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts), len(parts) == 4,
+        bool(token) and token == digits, len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts), len(parts) == 4,
         16 <= len(digits) <= 19 and not letters and luhn(digits), 7 <= len(digits) <= 15 and not letters, "=" in token or '"' in token,
         letters > 0 and len(digits) > 0 and len(token) >= 20, *beside,
     )
@@ -108,10 +114,22 @@ class Graph:
     skip: np.ndarray
 
 
+def _nodes(text: str) -> Iterator[tuple[int, int]]:
+    """The words that hold a digit or "@"; every character is looked at once or twice, however long its word."""
+    at = 0
+    while hit := _MARK.search(text, at):
+        start = hit.start()
+        while start > at and text[start - 1] not in _BLANKS:
+            start -= 1
+        blank = _BLANK.search(text, hit.end())
+        at = blank.start() if blank else len(text)
+        yield start, at
+
+
 def graph(text: str) -> Graph:
     start, end, rows, chain, skip = [], [], [], [], []
     last: dict[str, int] = {}
-    found = [m.span() for m in _NODE.finditer(text)]
+    found = list(_nodes(text))
     for i, (a, b) in enumerate(found):
         while b > a and text[b - 1] in ".,;:!?)\"'|":
             b -= 1

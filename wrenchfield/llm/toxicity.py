@@ -8,7 +8,8 @@ group as such moves no score. Scoring broadcasts the weights (2**20 of them at m
 
 Defined results: a null or empty text has the score of the intercept; a null doc_id is kept, its rows never train;
 repeated rows score alike; repeated or contradicting labels of one document train as so many rows; without labels
-(or with one class only) every score is the share of toxic labels (0.01 and 0.99 at the ends), 0.5 if there are none;
+(or with one class only, or where no feature stands in three labelled texts) every score is the share of toxic labels
+(0.01 and 0.99 at the ends), 0.5 if there are none;
 further columns are kept, but for one with the result's name.
 """
 
@@ -99,10 +100,10 @@ def _dot(flat: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit(flat: np.ndarray, at: np.ndarray, y: np.ndarray, pairs: Pairs, bits: int = BITS, l1: float = 1e-3, fair: float = 1.0, steps: int = 100, least: int = 3) -> Model:
     """Weights for texts with features flat[at[i]:at[i + 1]] and labels y. Features of fewer than `least` texts are left out."""
-    if not len(y) or y.min() == y.max():
+    often = np.bincount(flat, minlength=1 << bits) >= least
+    if not len(y) or y.min() == y.max() or not often.any():
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Model(np.zeros(1 << bits, np.float32), float(np.log(p / (1 - p))))
-    often = np.bincount(flat, minlength=1 << bits) >= least
     keep = often[flat]
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))[keep]
     blocks = range(0, len(y), 1024)  # of texts: what a step needs beside the features is small
