@@ -68,6 +68,20 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def looked_up(df: DataFrame, few: DataFrame, on: list[str], spread: list[str], most_mb: int = 16, salts: int = 32) -> DataFrame:
+    """df with the other columns of few (null where it has no row), which has one row for each value of `on`; nulls are equal.
+    few is broadcast if its bytes, counted, are at most most_mb; else each of its rows stands `salts` times, and the hash of
+    df's columns `spread` says which one a row of df takes, so that no value is one task's."""
+    size = few.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16).cast("long") for c in few.columns))).first()[0] or 0
+    right = few.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    if size <= most_mb << 20:
+        return df.join(F.broadcast(right), same, "left").drop(*(f"_of_{c}" for c in on))
+    right = right.withColumn("_of_salt", F.explode(F.lit(list(range(salts))).cast("array<long>")))
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread, F.lit(23)), F.lit(salts)))
+    return left.join(right, [*same, F.col("_salt") == F.col("_of_salt")], "left").drop("_salt", "_of_salt", *(f"_of_{c}" for c in on))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of the column text, counted: a plan's own estimate holds for bare scans only."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
