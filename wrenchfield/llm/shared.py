@@ -87,8 +87,9 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def bitmap(ids: DataFrame, key: str, most: int = 1 << 30, slices: int = 64) -> np.ndarray:
-    """Bits of the hashes of ids' key, 8 for each of them as far as `most` bits go: what it rules out isn't among the ids."""
+def bitmap(ids: DataFrame, key: str, most: int = 1 << 30, slices: int = 64, hashed: bool = False) -> np.ndarray:
+    """Bits of the hashes of ids' key (of the key itself, if it is a hash), 8 for each of them as far as `most` bits go: what it
+    rules out isn't among the ids."""
     bits = min(most, max(1 << 20, 1 << (8 * ids.count()).bit_length()))
     width = bits // slices
 
@@ -98,7 +99,7 @@ def bitmap(ids: DataFrame, key: str, most: int = 1 << 30, slices: int = 64) -> n
         np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
         return pa.table({"slice": t["slice"][:1], "bits": pa.array([own.tobytes()], pa.binary())})
 
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(bits))
     whole = np.zeros(bits // 8, np.uint8)
     for r in ids.select(at.alias("at")).distinct().withColumn("slice", F.floor(F.col("at") / width)).groupBy("slice").applyInArrow(one, "slice long, bits binary").toLocalIterator():
         whole[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
