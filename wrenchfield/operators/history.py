@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,6 +156,78 @@ def median_without(size: Column, middle: Column, own: Column) -> Column:
     return F.when(left > 0, (at(F.floor((left - 1) / 2)) + at(F.floor(left / 2))) / 2)
 
 
+DIGIT = 5  # bits of a position that one level tells apart
+
+
+def _position(value: Column, cuts: list[float], levels: int) -> Column:
+    """Numbers of `levels` digits in the order of the values: the first digit by the cuts, the others by even parts between two."""
+    fine = 1 << DIGIT * (levels - 1)
+
+    def below(a: int, b: int) -> Column:
+        if b - a > 1:
+            middle = (a + b) // 2
+            return F.when(value < cuts[middle], below(a, middle)).otherwise(below(middle, b))
+        part = F.floor((value - cuts[a]) / (cuts[b] - cuts[a]) * fine)
+        return F.lit(a * fine) + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
+
+    return (below(0, len(cuts) - 1) if len(cuts) > 1 else F.lit(0)).cast("long")
+
+
+def middles_of_either(counted: DataFrame, asked: DataFrame, at: list[str]) -> DataFrame:
+    """at, code, norm, size, middle, as middles() has them, of the values of the lines with a code or a name (one line has both:
+    once), for asked (at, code, norm, wide). counted: at, code, norm, value, n. The counts of either are those by code and by
+    name, less those by both; so three histograms answer, each as wide as its own keys: a search over the values goes down
+    them digit by digit, all questions at once, and only the values of a question's last bin are looked at one by one. Names
+    that occur with one code only ask for that code, once."""
+    codes = counted.groupBy(*at, "norm").agg(F.min("code").alias("one"), F.max("code").alias("last"), F.count_if(F.col("code").isNull()).alias("without"))
+    named = F.concat(F.lit("="), F.col("norm"))
+    adds = ~F.coalesce((F.col("without") == 0) & (F.col("one") == F.col("code")) & (F.col("last") == F.col("code")), F.col("without").isNull())
+    every = scratch.save(asked.join(codes, [*at, "norm"], "left").select(*asked.columns, F.when(adds, named).otherwise("").alias("name")), "asked-names")
+    counted = counted.withColumn("norm", named)
+    asked = every.groupBy(*at, "code", F.col("name").alias("norm")).agg(F.max("wide").alias("wide"))
+    distinct = counted.agg(F.approx_count_distinct("value")).first()[0]
+    levels = max(1, math.ceil(math.log(max(1, distinct), 1 << DIGIT)) - 1)
+    n_cuts = 1 << DIGIT
+    cuts = sorted(set(counted.approxQuantile("value", [i / n_cuts for i in range(n_cuts + 1)], 1e-3)))
+    counted = counted.withColumn("pos", _position(F.col("value"), cuts, levels))
+    kinds = {"by_code": ["code"], "by_name": ["norm"], "by_both": ["code", "norm"]}
+    group = [*at, "code", "norm"]
+    of_kind = lambda kind: counted.where("code is not null") if "code" in kinds[kind] else counted
+    none = F.array(*[F.lit(0).cast("long")] * n_cuts)
+    rows = asked.withColumns({"bin": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    for level in range(1, levels + 1):
+        up = F.shiftright("pos", DIGIT * (levels - level + 1))
+        digit = F.shiftright("pos", DIGIT * (levels - level)).bitwiseAND((1 << DIGIT) - 1)
+        for kind, key in kinds.items():
+            dense = F.array(*[F.coalesce(F.sum(F.when(digit == i, F.col("n"))), F.lit(0)) for i in range(n_cuts)])
+            rows = rows.join(of_kind(kind).groupBy(*at, *key, up.alias("bin")).agg(dense.alias(kind)), [*at, *key, "bin"], "left")
+        either = F.zip_with(F.zip_with(F.coalesce("by_code", none), F.coalesce("by_name", none), lambda a, b: a + b), F.coalesce("by_both", none), lambda a, b: a - b)
+        rows = rows.withColumn("n", either).drop(*kinds)
+        if level == 1:
+            rows = rows.withColumn("size", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).where("size > 0")
+            rows = rows.withColumns({"low": F.floor((F.col("size") - F.col("wide") - 1) / 2), "high": F.ceil((F.col("size") + F.col("wide")) / 2)})
+        start = F.struct("before", "low", "high", F.array().cast("array<struct<digit:int,before:bigint,n:bigint>>").alias("found"))
+
+        def passed(a: Column, x: Column) -> Column:
+            hit = (x["n"] > 0) & (a["before"] + x["n"] > a["low"]) & (a["before"] <= a["high"])
+            return F.struct((a["before"] + x["n"]).alias("before"), a["low"].alias("low"), a["high"].alias("high"), F.when(hit, F.array_append(a["found"], F.struct(x["digit"].alias("digit"), a["before"].alias("before"), x["n"].alias("n")))).otherwise(a["found"]).alias("found"))
+
+        digits = F.transform("n", lambda x, i: F.struct(i.alias("digit"), x.alias("n")))
+        hits = F.aggregate(digits, start, passed, lambda a: a["found"])
+        rows = rows.withColumn("hit", F.explode(hits)).withColumns({"bin": F.col("bin") * n_cuts + F.col("hit.digit"), "before": F.col("hit.before")}).drop("hit", "n")
+        rows = scratch.save(rows, "ranks")
+    found = None
+    for kind, key in kinds.items():
+        values = of_kind(kind).groupBy(*at, *key, F.col("pos").alias("bin"), "value").agg(F.sum("n").alias("n"))
+        part = rows.join(values, [*at, *key, "bin"]).select(*group, "bin", "before", "size", "low", "high", "value", (-F.col("n") if kind == "by_both" else F.col("n")).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(*group, "bin", "value").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("before", "size", "low", "high"))).where("n > 0")
+    found = found.withColumn("before", F.col("before") + F.sum("n").over(Window.partitionBy(*group, "bin").orderBy("value")) - F.col("n"))
+    inside = (F.col("before") + F.col("n") > F.col("low")) & (F.col("before") <= F.col("high"))
+    out = found.where(inside).groupBy(*group).agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("value", "before", "n"))).alias("middle"))
+    return every.drop("wide").join(out.withColumnRenamed("norm", "name"), [*at, "code", "name"]).drop("name")
+
+
 def _typed(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Work lines with what their repair and vehicle say, and their normalised name."""
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
@@ -247,7 +321,7 @@ def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, as
     """Expected cost of the asked repairs (repair_id; all, if none are given): for each work the median total of the lines with
     its code or its name over other repairs of its vehicle type (its service's from 3 samples on), or else its hours at the
     median hourly rate (its service's from 5 samples on); plus parts and VAT. exceeded if the total is above `times` that.
-    Values are counted by code and by name; a code's counts are joined with the names that it has, not with lines."""
+    Values are counted; medians over a code or a name come from middles_of_either(), so that no line meets a work."""
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type")
     r = repairs.select(F.col("id").alias("repair_id"), "vehicle_id", "service_id", "status", "grand_total", "vat_total").join(v, "vehicle_id").drop("vehicle_id")
     works = lines.where((F.col("kind") == "work") & (F.trim("name") != "")).withColumn("norm", text.normalized_name(F.col("name")))
@@ -257,23 +331,16 @@ def expected_total(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, as
     works = every if asked is None else every.join(asked.select("repair_id").distinct(), "repair_id", "left_semi")
     counted = known.select("vehicle_type", "code", "norm", F.col("line_total").alias("value"), F.inline(levels)).groupBy("vehicle_type", "level", "of", "code", "norm", "value").agg(F.count("*").alias("n"))
     counted = scratch.save(counted, "counted-totals")
-    group = ["vehicle_type", "level", "of", "code", "norm"]
-    pairs = works.select("vehicle_type", "code", "norm", F.inline(levels)).distinct()
-    at = ["vehicle_type", "level", "of"]
-    of_code = counted.where("code is not null").groupBy(*at, "code", "value").agg(F.sum("n").alias("n"))
-    of_others = counted.withColumnRenamed("code", "other")
-    by_code = pairs.join(of_code, [*at, "code"]).select(*group, "value", "n")
-    by_name = pairs.join(of_others, [*at, "norm"]).where(F.col("code").isNull() | F.col("other").isNull() | (F.col("code") != F.col("other"))).select(*group, "value", "n")
+    at, group = ["vehicle_type", "level", "of"], ["vehicle_type", "level", "of", "code", "norm"]
     # a repair's own lines among those that a work is compared with
     lines_of = known.select("repair_id", F.col("code").alias("o_code"), F.col("norm").alias("o_norm"), F.col("line_total").alias("o_total"))
     asked_works = works.groupBy("repair_id", "vehicle_type", "service_id", "code", "norm").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("hours"))).alias("hours"))
     own = asked_works.select("repair_id", "code", "norm").join(lines_of, "repair_id").where((F.col("code") == F.col("o_code")) | (F.col("norm") == F.col("o_norm"))).groupBy("repair_id", "code", "norm").agg(F.collect_list("o_total").alias("own"))
-    none = F.lit("")  # no code, so that keys join
-    keyed = lambda df: df.withColumn("code", F.coalesce("code", none))
+    keyed = lambda df: df.withColumn("code", F.coalesce("code", F.lit("")))  # no code, so that keys join
     asked_works = keyed(asked_works).join(keyed(own), ["repair_id", "code", "norm"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<double>")))
-    long = asked_works.select("*", F.inline(levels))
+    long = scratch.save(asked_works.select("*", F.inline(levels)), "asked-works")
     width = long.groupBy(*group).agg(F.max(F.size("own")).alias("wide"))
-    found = long.join(middles(keyed(by_code.unionByName(by_name)), group, width), group)
+    found = long.join(middles_of_either(counted, width, at), group)
     found = found.withColumn("samples", F.col("size") - F.size("own")).withColumn("median", median_without(F.col("size"), F.col("middle"), F.col("own")))
     pick = lambda df, key, least: df.where("samples > 0").groupBy(*key).agg(F.max(F.when((F.col("level") == "service") & (F.col("samples") >= least), F.col("median"))).alias("at_service"), F.max(F.when(F.col("level") == "all", F.col("median"))).alias("at_all")).select(*key, F.coalesce("at_service", "at_all").alias("median"))
     key = ["repair_id", "code", "norm"]

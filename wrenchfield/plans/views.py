@@ -13,7 +13,8 @@ VIEWS: dict[str, str] = {
     "vehicles": """SELECT CAST(c_custkey AS BIGINT) AS id, concat('unit-', CAST(c_custkey AS STRING)) AS external_id,
       CASE WHEN c_custkey % 3 = 0 THEN 'trailer' ELSE 'truck' END AS vehicle_type,
       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat('VIN', CAST(100000 + c_custkey % 997 AS STRING)) END AS vin,
-      concat('P', CAST(100000 + (c_custkey - c_custkey % 2) AS STRING)) AS plate_number, c_mktsegment AS brand,
+      CASE WHEN c_custkey % 10 < 2 THEN concat('P', CAST(100000 + (c_custkey - c_custkey % 2) AS STRING)) WHEN c_custkey % 10 < 5 THEN concat('P', CAST(100002 + (c_custkey - c_custkey % 10) AS STRING))
+        WHEN c_custkey % 10 = 6 THEN concat('P', CAST(100000 + c_custkey AS STRING), 'A') WHEN c_custkey % 10 = 7 THEN concat('P', CAST(99999 + c_custkey AS STRING)) ELSE concat('P', CAST(100000 + c_custkey AS STRING)) END AS plate_number, c_mktsegment AS brand,
       concat('M', CAST(c_nationkey AS STRING)) AS model, CAST(1990 + c_custkey % 35 AS INT) AS year, CAST(c_nationkey AS INT) AS column_no,
       CASE WHEN c_acctbal < 0 THEN 'archived' ELSE 'active' END AS status, c_acctbal AS balance FROM customer""",
     "services": """SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, n_name AS city, CASE WHEN s_suppkey % 11 = 0 THEN 'archived' WHEN s_acctbal < 2000 THEN 'preliminary' ELSE 'confirmed' END AS status,
