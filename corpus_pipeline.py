@@ -25,14 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id (five-word shingles, Jaccard index
-    0.8 or more), once. Rows without a doc_id, and null and empty texts, are in no group and stay; an empty table stays empty;
-    further columns are kept, those of the row that stays."""
-    groups = jaccard.link(docs, 5, 80, 100)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    # rows of one doc_id are one document: the least text of it stays
-    first = first.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("d")).select("doc_id", "d.*")
-    return first.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    0.8 or more), once. Different texts under one doc_id are different documents. Rows without a doc_id, and null and empty
+    texts, are in no group and stay (once for each doc_id); an empty table stays empty; further columns are kept, those of
+    the row that stays."""
+    node, keep = (shared.fresh(c, docs.columns) for c in ("near_node", "near_kept"))
+    told = jaccard.told_apart(docs, node)
+    linked = jaccard.groups(told.select("doc_id", "text", F.col(node).alias("node")), 5, 80, 100).where(F.col("doc_id").isNotNull())
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "node"))["node"].alias(keep)).select(keep)
+    stay = told.where(F.col(node).isNotNull()).join(first, F.col(node) == F.col(keep), "left_semi")
+    # repeated rows of one text: the least of them stays
+    stay = stay.groupBy(node).agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    return stay.select(docs.columns).unionByName(told.where(F.col(node).isNull()).select(docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from fixtures import LABELS, SF, VECTORS, WORD, fold, held_out, texts, write
 
+import corpus_pipeline
 from wrenchfield.llm import jaccard, lm_scoring, mixing, packing, pii, substrings, tokens
 from wrenchfield.llm.fingerprints import op5_fingerprints
 from wrenchfield.llm.jaccard import op3_jaccard_join
@@ -162,6 +163,25 @@ def test_jaccard_join(spark, folder, docs):
     assert all(r[2] is None for r in got if r[0] is None)
 
 
+@pytest.mark.parametrize("top", [900, 2**63 - 1])
+def test_different_texts_under_one_id_link_each_on_its_own(spark, top):
+    base = [[f"g{g}w{i}" for i in range(40)] for g in range(4)]
+    near = lambda g, n: " ".join([*base[g][:-1], f"x{n}"])
+    texts = [(10, near(0, 1)), (10, near(1, 1) + " longer than the other one"), (20, near(0, 2)), (5, near(1, 2) + " longer than the other two"), (10, near(2, 1)), (30, near(2, 2)), (40, near(3, 1)), (40, near(3, 1)), (50, near(3, 2)), (10, None), (60, ""), (top, near(0, 3)), (None, near(0, 4))]
+    every = [(i, t) for i, (_, t) in enumerate(texts)]
+    alone = linked([(i, t) for i, t in every if texts[i][0] is not None], 3, 80, 100)
+    group = defaultdict(set)
+    for i, (_, c) in alone.items():
+        group[c].add(texts[i][0])
+    want = sorted([(texts[i][0], n, min(group[c])) for i, (n, c) in alone.items()])
+    got = jaccard.link(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80, 100).collect()
+    assert sorted(tuple(r) for r in got if r[0] is not None) == want and len(got) == len(texts)
+    assert (5, 43, 5) in want and (10, 43, 5) in want and (10, 38, 10) in want and (20, 38, 10) in want
+    docs = spark.createDataFrame([(i, t, "en", "node", 1, 7) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, node int")
+    kept = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect())
+    assert kept == Counter([(10, near(0, 1)), (10, near(1, 1) + " longer than the other one"), (5, near(1, 2) + " longer than the other two"), (10, near(2, 1)), (40, near(3, 1)), (10, None), (60, ""), (None, near(0, 4))])
+
+
 @pytest.mark.parametrize(("seed", "block"), [(0, 512), (1, 3)])
 def test_jaccard_join_of_chains_and_groups(spark, monkeypatch, seed, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)

@@ -18,8 +18,9 @@ verified links put most of a group into one component; then every pair of differ
 between them is lost.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts shorter than k words are one
-shingle; rows without a doc_id link with nothing and have no component; rows of one doc_id are one document, which links
-by its largest set; an empty table gives no rows; further columns are ignored.
+shingle; rows without a doc_id link with nothing and have no component; rows of one doc_id with one text are one document;
+different texts under one doc_id are different documents, which link each on its own (not with each other by their id), and
+their id labels each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """x, y of the pairs (x, nx, y, ny) whose sets link. The sets of a repeated doc_id are told apart by their sizes."""
+    """x, y of the pairs (x, nx, y, ny) whose sets link."""
     left = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("set").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("set").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
@@ -181,14 +182,53 @@ def _near(match, a: str, b: str, num: int, den: int):
     return (den * F.least(f"n{a}", f"n{b}") >= num * F.greatest(f"n{a}", f"n{b}")) & inside[0] & inside[1] & (differ <= F.col(f"n{a}") + F.col(f"n{b}") - 2 * need)
 
 
+def told_apart(docs: DataFrame, name: str = "node") -> DataFrame:
+    """docs with node (or another name): its doc_id, or, where an id has different texts, a number of its own for each of them."""
+    two = [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(5)).alias("t2")]
+    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), *two)
+    several = ids.groupBy("id").agg(F.min(F.struct("t1", "t2")).alias("a"), F.max(F.struct("t1", "t2")).alias("b"))
+    several = shared.save(several.where("a <> b").select("id"), "jaccard-several")
+    if several.isEmpty():
+        shared.drop(several)
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    texts = shared.ranked(ids.join(several, "id", "left_semi").distinct(), "id", "t1", "t2", rank="at")
+    least, top = ids.agg(F.min("id"), F.max("id")).first()
+    n = texts.count()
+    first = top + 1 if top + n < 2**63 - 1 else least - n
+    names = {c: shared.fresh(f"of_{c}", docs.columns) for c in ("id", "t1", "t2", "node")}
+    texts = shared.save(texts.select("id", "t1", "t2", (F.col("at") + F.lit(first)).cast("long").alias("node")), "jaccard-texts").withColumnsRenamed(names)
+    told = docs.withColumns({names["id"]: F.col("doc_id").cast("long"), names["t1"]: two[0], names["t2"]: two[1]})
+    told = shared.looked_up(told, texts, [names[c] for c in ("id", "t1", "t2")], spread=["doc_id"])
+    return told.withColumn(name, F.coalesce(names["node"], names["id"])).drop(*names.values())
+
+
 def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text): texts whose sets' Jaccard index is num / den or more are linked."""
+    made = groups(told_apart(docs.select("doc_id", "text")), k, num, den)
+    return made.select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, node, n_shingles, component (the same for linked texts, null without an id), component_id (its least doc_id) of
+    docs (doc_id, text, node)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "node").where("node <> doc_id").distinct()
+    made = _linked(docs.select(F.col("node").alias("doc_id"), "text"), k, num, den).withColumnsRenamed({"doc_id": "node", "component_id": "component"})
+    ids = shared.save(ids, "jaccard-ids")
+    if ids.isEmpty():
+        return made.select(F.col("node").alias("doc_id"), "node", "n_shingles", "component", F.col("component").alias("component_id"))
+    made = shared.save(made, "jaccard-nodes")
+    named = shared.looked_up(made, ids.withColumnRenamed("doc_id", "own"), ["node"], spread=["node"]).withColumn("doc_id", F.coalesce("own", "node"))
+    label = shared.save(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-labels")
+    return shared.looked_up(named, label, ["component"], spread=["node"]).select("doc_id", "node", "n_shingles", "component", "component_id")
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """As link(), of docs whose ids have one text each."""
     shared.small_batches(docs.sparkSession)
     rows = shared.save(prefixes(docs, k, num, den), "jaccard-prefixes")
     narrow = rows.select("doc_id", "n", "s1", "s2")
     classes = shared.save(narrow.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
-    largest = classes.groupBy("id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.s1", "x.s2")
-    nodes = rows.join(largest, (F.col("doc_id") == F.col("id")) & (rows["s1"] == largest["s1"]) & (rows["s2"] == largest["s2"])).select("id", "n", "low", "n_low", "more", *_SKETCH).dropDuplicates(["id"])
+    nodes = rows.join(classes.select("id"), F.col("doc_id") == F.col("id")).select("id", "n", "low", "n_low", "more", *_SKETCH).dropDuplicates(["id"])
     every = postings(nodes, num, den)
     found = shared.save(_reached(every, num, den).join(nodes.select("id", *_SKETCH), "id"), "jaccard-reached")
     shared.drop(every)
