@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from .filters import valid_at
+from .matching import occurrences
 
 PREFIX = 6
 
@@ -35,14 +36,12 @@ def vehicle_of_plate_map(vehicles: DataFrame) -> DataFrame:
 
 
 def service_in_text(texts: DataFrame, services: DataFrame) -> DataFrame:
-    """texts (id, text): the service with the longest alias (4 characters or more) that the text's key contains. Aliases are a small
-    table of names, cut into the same 4-character beginnings as the texts, so that the join is on equality."""
+    """texts (id, text): the service with the longest alias (4 characters or more) that the text's key contains. All aliases are
+    looked for in one pass over the texts."""
     alias = services.select("name", F.explode(text.service_aliases(F.col("name"))).alias("alias")).withColumn("alias_key", text.service_key(F.col("alias"))).where(F.length("alias_key") >= 4)
-    alias = alias.groupBy("alias_key", "name").agg(F.max((F.col("alias") == F.col("name")).cast("int")).alias("own")).withColumn("k", F.left("alias_key", F.lit(4)))
-    keyed = texts.select("id", text.service_key(F.col("text")).alias("key")).where(F.length("key") >= 4)
-    grams = keyed.select("id", "key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - 3), lambda i: F.substring("key", i, F.lit(4))))).alias("k"))
-    hits = grams.join(alias, "k").where(F.contains("key", "alias_key"))
-    return hits.groupBy("id").agg(F.max_by("name", F.struct(F.length("alias_key"), F.col("own"), F.col("name"))).alias("service"))
+    alias = alias.groupBy("alias_key").agg(F.max(F.struct((F.col("alias") == F.col("name")).cast("int").alias("own"), "name")).alias("of"))
+    hits = occurrences(texts.select("id", text.service_key(F.col("text")).alias("text")), alias.select(F.col("alias_key").alias("pattern")))
+    return hits.join(alias, F.col("pattern") == F.col("alias_key")).groupBy("id").agg(F.max_by("of.name", F.struct(F.length("alias_key"), F.col("of.own"), F.col("of.name"))).alias("service"))
 
 
 def service_by_alias(names: DataFrame, services: DataFrame) -> DataFrame:
@@ -98,23 +97,33 @@ def service_backfill(repairs: DataFrame, documents: DataFrame, versions: DataFra
     return hints.join(named, "id").groupBy("repair_id").agg(F.max_by("service", F.struct("is_source", "is_primary", "id")).alias("service"))
 
 
-def catalogue_matches(vehicles: DataFrame, catalogues: DataFrame, most: int = 10_000) -> DataFrame:
+def catalogue_matches(vehicles: DataFrame, catalogues: DataFrame) -> DataFrame:
     """Vehicle x catalogue by its rules: keywords of brand and model, beginnings of the VIN, years, type (catalogues: scope,
-    brand_keywords, model_keywords, vin_prefixes: arrays, vehicle_type, year_from, year_to, priority, auto_match, status). A
-    catalogue is a row of configuration; up to `most` of them are broadcast."""
+    brand_keywords, model_keywords, vin_prefixes: arrays, vehicle_type, year_from, year_to, priority, auto_match, status).
+    A catalogue is met by the first of its rules: vehicles that have one of its keywords, which one pass finds for all
+    catalogues, or one of its VINs' beginnings, or else its type; only such pairs are held against all rules."""
     v = vehicles.select(F.col("id").alias("vehicle_id"), "vehicle_type", text.vehicle_text(F.col("brand")).alias("brand_text"), text.vehicle_text(F.col("model")).alias("model_text"), F.regexp_replace(F.upper(F.trim(F.coalesce("vin", F.lit("")))), "[^A-Z0-9]+", "").alias("vin"), "year")
+    none = F.array().cast("array<string>")
     c = catalogues.where((F.col("status") != "archived") & F.col("auto_match")).select(
-        "scope", text.keywords(F.coalesce("brand_keywords", F.array().cast("array<string>"))).alias("brands"), text.keywords(F.coalesce("model_keywords", F.array().cast("array<string>"))).alias("models"),
-        text.vin_prefixes(F.coalesce("vin_prefixes", F.array().cast("array<string>"))).alias("prefixes"), F.col("vehicle_type").alias("c_type"), "year_from", "year_to", "priority",
+        "scope", text.keywords(F.coalesce("brand_keywords", none)).alias("brands"), text.keywords(F.coalesce("model_keywords", none)).alias("models"),
+        text.vin_prefixes(F.coalesce("vin_prefixes", none)).alias("prefixes"), F.col("vehicle_type").alias("c_type"), "year_from", "year_to", "priority",
     )
-    c = F.broadcast(c) if c.count() <= most else c
     has = lambda c: F.size(c) > 0
     brand, model, vin, years = has("brands"), has("models"), has("prefixes"), F.col("year_from").isNotNull() | F.col("year_to").isNotNull()
-    of_brand = F.exists("brands", lambda k: F.contains(F.concat_ws(" ", "brand_text", "model_text"), k))
+    first = F.when(brand, "brand").when(model, "model").when(vin, "vin").otherwise("type")
+    of_first = F.when(brand, F.col("brands")).when(model, F.col("models")).when(vin, F.col("prefixes")).otherwise(F.array(F.coalesce("c_type", F.lit(""))))
+    c = c.select("*", first.alias("by"), F.explode(F.array_distinct(of_first)).alias("term"))
+    both = F.concat_ws(" ", "brand_text", "model_text")
+    met = [occurrences(v.select(F.col("vehicle_id").alias("id"), t.alias("text")), c.where(F.col("by") == by).select(F.col("term").alias("pattern"))).select(F.col("id").alias("vehicle_id"), F.lit(by).alias("by"), F.col("pattern").alias("term")) for by, t in (("brand", both), ("model", F.col("model_text")))]
+    heads = F.transform(F.sequence(F.lit(0), F.length("vin")), lambda n: F.left("vin", n))
+    met += [v.select("vehicle_id", F.lit("vin").alias("by"), F.explode(heads).alias("term")), v.select("vehicle_id", F.lit("type").alias("by"), F.explode(F.array_distinct(F.array(F.coalesce("vehicle_type", F.lit("")), F.lit("")))).alias("term"))]
+    terms = met[0].unionByName(met[1]).unionByName(met[2]).unionByName(met[3])
+    of_brand = F.exists("brands", lambda k: F.contains(both, k))
     fits = (F.col("c_type").isNull() | (F.col("c_type") == F.col("vehicle_type"))) & (~brand | of_brand) & (~model | F.exists("models", lambda k: F.contains("model_text", k))) & (~vin | F.exists("prefixes", lambda k: F.startswith("vin", k)))
     fits = fits & (~years | (F.col("year").isNotNull() & (F.col("year") >= F.coalesce("year_from", "year")) & (F.col("year") <= F.coalesce("year_to", "year"))))
     n = lambda t, w: F.when(t, w).otherwise(0)
-    return v.join(c, fits).select("vehicle_id", "scope", "priority", (n(brand, 1) + n(model, 1) + n(vin, 1) + n(years, 1)).alias("matched_rules"), (n(brand, 4) + n(model, 3) + n(vin, 5) + n(years, 2) + n(F.col("c_type").isNotNull(), 1)).alias("score"))
+    out = terms.join(c, ["by", "term"]).join(v, "vehicle_id").where(fits).select("vehicle_id", "scope", "priority", (n(brand, 1) + n(model, 1) + n(vin, 1) + n(years, 1)).alias("matched_rules"), (n(brand, 4) + n(model, 3) + n(vin, 5) + n(years, 2) + n(F.col("c_type").isNotNull(), 1)).alias("score"), "brands", "models", "prefixes", "c_type", "year_from", "year_to")
+    return out.distinct().select("vehicle_id", "scope", "priority", "matched_rules", "score")
 
 
 def catalogue_choice(vehicles: DataFrame, matches: DataFrame, configured: DataFrame | None = None) -> DataFrame:
