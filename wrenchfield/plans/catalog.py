@@ -990,6 +990,44 @@ def L5_history_import(t):
     return mutations.imported(mutations.import_lines(rows), t("repairs"), t("vehicles"), alive)["repairs"]
 
 
+# the same import, where some of its repairs are there already and only every other service is known
+
+_IMPORTED = f"""WITH i AS (SELECT x.*, upper(regexp_replace(plate, '[^0-9A-Za-z]', '', 'g')) AS pk, concat_ws('|', upper(regexp_replace(plate, '[^0-9A-Za-z]', '', 'g')), coalesce(upper(regexp_replace(supplier, '[^0-9A-Za-z]', '', 'g')), '-'),
+    upper(regexp_replace(registrar, '[^0-9A-Za-zА-Яа-я]', '', 'g')), substr(period, 1, 10)) AS source_key, CASE WHEN expense_item = 'Запчасти' THEN 'part' ELSE 'work' END AS kind FROM ({_ROWS}) x WHERE period <> 'unknown'),
+  k AS (SELECT DISTINCT source_key FROM i WHERE row % 7 = 0),
+  g AS (SELECT source_key, arg_min(pk, row) AS pk, arg_min_null(supplier, row) AS supplier FROM i WHERE source_key NOT IN (SELECT source_key FROM k) GROUP BY source_key),
+  m AS (SELECT plate_number AS pk, CASE WHEN count(*) % 2 = 1 THEN max(id) END AS v FROM vehicles GROUP BY 1),
+  p AS (SELECT q.pk, count(DISTINCT v.id) AS n, min(v.id) AS v FROM (SELECT DISTINCT pk FROM g) q JOIN vehicles v ON length(q.pk) >= 6 AND (starts_with(q.pk, v.plate_number) OR starts_with(v.plate_number, q.pk)) GROUP BY q.pk),
+  f AS (SELECT g.*, coalesce(m.v, CASE WHEN p.n = 1 THEN p.v END) AS vehicle_id FROM g LEFT JOIN m USING (pk) LEFT JOIN p USING (pk))"""
+
+
+def _imported(t, what: str):
+    lines = mutations.import_lines(t.sql(_ROWS))
+    known = lines.where("row % 7 = 0").select(F.concat(F.lit("historical_import:"), "source_key").alias("reason")).distinct()
+    services = t("services").where("id % 2 = 0").withColumn("status", F.lit("confirmed"))
+    return mutations.imported(lines, known, t("vehicles"), services)[what]
+
+
+@query(f"{_IMPORTED} SELECT source_key, 'duplicate' AS why FROM k UNION ALL SELECT source_key, 'vehicle_not_found' FROM f WHERE vehicle_id IS NULL")
+def L5_import_conflicts(t):
+    return _imported(t, "conflicts")
+
+
+@query(f"{_IMPORTED} SELECT row, source_key, kind, article, nomenclature AS name, CAST(quantity AS DOUBLE) AS quantity, round(CAST(amount AS DOUBLE), 2) AS line_total FROM i WHERE source_key IN (SELECT source_key FROM f WHERE vehicle_id IS NOT NULL)")
+def L5_import_lines(t):
+    return _imported(t, "lines").select("row", "source_key", "kind", "article", "name", "quantity", "line_total")
+
+
+@query(f"{_IMPORTED} SELECT DISTINCT supplier AS name FROM f WHERE vehicle_id IS NOT NULL AND supplier IS NOT NULL AND supplier NOT IN (SELECT name FROM services WHERE id % 2 = 0)")
+def L5_import_services(t):
+    return _imported(t, "services")
+
+
+@query(f"{_IMPORTED} SELECT source_key, vehicle_id, supplier AS service FROM f WHERE vehicle_id IS NOT NULL")
+def L5_import_repairs(t):
+    return _imported(t, "repairs").select("source_key", "vehicle_id", "service")
+
+
 @query("""WITH o AS (SELECT code, name, standard_hours, category FROM labor_norms WHERE status <> 'archived'), n AS (SELECT code, name, CASE WHEN standard_hours > 45 THEN NULL ELSE standard_hours + 1 END AS standard_hours, category FROM labor_norms)
   SELECT code, name, coalesce(n.standard_hours, o.standard_hours) AS standard_hours, coalesce(n.category, o.category) AS category, CASE WHEN o.code IS NULL THEN 'created' WHEN n.code IS NULL OR n.standard_hours IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN n USING (code, name)""")
 def L2_norm_upsert(t):
