@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,31 +70,57 @@ def _inline(flat: str) -> list[dict]:
     return out
 
 
-def parse_lines(content: str | None) -> list[dict]:
-    """Lines of the works and parts sections, and lines with labels of their own, in order; if there are none, the items that
-    stand inside running text."""
-    section, out = None, []
-    lines = [line for raw in (content or "").splitlines() if (line := re.sub(r"\s+", " ", raw).strip())]
-    for line in lines:
+class Order:
+    """The lines of one order, one after the other. Only while no line has been an item is what was read kept, for the items
+    that stand inside running text."""
+
+    def __init__(self):
+        self.section, self.count, self.unread = None, 0, []
+
+    def _numbered(self, items: list[dict]) -> list[dict]:
+        self.count += len(items)
+        return [{"line": n, **x} for n, x in enumerate(items, self.count - len(items) + 1)]
+
+    def read(self, raw: str | None) -> list[dict]:
+        """The items of one line."""
+        line = re.sub(r"\s+", " ", raw or "").strip()
+        if not line:
+            return []
+        found = self._numbered(self._items(line))
+        if not self.count:
+            self.unread.append(line)
+        elif self.unread:
+            self.unread = []
+        return found
+
+    def _items(self, line: str) -> list[dict]:
         item = None if _SUMS.search(line) else _LINE.match(line)
         if _STOP.match(line):
-            continue
+            return []
         if m := _LABEL.match(line):
-            section = "work" if m["work"] else "part"
+            self.section = "work" if m["work"] else "part"
             item = _LINE.match(line[m.end() :])
         elif _LISTED.match(line) and (listed := _inline(line)):
-            section = listed[-1]["kind"]
-            out += listed
-            continue
-        elif not (section and item) and (m := _HEAD.search(line)):
-            section = "work" if m["work"] or m["works"] else "part"
-            continue
-        if section and item:
-            out.append(_item(section, item))
-    if not out:
-        flat = " ".join(lines)
-        out = _inline(flat) or _inline(_BARE.sub(r"\1:", flat))
-    return [{"line": n, **x} for n, x in enumerate(out, 1)]
+            self.section = listed[-1]["kind"]
+            return listed
+        elif not (self.section and item) and (m := _HEAD.search(line)):
+            self.section = "work" if m["work"] or m["works"] else "part"
+            return []
+        return [_item(self.section, item)] if self.section and item else []
+
+    def rest(self) -> list[dict]:
+        """After the last line: the items inside the text, if no line was one."""
+        if self.count:
+            return []
+        flat = " ".join(self.unread)
+        return self._numbered(_inline(flat) or _inline(_BARE.sub(r"\1:", flat)))
+
+
+def parse_lines(content: str | None) -> list[dict]:
+    """Lines of the works and parts sections, and lines with labels of their own, in order; if there are none, the items that
+    stand inside running text."""
+    order = Order()
+    return [x for line in (content or "").splitlines() for x in order.read(line)] + order.rest()
 
 
 LINES = "id long, line int, kind string, code string, name string, quantity double, unit string, price double, line_total double"
@@ -110,6 +137,35 @@ def line_items(documents: DataFrame) -> DataFrame:
     return documents.select("id", "text").mapInPandas(run, LINES)
 
 
+def line_items_of_rows(lines: DataFrame) -> DataFrame:
+    """The same of lines that are rows (id, line_no, text): an order's lines pass through one task in order, batch by batch,
+    and are never one text. A null id is an order of its own kind; lines of one number come in the order of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, at, out = Order(), None, []
+
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist([{"id": i, **x} for i, x in out], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for id_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (id_,) != at:
+                    out += [(at[0], x) for x in order.rest()] if at else []
+                    order, at = Order(), (id_,)
+                out += [(id_, x) for line in (content or "").splitlines() for x in order.read(line)]
+            yield sent()
+        out += [(at[0], x) for x in order.rest()] if at else []
+        yield sent()
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in LINES.split(", "))])
+    ordered = lines.select(F.col("id").cast("long").alias("id"), "line_no", "text").repartition("id").sortWithinPartitions("id", "line_no", "text")
+    return ordered.select("id", "text").mapInArrow(run, LINES)
+
+
+
 def rule_matches(documents: DataFrame, rules: list[tuple]) -> DataFrame:
     """id, field, value, confidence: user rules (field, pattern, parser, priority, and, if given, confidence and whether it is
     active), lowest priority number first; the first that matches decides, and a match that its parser can't read is invalid

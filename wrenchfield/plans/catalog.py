@@ -1181,6 +1181,22 @@ def I6_line_items(t):
     return extract.line_items(_orders(t))
 
 
+#: Orders whose lines are rows: works and parts with codes and units, headings, totals and a lone remark between them.
+_LINE_ROWS = f"""SELECT repair_id AS id, CASE WHEN kind = 'work' THEN 10 ELSE 30 END AS block, concat(CASE WHEN code IS NULL THEN '' ELSE concat(replace(code, '#', '-'), ' ') END, name) AS what, kind, code, name, quantity, unit,
+  {_FLOOR.replace('{c}', 'price')} AS price, {_FLOOR.replace('{c}', 'line_total')} AS line_total, line_no FROM repair_lines"""
+
+
+@query(f"""WITH x AS ({_LINE_ROWS}), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY block, line_no, printf('%s %d %s %.2f %.2f', what, CAST(quantity AS INTEGER), unit, price, line_total)) AS line FROM x)
+  SELECT id, CAST(line AS INTEGER) AS line, kind, upper(replace(code, '#', '-')) AS code, name, quantity, unit, price, line_total FROM n""")
+def I6_lines_as_rows(t):
+    x = t.sql(_LINE_ROWS)
+    item = F.format_string("%s %d %s %.2f %.2f", "what", F.col("quantity").cast("int"), "unit", "price", "line_total")
+    items = x.select("id", (F.col("block") * 1_000_000 + F.col("line_no")).alias("line_no"), item.alias("text"))
+    other = [F.struct(F.lit(no).alias("line_no"), F.lit(content).alias("text")) for no, content in ((1, "Заказ-наряд № 1 от 15.01.2025"), (9_999_999, "Работы:"), (19_999_999, "Итого работ 1 шт 100,00 100,00"), (29_999_999, "Запчасти и материалы"), (99_999_999, "Итого: 3 500,00"))]
+    heads = x.select("id").distinct().select("id", F.inline(F.array(*other)))
+    return extract.line_items_of_rows(items.unionByName(heads))
+
+
 _PARSED = "concat('ЗН-', CAST(id AS STRING)) AS order_number, DATE '2025-01-15' AS repair_date, CAST(120000 AS BIGINT) AS mileage, 'А123ВС116' AS plate_number, 'XTA12345678901234' AS vin"
 
 
