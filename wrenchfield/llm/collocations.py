@@ -1,6 +1,6 @@
 """Phrase collocation mining with generalised suffix automata.
 
-Tasks cut texts into pieces and words and build, for each shard of some megabytes, the suffix automaton of all its pieces,
+Tasks cut texts into pieces and words and build, for each shard of two megabytes, the suffix automaton of all its pieces,
 as deep as phrases are long. A state stands for the substrings that end at the same places (endpos): those of `shortest`
 to `longest` words, each occurring `count` times; its suffix link leads to the state of the longest suffix that occurs
 elsewhere, too. States are found in bulk: the substrings of j words that end at the same places as their last j - 1 words
@@ -9,8 +9,9 @@ belong to the same state, all others open one below it. Transitions are not kept
 Shards list their states' substrings with counts, and Spark adds these up, word by word longer: a phrase of k words is
 counted only where both of its phrases of k - 1 words are frequent (a phrase is never more frequent than its parts).
 The frequent ones of a length are known to the tasks as a bitmap of hashes, `most_bits` at most: false hits, or more
-frequent phrases than it can tell apart, cost shuffled rows, but never a phrase. Before the last pass phrases are hashes
-(a collision can only add to a count); the last pass counts the phrases themselves, so that results are exact.
+frequent phrases than it can tell apart, cost shuffled rows, but never a phrase. Phrases are hashes at first (a collision
+can only add to a count); the last passes count the phrases themselves, so that results are exact. Of the longest
+phrases only those are counted that can be among a language's first, or subsume one that is (see rivals()).
 
 A candidate inside a longer one is inside one that is longer by a single word and at least as frequent, so what subsumes
 a phrase is found one step away: a candidate stands against its suffix link (itself without its first word) and against
@@ -22,6 +23,7 @@ without words, and empty tables, give nothing; a lang without candidates has no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,8 @@ from . import shared, words
 
 _PIECE_END = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
 _GAP = _PIECE_END | np.isin(np.arange(256), [0x20, 0x09])
-MOST_ROWS = 1 << 20  # that a task holds before it sends them
+MOST_ROWS = 1 << 19  # that a task holds before it sends them
+TASK_BYTES = 512 << 20  # of text that one task may take, where there are no more tasks than slots
 
 
 @dataclass
@@ -147,7 +150,7 @@ def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int)
 
     def run(batches):
         sums = _Sums()
-        for batch in words.slices(batches, most=2 * words.SLICE_BYTES):
+        for batch in words.slices(batches):
             s = shard(batch.column(0), batch.column(1).to_numpy(), held.value)
             if length == 1:
                 yield from sums.add(*np.unique(s.value, return_counts=True))
@@ -161,34 +164,56 @@ def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int)
     return counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def phrases(docs: DataFrame, longest: int, frequent: list[np.ndarray], least: int) -> DataFrame:
-    """lang, phrase, a: counts of all phrases of up to `longest` words that occur `least` times or more; the row with phrase
-    null has the number of all words. docs: text, lang_hash, lang."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+@dataclass
+class Rival:
+    """Which phrases, one word shorter than the longest, may still matter (bitmaps of their hashes)."""
+
+    best: np.ndarray  # may be among the first themselves
+    left: np.ndarray  # may begin a phrase that is
+    right: np.ndarray  # may end one
+
+    def may_matter(self, s: Shard, last: np.ndarray, length: int) -> np.ndarray:
+        begins, ends = s.windows(last - 1, length - 1), s.windows(last, length - 1)
+        of = shared.among
+        return of(self.best, begins) | of(self.best, ends) | (of(self.left, begins) & of(self.right, ends))
+
+
+def phrases(docs: DataFrame, lengths: range, frequent: list[np.ndarray], least: int, rival: Rival | None = None) -> DataFrame:
+    """lang, phrase, key, a: the hash and the count of all phrases of so many words that occur `least` times or more, of those
+    that may matter if rival is given. The row with phrase null has the number of all words. docs: text, lang_hash, lang."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, rival))
 
     def listed(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        s, lang = shard(batch.column(0), batch.column(1).to_numpy(), held.value), batch.column(2)
-        yield pa.table({"lang": lang, "phrase": pa.nulls(len(lang), pa.string()), "a": pa.array(s.words.count.astype(np.int64))})
+        frequent, rival = held.value
+        s, lang = shard(batch.column(0), batch.column(1).to_numpy(), frequent), batch.column(2)
+        if lengths[0] == 1:
+            yield pa.table({"lang": lang, "phrase": pa.nulls(len(lang), pa.string()), "key": pa.nulls(len(lang), pa.int64()), "a": pa.array(s.words.count.astype(np.int64))})
         distinct, first, code = np.unique(s.value, return_index=True, return_inverse=True)
         if not len(distinct):
             return
         lower = words._FOLD[s.words.raw].tobytes()
         spelt = pa.array([lower[a:b].decode() for a, b in zip(s.words.start[s.at[first]].tolist(), s.words.end[s.at[first]].tolist(), strict=True)], pa.string())
-        found, text = automaton(code, s.run, longest), s.words.text
-        for length in range(1, longest + 1):
-            last, n = s.substrings(found, length, held.value)
-            if 1 < length <= len(frequent):
-                own = shared.among(held.value[length - 1], s.windows(last, length))
+        found, text = automaton(code, s.run, lengths[-1]), s.words.text
+        for length in lengths:
+            last, n = s.substrings(found, length, frequent)
+            if length <= len(frequent):
+                own = shared.among(frequent[length - 1], s.windows(last, length))
+                last, n = last[own], n[own]
+            if rival is not None:
+                own = rival.may_matter(s, last, length)
                 last, n = last[own], n[own]
             parts = [spelt.take(pa.array(code[last - length + 1 + i])) for i in range(length)]
-            yield pa.table({"lang": lang.take(pa.array(text[s.at[last]])), "phrase": pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0], "a": pa.array(n.astype(np.int64))})
+            phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
+            yield pa.table({"lang": lang.take(pa.array(text[s.at[last]])), "phrase": phrase, "key": pa.array(s.windows(last, length).view(np.int64)), "a": pa.array(n.astype(np.int64))})
 
     def run(batches):
+        by = ["lang", "phrase", "key"]
+
         def sent(every: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(every).group_by(["lang", "phrase"]).aggregate([("a", "sum")]).rename_columns(["lang", "phrase", "a"])
+            return pa.concat_tables(every).group_by(by).aggregate([("a", "sum")]).rename_columns([*by, "a"])
 
         every, size = [], 0
-        for batch in words.slices(batches, most=2 * words.SLICE_BYTES):
+        for batch in words.slices(batches):
             every += listed(batch)
             size = sum(t.num_rows for t in every)
             if size > MOST_ROWS:
@@ -198,8 +223,8 @@ def phrases(docs: DataFrame, longest: int, frequent: list[np.ndarray], least: in
         if every:
             yield from sent(every).to_batches(1 << 16)
 
-    counted = docs.select("text", "lang_hash", "lang").mapInArrow(run, "lang string, phrase string, a long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
+    counted = docs.select("text", "lang_hash", "lang").mapInArrow(run, "lang string, phrase string, key long, a long")
+    return counted.groupBy("lang", "phrase").agg(F.max("key").alias("key"), F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
 
 
 def joined(part: Column) -> Column:
@@ -220,32 +245,66 @@ def unsubsumed(candidates: DataFrame) -> DataFrame:
     return candidates.join(most, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < 80 * F.col("a"), F.lit(True))).drop("longer")
 
 
+def scored(candidates: DataFrame, parts: DataFrame) -> DataFrame:
+    """candidates (lang, phrase, a and more) with l, r, score of their lowest-scoring cut; parts: lang, phrase, a of all shorter ones."""
+    cut = candidates.withColumn("w", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
+    cut = cut.select(*candidates.columns, "k", joined(F.slice("w", F.lit(1), F.col("k"))).alias("head"), joined(F.slice("w", F.col("k") + 1, F.size("w") - F.col("k"))).alias("tail"))
+    for part, name in (("head", "l"), ("tail", "r")):
+        cut = shared.looked_up(cut, parts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang", part], spread=["phrase"], salts=8)
+    best = cut.groupBy(*candidates.columns).agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut"))
+    return best.select(*candidates.columns, "cut.l", "cut.r", "cut.score")
+
+
+def ranked(rows: DataFrame, most: int) -> DataFrame:
+    """Each lang's first rows, with rank: the firsts of its 64 shares, then of those."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    few = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most).drop("salt")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+
+
+def rivals(every: DataFrame, candidates: DataFrame, longest: int, most: int, most_bits: int) -> Rival:
+    """What the counts of all phrases of less than `longest` words (every; scored candidates among them) say about the longest.
+    Those of `longest` - 2 words at most that aren't subsumed are known for sure; the score of a lang's last of `most` such
+    phrases is a bar that whatever is among the first must reach. A phrase a..z is cut after a, and before z; of its count it
+    is only known that it isn't above that of a.. or ..z, so its score isn't above that of count(a..) against count(a), or
+    count(..z) against count(z). Phrases one word shorter that reach the bar themselves have to be held against all longer
+    ones, as these may subsume them."""
+    size = F.size(F.split("phrase", " "))
+    kept = unsubsumed(candidates).where(size <= longest - 2)
+    bars = ranked(kept, most).where(F.col("rank") == most).select("lang", F.col("score").alias("bar"))
+    near = shared.looked_up(candidates.where(size == longest - 1), shared.save(bars, "collocations-bars"), ["lang"], spread=["phrase"])
+    single = every.where(size == 1)
+    for end, word in (("first", F.substring_index("phrase", " ", 1)), ("last", F.substring_index("phrase", " ", -1))):
+        near = shared.looked_up(near.withColumn(f"{end}_word", word), single.select("lang", F.col("phrase").alias(f"{end}_word"), F.col("a").alias(end)), ["lang", f"{end}_word"], spread=["phrase"], salts=8)
+    reaches = lambda s: F.col("bar").isNull() | (s >= F.col("bar"))
+    bound = lambda end: score(F.col("a"), F.col("a"), F.col(end))
+    near = shared.save(near.select("key", reaches(F.col("score")).alias("best"), reaches(bound("first")).alias("left"), reaches(bound("last")).alias("right")), "collocations-rivals")
+    out = Rival(*(shared.bitmap(near.where(c).select("key"), "key", most_bits, hashed=True) for c in ("best", "left", "right")))
+    shared.drop(near)
+    return out
+
+
 def mine(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, most_bits: int = 1 << 29) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of documents (text, lang)."""
-    spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.small_batches(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     docs = docs.select("text", F.xxhash64(lang).alias("lang_hash"), lang.alias("lang"))
+    # a task sends a frequent phrase about once, whatever it reads: as few tasks as the slots, or as the text's size, want
+    wide = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(shared.text_bytes(docs) / TASK_BYTES)))
     frequent: list[np.ndarray] = []
     for length in range(1, longest):
         keys = shared.save(hashes(docs, length, frequent, least), "collocations-hashes")
         frequent.append(shared.bitmap(keys, "key", most_bits, hashed=True))
         shared.drop(keys)
-    every = shared.save(phrases(docs, longest, frequent, least), "collocations-phrases")
+    every = shared.save(phrases(wide, range(1, longest), frequent, least), "collocations-phrases")
     size = F.size(F.split("phrase", " "))
-    candidates = unsubsumed(every.where(size > 1))
-    cut = candidates.withColumn("w", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
-    cut = cut.select("lang", "phrase", "a", "k", joined(F.slice("w", F.lit(1), F.col("k"))).alias("head"), joined(F.slice("w", F.col("k") + 1, F.size("w") - F.col("k"))).alias("tail"))
-    parts = every.where(size < longest)
-    for part, name in (("head", "l"), ("tail", "r")):
-        cut = shared.looked_up(cut, parts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang", part], spread=["phrase"], salts=8)
-    least_cut = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut"))
-    rows = least_cut.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    few = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most).drop("salt")  # 64 * most rows a lang at most
-    top = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    shorter = shared.save(scored(every.where(size > 1), every.where(size < longest - 1)), "collocations-scores")
+    rival = rivals(every, shorter, longest, most, most_bits) if longest > 3 else None
+    last = shared.save(phrases(wide, range(longest, longest + 1), frequent, least, rival), "collocations-longest")
+    rows = shorter.unionByName(scored(last.where("phrase is not null"), every.where("phrase is not null")))
     totals = every.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
-    return shared.looked_up(top, totals, ["lang"], spread=["phrase"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return shared.looked_up(ranked(unsubsumed(rows), most), totals, ["lang"], spread=["phrase"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

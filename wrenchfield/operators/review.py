@@ -120,10 +120,17 @@ def check_findings(checks: DataFrame) -> DataFrame:
     return _found(checks.where(~F.col("is_resolved")), 1, F.col("id"), title, level, zone, advice)
 
 
+def main_documents(documents: DataFrame, repairs: DataFrame) -> DataFrame:
+    """repair_id, ocr_confidence, reasons of each repair's source document, else of a primary one, else of the first."""
+    d = documents.join(repairs.select(F.col("id").alias("repair_id"), "source_document_id"), "repair_id")
+    return d.groupBy("repair_id").agg(F.max_by(F.struct("ocr_confidence", F.array_compact(F.array("reason_1", "reason_2")).alias("reasons")), F.struct((F.col("id") == F.coalesce("source_document_id", F.lit(-1))).alias("s"), F.col("is_primary"), -F.col("id"))).alias("d")).select("repair_id", "d.*")
+
+
 def findings(checks: DataFrame, repairs: DataFrame, lines: DataFrame, documents: DataFrame, shares: DataFrame) -> DataFrame:
     """Findings of all generators (_FINDING), each title once a repair: the first generator's, and there the first one. shares:
     top_parts() of the lines."""
-    r = repairs.select(F.col("id").alias("repair_id"), _plain(F.col("reason")).alias("why"), "source_document_id")
+    said = F.concat_ws(" ", F.nullif(F.col("reason"), F.lit("")), F.nullif(F.col("employee_comment"), F.lit(""))) if "employee_comment" in repairs.columns else F.col("reason")
+    r = repairs.select(F.col("id").alias("repair_id"), _plain(said).alias("why"), _plain(F.col("reason")).alias("reason_alone"))
     parts = [check_findings(checks)]
     # what a repair's lines name, reduced to flags before they are joined
     name = _plain(F.col("name"))
@@ -131,15 +138,14 @@ def findings(checks: DataFrame, repairs: DataFrame, lines: DataFrame, documents:
     both = r.where("why <> ''").join(flags, "repair_id", "left")
     for i, (zone, symptoms, _) in enumerate(SIGNALS):
         parts.append(_found(both.where(_any(F.col("why"), symptoms) & ~F.coalesce(F.col(f"t{i}"), F.lit(False))), 2, F.lit(i), f"Нет прозрачного ремонта по зоне «{zone}»", "high" if zone == "ABS" else "medium", "Соответствие дефекта и ремонта", f"Запросить у сервиса расшифровку, какие действия по зоне «{zone}» были выполнены и чем подтверждено устранение неисправности."))
-    parts.append(_found(r.where(F.contains("why", F.lit("проч"))), 3, F.lit(0), "Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта."))
+    parts.append(_found(r.where(F.contains("reason_alone", F.lit("проч"))), 3, F.lit(0), "Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта."))
     parts.append(_found(flags.where("diagnostics >= 2"), 4, F.lit(0), "В заказ-наряде несколько диагностических работ", "medium", "Суммы и структура", "Запросить у сервиса, чем отличаются диагностические позиции и почему они тарифицировались отдельно."))
     part = _plain(F.col("name"))
     related = F.lit(False)
     for _, symptoms, terms in SIGNALS:
         related = related | (_any(F.col("why"), symptoms) & _any(part, terms))
     parts.append(_found(shares.where("line_total > 0").join(r, "repair_id").where((F.col("why") != "") & ~related), 5, F.col("rank"), "Дорогая запчасть слабо связана с причиной обращения", "medium", "Состав ремонта", "Запросить дефектовку или пояснение, почему эта запчасть была заменена именно в рамках данного обращения."))
-    d = documents.join(r.select("repair_id", "source_document_id"), "repair_id")
-    main = d.groupBy("repair_id").agg(F.max_by(F.struct("ocr_confidence", F.array_compact(F.array("reason_1", "reason_2")).alias("reasons")), F.struct((F.col("id") == F.coalesce("source_document_id", F.lit(-1))).alias("s"), F.col("is_primary"), -F.col("id"))).alias("d")).select("repair_id", "d.*")
+    main = main_documents(documents, repairs)
     parts.append(_found(main.where("ocr_confidence < 0.75"), 6, F.lit(0), "Низкая уверенность OCR по основному документу", "medium", ZONES["ocr"], "Проверить ключевые поля вручную и запросить у сервиса более качественную копию документа при необходимости."))
     level = F.when(F.exists("reasons", lambda x: x.isin("text_not_found", "repair_date_invalid")), "medium").otherwise("low")
     parts.append(_found(main.where(F.size("reasons") > 0), 7, F.lit(0), "Документ содержит признаки неполного или спорного распознавания", level, ZONES["ocr"], "До подтверждения ремонта проверить вручную все поля, отмеченные системой как спорные или отсутствующие."))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import document, extract, text
-from ..operators import checks, dashboard, filters, history, latest, mutations, resolve, review
+from ..operators import checks, dashboard, filters, history, latest, mutations, report, resolve, review
 from .views import Tables, with_views
 
 DAY = dt.date(1997, 6, 15)
@@ -807,6 +807,101 @@ def K5_executive_report(t):
     return review.report(t("repairs"), t("repair_lines"), t("repair_checks"), _findings(t))
 
 
+#: What checks say in detail: payloads with numbers, texts, blanks and values of the wrong kind.
+_PAYLOAD = {
+    "actual_total": "CASE WHEN id % 4 <> 0 THEN concat(CAST(id * 10 AS STRING), '.5') END", "expected_total": "CASE WHEN id % 5 <> 0 THEN concat(CAST(id * 9 AS STRING), '.25') END",
+    "current_price": "CASE WHEN id % 7 = 0 THEN 'unknown' ELSE CAST(id AS STRING) END", "median_price": "CAST(id * 2 AS STRING)",
+    "comparison_source_label": "CASE WHEN id % 3 = 0 THEN '' ELSE concat('source ', CAST(id % 3 AS STRING)) END", "previous_order_number": "concat('ZN-', CAST(id AS STRING))",
+    "previous_repair_date": "CASE WHEN id % 2 = 0 THEN '2024-01-05' END", "days_since_previous": "CAST(id % 30 AS STRING)", "duplicate_count": "CAST(id % 5 AS STRING)",
+    "lines_total": "CASE WHEN id % 3 <> 0 THEN CAST(id AS STRING) END", "header_total": "CAST(id + 1 AS STRING)", "work_name": "CASE WHEN id % 4 = 1 THEN 'замена' END",
+    "line_breakdown.work_name": "CASE WHEN id % 2 = 1 THEN 'мойка' END", "line_breakdown.expected_line_total": "CASE WHEN id % 3 = 1 THEN CAST(id * 1000 AS STRING) END",
+}
+_DETAILS = "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('подробно ', CAST(id AS STRING)) END"
+_MONEY = lambda x: f"(replace(replace(format('{{:,.2f}}', {x}), ',', ' '), '.', ',') || ' ₽')"
+_NUM = lambda key: f"TRY_CAST({_PAYLOAD[key]} AS DOUBLE)"
+_LEVEL = "CASE {n} WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
+_FOUND_AT = "x.repair_id = f.repair_id AND x.turn = f.turn AND x.at = CASE WHEN f.turn IN (1, 5) THEN f.place ELSE -1 END"
+
+
+def _explained_sql() -> str:
+    """Evidence, summary and rationale, written out for DuckDB: (repair_id, turn, at, summary, rationale, evidence)."""
+    said = lambda label, key: f"CASE WHEN coalesce({_PAYLOAD[key]}, '') <> '' THEN '{label}: ' || {_PAYLOAD[key]} ELSE '' END"
+    money = lambda label, key: f"coalesce('{label}: ' || {_MONEY(_NUM(key))}, '')"
+    first = f"coalesce({_DETAILS}, '')"
+    known = {
+        "ocr_expected_total_exceeded": [f"coalesce({_DETAILS}, 'Обнаружено превышение ожидаемой стоимости.')", money("Фактическая сумма", "actual_total"), money("Ожидаемая сумма", "expected_total")],
+        "ocr_work_reference_price_deviation": [first, money("Текущая цена", "current_price"), money("Медианная цена", "median_price"), said("Источник сравнения", "comparison_source_label")],
+        "ocr_repeat_repair_detected": [first, said("Предыдущий заказ-наряд", "previous_order_number"), said("Дата прошлого ремонта", "previous_repair_date"), f"'Интервал между ремонтами: ' || {_PAYLOAD['days_since_previous']} || ' дн.'"],
+        "ocr_duplicate_work_lines": [first, f"'Совпадающих строк: ' || {_PAYLOAD['duplicate_count']}"],
+        "ocr_work_reference_missing": [first],
+    }
+    named = (("lines_total", "Сумма строк"), ("header_total", "Итог по шапке"), ("expected_total", "Ожидаемая сумма"), ("actual_total", "Фактическая сумма"), ("work_name", "Работа"))
+    sample = f"'Пример строки для сравнения: ' || {_PAYLOAD['line_breakdown.work_name']} || coalesce(' · ожидаемо ' || {_MONEY(_NUM('line_breakdown.expected_line_total'))}, '')"
+    other = ", ".join([_DETAILS, *(f"'{label}: ' || {_PAYLOAD[key]}" for key, label in named), sample])
+    evidence = "CASE check_type " + " ".join(f"WHEN '{k}' THEN [{', '.join(v)}]" for k, v in known.items()) + f" ELSE list_filter([{other}], lambda x: x IS NOT NULL)[:5] END"
+    summary = _cases("check_type", [(k, v[0]) for k, v in report.OF_CHECKS.items()], last=f"coalesce({_DETAILS}, 'Выявлено несоответствие, требующее ручной проверки.')")
+    rationale = _cases("check_type", [(k, v[1]) for k, v in report.OF_CHECKS.items()], last="'Несоответствие выявлено автоматической сверкой документа с данными ремонта и справочниками.'")  # every type begins with ocr_
+    turn = lambda n, id_, source, evidence: f"SELECT {id_}, {n}, {'rank' if n == 5 else -1}, '{report.OF_TURNS[n][0]}', '{report.OF_TURNS[n][1]}', {evidence} FROM {source}"
+    names = lambda most, where="": f"(SELECT repair_id, array_to_string(list(name ORDER BY line_no, part_id, name)[:{most}], ', ') AS names FROM repair_lines WHERE kind = 'work'{where} GROUP BY 1) l"
+    return " UNION ALL ".join([
+        f"SELECT repair_id, 1 AS turn, id AS at, {summary} AS summary, {rationale} AS rationale, {evidence} AS evidence FROM repair_checks WHERE NOT is_resolved",
+        turn(2, "r.id", f"repairs r LEFT JOIN {names(6)} ON l.repair_id = r.id", "['Описание обращения: ' || r.reason, coalesce('Работы в заказ-наряде: ' || names, 'Работы по этой зоне не выделены.')]"),
+        turn(3, "id", "repairs", "['Причина ремонта: ' || reason]"),
+        turn(4, "repair_id", names(4, f" AND {_HAS('lower(name)', review.DIAGNOSTICS)}"), "['Диагностические позиции: ' || names]"),
+        turn(5, "tp.repair_id", "tp JOIN repairs r ON r.id = tp.repair_id", f"['Причина обращения: ' || r.reason, 'Запчасть: ' || name || ' · сумма ' || {_MONEY('line_total')}, 'Доля в заказ-наряде: ' || CAST(round_even(line_total / r.grand_total * 100, 0) AS BIGINT) || '%']"),
+        turn(6, "repair_id", "main", "['OCR confidence: ' || CAST(round_even(ocr_confidence * 100, 0) AS BIGINT) || '%']"),
+        turn(7, "repair_id", "main", "['Причины ручной проверки: ' || concat_ws(', ', CASE reason_1 WHEN 'text_not_found' THEN 'текст не найден' ELSE reason_1 END, reason_2)]"),
+    ])
+
+
+def _explained(t):
+    said = F.create_map(*[x for k, e in _PAYLOAD.items() for x in (F.lit(k), F.expr(e))])
+    detailed = t("repair_checks").withColumns({"details": F.expr(_DETAILS), "payload": F.map_filter(said, lambda k, v: v.isNotNull())})
+    shares = history.top_parts(t("repair_lines"), t("repairs"))
+    return report.explained(_findings(t), detailed, t("repairs"), t("repair_lines"), t("documents_d"), shares, {"text_not_found": "текст не найден"})
+
+
+@query(f"WITH {FINDINGS}, x AS ({_explained_sql()}) SELECT f.repair_id, f.turn, f.title, f.level, x.summary, x.rationale, array_to_string(x.evidence, '|') AS evidence FROM f JOIN x ON {_FOUND_AT}")
+def K8_explained_findings(t):
+    return _explained(t).select("repair_id", "turn", "title", "level", "summary", "rationale", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query(f"""WITH {FINDINGS}, m AS (SELECT repair_id, zone, max(n) AS n, count(*) AS findings FROM f GROUP BY repair_id, zone)
+  SELECT repair_id, zone, findings, {_LEVEL.format(n='n')} AS level, 'По зоне «' || zone || '» ' || CASE n WHEN 2 THEN 'есть признаки, требующие отдельного управленческого контроля.' WHEN 1 THEN 'есть спорные моменты, которые стоит уточнить до закрытия ремонта.' ELSE 'значимых рисков не выявлено.' END AS comment FROM m""")
+def K9_zone_comments(t):
+    return report.zone_comments(review.risk_matrix(_findings(t)))
+
+
+_RISK = "CASE max(f.n) WHEN 2 THEN 'высокий' WHEN 1 THEN 'средний' ELSE 'низкий' END"
+_HEADLINES = f"""h AS (SELECT r.id AS repair_id, CASE WHEN count(f.title) > 0 THEN 'Есть сигналы для управленческого контроля' ELSE 'Серьезных управленческих рисков не найдено' END AS headline,
+  'Заказ-наряд ' || r.order_number || ' на сумму ' || {_MONEY('r.grand_total')} || CASE WHEN count(f.title) > 0 THEN ' содержит ' || count(f.title) || ' значимых сигналов. Общий уровень риска: ' || {_RISK} || '.'
+    ELSE ' проверен. Критичных несоответствий, требующих отдельного контроля, не выявлено.' END AS summary, {_RISK} AS risk_label
+  FROM repairs r LEFT JOIN f ON f.repair_id = r.id GROUP BY r.id, r.order_number, r.grand_total)"""
+
+
+@query(f"WITH {FINDINGS}, {_HEADLINES} SELECT * FROM h")
+def K5_headline(t):
+    return report.headlines(t("repairs"), _findings(t))
+
+
+@query(f"""WITH {FINDINGS}, {_HEADLINES}, x AS ({_explained_sql()}), l AS (SELECT repair_id, kind, count(*) AS n, array_to_string(list(name ORDER BY line_no, part_id, code, name), ';') AS names FROM repair_lines GROUP BY repair_id, kind),
+  c AS (SELECT repair_id, array_to_string(list(title ORDER BY is_resolved, created_at, id), ';') AS checks FROM repair_checks GROUP BY 1), d AS (SELECT repair_id, array_to_string(list(original_filename ORDER BY id), ';') AS documents FROM documents_d GROUP BY 1),
+  ev AS (SELECT f.repair_id, array_to_string(list(f.title || ' <' || x.evidence[1] || '>' ORDER BY f.n DESC, f.title), ';') AS findings FROM f JOIN x ON {_FOUND_AT} GROUP BY 1),
+  m AS (SELECT repair_id, zone, max(n) AS n FROM f GROUP BY repair_id, zone), z AS (SELECT repair_id, array_to_string(list(zone || '=' || {_LEVEL.format(n='n')} ORDER BY n DESC, zone), ';') AS zones FROM m GROUP BY 1)
+  SELECT r.id AS repair_id, r.order_number, v.plate_number, s.name AS service_name, r.grand_total, h.headline, h.summary, coalesce(w.n, 0) AS works, coalesce(w.names, '') AS work_names, coalesce(p.n, 0) AS parts, coalesce(c.checks, '') AS checks,
+    coalesce(d.documents, '') AS documents, coalesce(ev.findings, '') AS findings, coalesce(z.zones, '') AS zones
+  FROM repairs r JOIN h ON h.repair_id = r.id LEFT JOIN vehicles v ON v.id = r.vehicle_id LEFT JOIN services s ON s.id = r.service_id LEFT JOIN l w ON w.repair_id = r.id AND w.kind = 'work' LEFT JOIN l p ON p.repair_id = r.id AND p.kind = 'part'
+    LEFT JOIN c ON c.repair_id = r.id LEFT JOIN d ON d.repair_id = r.id LEFT JOIN ev ON ev.repair_id = r.id LEFT JOIN z ON z.repair_id = r.id""")
+def O14_repair_detail(t):
+    x = report.repair_detail(t("repairs"), t("vehicles"), t("services"), t("repair_lines"), t("documents_d"), t("repair_checks"), _explained(t))
+    listed = lambda c, f: F.array_join(F.transform(c, f), ";")
+    return x.select(
+        "repair_id", "order_number", "plate_number", "service_name", "grand_total", "headline", "summary", F.size("works").cast("long").alias("works"), listed("works", lambda r: r["name"]).alias("work_names"), F.size("parts").cast("long").alias("parts"),
+        listed("checks", lambda r: r["title"]).alias("checks"), listed("documents", lambda r: r["original_filename"]).alias("documents"),
+        listed("findings", lambda r: F.concat(r["title"], F.lit(" <"), r["evidence"][0], F.lit(">"))).alias("findings"), listed("zones", lambda r: F.concat(r["zone"], F.lit("="), r["level"])).alias("zones"),
+    )
+
+
 @query("""WITH w AS (SELECT DISTINCT repair_id FROM documents_d WHERE status = 'uploaded'), c AS (SELECT repair_id, bool_or(severity IN ('suspicious', 'error')) AS b FROM repair_checks WHERE NOT is_resolved GROUP BY 1)
   SELECT r.id AS repair_id, CASE WHEN w.repair_id IS NOT NULL THEN 'ocr_queue' WHEN b THEN 'critical_mismatch' WHEN b IS NOT NULL THEN 'needs_review' ELSE 'ready' END AS status FROM repairs r LEFT JOIN w ON w.repair_id = r.id LEFT JOIN c ON c.repair_id = r.id""")
 def K12_report_status(t):
