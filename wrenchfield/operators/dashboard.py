@@ -149,8 +149,14 @@ def nested(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
 
 
 def learning_summaries(signals: DataFrame) -> DataFrame:
-    """field, profile, kind with their number and the first three services (in order of name)."""
-    return signals.groupBy("target_field", "profile", "signal_type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.array_distinct(F.collect_list("service_name"))), 1, 3), ";").alias("examples"))
+    """field, profile, kind with their number and the first three services (in order of name). Names are counted first, so that
+    only those that are shown are collected."""
+    keys = ["target_field", "profile", "signal_type"]
+    each = signals.groupBy(*keys, "service_name").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("service_name")))
+    shown = F.when((F.col("rank") <= 3) & F.col("service_name").isNotNull(), F.struct("rank", "service_name"))
+    out = each.withColumn("rank", rank).groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(shown)).alias("x"))
+    return out.select(*keys, "n", F.array_join(F.transform("x", lambda x: x["service_name"]), ";").alias("examples"))
 
 
 def bars(total: Column, draft: Column, suspicious: Column) -> Column:

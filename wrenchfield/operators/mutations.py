@@ -115,7 +115,7 @@ def upserted_catalogues(old: DataFrame, changes: dict[str, dict], norms: DataFra
     default = lambda f: F.col("scope") if f == "catalog_name" else F.lit(fields[f]).cast(kinds[f])
     out = both.select("scope", *[F.when(F.col(f"has_{f}"), F.col(f"new_{f}")).when(F.col("_old"), F.col(f)).otherwise(default(f)).alias(f) for f in fields])
     meta = out.select("scope", F.col("catalog_name").alias("_n"), F.col("brand_family").alias("_f"))
-    synced = norms.join(F.broadcast(meta), "scope", "left").withColumn("catalog_name", F.coalesce("_n", "catalog_name")).withColumn("brand_family", F.when(F.col("_n").isNotNull(), F.col("_f")).otherwise(F.col("brand_family"))).drop("_n", "_f")
+    synced = norms.join(meta, "scope", "left").withColumn("catalog_name", F.coalesce("_n", "catalog_name")).withColumn("brand_family", F.when(F.col("_n").isNotNull(), F.col("_f")).otherwise(F.col("brand_family"))).drop("_n", "_f")
     return out, synced
 
 

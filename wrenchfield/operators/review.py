@@ -17,7 +17,9 @@ def ordinal(c: Column, of: tuple[str, ...]) -> Column:
 
 
 def open_checks(checks: DataFrame) -> DataFrame:
-    return checks.where(~F.col("is_resolved")).groupBy("repair_id").agg(F.count_if(F.col("severity") == "suspicious").alias("open_suspicious"), F.count_if(F.col("severity") == "error").alias("open_errors"), F.count("*").alias("open_checks"), F.array_join(F.array_sort(F.array_distinct(F.collect_list("title"))), ";").alias("titles"))
+    """Numbers of a repair's open checks, and their distinct titles, which are brought together before they are collected."""
+    each = checks.where(~F.col("is_resolved")).groupBy("repair_id", "title").agg(F.count_if(F.col("severity") == "suspicious").alias("s"), F.count_if(F.col("severity") == "error").alias("e"), F.count("*").alias("n"))
+    return each.groupBy("repair_id").agg(F.sum("s").alias("open_suspicious"), F.sum("e").alias("open_errors"), F.sum("n").alias("open_checks"), F.array_join(F.array_sort(F.collect_list("title")), ";").alias("titles"))
 
 
 def priority(documents: DataFrame, repairs: DataFrame, checks: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1008,14 +1008,14 @@ def O11_service_list(t):
     seen = filters.filtered(t("services"), filters.status_or_default(F.col("status"), None, "archived"), F.col("created_by_user_id").isNotNull() | F.col("confirmed_by_user_id").isNotNull())
     used = t("repairs").groupBy(F.col("service_id").alias("_s")).agg(F.count("*").alias("n"))
     cities = t("services").where("status <> 'archived'").groupBy("city").agg(F.count("*").alias("n")).orderBy("city")
-    return dashboard.sections(services=dashboard.page(seen.join(used, F.col("id") == F.col("_s"), "left"), [F.asc("name")], 0, 50).select("id", F.col("name").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), cities=cities.select(F.col("city").alias("id"), F.col("city").alias("label"), "n").limit(50))
+    return dashboard.sections(services=dashboard.page(seen.join(used, F.col("id") == F.col("_s"), "left"), [F.asc("name")], 0, 50).select("id", F.col("name").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), cities=cities.select(F.col("city").alias("id"), F.col("city").alias("label"), "n"))
 
 
 @query(f"WITH {SIGNALS} {_listed(signals=_by('repair_id, field', 'repair_id AS id, field AS label, length(corrected) AS n', 'sg', 40), kinds=_by('field, signal_type', 'field AS id, signal_type AS label, count(*) AS n', 'sg GROUP BY field, signal_type', 40))}")
 def O12_learning_page(t):
     s = _signals(t)
     kinds = s.groupBy("field", "signal_type").agg(F.count("*").alias("n")).orderBy("field", "signal_type").select(F.col("field").alias("id"), F.col("signal_type").alias("label"), "n")
-    return dashboard.sections(signals=dashboard.page(s, [F.asc("repair_id"), F.asc("field")], 0, 40).select(F.col("repair_id").alias("id"), F.col("field").alias("label"), F.length("corrected").alias("n")), kinds=kinds.limit(40))
+    return dashboard.sections(signals=dashboard.page(s, [F.asc("repair_id"), F.asc("field")], 0, 40).select(F.col("repair_id").alias("id"), F.col("field").alias("label"), F.length("corrected").alias("n")), kinds=kinds)
 
 
 @query(f"SELECT j.id, j.document_id, j.status FROM import_jobs j JOIN documents_d d ON d.id = j.document_id LEFT JOIN repairs r ON r.id = d.repair_id WHERE r.vehicle_id IN ({MINE}) OR d.uploaded_by_user_id = {USER}")
