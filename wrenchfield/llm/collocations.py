@@ -1,6 +1,6 @@
 """Phrase collocation mining with generalised suffix automata.
 
-Tasks cut texts into pieces and words and build, for each shard of two megabytes, the suffix automaton of all its pieces,
+Tasks cut texts into pieces and words and build, for each shard of a megabyte, the suffix automaton of all its pieces,
 as deep as phrases are long. A state stands for the substrings that end at the same places (endpos): those of `shortest`
 to `longest` words, each occurring `count` times; its suffix link leads to the state of the longest suffix that occurs
 elsewhere, too. States are found in bulk: the substrings of j words that end at the same places as their last j - 1 words
@@ -38,6 +38,7 @@ from . import shared, words
 
 _PIECE_END = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
 _GAP = _PIECE_END | np.isin(np.arange(256), [0x20, 0x09])
+SHARD_BYTES = 1 << 20  # of text
 MOST_ROWS = 1 << 19  # that a task holds before it sends them
 TASK_BYTES = 512 << 20  # of text that one task may take, where there are no more tasks than slots
 
@@ -148,20 +149,21 @@ def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int)
     """key: hashes of the phrases of so many words that occur `least` times or more. docs: text, lang_hash."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # most_bits for each length at most
 
+    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        s = shard(batch.column(0), batch.column(1).to_numpy(), held.value)
+        if length == 1:
+            return np.unique(s.value, return_counts=True)
+        last, n = s.substrings(automaton(np.unique(s.value, return_inverse=True)[1], s.run, length), length, held.value)
+        return s.windows(last, length), n
+
     def run(batches):
         sums = _Sums()
-        for batch in words.slices(batches):
-            s = shard(batch.column(0), batch.column(1).to_numpy(), held.value)
-            if length == 1:
-                yield from sums.add(*np.unique(s.value, return_counts=True))
-            else:
-                found = automaton(np.unique(s.value, return_inverse=True)[1], s.run, length)
-                last, n = s.substrings(found, length, held.value)
-                yield from sums.add(s.windows(last, length), n)
+        for batch in words.slices(batches, most=SHARD_BYTES):
+            yield from sums.add(*counted(batch))
         yield from sums.sent()
 
-    counted = docs.select("text", "lang_hash").mapInArrow(run, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    made = docs.select("text", "lang_hash").mapInArrow(run, "key long, n long")
+    return made.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
 @dataclass
@@ -213,8 +215,8 @@ def phrases(docs: DataFrame, lengths: range, frequent: list[np.ndarray], least:
             return pa.concat_tables(every).group_by(by).aggregate([("a", "sum")]).rename_columns([*by, "a"])
 
         every, size = [], 0
-        for batch in words.slices(batches):
-            every += listed(batch)
+        for batch in words.slices(batches, most=SHARD_BYTES):
+            every += list(listed(batch))
             size = sum(t.num_rows for t in every)
             if size > MOST_ROWS:
                 every = [sent(every)]

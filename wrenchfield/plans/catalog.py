@@ -1145,6 +1145,19 @@ def M2_fifo_claim(t):
     return pending(t("import_jobs"), 20).select("id", "document_id", "status")
 
 
+_STEPS = (("queued", 0, 0, "TRUE"), ("processing", 1, 60, "id % 4 > 0"), ("completed", 1, 120, "id % 4 = 2"), ("failed", 1, 120, "id % 4 = 3"), ("retry", 1, 180, "id % 8 = 7"), ("processing", 2, 240, "id % 16 = 15"))
+
+
+@query(" UNION ALL ".join(f"SELECT id AS document_id, CAST(1 AS BIGINT) AS job, '{s}' AS status, CAST({n} AS INTEGER) AS attempts, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 1000 + {at}) AS at, {repr('bad') if s == 'failed' else 'CAST(NULL AS VARCHAR)'} AS error FROM documents_d WHERE {when}" for s, n, at, when in _STEPS))
+def M4_job_life(t):
+    from ..streaming import jobs
+
+    names = ("enqueue", "start", "complete", "fail", "retry", "start")
+    happened = [F.when(F.expr(when), F.struct(F.lit(f"{n}").alias("event_id"), F.lit(name).alias("event"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 1000 + at).alias("at"), F.lit("bad").alias("error"))) for n, (name, (_, _, at, when)) in enumerate(zip(names, _STEPS, strict=True))]
+    events = t("documents_d").select(F.col("id").alias("document_id"), F.inline(F.array_compact(F.array(*happened))))
+    return jobs.history(events.unionByName(events.where("event_id <> '2'")))  # most of them twice
+
+
 @query("SELECT * FROM repair_checks WHERE repair_id NOT IN (SELECT id FROM repairs WHERE status = 'suspicious')")
 def L7_cascading_delete(t):
     return mutations.without(t("repair_checks"), "repair_id", t("repairs").where("status = 'suspicious'"), "id")
