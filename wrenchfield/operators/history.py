@@ -375,8 +375,9 @@ def reference_missing(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame)
 
 
 def top_parts(lines: DataFrame, repairs: DataFrame, share: float = 0.25) -> DataFrame:
-    """The three most expensive parts of each repair that are at least `share` of its total."""
-    parts = lines.where("kind = 'part'").groupBy("repair_id", "name").agg(F.max("line_total").alias("line_total"))
-    best = parts.withColumn("r", F.row_number().over(Window.partitionBy("repair_id").orderBy(F.desc("line_total"), "name"))).where("r <= 3")
+    """Of the three most expensive part lines of each repair (the first ones among equals), those that are at least `share` of
+    its total."""
+    order = Window.partitionBy("repair_id").orderBy(F.desc("line_total"), "line_no", "part_id", "name")
+    best = lines.where("kind = 'part'").select("repair_id", "name", "line_total", "line_no", "part_id").withColumn("r", F.row_number().over(order)).where("r <= 3")
     both = best.join(repairs.select(F.col("id").alias("repair_id"), "grand_total"), "repair_id")
     return both.where((F.col("grand_total") > 0) & (F.col("line_total") / F.col("grand_total") >= share)).select("repair_id", "name", "line_total", F.col("r").alias("rank"))

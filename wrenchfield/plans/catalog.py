@@ -639,7 +639,7 @@ def E9_replacement_primary(t):
     return latest.replacement_primary(t("documents_d"), "source")
 
 
-TOP_PARTS = """WITH p AS (SELECT repair_id, name, max(line_total) AS line_total FROM repair_lines WHERE kind = 'part' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY repair_id ORDER BY line_total DESC, name) AS r FROM p)
+TOP_PARTS = """WITH b AS (SELECT repair_id, name, line_total, row_number() OVER (PARTITION BY repair_id ORDER BY line_total DESC, line_no, part_id, name) AS r FROM repair_lines WHERE kind = 'part')
   SELECT b.repair_id, b.name, b.line_total, CAST(r AS INTEGER) AS rank FROM b JOIN repairs ON repairs.id = b.repair_id WHERE r <= 3 AND grand_total > 0 AND b.line_total / grand_total >= 0.25"""
 
 
