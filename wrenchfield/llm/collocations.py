@@ -23,7 +23,6 @@ without words, and empty tables, give nothing; a lang without candidates has no
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +38,7 @@ from . import shared, words
 _PIECE_END = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
 _GAP = _PIECE_END | np.isin(np.arange(256), [0x20, 0x09])
 SHARD_BYTES = 1 << 20  # of text
-MOST_ROWS = 1 << 19  # that a task holds before it sends them
-TASK_BYTES = 512 << 20  # of text that one task may take, where there are no more tasks than slots
+MOST_ROWS = 1 << 20  # that a task holds before it sends them
 
 
 @dataclass
@@ -181,15 +179,15 @@ class Rival:
 
 
 def phrases(docs: DataFrame, lengths: range, frequent: list[np.ndarray], least: int, rival: Rival | None = None) -> DataFrame:
-    """lang, phrase, key, a: the hash and the count of all phrases of so many words that occur `least` times or more, of those
-    that may matter if rival is given. The row with phrase null has the number of all words. docs: text, lang_hash, lang."""
+    """lang, phrase, a: the counts of all phrases of so many words that occur `least` times or more, of those that may matter if
+    rival is given. The row with phrase null has the number of all words. docs: text, lang_hash, lang."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, rival))
 
     def listed(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         frequent, rival = held.value
         s, lang = shard(batch.column(0), batch.column(1).to_numpy(), frequent), batch.column(2)
         if lengths[0] == 1:
-            yield pa.table({"lang": lang, "phrase": pa.nulls(len(lang), pa.string()), "key": pa.nulls(len(lang), pa.int64()), "a": pa.array(s.words.count.astype(np.int64))})
+            yield pa.table({"lang": lang, "phrase": pa.nulls(len(lang), pa.string()), "a": pa.array(s.words.count.astype(np.int64))})
         distinct, first, code = np.unique(s.value, return_index=True, return_inverse=True)
         if not len(distinct):
             return
@@ -206,27 +204,40 @@ def phrases(docs: DataFrame, lengths: range, frequent: list[np.ndarray], least:
                 last, n = last[own], n[own]
             parts = [spelt.take(pa.array(code[last - length + 1 + i])) for i in range(length)]
             phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-            yield pa.table({"lang": lang.take(pa.array(text[s.at[last]])), "phrase": phrase, "key": pa.array(s.windows(last, length).view(np.int64)), "a": pa.array(n.astype(np.int64))})
+            yield pa.table({"lang": lang.take(pa.array(text[s.at[last]])), "phrase": phrase, "a": pa.array(n.astype(np.int64))})
 
     def run(batches):
-        by = ["lang", "phrase", "key"]
-
         def sent(every: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(every).group_by(by).aggregate([("a", "sum")]).rename_columns([*by, "a"])
+            return pa.concat_tables(every).group_by(["lang", "phrase"]).aggregate([("a", "sum")]).rename_columns(["lang", "phrase", "a"])
 
-        every, size = [], 0
+        every, fresh = [], 0
         for batch in words.slices(batches, most=SHARD_BYTES):
-            every += list(listed(batch))
-            size = sum(t.num_rows for t in every)
-            if size > MOST_ROWS:
-                every = [sent(every)]
-                if every[0].num_rows > MOST_ROWS // 2:
+            every += (made := list(listed(batch)))
+            fresh += sum(t.num_rows for t in made)
+            if fresh > MOST_ROWS // 2:
+                every, fresh = [sent(every)], 0
+                if every[0].num_rows > MOST_ROWS:
                     yield from every.pop().to_batches(1 << 16)
         if every:
             yield from sent(every).to_batches(1 << 16)
 
-    counted = docs.select("text", "lang_hash", "lang").mapInArrow(run, "lang string, phrase string, key long, a long")
-    return counted.groupBy("lang", "phrase").agg(F.max("key").alias("key"), F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
+    counted = docs.select("text", "lang_hash", "lang").mapInArrow(run, "lang string, phrase string, a long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows (lang_hash, phrase and more) with key, the hash by which tasks know a phrase, for phrase."""
+    rest = [c for c in rows.columns if c not in ("lang_hash", "phrase")]
+
+    def run(batches):
+        for batch in batches:
+            w = words.split(batch.column(1), False, _GAP)
+            value = words.mix(w.hash ^ batch.column(0).to_numpy().view(np.uint64)[w.text])
+            key = words._ranges(value, w.at[:-1], w.at[1:], words._WINDOWS)
+            yield pa.record_batch([pa.array(key.view(np.int64)), *batch.columns[2:]], names=["key", *rest])
+
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    return rows.select("lang_hash", "phrase", *rest).mapInArrow(run, f"key long, {ddl}")
 
 
 def joined(part: Column) -> Column:
@@ -252,7 +263,7 @@ def scored(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     cut = candidates.withColumn("w", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
     cut = cut.select(*candidates.columns, "k", joined(F.slice("w", F.lit(1), F.col("k"))).alias("head"), joined(F.slice("w", F.col("k") + 1, F.size("w") - F.col("k"))).alias("tail"))
     for part, name in (("head", "l"), ("tail", "r")):
-        cut = shared.looked_up(cut, parts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang", part], spread=["phrase"], salts=8)
+        cut = shared.looked_up(cut, parts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang", part], spread=["phrase"], salts=4)
     best = cut.groupBy(*candidates.columns).agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut"))
     return best.select(*candidates.columns, "cut.l", "cut.r", "cut.score")
 
@@ -278,10 +289,10 @@ def rivals(every: DataFrame, candidates: DataFrame, longest: int, most: int, mos
     near = shared.looked_up(candidates.where(size == longest - 1), shared.save(bars, "collocations-bars"), ["lang"], spread=["phrase"])
     single = every.where(size == 1)
     for end, word in (("first", F.substring_index("phrase", " ", 1)), ("last", F.substring_index("phrase", " ", -1))):
-        near = shared.looked_up(near.withColumn(f"{end}_word", word), single.select("lang", F.col("phrase").alias(f"{end}_word"), F.col("a").alias(end)), ["lang", f"{end}_word"], spread=["phrase"], salts=8)
+        near = shared.looked_up(near.withColumn(f"{end}_word", word), single.select("lang", F.col("phrase").alias(f"{end}_word"), F.col("a").alias(end)), ["lang", f"{end}_word"], spread=["phrase"], salts=4)
     reaches = lambda s: F.col("bar").isNull() | (s >= F.col("bar"))
     bound = lambda end: score(F.col("a"), F.col("a"), F.col(end))
-    near = shared.save(near.select("key", reaches(F.col("score")).alias("best"), reaches(bound("first")).alias("left"), reaches(bound("last")).alias("right")), "collocations-rivals")
+    near = shared.save(keyed(near.select(F.xxhash64("lang").alias("lang_hash"), "phrase", reaches(F.col("score")).alias("best"), reaches(bound("first")).alias("left"), reaches(bound("last")).alias("right"))), "collocations-rivals")
     out = Rival(*(shared.bitmap(near.where(c).select("key"), "key", most_bits, hashed=True) for c in ("best", "left", "right")))
     shared.drop(near)
     return out
@@ -292,18 +303,16 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, m
     shared.small_batches(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     docs = docs.select("text", F.xxhash64(lang).alias("lang_hash"), lang.alias("lang"))
-    # a task sends a frequent phrase about once, whatever it reads: as few tasks as the slots, or as the text's size, want
-    wide = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(shared.text_bytes(docs) / TASK_BYTES)))
     frequent: list[np.ndarray] = []
     for length in range(1, longest):
         keys = shared.save(hashes(docs, length, frequent, least), "collocations-hashes")
         frequent.append(shared.bitmap(keys, "key", most_bits, hashed=True))
         shared.drop(keys)
-    every = shared.save(phrases(wide, range(1, longest), frequent, least), "collocations-phrases")
+    every = shared.save(phrases(docs, range(1, longest), frequent, least), "collocations-phrases")
     size = F.size(F.split("phrase", " "))
     shorter = shared.save(scored(every.where(size > 1), every.where(size < longest - 1)), "collocations-scores")
     rival = rivals(every, shorter, longest, most, most_bits) if longest > 3 else None
-    last = shared.save(phrases(wide, range(longest, longest + 1), frequent, least, rival), "collocations-longest")
+    last = shared.save(phrases(docs, range(longest, longest + 1), frequent, least, rival), "collocations-longest")
     rows = shorter.unionByName(scored(last.where("phrase is not null"), every.where("phrase is not null")))
     totals = every.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
     return shared.looked_up(ranked(unsubsumed(rows), most), totals, ["lang"], spread=["phrase"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
