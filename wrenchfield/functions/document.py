@@ -121,10 +121,11 @@ def acquired(source_type: Column, pdf_text: Column, ocr_text: Column, ocr: bool,
     return F.when(source_type == "image", image).when((count(own, keywords) >= 2) | (count(own, "[А-Яа-я]") >= 6), made(own, "pdf_text", None)).otherwise(scanned)
 
 
-def parsed(documents: DataFrame, rules: list[tuple] = ()) -> DataFrame:
+def parsed(documents: DataFrame, rules: list[tuple] = (), digits: int = 6) -> DataFrame:
     """id, the fields of PATTERNS, confidence (a map), reasons, candidate of documents (id, text): header fields from the
     vehicle's section, or else from the first 2,500 characters; the service and the totals from the whole text. rules, as
-    extract.rule_matches() takes them, go before the patterns: what such a rule can't read is invalid, and nothing else tried."""
+    extract.rule_matches() takes them, go before the patterns: what such a rule can't read is invalid, and nothing else tried.
+    A service's name with so many digits is suspicious."""
     c = F.col("text")
     d = documents.select("id", text.clean_lines(F.translate(c, "¹–—«»", '№--""')).alias("text"))
     given = lambda f: F.lit(None).cast("struct<value:string,confidence:double>")
@@ -157,7 +158,7 @@ def parsed(documents: DataFrame, rules: list[tuple] = ()) -> DataFrame:
         "sure": F.create_map(*[x for f in CONFIDENCE for x in (F.lit(f), sure(f))]),
     }
     d = d.select("id", *[v.alias(k) for k, v in of.items()])
-    suspicious = text.suspicious_service(F.col("candidate"))
+    suspicious = text.suspicious_service(F.col("candidate"), digits)
     fields = {
         "order_number": F.col("order_number"), "repair_date": F.col("repair_date"), "mileage": F.coalesce("s_mileage", "f_mileage"), "plate_number": F.coalesce("s_plate", "f_plate"), "vin": F.coalesce("s_vin", "f_vin"),
         "service_name": F.when(F.col("candidate").isNotNull() & ~suspicious, F.left("candidate", F.lit(120))), **{f: F.col(f) for f in TOTALS},
