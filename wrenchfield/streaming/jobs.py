@@ -15,6 +15,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +25,7 @@ ROW = "document_id long, job long, status string, attempts int, at timestamp, er
 _STATE = "job long, status string, attempts int, since long, error string"
 _EVENT = "event_id string, event string, at long, error string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ARROW = pa.schema([("document_id", pa.int64()), ("job", pa.int64()), ("status", pa.string()), ("attempts", pa.int32()), ("at", pa.timestamp("us", "UTC")), ("error", pa.string())])  # ROW
 NOTHING = (0, None, 0, 0, None)  # job, status, attempts, since (microseconds), error
 
 
@@ -80,13 +82,34 @@ def _clean(events: DataFrame) -> DataFrame:
 
 
 def history(events: DataFrame, stuck: dt.timedelta = dt.timedelta(hours=1), most: int = 3, until: dt.datetime | None = None) -> DataFrame:
-    """Every state of every job (ROW), from the whole history of events; stuck jobs are freed up to `until`."""
+    """Every state of every job (ROW), from the whole history of events; stuck jobs are freed up to `until`. A task goes through
+    its documents one after the other, in batches of rows: no document is a group with a frame of its own."""
     gap, end = int(stuck.total_seconds() * 1e6), None if until is None else int(until.timestamp() * 1e6)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _rows(key[0], through(NOTHING, list(rows[["event_id", "event", "us", "error"]].itertuples(index=False, name=None)), gap, most, end)[1])
-
-    return _clean(events).withColumn("us", F.unix_micros("at")).groupBy("document_id").applyInPandas(one, ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, waiting, out = None, [], []
+
+        def ended() -> None:
+            out.extend((document, *state) for state in through(NOTHING, waiting, gap, most, end)[1])
+            waiting.clear()
+
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True) if out else [[]] * len(_ARROW), _ARROW.types, strict=True)], schema=_ARROW)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for of, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != document:
+                    ended()
+                    document = of
+                waiting.append(tuple(event))
+            yield sent()
+        ended()
+        yield sent()
+
+    rows = _clean(events).select("document_id", "event_id", "event", F.unix_micros("at").alias("us"), "error")
+    return rows.repartition("document_id").sortWithinPartitions("document_id").mapInArrow(run, ROW)
 
 
 def current(states: DataFrame) -> DataFrame:
