@@ -81,10 +81,12 @@ def outcomes(upserted: DataFrame) -> DataFrame:
 
 
 def upsert_vehicles(old: DataFrame, new: DataFrame) -> DataFrame:
-    """By external id, else VIN, else plate, within the type: the first key that finds a vehicle decides."""
+    """By external id, else VIN, else plate, within the type: the first key that finds a vehicle decides, the least id among
+    those of one key. A row meets that vehicle only, not all that share its key."""
     hits = None
     for rank, key in enumerate(("external_id", "vin", "plate_number")):
-        h = new.select("row", "vehicle_type", key).where(F.col(key).isNotNull()).join(old.select("id", "vehicle_type", key), ["vehicle_type", key]).select("row", "id", F.lit(rank).alias("rank"))
+        least = old.where(F.col("id").isNotNull()).groupBy("vehicle_type", key).agg(F.min("id").alias("id"))
+        h = new.select("row", "vehicle_type", key).where(F.col(key).isNotNull()).join(least, ["vehicle_type", key]).select("row", "id", F.lit(rank).alias("rank"))
         hits = h if hits is None else hits.unionByName(h)
     found = hits.groupBy("row").agg(F.min(F.struct("rank", "id")).alias("x")).select("row", F.col("x.id").alias("id"))
     return new.join(found, "row", "left").select("row", "id", F.when(F.col("id").isNull(), "created").otherwise("updated").alias("outcome"))
