@@ -54,6 +54,16 @@ def test_an_import_reads_its_lines_once(spark, tmp_path):
     assert [(r["vehicle_id"], r["service"], r["order_number"], r["mileage"], r["work_total"], r["parts_total"]) for r in out] == [(3, "Shop", "5", 7, 3000.0, 0.0)]
 
 
+def test_a_plate_is_asked_once(spark):
+    """Each row of an import asked for all beginnings of its plate."""
+    plates = spark.range(0, 2000, 1, 4).selectExpr("id", "'P1000017' AS plate")
+    vehicles = spark.createDataFrame([(1, "P100001"), (2, "P200001"), (3, "X")], "id long, plate_number string")
+    assert shuffled(spark, lambda: resolve.vehicle_of_import(plates, vehicles).write.format("noop").mode("overwrite").save()) < 300
+    assert {r["vehicle_id"] for r in resolve.vehicle_of_import(plates, vehicles).collect()} == {1}
+    odd = spark.createDataFrame([(1, "P100001"), (2, "P100001"), (3, None), (4, ""), (5, "P20000"), (6, "X99999"), (7, "P3")], "id long, plate string")
+    assert {r["id"]: r["vehicle_id"] for r in resolve.vehicle_of_import(odd, vehicles).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: 2, 6: 3, 7: None}
+
+
 def test_documents_are_no_groups_of_their_own(spark):
     """Each document was a group with a frame and a call of its own."""
     t = dt.datetime(2024, 1, 1)

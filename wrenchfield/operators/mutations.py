@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import scratch
 
 HISTORY_HEADERS = ("plate", "vehicle_kind", "period", "mileage", "supplier", "column", "registrar", "auto_group", "article", "expense_item", "vehicle_model", "nomenclature", "quantity", "amount")
 
@@ -38,6 +39,7 @@ def imported(lines: DataFrame, repairs: DataFrame, vehicles: DataFrame, services
 
     total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("line_total").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double")
     groups = lines.groupBy("source_key").agg(*(F.min_by(c, "row").alias(c) for c in ("plate", "supplier", "registrar", "day")), F.max("mileage").alias("mileage"), total("work").alias("work_total"), total("part").alias("parts_total"))
+    groups = scratch.save(groups, "import-groups")  # lines are read and normalised once for all that follows
     new, known = new_and_known(groups, repairs)
     found = resolve.vehicle_of_import(new.select(F.col("source_key").alias("id"), "plate"), vehicles).withColumnRenamed("id", "source_key")
     placed = new.join(found, "source_key").withColumn("name", F.trim("supplier"))
