@@ -38,3 +38,18 @@ def test_a_hot_order(spark):
     lines = spark.range(200_000).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("line_no"), F.when(F.col("id") == 0, "Работы:").otherwise(F.format_string("мойка %d 1 шт 500 500", "id")).alias("text"))
     out = extract.line_items_of_rows(lines)
     assert out.agg(F.count("*"), F.max("line"), F.count_distinct("name")).first() == (199_999, 199_999, 199_999)
+
+
+def test_lines_that_orders_share_are_judged_once():
+    extract._signs.cache_clear()
+    for _ in range(50):
+        assert [x["name"] for x in extract.parse_lines("Работы:\nмойка 1 шт 500 500\nИтого работ 1 шт 100,00 100,00\nЗапчасти и материалы\nболт 4 шт 10 40\nИтого: 3 500,00")] == ["мойка", "болт"]
+    assert extract._signs.cache_info().misses == 4
+
+
+def test_every_sign_has_a_root():
+    """Letters that only case folding makes alike, too."""
+    lines = ["Partſ", "ᲂплате", "К ᲂПЛАТЕ", "итᲂгᲂ", "LABOR", "materıals", "ЗАПАСНЫЕ ЧАСТИ", "всего", "Grand Total", "total parts", "Запчасть:", "1) работа: x", "Услуги: x", "WORKS"]
+    for line in lines:
+        assert not any(extract._signs(line)) or extract._ROOTS.search(line.casefold()), line
+    assert any(any(extract._signs(line)) for line in lines)
