@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import scratch
 from . import review
 
 #: Summary and rationale of findings of known check types.
@@ -90,15 +91,18 @@ def _first_names(works: DataFrame, most: int, name: str) -> DataFrame:
 
 def explained(found: DataFrame, checks: DataFrame, repairs: DataFrame, lines: DataFrame, documents: DataFrame, shares: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """findings() with summary, rationale and evidence (an array of texts). checks have details and payload besides; shares is
-    top_parts(); labels: names of the reasons for a manual review. Only the names that are shown are collected."""
+    top_parts(); labels: names of the reasons for a manual review. Findings are written first, so that names are only looked up for
+    repairs that show them, and only those that are shown are collected."""
+    found = scratch.save(found, "findings")
+    having = lambda df, turn: df.join(found.where(F.col("turn") == turn).select("repair_id").distinct(), "repair_id", "left_semi")
     reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.nullif(F.col("employee_comment"), F.lit("")) if "employee_comment" in repairs.columns else F.lit(None), F.lit("не указано"))
     r = repairs.select(F.col("id").alias("repair_id"), reason.alias("said"), F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("не указана")).alias("why"), "source_document_id", "grand_total")
     works = lines.where("kind = 'work'")
-    six = r.join(_first_names(works, 6, "names"), "repair_id", "left")
+    six = having(r, 2).join(_first_names(having(works, 2), 6, "names"), "repair_id", "left")
     rows = {
         2: six.select("repair_id", F.lit(None).cast("long").alias("place"), F.array(F.concat(F.lit("Описание обращения: "), "said"), F.coalesce(F.concat(F.lit("Работы в заказ-наряде: "), "names"), F.lit("Работы по этой зоне не выделены."))).alias("evidence")),
-        3: r.select("repair_id", F.lit(None).cast("long").alias("place"), F.array(F.concat(F.lit("Причина ремонта: "), "why")).alias("evidence")),
-        4: _first_names(works.where(review._any(review._plain(F.col("name")), review.DIAGNOSTICS)), 4, "names").select("repair_id", F.lit(None).cast("long").alias("place"), F.array(F.concat(F.lit("Диагностические позиции: "), "names")).alias("evidence")),
+        3: having(r, 3).select("repair_id", F.lit(None).cast("long").alias("place"), F.array(F.concat(F.lit("Причина ремонта: "), "why")).alias("evidence")),
+        4: _first_names(having(works.where(review._any(review._plain(F.col("name")), review.DIAGNOSTICS)), 4), 4, "names").select("repair_id", F.lit(None).cast("long").alias("place"), F.array(F.concat(F.lit("Диагностические позиции: "), "names")).alias("evidence")),
         5: shares.join(r, "repair_id").select(
             "repair_id", F.col("rank").cast("long").alias("place"),
             F.array(F.concat(F.lit("Причина обращения: "), "said"), F.concat(F.lit("Запчасть: "), "name", F.lit(" · сумма "), text.money(F.col("line_total"))), F.concat(F.lit("Доля в заказ-наряде: "), F.bround(F.col("line_total") / F.col("grand_total") * 100, 0).cast("long").cast("string"), F.lit("%"))).alias("evidence"),
@@ -146,19 +150,22 @@ def _struct(df: DataFrame, columns: list[str]) -> str:
 
 def repair_detail(repairs: DataFrame, vehicles: DataFrame, services: DataFrame, lines: DataFrame, documents: DataFrame, checks: DataFrame, found: DataFrame) -> DataFrame:
     """A repair with its vehicle and service, the report's headline, and arrays of its works, parts, checks, documents, findings
-    (explained(), worst first) and zones. Each child is brought together before it is joined, so that none multiplies another;
+    (explained(), worst first; written once) and zones. Each child is brought together before it is joined, so that none multiplies another;
     an array is as long as a repair has children, so this is for a page of repairs: restrict `repairs` first."""
     page = repairs.select(F.col("id").alias("repair_id"), "order_number", "repair_date", "mileage", "reason", "status", "grand_total", "vehicle_id", "service_id")
     own = lambda df: df.join(page.select("repair_id"), "repair_id", "left_semi")
-    line = lambda kind: own(lines.where(F.col("kind") == kind)).select("repair_id", "line_no", "part_id", "code", "name", "quantity", "unit", "price", "line_total")
-    found = own(found)
+    found = scratch.save(own(found), "told-findings")
     worst = -review.ordinal(F.col("level"), review.LEVELS)
     children = {
-        "works": line("work"), "parts": line("part"), "checks": own(checks).select("repair_id", "is_resolved", "created_at", "id", "check_type", "severity", "title"), "documents": own(documents).select("repair_id", "id", "original_filename", "kind", "status", "is_primary"),
+        "checks": own(checks).select("repair_id", "is_resolved", "created_at", "id", "check_type", "severity", "title"), "documents": own(documents).select("repair_id", "id", "original_filename", "kind", "status", "is_primary"),
         "findings": found.select("repair_id", worst.alias("worst"), "title", "level", "zone", "summary", "rationale", "evidence", "recommendation"), "zones": zone_comments(review.risk_matrix(found)).select("repair_id", worst.alias("worst"), "zone", "level", "comment"),
     }
+    line = F.struct("line_no", "part_id", "code", "name", "quantity", "unit", "price", "line_total")
+    both = own(lines).groupBy("repair_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, line))).alias(name) for kind, name in (("work", "works"), ("part", "parts"))))
     out = page.join(vehicles.select(F.col("id").alias("vehicle_id"), "plate_number", "vehicle_type", "brand", "model"), "vehicle_id", "left").join(services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name")), "service_id", "left")
-    out = out.join(headlines(repairs, found), "repair_id")
+    out = out.join(headlines(repairs, found), "repair_id").join(both, "repair_id", "left")
+    for name in ("works", "parts"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(both.schema[name].dataType)))
     for name, child in children.items():
         rest = [c for c in child.columns if c != "repair_id"]
         out = out.join(child.groupBy("repair_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)), "repair_id", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{_struct(child, rest)}>")))

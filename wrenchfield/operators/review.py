@@ -134,14 +134,18 @@ def findings(checks: DataFrame, repairs: DataFrame, lines: DataFrame, documents:
     said = F.concat_ws(" ", F.nullif(F.col("reason"), F.lit("")), F.nullif(F.col("employee_comment"), F.lit(""))) if "employee_comment" in repairs.columns else F.col("reason")
     r = repairs.select(F.col("id").alias("repair_id"), _plain(said).alias("why"), _plain(F.col("reason")).alias("reason_alone"))
     parts = [check_findings(checks)]
-    # what a repair's lines name, reduced to flags before they are joined
+    # what a repair's lines name, reduced to flags of those lines that name anything before they are joined
     name = _plain(F.col("name"))
-    flags = lines.groupBy("repair_id").agg(*(F.max(_any(name, terms)).alias(f"t{i}") for i, (_, _, terms) in enumerate(SIGNALS)), F.count_if((F.col("kind") == "work") & _any(name, DIAGNOSTICS)).alias("diagnostics"))
-    both = r.where("why <> ''").join(flags, "repair_id", "left")
+    terms = tuple(dict.fromkeys(x for _, _, of in SIGNALS for x in of)) + DIAGNOSTICS
+    flags = lines.where(_any(name, terms)).groupBy("repair_id").agg(*(F.max(_any(name, terms)).alias(f"t{i}") for i, (_, _, terms) in enumerate(SIGNALS)), F.count_if((F.col("kind") == "work") & _any(name, DIAGNOSTICS)).alias("diagnostics"))
+    both = r.join(flags, "repair_id", "full")
+    told = []  # of the repair itself and its flags: all in one pass
+    tell = lambda here, turn, place, title, level, zone, advice: told.append(F.when(here, F.struct(F.lit(turn).alias("turn"), F.lit(place).cast("long").alias("place"), *(F.lit(x).alias(c) for x, c in ((title, "title"), (level, "level"), (zone, "zone"), (advice, "recommendation"))))))
     for i, (zone, symptoms, _) in enumerate(SIGNALS):
-        parts.append(_found(both.where(_any(F.col("why"), symptoms) & ~F.coalesce(F.col(f"t{i}"), F.lit(False))), 2, F.lit(i), f"Нет прозрачного ремонта по зоне «{zone}»", "high" if zone == "ABS" else "medium", "Соответствие дефекта и ремонта", f"Запросить у сервиса расшифровку, какие действия по зоне «{zone}» были выполнены и чем подтверждено устранение неисправности."))
-    parts.append(_found(r.where(F.contains("reason_alone", F.lit("проч"))), 3, F.lit(0), "Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта."))
-    parts.append(_found(flags.where("diagnostics >= 2"), 4, F.lit(0), "В заказ-наряде несколько диагностических работ", "medium", "Суммы и структура", "Запросить у сервиса, чем отличаются диагностические позиции и почему они тарифицировались отдельно."))
+        tell((F.col("why") != "") & _any(F.col("why"), symptoms) & ~F.coalesce(F.col(f"t{i}"), F.lit(False)), 2, i, f"Нет прозрачного ремонта по зоне «{zone}»", "high" if zone == "ABS" else "medium", "Соответствие дефекта и ремонта", f"Запросить у сервиса расшифровку, какие действия по зоне «{zone}» были выполнены и чем подтверждено устранение неисправности.")
+    tell(F.contains("reason_alone", F.lit("проч")), 3, 0, "Причина ремонта оформлена слишком размыто", "medium", "Прозрачность ремонта", "Ввести правило: не закрывать заказ-наряды с причиной «прочее» без расшифровки конкретного дефекта.")
+    tell(F.col("diagnostics") >= 2, 4, 0, "В заказ-наряде несколько диагностических работ", "medium", "Суммы и структура", "Запросить у сервиса, чем отличаются диагностические позиции и почему они тарифицировались отдельно.")
+    parts.append(both.select("repair_id", F.inline(F.array_compact(F.array(*told)))))
     part = _plain(F.col("name"))
     related = F.lit(False)
     for _, symptoms, terms in SIGNALS:
