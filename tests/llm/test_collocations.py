@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from fixtures import DOC, fold, texts, write
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wrenchfield.llm import collocations
@@ -111,3 +112,32 @@ def test_scores_beyond_64_bits(spark):
     got = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", collocations.score(F.col("a"), F.col("l"), F.col("r")).alias("s"))
     assert dict(got.dtypes)["s"] == "bigint"
     assert [r["s"] for r in got.collect()] == [2_000_000 * a // (x + y) for a, x, y in rows]
+
+
+def test_phrases_are_sent_about_once(spark, monkeypatch):
+    """Each task sent every frequent phrase that it had, so that rows grew with phrases times tasks."""
+    rng, tasks = np.random.default_rng(5), 16
+    rows = [(i, " ".join(rng.choice(list("abcd"), 50)), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC).repartition(tasks)
+    sent, made = [], type(docs).mapInArrow
+
+    def observed(df, func, schema, *more, **named):
+        out = made(df, func, schema, *more, **named)
+        if "phrase string" not in schema:
+            return out
+        sent.append(Observation())
+        return out.observe(sent[-1], F.count(F.lit(1)).alias("rows"))
+
+    monkeypatch.setattr(type(docs), "mapInArrow", observed)
+    assert sorted(map(tuple, collocations.mine(docs).collect())) == brute([(t, lang) for _, t, lang, _, _ in rows])
+    assert sent and sum(o.get["rows"] for o in sent) < 2 * (4 + 16 + 64 + 256) + tasks
+
+
+def test_levels_are_whole_eighths_of_octaves():
+    place = np.array([0, 1, (1 << 32) - 1, 1 << 32, 7 << 32, 2**63 - 1, -(2**63), -1])
+    assert collocations.levels(place).tolist() == [0, 0, 0, 8, 24, 248, 248, 255]
+
+
+def test_copies_are_counted_and_spelt(spark):
+    rows = [(i % 2 or None, "same words in Every copy, same words", lang, "s", 0) for i in range(80) for lang in ("en", None)]
+    assert sorted(map(tuple, collocations.mine(spark.createDataFrame(rows, DOC).repartition(5)).collect())) == brute([(t, lang) for _, t, lang, _, _ in rows])

@@ -9,9 +9,12 @@ belong to the same state, all others open one below it. Transitions are not kept
 Shards list their states' substrings with counts, and Spark adds these up, word by word longer: a phrase of k words is
 counted only where both of its phrases of k - 1 words are frequent (a phrase is never more frequent than its parts).
 The frequent ones of a length are known to the tasks as a bitmap of hashes, `most_bits` at most: false hits, or more
-frequent phrases than it can tell apart, cost shuffled rows, but never a phrase. Phrases are hashes at first (a collision
-can only add to a count); the last passes count the phrases themselves, so that results are exact. Of the longest
-phrases only those are counted that can be among a language's first, or subsume one that is (see rivals()).
+frequent phrases than it can tell apart, cost shuffled rows, but never a phrase. Phrases are counted as 64-bit hashes (as the
+words in a shard are told apart; of 10^10 phrases, one of the 10^5 around a result shares its hash with probability 10^-4).
+Of the longest phrases only those are counted that can be among a language's first, or subsume one that is (see rivals()).
+
+A frequent phrase is spelt by few rows, not by each task that has it: rows have levels (see levels()), the least level of the
+rows with a phrase is found along with its count, and only rows of that level send its words (see spelt()).
 
 A candidate inside a longer one is inside one that is longer by a single word and at least as frequent, so what subsumes
 a phrase is found one step away: a candidate stands against its suffix link (itself without its first word) and against
@@ -23,12 +26,12 @@ without words, and empty tables, give nothing; a lang without candidates has no
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,48 +123,36 @@ def shard(text: pa.Array, salt: np.ndarray, frequent: list[np.ndarray]) -> Shard
 
 
 class _Sums:
-    """Counts by key, of a bounded number of keys."""
+    """Counts by key and the least level of each, of a bounded number of keys."""
 
     def __init__(self):
-        self.key, self.n, self.more = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        self.key, self.n, self.level, self.more = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int16), []
 
-    def add(self, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.more.append((key, n))
-        if sum(len(k) for k, _ in self.more) > MOST_ROWS:
+    def add(self, key: np.ndarray, n: np.ndarray, level: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        self.more.append((key, n, np.zeros(len(key), np.int16) if level is None else level))
+        if sum(len(x[0]) for x in self.more) > MOST_ROWS:
             self.merge()
             if len(self.key) > MOST_ROWS:
                 yield from self.sent()
 
     def merge(self) -> None:
-        key, n = (np.concatenate(x) for x in zip((self.key, self.n), *self.more, strict=True))
-        self.key, at = np.unique(key, return_inverse=True)
-        self.n, self.more = np.bincount(at, weights=n, minlength=len(self.key)).astype(np.int64), []
+        key, n, level = (np.concatenate(x) for x in zip((self.key, self.n, self.level), *self.more, strict=True))
+        order = np.argsort(key)
+        key, n, level, self.more = key[order], n[order], level[order], []
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        self.key, self.n, self.level = key[first], (np.add.reduceat(n, first) if len(first) else n), (np.minimum.reduceat(level, first) if len(first) else level)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         self.merge()
-        yield pa.record_batch([pa.array(self.key.view(np.int64)), pa.array(self.n)], names=["key", "n"])
-        self.key, self.n = self.key[:0], self.n[:0]
-
-
-def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int) -> DataFrame:
-    """key: hashes of the phrases of so many words that occur `least` times or more. docs: text, lang_hash."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)  # most_bits for each length at most
-
-    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        s = shard(batch.column(0), batch.column(1).to_numpy(), held.value)
-        if length == 1:
-            return np.unique(s.value, return_counts=True)
-        last, n = s.substrings(automaton(np.unique(s.value, return_inverse=True)[1], s.run, length), length, held.value)
-        return s.windows(last, length), n
+        yield pa.record_batch([pa.array(self.key.view(np.int64)), pa.array(self.n.astype(np.int64)), pa.array(self.level)], names=["key", "n", "level"])
+        self.key, self.n, self.level = self.key[:0], self.n[:0], self.level[:0]
 
-    def run(batches):
-        sums = _Sums()
-        for batch in words.slices(batches, most=SHARD_BYTES):
-            yield from sums.add(*counted(batch))
-        yield from sums.sent()
 
-    made = docs.select("text", "lang_hash").mapInArrow(run, "key long, n long")
-    return made.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+def levels(place: np.ndarray) -> np.ndarray:
+    """Of rows' hashes: 0 to 255, each an eighth of an octave and so the rarer the lower (in whole numbers: alike on all machines).
+    About one of the rows that hold a phrase has the least level among them, however many they are."""
+    x = ((place.view(np.uint64) >> np.uint64(32)) + np.uint64(1)).astype(np.float64)
+    return np.minimum((x.view(np.int64) >> 49) - (1023 << 3), 255).astype(np.int16)
 
 
 @dataclass
@@ -178,51 +169,107 @@ class Rival:
         return of(self.best, begins) | of(self.best, ends) | (of(self.left, begins) & of(self.right, ends))
 
 
-def phrases(docs: DataFrame, lengths: range, frequent: list[np.ndarray], least: int, rival: Rival | None = None) -> DataFrame:
-    """lang, phrase, a: the counts of all phrases of so many words that occur `least` times or more, of those that may matter if
-    rival is given. The row with phrase null has the number of all words. docs: text, lang_hash, lang."""
-    held = docs.sparkSession.sparkContext.broadcast((frequent, rival))
+def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int, rival: Rival | None = None) -> DataFrame:
+    """key, n, level: hashes of the phrases of so many words that occur `least` times or more (of those that may matter, if rival
+    is given), their counts, and the least level of the rows that hold them. docs: text, lang_hash, place."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, rival))  # most_bits for each length at most
 
-    def listed(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        frequent, rival = held.value
-        s, lang = shard(batch.column(0), batch.column(1).to_numpy(), frequent), batch.column(2)
-        if lengths[0] == 1:
-            yield pa.table({"lang": lang, "phrase": pa.nulls(len(lang), pa.string()), "a": pa.array(s.words.count.astype(np.int64))})
-        distinct, first, code = np.unique(s.value, return_index=True, return_inverse=True)
-        if not len(distinct):
-            return
-        lower = words._FOLD[s.words.raw].tobytes()
-        spelt = pa.array([lower[a:b].decode() for a, b in zip(s.words.start[s.at[first]].tolist(), s.words.end[s.at[first]].tolist(), strict=True)], pa.string())
-        found, text = automaton(code, s.run, lengths[-1]), s.words.text
-        for length in lengths:
-            last, n = s.substrings(found, length, frequent)
-            if length <= len(frequent):
-                own = shared.among(frequent[length - 1], s.windows(last, length))
-                last, n = last[own], n[own]
-            if rival is not None:
-                own = rival.may_matter(s, last, length)
-                last, n = last[own], n[own]
-            parts = [spelt.take(pa.array(code[last - length + 1 + i])) for i in range(length)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-            yield pa.table({"lang": lang.take(pa.array(text[s.at[last]])), "phrase": phrase, "a": pa.array(n.astype(np.int64))})
+    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (frequent, rival), level = held.value, levels(batch.column(2).to_numpy())
+        order = np.argsort(-level, kind="stable")  # so that a phrase's last place is one of its least level
+        batch, level = batch.take(pa.array(order)), level[order]
+        s = shard(batch.column(0), batch.column(1).to_numpy(), frequent)
+        if length == 1:
+            key, back, n = np.unique(s.value[::-1], return_index=True, return_counts=True)
+            return key, n, level[s.words.text[s.at[len(s.at) - 1 - back]]]
+        last, n = s.substrings(automaton(np.unique(s.value, return_inverse=True)[1], s.run, length), length, frequent)
+        if rival is not None:
+            own = rival.may_matter(s, last, length)
+            last, n = last[own], n[own]
+        return s.windows(last, length), n, level[s.words.text[s.at[last]]]
 
     def run(batches):
-        def sent(every: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(every).group_by(["lang", "phrase"]).aggregate([("a", "sum")]).rename_columns(["lang", "phrase", "a"])
+        sums = _Sums()
+        for batch in words.slices(batches, most=SHARD_BYTES):
+            yield from sums.add(*counted(batch))
+        yield from sums.sent()
+
+    made = docs.select("text", "lang_hash", "place").mapInArrow(run, "key long, n long, level short")
+    return made.groupBy("key").agg(F.sum("n").alias("n"), F.min("level").alias("level")).where(F.col("n") >= least)
+
+
+_PROBES = 4
+
+
+def probe(key: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first hash of phrases' keys with levels."""
+    return words.mix(key.view(np.uint64) ^ ((level.astype(np.uint64) + np.uint64(1)) << np.uint64(52)))
+
+
+def next_probe(x: np.ndarray) -> np.ndarray:
+    return words.mix(x + np.uint64(0x9E3779B97F4A7C15))
 
-        every, fresh = [], 0
+
+def spelt(docs: DataFrame, lengths: range, frequent: list[np.ndarray], keys: DataFrame, most_bits: int) -> DataFrame:
+    """lang, phrase, a of all keys (size, key, n, level): a phrase is spelt by the rows of its least level only, so it is sent about
+    once, however many tasks have it. With words among them, the row with phrase null has a lang's number of all words. docs: text,
+    lang_hash, lang, place."""
+
+    def probed(batches):
+        for batch in batches:
+            x = probe(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            for _ in range(_PROBES):
+                yield pa.record_batch([pa.array(x.view(np.int64))], names=["key"])
+                x = next_probe(x)
+
+    owner = shared.bitmap(keys.select("key", "level").mapInArrow(probed, "key long"), "key", most_bits, hashed=True)
+    held = docs.sparkSession.sparkContext.broadcast((frequent, owner))
+    names = ["size", "key", "lang", "phrase", "n"]
+
+    def listed(batch: pa.RecordBatch, s: Shard, seen: set) -> pa.RecordBatch:
+        level, owner = levels(batch.column(3).to_numpy()), held.value[1]
+        lower, start, end, text, made = words._FOLD[s.words.raw].tobytes(), s.words.start, s.words.end, s.words.text, []
+        for length in lengths:
+            last = np.arange(length - 1, len(s.value))
+            last = last[s.run[last] == s.run[last - length + 1]]
+            key = s.windows(last, length)
+            x = probe(key, level[text[s.at[last]]])
+            for _ in range(_PROBES):
+                fine = shared.among(owner, x)
+                last, key, x = last[fine], key[fine], next_probe(x[fine])
+            key, first = np.unique(key, return_index=True)
+            for k, i in zip(key.view(np.int64).tolist(), last[first].tolist(), strict=True):
+                if (length, k) not in seen:
+                    seen.add((length, k))
+                    at = s.at[i - length + 1 : i + 1]
+                    made.append((length, k, int(text[at[0]]), b" ".join(lower[start[w] : end[w]] for w in at.tolist()).decode()))
+        size, key, row, phrase = zip(*made, strict=True) if made else ((),) * 4
+        return pa.record_batch([pa.array(size, pa.int32()), pa.array(key, pa.int64()), batch.column(2).take(pa.array(row, pa.int64())), pa.array(phrase, pa.string()), pa.nulls(len(size), pa.int64())], names=names)
+
+    def totals(count: dict) -> pa.RecordBatch:
+        n = len(count)
+        return pa.record_batch([pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(list(count), pa.string()), pa.nulls(n, pa.string()), pa.array(list(count.values()), pa.int64())], names=names)
+
+    def run(batches):
+        seen, count = set(), {}
         for batch in words.slices(batches, most=SHARD_BYTES):
-            every += (made := list(listed(batch)))
-            fresh += sum(t.num_rows for t in made)
-            if fresh > MOST_ROWS // 2:
-                every, fresh = [sent(every)], 0
-                if every[0].num_rows > MOST_ROWS:
-                    yield from every.pop().to_batches(1 << 16)
-        if every:
-            yield from sent(every).to_batches(1 << 16)
+            s = shard(batch.column(0), batch.column(1).to_numpy(), held.value[0])
+            if lengths[0] == 1:
+                for lang, n in zip(batch.column(2).to_pylist(), s.words.count.tolist(), strict=True):
+                    count[lang] = count.get(lang, 0) + n
+            yield listed(batch, s, seen)
+            if len(seen) > MOST_ROWS:
+                seen = set()
+            if len(count) > MOST_ROWS:
+                yield totals(count)
+                count = {}
+        if lengths[0] == 1:
+            yield totals(count)
 
-    counted = docs.select("text", "lang_hash", "lang").mapInArrow(run, "lang string, phrase string, a long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
+    made = docs.select("text", "lang_hash", "lang", "place").mapInArrow(run, "size int, key long, lang string, phrase string, n long")
+    once = made.groupBy("size", "key", "lang").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("words"))
+    known = once.join(keys.select("size", "key", F.col("n").alias("a")), ["size", "key"], "left")
+    return known.where(F.col("a").isNotNull() | (F.col("size") == 0)).select("lang", "phrase", F.coalesce("a", "words").alias("a"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -299,27 +346,32 @@ def rivals(every: DataFrame, candidates: DataFrame, longest: int, most: int, mos
 
 
 def mine(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, most_bits: int = 1 << 29) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score of documents (text, lang)."""
+    """lang, rank, phrase, a, l, r, n, score of documents (text, lang, and doc_id if it is there)."""
     shared.small_batches(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    docs = docs.select("text", F.xxhash64(lang).alias("lang_hash"), lang.alias("lang"))
+    place = F.xxhash64(*(c for c in ("doc_id", "text", "lang") if c in docs.columns))  # copies have places of their own
+    docs = docs.select("text", F.xxhash64(lang).alias("lang_hash"), lang.alias("lang"), place.alias("place"))
     frequent: list[np.ndarray] = []
+    of_length = []
     for length in range(1, longest):
-        keys = shared.save(hashes(docs, length, frequent, least), "collocations-hashes")
-        frequent.append(shared.bitmap(keys, "key", most_bits, hashed=True))
+        of_length.append(shared.save(hashes(docs, length, frequent, least).withColumn("size", F.lit(length)), "collocations-hashes"))
+        frequent.append(shared.bitmap(of_length[-1].select("key"), "key", most_bits, hashed=True))
+    every = shared.save(spelt(docs, range(1, longest), frequent, functools.reduce(DataFrame.unionByName, of_length), most_bits), "collocations-phrases")
+    for keys in of_length:
         shared.drop(keys)
-    every = shared.save(phrases(docs, range(1, longest), frequent, least), "collocations-phrases")
     size = F.size(F.split("phrase", " "))
     shorter = shared.save(scored(every.where(size > 1), every.where(size < longest - 1)), "collocations-scores")
     rival = rivals(every, shorter, longest, most, most_bits) if longest > 3 else None
-    last = shared.save(phrases(docs, range(longest, longest + 1), frequent, least, rival), "collocations-longest")
-    rows = shorter.unionByName(scored(last.where("phrase is not null"), every.where("phrase is not null")))
+    keys = shared.save(hashes(docs, longest, frequent, least, rival).withColumn("size", F.lit(longest)), "collocations-hashes")
+    last = shared.save(spelt(docs, range(longest, longest + 1), frequent, keys, most_bits), "collocations-longest")
+    shared.drop(keys)
+    rows = shorter.unionByName(scored(last, every.where("phrase is not null")))
     totals = every.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
     return shared.looked_up(ranked(unsubsumed(rows), most), totals, ["lang"], spread=["phrase"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine(shared.documents(spark, sf_dir).select("text", "lang"))
+    return mine(shared.documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
 def _cuts() -> str:
