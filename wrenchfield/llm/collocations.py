@@ -170,8 +170,8 @@ class Rival:
 
 
 def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int, rival: Rival | None = None) -> DataFrame:
-    """key, n, level: hashes of the phrases of so many words that occur `least` times or more (of those that may matter, if rival
-    is given), their counts, and the least level of the rows that hold them. docs: text, lang_hash, place."""
+    """key, level, n: hashes of the phrases of so many words that occur `least` times or more (of those that may matter, if rival
+    is given), the least level of the rows that hold them, and their counts. docs: text, lang_hash, place."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, rival))  # most_bits for each length at most
 
     def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +195,8 @@ def hashes(docs: DataFrame, length: int, frequent: list[np.ndarray], least: int,
         yield from sums.sent()
 
     made = docs.select("text", "lang_hash", "place").mapInArrow(run, "key long, n long, level short")
-    return made.groupBy("key").agg(F.sum("n").alias("n"), F.min("level").alias("level")).where(F.col("n") >= least)
+    once = made.groupBy("key").agg(F.min("level").alias("level"), F.sum("n").alias("n"))  # in this order shuffles compress best
+    return once.where(F.col("n") >= least)
 
 
 _PROBES = 4
