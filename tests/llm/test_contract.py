@@ -130,6 +130,27 @@ def test_non_essential_terms_are_only_probed():
     assert np.array_equal(np.sort(s, axis=1)[:, -3], first)
 
 
+def test_few_vectors_are_competitive():
+    """Bounds by the least and greatest component left nearly every vector to be probed, in arrays of many times the scores' size."""
+    import tracemalloc
+
+    from wrenchfield.llm import topk_search
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4096, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    s = x[:256] @ x.T
+    s[np.arange(256), np.arange(256)] = -np.inf
+    fifth = np.sort(s, axis=1)[:, -5]
+    best = topk_search.Best(fifth, 5)
+    tracemalloc.start()
+    topk_search.maxscore(np.arange(4096), x, np.arange(256), x[:256], best, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * s.nbytes
+    assert np.array_equal(best.bar, fifth) and len(best.id) == 5 * 256
+
+
 # 3
 
 
