@@ -22,7 +22,8 @@ def fuzzy(phrase: str) -> str:
 
 
 def _either(*phrases: str) -> str:
-    return "|".join(fuzzy(p) for p in phrases)
+    """A pattern for any of the phrases; most places are ruled out by their first characters."""
+    return rf"(?={text.any_case(''.join(CONFUSABLE.get(p[0], p[0]) for p in phrases))})(?:{'|'.join(fuzzy(p) for p in phrases)})"
 
 
 #: Labels and forms of a header's fields; patterns are asked in order, the first that matches decides.
@@ -65,7 +66,7 @@ FLAGS = "(?iumU)"  # letters of any script, and ^ and $ at each line
 
 def _first(c: Column, pattern: str) -> Column:
     """The first group of the first match, blanks collapsed; NULL without one."""
-    return F.nullif(text.collapse(F.regexp_extract(c, FLAGS + pattern, 1)), F.lit(""))
+    return text.filled(text.collapse(F.regexp_extract(c, FLAGS + pattern, 1)))
 
 
 def first_match(c: Column, field: str) -> Column:
@@ -74,26 +75,26 @@ def first_match(c: Column, field: str) -> Column:
 
 def vehicle_section(c: Column) -> Column:
     """From the first word that begins the vehicle's section (in the first 3,000 characters) to one that ends it, 1,800 characters at most."""
-    head = F.left(c, F.lit(3000))
-    at = F.regexp_instr(head, F.lit("(?iu)" + SECTION_START.replace(r"\b", r"(?![\p{L}\p{N}_])")))
-    part = F.substring(head, at, F.lit(1800))
-    stop = F.regexp_instr(F.substring(part, F.lit(2), F.length(part)), F.lit("(?iu)" + SECTION_STOP.replace(r"\b", r"(?![\p{L}\p{N}_])")))
-    return F.when(at > 0, F.when(stop > 0, F.left(part, stop)).otherwise(part)).otherwise(F.left(c, F.lit(1800)))
+    start, end = ("(?iu)" + p.replace(r"\b", r"(?![\p{L}\p{N}_])") for p in (SECTION_START, SECTION_STOP))
+    cut = lambda part: text.bound(F.regexp_instr(F.substring(part, F.lit(2), F.length(part)), F.lit(end)), lambda stop: F.when(stop > 0, F.left(part, stop)).otherwise(part))
+    of = lambda head: text.bound(F.regexp_instr(head, F.lit(start)), lambda at: F.when(at > 0, text.bound(F.substring(head, at, F.lit(1800)), cut)).otherwise(F.left(head, F.lit(1800))))
+    return text.bound(F.left(c, F.lit(3000)), of)
 
 
 def plate_in(c: Column) -> Column:
     """The first plate in a text, as written or else with look-alike letters folded."""
-    return F.coalesce(*[F.nullif(text.identifier(_first(v, p)), F.lit("")) for v in (text.collapse(c), text.ocr_folded(c)) for p in PATTERNS["plate_number"]])
+    found = lambda v: F.coalesce(*[text.filled(text.identifier(_first(v, p))) for p in PATTERNS["plate_number"]])
+    return text.bound(c, lambda x: F.coalesce(text.bound(text.collapse(x), found), text.bound(text.ocr_folded(x), found)))
 
 
 def vin_in(c: Column) -> Column:
-    return F.nullif(text.identifier(_first(F.upper(text.ocr_folded(c)), PATTERNS["vin"][0])), F.lit(""))
+    return text.filled(text.identifier(_first(F.upper(text.ocr_folded(c)), PATTERNS["vin"][0])))
 
 
 def section_mileage(section: Column) -> Column:
     """After its label, or else from a row of the section (with the next one, if it only has the label)."""
     lines = F.split(text.clean_lines(section), "\n")
-    window = F.transform(lines, lambda x, i: F.when(x.rlike("(?iu)пробег|одометр"), F.concat_ws(" ", x, F.get(lines, i + 1))).otherwise(x))
+    window = text.bound(lines, lambda all_: F.transform(all_, lambda x, i: F.when(x.rlike("(?iu)пробег|одометр"), F.concat_ws(" ", x, F.get(all_, i + 1))).otherwise(x)))
     row = F.transform(window, lambda x: F.coalesce(*[text.parse_mileage(_first(x, p)) for p in MILEAGE_ROWS]))
     return F.coalesce(text.parse_mileage(_first(section, MILEAGE_LABEL)), F.try_element_at(F.filter(row, lambda x: x.isNotNull()), F.lit(1)))
 
@@ -101,10 +102,10 @@ def section_mileage(section: Column) -> Column:
 def service_candidate(c: Column) -> Column:
     """Of the first 2,000 characters: what follows a label, or else the first words, up to a label of something else."""
     head = F.left(c, F.lit(2000))
-    bare = lambda x: F.nullif(F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" -:;,")), F.lit(""))
+    bare = lambda x: text.filled(F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" -:;,")))
     found = F.coalesce(*[bare(F.regexp_extract(head, FLAGS + p, 1)) for p in SERVICE_LINES])
     cut = F.regexp_replace(found, rf"(?siuU)\b(?:{AFTER_SERVICE})\b.*", "")
-    return F.nullif(F.left(F.btrim(cut, F.lit(" ,.;:-")), F.lit(200)), F.lit(""))
+    return text.filled(F.left(F.btrim(cut, F.lit(" ,.;:-")), F.lit(200)))
 
 
 def acquired(source_type: Column, pdf_text: Column, ocr_text: Column, ocr: bool, renderer: bool) -> Column:
@@ -127,45 +128,51 @@ def parsed(documents: DataFrame, rules: list[tuple] = (), digits: int = 6) -> Da
     extract.rule_matches() takes them, go before the patterns: what such a rule can't read is invalid, and nothing else tried.
     A service's name with so many digits is suspicious."""
     c = F.col("text")
-    d = documents.select("id", text.clean_lines(F.translate(c, "¹–—«»", '№--""')).alias("text"))
+    signs = c
+    for a, b in zip("¹–—«»", '№--""', strict=True):
+        signs = F.replace(signs, F.lit(a), F.lit(b))
+    d = documents.select("id", text.clean_lines(signs).alias("text"))
     given = lambda f: F.lit(None).cast("struct<value:string,confidence:double>")
     if rules:
         hits = extract.rule_matches(documents, rules).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "confidence")))).alias("given"))
         d = d.join(hits, "id", "left")
         given = lambda f: F.try_element_at("given", F.lit(f))
-    head, section = F.left(c, F.lit(2500)), vehicle_section(c)
-    d = d.withColumn("head", head).withColumn("section", section)
-    raw = {f: first_match(F.col("head"), f) for f in ("order_number", "repair_date")} | {f: first_match(c, f) for f in ("service_name", *TOTALS)}
+    section, head = F.col("section"), F.col("head")
+    # what several columns name is a column of its own before them, so that it is worked out once
+    d = d.withColumns({"head": F.left(c, F.lit(2500)), "section": vehicle_section(c)})
+    d = d.withColumns({
+        "order_number": first_match(head, "order_number"), "repair_date": first_match(head, "repair_date"), "service_name": first_match(c, "service_name"), **{f: text.parse_amount(first_match(c, f)) for f in TOTALS},
+        "s_mileage": section_mileage(section), "s_plate": F.coalesce(plate_in(_first(section, PLATE_LABEL)), plate_in(section)), "s_vin": F.coalesce(vin_in(_first(section, VIN_LABEL)), vin_in(section)),
+    })
     ruled = lambda f, value, kind: F.when(given(f).isNotNull(), given(f)["value"].try_cast(kind)).otherwise(value)
     sure = lambda f, own=None: F.when(given(f).isNotNull(), given(f)["confidence"]).otherwise(F.lit(CONFIDENCE[f] if own is None else own))
-    either = lambda f: F.coalesce(first_match(F.col("section"), f), first_match(F.col("head"), f))
-    labelled = F.coalesce(plate_in(_first(F.col("section"), PLATE_LABEL)), plate_in(F.col("section")))
-    label_vin = F.coalesce(vin_in(_first(F.col("section"), VIN_LABEL)), vin_in(F.col("section")))
-    number = ruled("order_number", raw["order_number"], "string")
-    plate, vin = ruled("plate_number", either("plate_number"), "string"), ruled("vin", either("vin"), "string")
-    named = text.collapse(F.regexp_replace(ruled("service_name", raw["service_name"], "string"), r"\s+", " "))
-    named = F.nullif(F.btrim(named, F.lit(" -:;,")), F.lit(""))
-    usable = named.isNotNull() & (text.service_key(named) != "")
+    either = lambda f: F.coalesce(first_match(section, f), first_match(head, f))
+    without = lambda f, value: F.when(F.col(f).isNull(), value)
+    same = lambda read, f: text.bound(ruled(f, either(f), "string"), lambda x: F.coalesce(read(x), text.filled(text.identifier(x))))
+    named = text.collapse(F.regexp_replace(ruled("service_name", F.col("service_name"), "string"), r"\s+", " "))
+    d = d.withColumns({"number": ruled("order_number", F.col("order_number"), "string"), "named": text.filled(F.btrim(named, F.lit(" -:;,")))})
+    usable = F.col("named").isNotNull() & (text.service_key(F.col("named")) != "")
     of = {
-        "order_number": F.when(text.plausible_order_number(number), number),
-        "repair_date": ruled("repair_date", text.parse_date(raw["repair_date"]), "date"),
-        "s_mileage": section_mileage(F.col("section")), "f_mileage": ruled("mileage", text.parse_digits(either("mileage")), "long"),
-        "s_plate": labelled, "f_plate": F.coalesce(plate_in(plate), F.nullif(text.identifier(plate), F.lit(""))),
-        "s_vin": label_vin, "f_vin": F.coalesce(vin_in(vin), F.nullif(text.identifier(vin), F.lit(""))),
-        "candidate": F.when(usable, named).otherwise(F.coalesce(service_candidate(c), named)),
-        **{f: ruled(f, text.parse_amount(raw[f]), "double") for f in TOTALS},
-        "dated": raw["repair_date"].isNotNull() | given("repair_date").isNotNull(),
+        "order_number": F.when(text.plausible_order_number(F.col("number")), F.col("number")),
+        "repair_date": ruled("repair_date", text.parse_date(F.col("repair_date")), "date"),
+        "s_mileage": F.col("s_mileage"), "f_mileage": without("s_mileage", ruled("mileage", text.parse_digits(either("mileage")), "long")),
+        "s_plate": F.col("s_plate"), "f_plate": without("s_plate", same(plate_in, "plate_number")),
+        "s_vin": F.col("s_vin"), "f_vin": without("s_vin", same(vin_in, "vin")),
+        "candidate": F.when(usable, F.col("named")).otherwise(F.coalesce(service_candidate(c), F.col("named"))),
+        **{f: ruled(f, F.col(f), "double") for f in TOTALS},
+        "dated": F.col("repair_date").isNotNull() | given("repair_date").isNotNull(),
         "sure": F.create_map(*[x for f in CONFIDENCE for x in (F.lit(f), sure(f))]),
     }
     d = d.select("id", *[v.alias(k) for k, v in of.items()])
-    suspicious = text.suspicious_service(F.col("candidate"), digits)
+    d = d.withColumn("doubtful", text.bound(F.col("candidate"), lambda x: text.suspicious_service(x, digits)))
+    suspicious = F.col("doubtful")
     fields = {
         "order_number": F.col("order_number"), "repair_date": F.col("repair_date"), "mileage": F.coalesce("s_mileage", "f_mileage"), "plate_number": F.coalesce("s_plate", "f_plate"), "vin": F.coalesce("s_vin", "f_vin"),
         "service_name": F.when(F.col("candidate").isNotNull() & ~suspicious, F.left("candidate", F.lit(120))), **{f: F.col(f) for f in TOTALS},
     }
     fixed = {"mileage": ("s_mileage", 0.9), "plate_number": ("s_plate", 0.9), "vin": ("s_vin", 0.92)}
     level = {f: F.when(F.col(fixed[f][0]).isNotNull(), F.lit(fixed[f][1])).otherwise(F.col("sure")[f]) if f in fixed else F.col("sure")[f] for f in fields}
-    confidence = F.map_filter(F.create_map(*[x for f, v in fields.items() for x in (F.lit(f), F.when(v.isNotNull(), level[f]))]), lambda k, v: v.isNotNull())
+    confidence = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.when(v.isNotNull(), level[f]).alias("value")) for f, v in fields.items()]), lambda e: e["value"].isNotNull()))
     reasons = F.array_compact(F.array(
         F.when(fields["order_number"].isNull(), "order_number_missing"), F.when(fields["repair_date"].isNull(), F.when(F.col("dated"), "repair_date_invalid").otherwise("repair_date_missing")),
         F.when(fields["mileage"].isNull(), "mileage_missing"), F.when(F.col("candidate").isNotNull() & suspicious, "service_name_suspicious"),
